@@ -5,13 +5,14 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-# The characters that count as whitespace.
-SPACE_CHARS = (
-    " \t\n\r\x0b\x0c          "
-    "       　﻿"
+# Code points that count as whitespace.
+SPACE_CODES = (
+    0x09, 0x0A, 0x0B, 0x0C, 0x0D, 0x20, 0xA0, 0x1680, *range(0x2000, 0x200B),
+    0x2028, 0x2029, 0x202F, 0x205F, 0x3000, 0xFEFF,
 )
-# The same set as a character class (without brackets) for Java patterns.
-SPACE_CLASS = r"\s\x0B   -     　﻿"
+SPACE_CHARS = "".join(map(chr, SPACE_CODES))
+# The same set as the inside of a character class.
+SPACE_CLASS = "".join(rf"\x{{{code:x}}}" for code in SPACE_CODES)
 
 # Control characters that never reach a prompt.
 CONTROL_CLASS = r"[\x00-\x08\x0B\x0C\x0E-\x1F\x7F]"
