@@ -5,8 +5,10 @@ from __future__ import annotations
 import math
 from collections.abc import Callable
 
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.functions import pandas_udf
 
 Counter = Callable[[Column], Column]
 
@@ -21,9 +23,6 @@ def chars4(text: Column) -> Column:
 
 def encoder_counter(make_encode: Callable[[], Callable[[str], list]]) -> Counter:
     """A counter from a user's encoder, built once per Python worker."""
-    import pandas as pd
-    from pyspark.sql.functions import pandas_udf
-
     cache: list = []
 
     @pandas_udf("long")

@@ -4,8 +4,10 @@ from __future__ import annotations
 
 from collections.abc import Callable, Iterator
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.functions import pandas_udf
 
 from corpusloom.functions.text import keyword_entities
 from corpusloom.options import ChunkBudgets
@@ -136,9 +138,6 @@ def chunk_with_encoder(
     The counter is built once per Python worker. Rows stay where they are: no
     shuffle, and one document is the unit of work.
     """
-    from pyspark.sql.functions import pandas_udf
-    import pandas as pd
-
     cache: list = []
     room = min(budgets.fallback, budgets.max)
 
@@ -229,9 +228,6 @@ def chunk_structured(
     leaves are cut into windows, neighbours are merged, and a document without
     usable units falls back to line packing.
     """
-    from pyspark.sql.functions import pandas_udf
-    import pandas as pd
-
     width = budgets.max * CHARS_PER_TOKEN
 
     def leaves(text, nodes):

@@ -89,7 +89,8 @@ def search_lexical(
             sc.lexical_path_score(F.col("tokens"), F.col("searchable")).alias("first"),
             sc.lexical_content_score(F.col("tokens"), F.col("content")).alias("second"),
         )
-        scored = _rounded(scored.withColumn("score", F.col("first") * weights[0] + F.col("second") * weights[1]), options)
+        scored = _rounded(scored, options).withColumn("score", F.col("first") * weights[0] + F.col("second") * weights[1])
+        scored = _rounded(scored, options, "score")
         narrow = _ranked(scored.where(F.col("score") > 0), k, F.desc("score"), F.asc("id"))
         wide = scan_topk(free, rows.drop("path"), Scoring("words", k, weights, digits=options.digits), **scan)
         hits = wide.unionByName(narrow)
@@ -145,13 +146,13 @@ def rerank(pool: DataFrame, queries: DataFrame, chunks: DataFrame, options: Sear
         .join(tokens, "query_id")
         .withColumn("vector", sc.vector_score(F.col("distance")))
         .withColumn("lexical", sc.lexical_path_score(F.col("tokens"), F.col("searchable")))
-        .withColumn(
-            "combined",
-            sc.combined_score(F.col("vector"), F.col("lexical"), options.vector_weight, options.lexical_weight),
-        )
         .drop("tokens", "searchable")
     )
-    scored = _rounded(scored, options, "vector", "lexical", "combined")
+    scored = _rounded(scored, options, "vector", "lexical").withColumn(
+        "combined",
+        sc.combined_score(F.col("vector"), F.col("lexical"), options.vector_weight, options.lexical_weight),
+    )
+    scored = _rounded(scored, options, "combined")
     return _ranked(scored, options.max_results, F.desc("combined"), F.asc("distance"), F.asc("id"))
 
 
