@@ -86,8 +86,8 @@ def merge_small(spans: Column, budgets: ChunkBudgets) -> Column:
 def emit_chunks(docs: DataFrame, spans: Column, content: str = "content", entities: bool = True) -> DataFrame:
     """One row per span: index, count, bounds, text and (optionally) entities."""
     kept = [c for c in docs.columns if c != content]
-    spread = docs.select(*kept, content, spans.alias("_spans")).select(
-        *kept, content, F.size("_spans").alias("chunk_count"), F.posexplode("_spans").alias("chunk_index", "_span")
+    spread = docs.select(*kept, content, spans.alias("_cut")).select(
+        *kept, content, F.size("_cut").alias("chunk_count"), F.posexplode("_cut").alias("chunk_index", "_span")
     )
     out = spread.select(
         *kept,

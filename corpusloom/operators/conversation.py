@@ -96,6 +96,8 @@ def _with_active_files(messages: DataFrame) -> DataFrame:
 
     The re-grouped array is as large as the message's own list, never more.
     """
+    if "files" not in messages.columns:
+        return messages.withColumn("active", F.array().cast("array<struct<pos:int,name:string,content:string>>"))
     active = (
         latest_attachments(messages)
         .groupBy("conv_id", "turn")

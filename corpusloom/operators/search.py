@@ -89,8 +89,8 @@ def search_lexical(
             sc.lexical_path_score(F.col("tokens"), F.col("searchable")).alias("first"),
             sc.lexical_content_score(F.col("tokens"), F.col("content")).alias("second"),
         )
-        scored = _rounded(scored, options).withColumn("score", F.col("first") * weights[0] + F.col("second") * weights[1])
-        scored = _rounded(scored, options, "score")
+        scored = scored.withColumn("score", F.col("first") * weights[0] + F.col("second") * weights[1])
+        scored = _rounded(scored, options)
         narrow = _ranked(scored.where(F.col("score") > 0), k, F.desc("score"), F.asc("id"))
         wide = scan_topk(free, rows.drop("path"), Scoring("words", k, weights, digits=options.digits), **scan)
         hits = wide.unionByName(narrow)
@@ -148,11 +148,11 @@ def rerank(pool: DataFrame, queries: DataFrame, chunks: DataFrame, options: Sear
         .withColumn("lexical", sc.lexical_path_score(F.col("tokens"), F.col("searchable")))
         .drop("tokens", "searchable")
     )
-    scored = _rounded(scored, options, "vector", "lexical").withColumn(
+    scored = scored.withColumn(
         "combined",
         sc.combined_score(F.col("vector"), F.col("lexical"), options.vector_weight, options.lexical_weight),
     )
-    scored = _rounded(scored, options, "combined")
+    scored = _rounded(scored, options, "vector", "lexical", "combined")
     return _ranked(scored, options.max_results, F.desc("combined"), F.asc("distance"), F.asc("id"))
 
 
@@ -204,10 +204,12 @@ def semi_path_filter(pairs: DataFrame, paths: DataFrame) -> DataFrame:
 
 
 def _rounded(df: DataFrame, options: SearchOptions, *columns: str) -> DataFrame:
+    """Round as the scan does, so both ways of scoring give the same ranks."""
     if options.digits is None:
         return df
+    scale = 10.0**options.digits
     for c in columns or [c for c in ("score", "first", "second") if c in df.columns]:
-        df = df.withColumn(c, F.round(c, options.digits))
+        df = df.withColumn(c, F.signum(c) * F.floor(F.abs(c) * scale + 0.5) / scale)
     return df
 
 

@@ -48,11 +48,11 @@ class Scoring:
     metric: str = "l2"
     digits: int | None = None
 
-    def rounded(self, values):
+    def rounded(self, values, extra: int = 0):
         """Rounded half away from zero, as SQL does."""
         if self.digits is None:
             return values
-        scale = 10.0**self.digits
+        scale = 10.0 ** (self.digits + extra)
         return np.sign(values) * np.floor(np.abs(values) * scale + 0.5) / scale
 
 
@@ -157,17 +157,17 @@ class QueryBlock:
             dist = s.rounded(self.distances(rows))
             return -dist, dist, np.zeros_like(dist), ~np.isnan(dist)
         if s.kind == "exact":
-            first = s.rounded(self.cosines(rows))
+            # Three more digits take the noise of the sums out of what follows.
+            first = s.rounded(self.cosines(rows), 3)
             second = self.tokens.ratios(rows["searchable"]) if self.tokens is not None else np.zeros_like(first)
             keep = first >= s.minimum
         else:
-            first = s.rounded(self.tokens.ratios(rows["searchable"]))
+            first = self.tokens.ratios(rows["searchable"])
             second = self.tokens.ratios(rows["content"])
-        second = s.rounded(second)
         score = first * s.weights[0] + second * s.weights[1]
         if s.kind == "words":
             keep = score > 0
-        return s.rounded(score), first, second, keep
+        return s.rounded(score), s.rounded(first), s.rounded(second), keep
 
     def best(self, batches: Iterator[pd.DataFrame]) -> pd.DataFrame:
         """The best ``k`` rows per query over all batches; ties go to the smaller id."""

@@ -92,10 +92,10 @@ PAIRS = f"""SELECT query_id, q.text, c.id, c.path, c.content, list_cosine_simila
 
 
 def exact_sql(k: int) -> str:
-    return f"""SELECT query_id, rank, path, md5(content) AS content_md5, cosine, lexical, combined FROM (
+    return f"""SELECT query_id, rank, path, md5(content) AS content_md5, round(cosine, 6) AS cosine, round(lexical, 6) AS lexical, combined FROM (
         SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY combined DESC, id) AS rank FROM (
           SELECT *, round(0.75 * cosine + 0.25 * lexical, 6) AS combined FROM (
-            SELECT * EXCLUDE (cosine), round(cosine, 6) AS cosine, round({o.ratio('t', 's')}, 6) AS lexical
+            SELECT * EXCLUDE (cosine), round(cosine, 9) AS cosine, {o.ratio('t', 's')} AS lexical
             FROM ({PAIRS})) WHERE cosine >= 0.2)) WHERE rank <= {k}"""
 
 
@@ -122,8 +122,8 @@ ALLOWED = """x WHERE EXISTS (SELECT 1 FROM query_paths p WHERE p.query_id = x.qu
 def hybrid_sql(k: int, allowed: str = "", columns: str = "") -> str:
     return f"""SELECT {columns or "query_id, rank, path, md5(content) AS content_md5, distance, vector, lexical, combined"} FROM (
         SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY combined DESC, distance, id) AS rank FROM (
-          SELECT *, round(vector * 0.7 + lexical * 0.3, 6) AS combined FROM (
-            SELECT *, round(1 / (1 + greatest(distance, 0)), 6) AS vector, round({o.ratio('t', 's')}, 6) AS lexical
+          SELECT *, round(vector0 * 0.7 + lexical0 * 0.3, 6) AS combined, round(vector0, 6) AS vector, round(lexical0, 6) AS lexical FROM (
+            SELECT *, 1 / (1 + greatest(distance, 0)) AS vector0, {o.ratio('t', 's')} AS lexical0
             FROM ({pool_sql(allowed)}) WHERE pool_rank <= 50))) WHERE rank <= {k}"""
 
 
@@ -176,10 +176,10 @@ def rank_hits(spark, sf):
 
 
 def lexical_sql(k: int, allowed: str = "") -> str:
-    return f"""SELECT query_id, rank, path, md5(content) AS content_md5, m AS metadata_score, c AS content_score, combined FROM (
+    return f"""SELECT query_id, rank, path, md5(content) AS content_md5, round(m, 6) AS metadata_score, round(c, 6) AS content_score, combined FROM (
         SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY combined DESC, id) AS rank FROM (
           SELECT *, round(m * 0.7 + c * 0.3, 6) AS combined FROM (
-            SELECT *, round({o.ratio('t', 's')}, 6) AS m, round({o.ratio('t', 'low')}, 6) AS c FROM (
+            SELECT *, {o.ratio('t', 's')} AS m, {o.ratio('t', 'low')} AS c FROM (
               SELECT query_id, {o.tokens('text')} AS t, id, path, content, lower(content) AS low, {SEARCHABLE} AS s
               FROM (SELECT item_id AS query_id, text FROM benchmark) CROSS JOIN corpus_chunks) {allowed})) WHERE combined > 0) WHERE rank <= {k}"""
 

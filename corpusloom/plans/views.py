@@ -22,6 +22,12 @@ def table(spark: SparkSession, sf: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf}/{name}.parquet")
 
 
+def table_stream(spark: SparkSession, sf: str, name: str) -> DataFrame:
+    """The same table as a stream of its files."""
+    schema = table(spark, sf, name).schema
+    return spark.readStream.schema(schema).option("pathGlobFilter", f"{name}.parquet").parquet(sf)
+
+
 def pick(values, index):
     return F.element_at(F.array(*map(F.lit, values)), (index % len(values) + 1).cast("int"))
 
@@ -170,8 +176,9 @@ def agent_turns(spark, sf) -> DataFrame:
     return table(spark, sf, "conversations").where(F.col("role") == "assistant").select("conv_id", "turn", text.alias("text"))
 
 
-def fragments(spark, sf) -> DataFrame:
+def fragments(spark, sf, events=None) -> DataFrame:
     """Reply lines made of events: both fragment layouts, usage, end marks, bad JSON."""
+    events = table(spark, sf, "events") if events is None else events
     i = F.col("event_id")
     piece = F.concat(F.col("event_type"), F.lit(" "))
     body = (
@@ -184,13 +191,12 @@ def fragments(spark, sf) -> DataFrame:
     line = F.when(i % 31 == 0, F.lit("")).when(i % 41 == 0, F.concat(F.lit(": "), piece)).otherwise(
         F.concat(F.lit("data: "), body)
     )
-    return table(spark, sf, "events").select(
-        F.col("user_id").alias("request_id"), F.col("event_id").alias("seq"), line.alias("value")
-    )
+    return events.select(F.col("user_id").alias("request_id"), F.col("event_id").alias("seq"), line.alias("value"))
 
 
-def requests(spark, sf) -> DataFrame:
-    return table(spark, sf, "events").select(
+def requests(spark, sf, events=None) -> DataFrame:
+    events = table(spark, sf, "events") if events is None else events
+    return events.select(
         "event_id", "ts", "user_id", F.round(F.col("value") * 1000).cast("long").alias("duration_ms"),
         (F.col("event_type") == "error").alias("is_error"),
     )

@@ -49,14 +49,14 @@ def read_reply_lines(spark: SparkSession, path: str) -> DataFrame:
     return decode_replies(spark.read.text(path))
 
 
-def reply_parts(fragments: DataFrame, key: str = "request_id", seq: str = "seq") -> DataFrame:
+def reply_parts(fragments: DataFrame, key: str = "request_id", seq: str = "seq", *more) -> DataFrame:
     """Text of each reply part in fragment order, with its characters and usage.
 
     A part covers a fixed range of sequence numbers, so no group grows with
     the length of a reply. Valid as a streaming aggregate too.
     """
     used = F.col("usage") > 0
-    return fragments.groupBy(key, F.floor(F.col(seq) / PART_SPAN).cast("long").alias("part")).agg(
+    return fragments.groupBy(key, F.floor(F.col(seq) / PART_SPAN).cast("long").alias("part"), *more).agg(
         F.array_join(
             F.transform(
                 F.array_sort(F.collect_list(F.when(F.col("token") != "", F.struct(seq, "token")))),

@@ -25,10 +25,28 @@ def stream_replies(fragments: DataFrame, key: str = "request_id", seq: str = "se
     return reply_parts(fragments, key, seq)
 
 
+def stream_finished_replies(
+    fragments: DataFrame, ts: str = "ts", idle: str = "10 seconds", late: str = "1 minute", key: str = "request_id",
+    seq: str = "seq",
+) -> DataFrame:
+    """Replies that have been silent for ``idle``, for append mode.
+
+    The watermark lets go of the state of finished replies, so this form can
+    run for as long as there are requests.
+    """
+    timed = _event_time(fragments, ts).withWatermark(ts, late)
+    return reply_parts(timed, key, seq, F.session_window(ts, idle).alias("w"))
+
+
+def _event_time(stream: DataFrame, ts: str) -> DataFrame:
+    """Event times need a time zone; those without one are taken in the session's."""
+    return stream.withColumn(ts, F.col(ts).cast("timestamp"))
+
+
 def stream_metrics(requests: DataFrame, ts: str = "ts", size: str = "1 hour", late: str = "1 hour") -> DataFrame:
     """Requests, errors and summed duration per time window, for update mode."""
     return (
-        requests.withWatermark(ts, late)
+        _event_time(requests, ts).withWatermark(ts, late)
         .groupBy(F.window(ts, size).alias("w"))
         .agg(
             F.count("*").alias("requests"),
@@ -42,7 +60,7 @@ def stream_metrics(requests: DataFrame, ts: str = "ts", size: str = "1 hour", la
 def stream_idle(events: DataFrame, gap: str = "10 seconds", key: str = "user_id", ts: str = "ts", late: str = "1 minute"):
     """Finished stretches of activity per key, for append mode."""
     return (
-        events.withWatermark(ts, late)
+        _event_time(events, ts).withWatermark(ts, late)
         .groupBy(key, F.session_window(ts, gap).alias("w"))
         .agg(F.count("*").alias("events"))
         .select(key, F.col("w.start").alias("start"), F.col("w.end").alias("end"), "events")
