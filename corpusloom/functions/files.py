@@ -8,6 +8,8 @@ from itertools import chain
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from corpusloom.functions.bind import bind
+
 # Language of a file by its extension.
 LANGUAGE_BY_EXTENSION = {
     "ts": "typescript", "tsx": "typescript",
@@ -106,10 +108,12 @@ def embedding_input(*fields: Column) -> Column:
 
 
 def is_binary(content: Column) -> Column:
-    sample = F.substring(content, 1, BINARY_SAMPLE)
-    length = F.length(sample)
-    controls = length - F.length(F.regexp_replace(sample, r"[\x00-\x08\x0B\x0C\x0E-\x1F]", ""))
-    return F.contains(sample, F.lit("\x00")) | (controls / F.greatest(length, F.lit(1)) > BINARY_SHARE)
+    def test(sample):
+        length = F.length(sample)
+        controls = length - F.length(F.regexp_replace(sample, r"[\x00-\x08\x0B\x0C\x0E-\x1F]", ""))
+        return F.contains(sample, F.lit("\x00")) | (controls / F.greatest(length, F.lit(1)) > BINARY_SHARE)
+
+    return bind(F.substring(content, 1, BINARY_SAMPLE), test)
 
 
 def glob_regex(glob: str) -> str:

@@ -12,13 +12,19 @@ from pyspark.sql import types as T
 
 from corpusloom.functions.text import js_trim
 from corpusloom.functions.tokens import chars4, message_tokens
+from corpusloom.session import spread
 
 # A request larger than this is refused instead of being gathered.
 MAX_REQUEST_TOKENS = 1_000_000
 
 
 def embed(
-    df: DataFrame, text: str, make_embed: Callable[[], Callable], batch_size: int = 32, out: str = "embedding"
+    df: DataFrame,
+    text: str,
+    make_embed: Callable[[], Callable],
+    batch_size: int = 32,
+    out: str = "embedding",
+    spread_out: bool = True,
 ) -> DataFrame:
     """Add vectors of the trimmed texts, ``batch_size`` at a time.
 
@@ -35,7 +41,7 @@ def embed(
         return predict
 
     udf = predict_batch_udf(make, return_type=T.ArrayType(T.DoubleType()), batch_size=batch_size)
-    return df.withColumn(out, udf(js_trim(F.coalesce(F.col(text), F.lit("")))))
+    return (spread(df) if spread_out else df).withColumn(out, udf(js_trim(F.coalesce(F.col(text), F.lit("")))))
 
 
 GENERATED = "text string, tokens bigint, server_tokens bigint, error string"

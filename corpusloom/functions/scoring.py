@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from corpusloom.functions.bind import bind
+
 # Fixed value: everything outside this set separates tokens.
 TOKEN_BREAK = "[^a-z0-9_./-]+"
 
@@ -21,8 +23,13 @@ def searchable(*fields: Column) -> Column:
 
 def hit_ratio(tokens: Column, text: Column) -> Column:
     """Share of tokens found as substrings of ``text``; 0 when either is empty."""
-    hits = F.size(F.filter(tokens, lambda t: F.contains(text, t)))
-    return F.when((F.size(tokens) > 0) & (F.btrim(text) != ""), hits / F.size(tokens)).otherwise(F.lit(0.0))
+
+    def ratio(pair):
+        words, hay = pair["words"], pair["hay"]
+        hits = F.size(F.filter(words, lambda t: F.contains(hay, t)))
+        return F.when((F.size(words) > 0) & (F.btrim(hay) != ""), hits / F.size(words)).otherwise(F.lit(0.0))
+
+    return bind(F.struct(tokens.alias("words"), text.alias("hay")), ratio)
 
 
 def lexical_path_score(tokens: Column, searchable_text: Column) -> Column:

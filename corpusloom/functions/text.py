@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from corpusloom.functions.bind import bind
+
 # Code points that count as whitespace.
 SPACE_CODES = (
     0x09, 0x0A, 0x0B, 0x0C, 0x0D, 0x20, 0xA0, 0x1680, *range(0x2000, 0x200B),
@@ -39,8 +41,10 @@ def xml_escape(c: Column) -> Column:
 
 
 def query_preview(c: Column, length: int = 140) -> Column:
-    flat = js_trim(F.regexp_replace(c, f"[{SPACE_CLASS}]+", " "))
-    return F.when(F.length(flat) <= length, flat).otherwise(F.concat(F.left(flat, F.lit(length)), F.lit("...")))
+    def cut(flat):
+        return F.when(F.length(flat) <= length, flat).otherwise(F.concat(F.left(flat, F.lit(length)), F.lit("...")))
+
+    return bind(js_trim(F.regexp_replace(c, f"[{SPACE_CLASS}]+", " ")), cut)
 
 
 def base_name(name: Column) -> Column:
@@ -100,28 +104,31 @@ def java_symbols(content: Column, end: Column) -> Column:
     plain splitting instead of one pattern over the whole text, which could
     backtrack without bound.
     """
-    scope = F.substring(content, F.lit(1), end.cast("int"))
-    types = F.regexp_extract_all(scope, F.lit(JAVA_TYPE), F.lit(1))
-    parts = F.split(scope, r"\{")
-    heads = F.transform(
-        F.slice(parts, F.lit(1), F.size(parts) - 1),
-        lambda p: js_trim(F.element_at(F.split(p, "[;}]"), -1)),
-    )
-    methods = F.filter(
-        F.transform(
-            F.filter(heads, lambda h: F.endswith(h, F.lit(")"))),
-            lambda h: F.regexp_extract(h, JAVA_METHOD, 1),
-        ),
-        lambda n: (n != "") & ~n.isin(*NOT_METHODS),
-    )
-    return F.struct(_last(types).alias("class_name"), _last(methods).alias("method_name"))
+
+    def symbols(scope):
+        types = F.regexp_extract_all(scope, F.lit(JAVA_TYPE), F.lit(1))
+        before_braces = bind(F.split(scope, r"\{"), lambda parts: F.slice(parts, F.lit(1), F.size(parts) - 1))
+        heads = F.transform(before_braces, lambda p: js_trim(F.element_at(F.split(p, "[;}]"), -1)))
+        methods = F.filter(
+            F.transform(
+                F.filter(heads, lambda h: F.endswith(h, F.lit(")"))),
+                lambda h: F.regexp_extract(h, JAVA_METHOD, 1),
+            ),
+            lambda n: (n != "") & ~n.isin(*NOT_METHODS),
+        )
+        return F.struct(_last(types).alias("class_name"), _last(methods).alias("method_name"))
+
+    return bind(F.substring(content, F.lit(1), end.cast("int")), symbols)
 
 
 def session_title(text: Column) -> Column:
     """Text after the instruction marker when there is any, cut to 40 characters."""
-    tail = js_trim(F.coalesce(F.get(F.split(text, "User instruction:"), F.lit(1)), F.lit("")))
-    clean = F.when(tail != "", tail).otherwise(text)
-    return F.when(F.length(clean) > 40, F.concat(F.left(clean, F.lit(37)), F.lit("..."))).otherwise(clean)
+    tail = js_trim(F.get(F.split(text, "User instruction:"), F.lit(1)))
+
+    def cut(clean):
+        return F.when(F.length(clean) > 40, F.concat(F.left(clean, F.lit(37)), F.lit("..."))).otherwise(clean)
+
+    return bind(F.coalesce(F.nullif(tail, F.lit("")), text), cut)
 
 
 def relative_time(created_ms: Column, now_ms: Column) -> Column:

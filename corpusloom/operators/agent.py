@@ -70,24 +70,18 @@ def batch_agent(
             break
         now = checkpoint(_pruned(working.join(open_ones, "conv_id", "left_semi"), memory))
         replies = checkpoint(parse_replies(generate(now, make_generate)).withColumnRenamed("answer", "found"))
-        step = _classified(replies, state, asked)
-        step = checkpoint(step)
-        told = _observed(step, chunks, make_embed, agent, search)
-        told = checkpoint(told)
-        working = checkpoint(
-            append_turn(
-                now.join(told.where(F.col("kind") != "answer"), "conv_id", "left_semi"),
-                told.where(F.col("kind") != "answer").select(
-                    "conv_id", F.coalesce("text", F.lit("")).alias("assistant"), F.col("user_text").alias("user")
-                ),
-            )
+        told = checkpoint(_observed(_classified(replies, state, asked), chunks, make_embed, agent, search))
+        going_on = told.where(F.col("kind") != "answer")
+        working = append_turn(
+            now.join(going_on, "conv_id", "left_semi"),
+            going_on.select(
+                "conv_id", F.coalesce("text", F.lit("")).alias("assistant"), F.col("user_text").alias("user")
+            ),
         )
-        asked = checkpoint(
-            asked.unionByName(
-                told.where(F.col("kind") == "search").select("conv_id", F.lower("action").alias("key"))
-            )
+        asked = asked.unionByName(
+            told.where(F.col("kind") == "search").select("conv_id", F.lower("action").alias("key"))
         )
-        seen = checkpoint(seen.unionByName(told.select("conv_id", F.explode("paths").alias("path"))).distinct())
+        seen = seen.unionByName(told.select("conv_id", F.explode("paths").alias("path")))
         state = checkpoint(_advanced(state, told))
 
     left = state.where(F.col("answer").isNull())

@@ -9,11 +9,14 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.functions import pandas_udf
 
+from corpusloom.functions.bind import bind
 from corpusloom.functions.text import keyword_entities
 from corpusloom.options import ChunkBudgets
 from corpusloom.schemas import SPAN
+from corpusloom.session import spread
 
 CHARS_PER_TOKEN = 4
+SPANS_PER_RUN = 24
 NO_SPANS = f"array<{SPAN}>"
 
 
@@ -36,8 +39,10 @@ def line_spans(content: Column, budgets: ChunkBudgets) -> Column:
     larger max budget.
     """
     room = min(budgets.fallback, budgets.max) * CHARS_PER_TOKEN
-    lines = F.split(content, "\n")
-    lengths = F.transform(lines, lambda x, i: F.length(x) + F.when(i < F.size(lines) - 1, 1).otherwise(0))
+    lengths = bind(
+        F.split(content, "\n"),
+        lambda lines: F.transform(lines, lambda x, i: F.length(x) + F.when(i < F.size(lines) - 1, 1).otherwise(0)),
+    )
     zero = F.struct(
         F.lit(0).alias("start"), F.lit(0).alias("cursor"), F.array().cast(NO_SPANS).alias("cuts")
     )
@@ -83,19 +88,40 @@ def merge_small(spans: Column, budgets: ChunkBudgets) -> Column:
     return F.aggregate(spans, F.array().cast(NO_SPANS), safe_step)
 
 
-def emit_chunks(docs: DataFrame, spans: Column, content: str = "content", entities: bool = True) -> DataFrame:
-    """One row per span: index, count, bounds, text and (optionally) entities."""
+def emit_chunks(
+    docs: DataFrame, spans: Column, content: str = "content", entities: bool = True, spread_out: bool = True
+) -> DataFrame:
+    """One row per span: index, count, bounds, text and (optionally) entities.
+
+    Finding a character position walks the text from its start, so a long text
+    is first cut into runs of ``SPANS_PER_RUN`` spans and those into chunks.
+    """
     kept = [c for c in docs.columns if c != content]
-    spread = docs.select(*kept, content, spans.alias("_cut")).select(
-        *kept, content, F.size("_cut").alias("chunk_count"), F.posexplode("_cut").alias("chunk_index", "_span")
+    start, end = F.col("_span.start"), F.col("_span.end")
+    runs = F.transform(
+        F.sequence(F.lit(0), F.greatest(F.size("_cut") - 1, F.lit(0)), F.lit(SPANS_PER_RUN)),
+        lambda i: F.slice("_cut", i + 1, F.lit(SPANS_PER_RUN)),
+    )
+    base, top = F.col("_run")[0]["start"], F.element_at("_run", -1)["end"]
+    cut_runs = (
+        (spread(docs) if spread_out else docs)
+        .select(*kept, content, spans.alias("_cut"))
+        .where(F.size("_cut") > 0)
+        .select(*kept, content, F.size("_cut").alias("chunk_count"), F.posexplode(runs).alias("_at", "_run"))
+        .select(
+            *kept, "chunk_count", "_at", "_run", base.alias("_base"),
+            F.substr(F.col(content), base + 1, top - base).alias("_part"),
+        )
     )
-    out = spread.select(
+    out = cut_runs.select(
+        *kept, "chunk_count", "_at", "_base", "_part", F.posexplode("_run").alias("_in", "_span")
+    ).select(
         *kept,
-        "chunk_index",
+        (F.col("_at") * SPANS_PER_RUN + F.col("_in")).alias("chunk_index"),
         "chunk_count",
-        F.col("_span.start").alias("chunk_start"),
-        F.col("_span.end").alias("chunk_end"),
-        F.substr(F.col(content), F.col("_span.start") + 1, F.col("_span.end") - F.col("_span.start")).alias("text"),
+        start.alias("chunk_start"),
+        end.alias("chunk_end"),
+        F.substr(F.col("_part"), start - F.col("_base") + 1, end - start).alias("text"),
     )
     if entities:
         out = out.withColumn("keyword_entities", F.array_join(keyword_entities(F.col("text")), "|"))

@@ -14,6 +14,7 @@ from corpusloom.operators.chunking import emit_chunks, line_spans, merge_small
 from corpusloom.operators.filters import TOP_N_LIMIT, keep_files, running_cap
 from corpusloom.operators.metrics import index_summary, project_type
 from corpusloom.options import IndexOptions
+from corpusloom.session import spread
 from corpusloom.sources.collections import read_collection, replace_collection
 
 EMBEDDED_FIELDS = (
@@ -83,7 +84,7 @@ def collect_chunks(
     spans = line_spans(F.col("content"), options.budgets)
     if merge:
         spans = merge_small(spans, options.budgets)
-    described = describe_files(kept.select(*files.columns), project)
+    described = spread(describe_files(kept.select(*files.columns), project))
     cut = described.withColumn("_spans", spans)
     if cap is not None:
         counted = cut.select("path", F.size("_spans").alias("chunk_count"))
@@ -97,7 +98,7 @@ def collect_chunks(
             F.col("file_language") == "java", F.transform("_spans", lambda s: java_symbols(body, s["end"]))
         ),
     )
-    rows = emit_chunks(with_symbols, F.col("_spans"), entities=False)
+    rows = emit_chunks(with_symbols, F.col("_spans"), entities=False, spread_out=False)
     symbols = F.get(F.col("_symbols"), F.col("chunk_index"))
     return rows.select(
         ff.chunk_id(F.col("path"), F.col("chunk_index")).alias("id"),
@@ -121,7 +122,8 @@ def join_embeddings(chunks: DataFrame, vectors: DataFrame) -> DataFrame:
 
 def embed_chunks(chunks: DataFrame, make_embed: Callable, batch_size: int = 32) -> DataFrame:
     text = ff.embedding_input(*[F.col(c) for c in EMBEDDED_FIELDS])
-    return embed(chunks.withColumn("_input", text), "_input", make_embed, batch_size).drop("_input")
+    embedded = embed(chunks.withColumn("_input", text), "_input", make_embed, batch_size, spread_out=False)
+    return embedded.drop("_input")
 
 
 def index_corpus(
@@ -140,8 +142,8 @@ def index_corpus(
     Python and the write the one action over the data.
     """
     spark = files.sparkSession
-    chunks = collect_chunks(files, options, project)
-    if chunks.isEmpty():
+    if keep_files(files, options).isEmpty():  # a kept file has at least one chunk
         return None
+    chunks = collect_chunks(files, options, project)
     replace_collection(embed_chunks(chunks, make_embed, options.embed_batch), path, collection_id, previous_id)
     return index_summary(read_collection(spark, path, collection_id), indexed_at_ms)

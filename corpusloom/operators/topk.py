@@ -19,6 +19,8 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from corpusloom.session import spread
+
 # A query block may travel with every task up to these bounds.
 MAX_BLOCK_ROWS = 4096
 MAX_BLOCK_BYTES = 64 << 20
@@ -70,7 +72,7 @@ class TokenIndex:
         names = sorted({t for tokens in token_lists for t in tokens})
         self.position = {t: i for i, t in enumerate(names)}
         self.sizes = sorted({len(t) for t in names})
-        self.known: dict[str, tuple[int, ...]] = {}
+        self.known: dict[str, np.ndarray] = {}
         # Occurrences of each token per query: duplicates count.
         self.weight = np.zeros((len(names), len(token_lists)))
         for q, tokens in enumerate(token_lists):
@@ -78,14 +80,15 @@ class TokenIndex:
                 self.weight[self.position[t], q] += 1
         self.total = np.array([max(len(t), 1) for t in token_lists], dtype=float)
 
-    def inside(self, word: str) -> tuple[int, ...]:
+    def inside(self, word: str) -> np.ndarray:
         found = self.known.get(word)
         if found is None:
             if len(word) > self.LONG:
-                found = tuple(i for t, i in self.position.items() if t in word)
+                at = [i for t, i in self.position.items() if t in word]
             else:
                 pieces = {word[s : s + n] for n in self.sizes for s in range(len(word) - n + 1)}
-                found = tuple(self.position[p] for p in pieces if p in self.position)
+                at = [self.position[p] for p in pieces if p in self.position]
+            found = np.array(at, dtype=np.int32)
             if len(self.known) >= self.REMEMBERED:
                 self.known.clear()
             self.known[word] = found
@@ -95,10 +98,9 @@ class TokenIndex:
         """Share of each query's tokens found, as (texts, queries)."""
         hits = np.zeros((len(texts), len(self.position)))
         for row, text in enumerate(texts):
-            for word in set(WORD.findall((text or "").lower())):
-                found = self.inside(word)
-                if found:
-                    hits[row, list(found)] = 1.0
+            found = [self.inside(word) for word in set(WORD.findall((text or "").lower()))]
+            if found:
+                hits[row, np.concatenate(found)] = 1.0
         return (hits @ self.weight) / self.total
 
 
@@ -221,6 +223,7 @@ def scan_topk(
     Query columns: ``embedding`` and/or ``tokens``. Corpus columns as the
     scoring needs them: ``embedding``, ``searchable``, ``content``.
     """
+    corpus = spread(corpus)
     bound = MAX_BLOCK_ROWS if max_block_rows is None else max_block_rows
     types = {"q": queries.schema["query_id"].dataType.simpleString(), "c": corpus.schema["id"].dataType.simpleString()}
     schema = RESULT.format(**types)

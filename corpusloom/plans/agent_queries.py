@@ -14,6 +14,8 @@ from corpusloom.plans.registry import query
 from corpusloom.plans.search_queries import SEARCHABLE
 from corpusloom.plans.store_queries import profile
 from corpusloom.plans.stubs import make_counter_reply, make_embed, make_generate
+from corpusloom.session import fresh_path
+from corpusloom.sources.collections import read_collection, replace_collection
 
 LONG = "long"
 OPTIONS = SearchOptions(digits=6)
@@ -23,6 +25,13 @@ def embedded_chunks(spark, sf):
     return embed(v.corpus_chunks(spark, sf), "content", make_embed)
 
 
+def collection(spark, sf):
+    """The embedded chunks written as a collection: an agent reads it every round."""
+    path = fresh_path(spark, "agent-collection")
+    replace_collection(embedded_chunks(spark, sf), path, "docs_1")
+    return read_collection(spark, path, "docs_1")
+
+
 def hits_sql(asked: str, k: int = 5) -> str:
     """Ranked hits of (query_id, text) rows over letter-count vectors of all documents."""
     return f"""SELECT query_id, rank, path, content FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY combined DESC, distance, id) AS rank
@@ -72,7 +81,7 @@ def last_text(spark, sf):
 )
 def batch_agent(spark, sf):
     out = ag.batch_agent(
-        v.table(spark, sf, "conversations"), last_text(spark, sf), embedded_chunks(spark, sf), make_generate, make_embed,
+        v.table(spark, sf, "conversations"), last_text(spark, sf), collection(spark, sf), make_generate, make_embed,
         SYSTEM, search=OPTIONS,
     )
     return out.withColumn("references", F.array_join("references", "|"))
@@ -100,7 +109,7 @@ def batch_reply(spark, sf):
     )
     requests = last_text(spark, sf).withColumn("files", F.array(file)).withColumn("rag_enabled", F.col("conv_id") % 2 == 0)
     out = ag.batch_reply(
-        v.table(spark, sf, "conversations"), requests, TEMPLATES, embedded_chunks(spark, sf), make_generate, make_embed,
+        v.table(spark, sf, "conversations"), requests, TEMPLATES, collection(spark, sf), make_generate, make_embed,
         search=OPTIONS,
     )
     return out.select("conv_id", "flow", "text", "tool_calls", "retrieved_matches")

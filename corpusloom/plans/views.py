@@ -93,19 +93,16 @@ def queries(spark, sf) -> DataFrame:
 def chunks_vec(spark, sf) -> DataFrame:
     """One chunk per document that has a vector."""
     vectors = table(spark, sf, "embeddings").select(F.col("vec_id").alias("doc_id"), "embedding", "label")
-    named_ = corpus(spark, sf).join(vectors, "doc_id")
-    name = ff.file_name(F.col("path"))
-    return named_.select(
-        ff.chunk_id(F.col("path"), F.lit(0)).alias("id"), "doc_id", "path", name.alias("file_name"),
-        ff.folder(F.col("path")).alias("folder"), ff.extension(name).alias("extension"),
-        ff.language(name).alias("language"), "content", "embedding", "label",
-    )
+    return corpus_chunks(spark, sf).join(vectors, "doc_id")
 
 
 def corpus_chunks(spark, sf) -> DataFrame:
     """One chunk per document, vectors or not."""
-    return named(spark, sf).join(corpus(spark, sf).select("doc_id", "content"), "doc_id").withColumn(
-        "id", ff.chunk_id(F.col("path"), F.lit(0))
+    name = ff.file_name(F.col("path"))
+    return corpus(spark, sf).select(
+        ff.chunk_id(F.col("path"), F.lit(0)).alias("id"), "doc_id", "path", name.alias("file_name"),
+        ff.folder(F.col("path")).alias("folder"), ff.extension(name).alias("extension"),
+        ff.language(name).alias("language"), "content",
     )
 
 

@@ -75,3 +75,22 @@ def ship_package(spark: SparkSession) -> None:
             archive.write(source, source.relative_to(root.parent))
     spark.sparkContext.addPyFile(str(target))
     _shipped.add(app)
+
+
+# Inputs up to this size may sit in very few row groups.
+SMALL_INPUT_BYTES = 512 << 20
+
+
+def spread(df):
+    """Spread a small input over all cores in front of heavy per-row work.
+
+    A small file is often one row group and so one task, however many cores
+    wait. Larger inputs have enough splits of their own and are left alone:
+    at scale this adds no shuffle.
+    """
+    if df.isStreaming:
+        return df
+    leaves = df._jdf.queryExecution().optimizedPlan().collectLeaves()
+    size = sum(int(str(leaves.apply(i).stats().sizeInBytes())) for i in range(leaves.size()))
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if size <= SMALL_INPUT_BYTES and cores > 1 else df
