@@ -35,7 +35,7 @@ def metrics_snapshots(requests: DataFrame, order: list[str], every: int = 10) ->
 
 
 def idle_requests(events: DataFrame, gap: str = "10 seconds", key: str = "user_id", ts: str = "ts") -> DataFrame:
-    """Stretches of activity per key that end after ``gap`` of silence.
+    """Stretches of activity per key that end after more than ``gap`` of silence.
 
     First within days, so that one busy key is many groups, then the few
     day-level stretches of a key are joined where their gap is short enough.
@@ -46,7 +46,7 @@ def idle_requests(events: DataFrame, gap: str = "10 seconds", key: str = "user_i
         .drop("w", "_day")
     )
     order = Window.partitionBy(key).orderBy("first_ts")
-    quiet = F.col("first_ts") >= F.lag("last_ts").over(order) + F.expr(f"INTERVAL {gap}")
+    quiet = F.col("first_ts") > F.lag("last_ts").over(order) + F.expr(f"INTERVAL {gap}")
     opened = part.withColumn("_new", F.when(F.coalesce(quiet, F.lit(True)), 1).otherwise(0)).withColumn(
         "_session", F.sum("_new").over(order)
     )

@@ -228,6 +228,8 @@ def scan_topk(
     types = {"q": queries.schema["query_id"].dataType.simpleString(), "c": corpus.schema["id"].dataType.simpleString()}
     schema = RESULT.format(**types)
     sample = queries.limit(bound + 1).toPandas()  # never more than one row above the bound
+    if not len(sample):  # nothing asked: the corpus is not read
+        return merge_topk(queries.sparkSession.createDataFrame([], schema), scoring.k)
     weight = sum(_weight(row) for row in sample.itertuples(index=False))
     if len(sample) <= bound and weight <= MAX_BLOCK_BYTES:
         handed = queries.sparkSession.sparkContext.broadcast(sample)

@@ -75,7 +75,7 @@ def metrics_snapshots(spark, sf):
     "idle_requests",
     sql="""SELECT user_id, epoch_us(min(ts)) AS first_us, epoch_us(max(ts)) AS last_us, count(*) AS events FROM (
         SELECT *, sum(n) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS s FROM (SELECT *, CASE WHEN ts - lag(ts) OVER (PARTITION BY user_id ORDER BY ts, event_id)
-          < INTERVAL 4 HOUR THEN 0 ELSE 1 END AS n FROM events)) GROUP BY user_id, s""",
+          <= INTERVAL 4 HOUR THEN 0 ELSE 1 END AS n FROM events)) GROUP BY user_id, s""",
 )
 def idle_requests(spark, sf):
     found = mt.idle_requests(v.table(spark, sf, "events"), "4 hours")
