@@ -80,7 +80,6 @@ def scan_stats(dispositions: DataFrame, chunks: DataFrame | None = None) -> Data
             F.transform(F.sequence(F.lit(0), depth - 1), lambda n: F.array_join(F.slice(parts, F.lit(1), n), "/"))
         ).alias("folder")
     ).distinct()
-    dirs = folders.agg(F.count("*").alias("visited_directories"))
 
     def counted(kind):
         return F.count_if(F.col("disposition") == kind)
@@ -94,11 +93,11 @@ def scan_stats(dispositions: DataFrame, chunks: DataFrame | None = None) -> Data
         counted("read_error").alias("read_errors"),
         counted("kept").alias("kept_files"),
     )
-    out = files.join(F.broadcast(dirs)).withColumn(  # one row on each side
+    out = files.withColumn("visited_directories", folders.agg(F.count("*")).scalar()).withColumn(
         "visited_entries", F.col("considered_files") + F.col("visited_directories") - 1
     )
     if chunks is not None:
-        out = out.join(F.broadcast(chunks.agg(F.count("*").alias("indexed_chunks"))))
+        out = out.withColumn("indexed_chunks", chunks.agg(F.count("*")).scalar())
     return out
 
 

@@ -42,7 +42,7 @@ def describe_files(files: DataFrame, project: DataFrame | str | None = None) ->
         if keys:
             typed = named.join(project, keys, "left")
         else:
-            typed = named.join(F.broadcast(project.select("project_type").limit(1)), how="left")  # one row
+            typed = named.withColumn("project_type", project.agg(F.max("project_type")).scalar())
         typed = typed.withColumn("project_type", F.coalesce("project_type", F.lit("generic")))
     language = ff.language(F.col("file_name"))
     return typed.select(

@@ -89,9 +89,11 @@ def chunks_per_file(chunks: DataFrame) -> DataFrame:
 def batch_number(rows: DataFrame, size: int, order: list[str]) -> DataFrame:
     """1-based batch of each row in one global order, and the number of batches."""
     numbered = with_prefix_sums(rows, order, {"_n": F.lit(1).cast("long")})
-    total = rows.agg(F.ceil(F.count("*") / size).cast("long").alias("batches"))
-    return numbered.withColumn("batch", (F.floor((F.col("_n") - 1) / size) + 1).cast("long")).drop("_n").join(
-        F.broadcast(total)  # one row
+    total = rows.agg(F.ceil(F.count("*") / size).cast("long"))
+    return (
+        numbered.withColumn("batch", (F.floor((F.col("_n") - 1) / size) + 1).cast("long"))
+        .withColumn("batches", total.scalar())
+        .drop("_n")
     )
 
 

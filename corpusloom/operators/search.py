@@ -23,13 +23,19 @@ def searchable_text(chunks: DataFrame):
     return sc.searchable(*[F.col(c) for c in METADATA if c in chunks.columns])
 
 
-def _labelled(hits: DataFrame, chunks: DataFrame, *columns: str) -> DataFrame:
+# Hits are broadcast up to this many rows of an id and a few numbers each.
+MAX_BROADCAST_HITS = 500_000
+
+
+def _labelled(hits: DataFrame, bound: int | None, chunks: DataFrame, *columns: str) -> DataFrame:
     """Bring the shown columns of the few hits back by id.
 
-    The first pass over the corpus reads only what scoring needs. The hits are
-    few, so at run time Spark turns this join into a broadcast of their side
-    when their measured size allows it.
+    The first pass over the corpus reads only what scoring needs. ``bound`` is
+    the proven number of hit rows: up to a limit they are broadcast, so the
+    corpus is not shuffled; beyond it the join is left to Spark.
     """
+    if bound is not None and bound <= MAX_BROADCAST_HITS:
+        hits = F.broadcast(hits)
     index = F.col("chunk_index") if "chunk_index" in chunks.columns else F.lit(None).cast("int")
     count = F.col("chunk_count") if "chunk_count" in chunks.columns else F.lit(None).cast("int")
     shown = chunks.select(
@@ -45,7 +51,7 @@ def search_exact(queries: DataFrame, chunks: DataFrame, options: SearchOptions =
     the metadata. Distance is ``1 - cosine``.
     """
     asked = nonblank_queries(queries).select("query_id", "embedding", sc.tokenize(F.col("text")).alias("tokens"))
-    rows = valid_records(chunks).select("id", "embedding", searchable_text(chunks).alias("searchable"))
+    rows = _usable(chunks, options).select("id", "embedding", searchable_text(chunks).alias("searchable"))
     scoring = Scoring(
         "exact",
         max(1, options.max_results),
@@ -53,11 +59,12 @@ def search_exact(queries: DataFrame, chunks: DataFrame, options: SearchOptions =
         options.min_cosine,
         digits=options.digits,
     )
-    hits = scan_topk(asked, rows, scoring, **scan).select(
+    found, bound = scan_topk(asked, rows, scoring, **scan)
+    hits = found.select(
         "query_id", "id", "rank", F.col("score").alias("combined"),
         F.col("first").alias("cosine"), F.col("second").alias("lexical"), (1 - F.col("first")).alias("distance"),
     )
-    return _labelled(hits, chunks)
+    return _labelled(hits, bound, chunks)
 
 
 def search_lexical(
@@ -81,7 +88,7 @@ def search_lexical(
     weights = (options.metadata_weight, options.content_weight)
     k = options.max_results
     if paths is None:
-        hits = scan_topk(asked, rows.drop("path"), Scoring("words", k, weights, digits=options.digits), **scan)
+        hits, bound = scan_topk(asked, rows.drop("path"), Scoring("words", k, weights, digits=options.digits), **scan)
     else:
         free, pairs = _split_by_filter(asked, rows, paths)
         scored = pairs.select(
@@ -92,13 +99,13 @@ def search_lexical(
         scored = scored.withColumn("score", F.col("first") * weights[0] + F.col("second") * weights[1])
         scored = _rounded(scored, options)
         narrow = _ranked(scored.where(F.col("score") > 0), k, F.desc("score"), F.asc("id"))
-        wide = scan_topk(free, rows.drop("path"), Scoring("words", k, weights, digits=options.digits), **scan)
-        hits = wide.unionByName(narrow)
+        wide, _ = scan_topk(free, rows.drop("path"), Scoring("words", k, weights, digits=options.digits), **scan)
+        hits, bound = wide.unionByName(narrow), _bound(asked, k)
     hits = hits.select(
         "query_id", "id", "rank", F.col("score").alias("combined"),
         F.col("first").alias("metadata_score"), F.col("second").alias("content_score"),
     )
-    return _labelled(hits, chunks)
+    return _labelled(hits, bound, chunks)
 
 
 def candidate_pool(
@@ -109,12 +116,16 @@ def candidate_pool(
     **scan,
 ) -> DataFrame:
     """Nearest ``max(max_results, candidate_pool)`` chunks of each query by distance."""
+    return _pool(queries, chunks, options, paths, **scan)[0]
+
+
+def _pool(queries, chunks, options, paths, **scan) -> tuple[DataFrame, int | None]:
     k = max(options.max_results, options.candidate_pool)
     asked = nonblank_queries(queries).select("query_id", "embedding")
-    rows = valid_records(chunks)
+    rows = _usable(chunks, options)
     scoring = Scoring("near", k, metric=options.metric, digits=options.digits)
     if paths is None:
-        pool = scan_topk(asked, rows.select("id", "embedding"), scoring, **scan)
+        pool, bound = scan_topk(asked, rows.select("id", "embedding"), scoring, **scan)
     else:
         free, pairs = _split_by_filter(asked, rows.select("id", "path", F.col("embedding").alias("stored")), paths)
         near = pairs.select(
@@ -122,8 +133,10 @@ def candidate_pool(
         )
         near = _rounded(near.withColumn("second", F.lit(0.0)), options).withColumn("score", -F.col("first"))
         narrow = _ranked(near, k, F.desc("score"), F.asc("id"))
-        pool = scan_topk(free, rows.select("id", "embedding"), scoring, **scan).unionByName(narrow)
-    return pool.select("query_id", "id", F.col("rank").alias("pool_rank"), F.col("first").alias("distance"))
+        wide, _ = scan_topk(free, rows.select("id", "embedding"), scoring, **scan)
+        pool, bound = wide.unionByName(narrow), _bound(asked, k)
+    shown = pool.select("query_id", "id", F.col("rank").alias("pool_rank"), F.col("first").alias("distance"))
+    return shown, bound
 
 
 def search_hybrid(
@@ -134,15 +147,22 @@ def search_hybrid(
     **scan,
 ) -> DataFrame:
     """Nearest neighbours by distance, re-ranked with token hits in the metadata."""
-    return rerank(candidate_pool(queries, chunks, options, paths, **scan), queries, chunks, options)
+    pool, bound = _pool(queries, chunks, options, paths, **scan)
+    return rerank(pool, queries, chunks, options, bound)
 
 
-def rerank(pool: DataFrame, queries: DataFrame, chunks: DataFrame, options: SearchOptions = SearchOptions()) -> DataFrame:
+def rerank(
+    pool: DataFrame,
+    queries: DataFrame,
+    chunks: DataFrame,
+    options: SearchOptions = SearchOptions(),
+    bound: int | None = None,
+) -> DataFrame:
     """Score a candidate pool with vector and lexical parts and keep the best."""
     meta = chunks.withColumn("searchable", searchable_text(chunks))
     tokens = queries.select("query_id", sc.tokenize(F.col("text")).alias("tokens"))
     scored = (
-        _labelled(pool, meta, "searchable")
+        _labelled(pool, bound, meta, "searchable")
         .join(tokens, "query_id")
         .withColumn("vector", sc.vector_score(F.col("distance")))
         .withColumn("lexical", sc.lexical_path_score(F.col("tokens"), F.col("searchable")))
@@ -198,6 +218,20 @@ def _split_by_filter(asked: DataFrame, rows: DataFrame, paths: DataFrame):
     return free, allowed.join(rows, "path").join(asked, "query_id")
 
 
+def _usable(chunks: DataFrame, options: SearchOptions) -> DataFrame:
+    """Records that can be searched. The null test costs a read of every text,
+    which a collection known to have none can spare."""
+    if options.trust_content:
+        return chunks.where(F.size("embedding") > 0)
+    return valid_records(chunks)
+
+
+def _bound(asked: DataFrame, k: int) -> int | None:
+    """Most rows a top-k of these queries can have, when that is few."""
+    count = asked.limit(MAX_BROADCAST_HITS // k + 1).count()
+    return count * k if count * k <= MAX_BROADCAST_HITS else None
+
+
 def semi_path_filter(pairs: DataFrame, paths: DataFrame) -> DataFrame:
     """Keep (query_id, path) rows that the query's own list allows."""
     return pairs.join(path_filter(paths.select("query_id", "path")), ["query_id", "path"], "left_semi")

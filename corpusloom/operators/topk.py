@@ -217,9 +217,12 @@ def scan_topk(
     scoring: Scoring,
     max_block_rows: int | None = None,
     pack_rows: int | None = None,
-) -> DataFrame:
+) -> tuple[DataFrame, int | None]:
     """Top-k rows of ``corpus`` (id, ...) for each of ``queries`` (query_id, ...).
 
+    Also gives the largest number of rows the result can have, or None when
+    the query set is larger than one block.
+
     Query columns: ``embedding`` and/or ``tokens``. Corpus columns as the
     scoring needs them: ``embedding``, ``searchable``, ``content``.
     """
@@ -229,7 +232,7 @@ def scan_topk(
     schema = RESULT.format(**types)
     sample = queries.limit(bound + 1).toPandas()  # never more than one row above the bound
     if not len(sample):  # nothing asked: the corpus is not read
-        return merge_topk(queries.sparkSession.createDataFrame([], schema), scoring.k)
+        return merge_topk(queries.sparkSession.createDataFrame([], schema), scoring.k), 0
     weight = sum(_weight(row) for row in sample.itertuples(index=False))
     if len(sample) <= bound and weight <= MAX_BLOCK_BYTES:
         handed = queries.sparkSession.sparkContext.broadcast(sample)
@@ -237,15 +240,14 @@ def scan_topk(
         def run(batches):
             yield QueryBlock(handed.value, scoring).best(batches)
 
-        partials = corpus.mapInPandas(run, schema)
-    else:
-        partials = _grid(queries, corpus, scoring, schema, bound, weight / max(len(sample), 1), pack_rows or PACK_ROWS)
-    return merge_topk(partials, scoring.k)
+        return merge_topk(corpus.mapInPandas(run, schema), scoring.k), len(sample) * scoring.k
+    partials = _grid(queries, corpus, scoring, schema, bound, weight / max(len(sample), 1), pack_rows or PACK_ROWS)
+    return merge_topk(partials, scoring.k), None
 
 
 def scan_first(needles: DataFrame, rows: DataFrame, k: int, **scan) -> DataFrame:
     """First ``k`` rows by id whose text contains the needle."""
-    return scan_topk(needles, rows, Scoring("contains", k), **scan)
+    return scan_topk(needles, rows, Scoring("contains", k), **scan)[0]
 
 
 def _weight(row) -> int:

@@ -50,7 +50,8 @@ class SearchOptions:
 
     ``metric`` is one of ``l2`` (squared Euclidean), ``cosine`` and ``ip``.
     ``digits`` rounds scores before ranking, so ranks do not hang on the last
-    bits of floating-point sums; ``None`` ranks raw scores.
+    bits of floating-point sums; ``None`` ranks raw scores. ``trust_content``
+    says that no chunk has a null text, as in a collection made by an index.
     """
 
     max_results: int = 12
@@ -64,6 +65,7 @@ class SearchOptions:
     exact_lexical_weight: float = 0.25
     metadata_weight: float = 0.7
     content_weight: float = 0.3
+    trust_content: bool = False
 
     def __post_init__(self):
         if self.metric not in ("l2", "cosine", "ip"):

@@ -18,7 +18,7 @@ from corpusloom.session import fresh_path
 from corpusloom.sources.collections import read_collection, replace_collection
 
 LONG = "long"
-OPTIONS = SearchOptions(digits=6)
+OPTIONS = SearchOptions(digits=6, trust_content=True)
 
 
 def embedded_chunks(spark, sf):

@@ -344,13 +344,13 @@ AGENT = AgentOptions()
     "render_observation",
     sql=f"""SELECT conv_id, CASE WHEN conv_id % 3 = 0 THEN 'Tool: agent_search' || chr(10) || 'Query: q' || conv_id || chr(10) || '{AGENT.no_match}'
         ELSE 'Tool: agent_search' || chr(10) || 'Query: q' || conv_id || chr(10) || chr(10) ||
-          string_agg('Result ' || (turn + 1) || ' | Source: ' || role || chr(10) || '```' || chr(10) || text || chr(10) || '```', chr(10) ORDER BY turn) END AS observation,
+          string_agg('Result ' || rn || ' | Source: ' || role || chr(10) || '```' || chr(10) || text || chr(10) || '```', chr(10) ORDER BY turn) END AS observation,
         'Tool: agent_search' || chr(10) || 'Query: q' || conv_id || chr(10) || '{AGENT.repeated}' AS repeated
-        FROM conversations GROUP BY conv_id""",
+        FROM (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS rn FROM conversations QUALIFY row_number() OVER (PARTITION BY conv_id ORDER BY turn DESC) <= {AGENT.max_matches}) GROUP BY conv_id""",
 )
 def render_observation(spark, sf):
-    """Every conversation taken as the hits of one query, turns as ranks."""
-    listed = v.table(spark, sf, "conversations").groupBy("conv_id").agg(
+    """The newest turns of every conversation as the hits of one query; a report lists so many."""
+    listed = cv._newest(v.table(spark, sf, "conversations"), AGENT.max_matches).groupBy("conv_id").agg(
         F.array_sort(F.collect_list(F.struct("turn", F.col("role").alias("path"), F.col("text").alias("content")))).alias("h")
     )
     asked = F.concat(F.lit("q"), F.col("conv_id").cast("string"))

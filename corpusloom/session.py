@@ -51,10 +51,16 @@ def fresh_path(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark).rstrip('/')}/corpusloom/{name}-{uuid.uuid4().hex}"
 
 
-def checkpoint(df):
-    """Reliable checkpoint in the shared folder: survives the loss of executors."""
-    shared_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+def checkpoint(df, name: str = "step"):
+    """Write a step to the shared folder and go on from there.
+
+    Survives the loss of executors and cuts the lineage. A written table also
+    has a known size, by which Spark picks the joins that follow; estimates
+    carried on from step to step would grow without bound.
+    """
+    path = fresh_path(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
 _shipped: set[str] = set()
@@ -91,6 +97,9 @@ def spread(df):
     if df.isStreaming:
         return df
     leaves = df._jdf.queryExecution().optimizedPlan().collectLeaves()
-    size = sum(int(str(leaves.apply(i).stats().sizeInBytes())) for i in range(leaves.size()))
+    try:
+        size = sum(int(str(leaves.apply(i).stats().sizeInBytes())) for i in range(leaves.size()))
+    except ValueError:  # an estimate of thousands of digits: not known, so not small
+        return df
     cores = df.sparkSession.sparkContext.defaultParallelism
     return df.repartition(cores) if size <= SMALL_INPUT_BYTES and cores > 1 else df
