@@ -154,16 +154,19 @@ def nonblank_queries(queries: DataFrame, column: str = "text") -> DataFrame:
 MAX_NAME, MAX_FILE, MAX_PROMPT, MAX_CODE = 1024, 2_000_000, 100_000, 1_000_000
 
 
-def validate_payload(df: DataFrame) -> DataFrame:
-    """Mark each payload row (type, value, attached_files, ...) valid or say why not.
+# Payload types that carry nothing to check.
+PLAIN_TYPES = (
+    "webviewReady", "stopGeneration", "startServer", "stopServer", "startEmbeddingsServer",
+    "stopEmbeddingsServer", "openFilePicker", "requestSessionsUpdate", "requestActiveEditorRefresh", "indexAll",
+)
 
-    Message types without fields of their own are always valid.
+
+def validate_payload(df: DataFrame, prompt_type: str = "ask") -> DataFrame:
+    """Mark each payload row (type, value, attached_files) valid or say why not.
+
+    ``prompt_type`` is the client's name for a payload with a prompt.
     """
     value, files = F.col("value"), F.col("attached_files")
-    plain = (
-        "webviewReady", "stopGeneration", "startServer", "stopServer", "startEmbeddingsServer",
-        "stopEmbeddingsServer", "openFilePicker", "requestSessionsUpdate", "requestActiveEditorRefresh", "indexAll",
-    )
 
     def bad_file(f):
         name, content = f["name"], f["content"]
@@ -175,7 +178,7 @@ def validate_payload(df: DataFrame) -> DataFrame:
     kind = F.col("type")
     reason = (
         F.when(kind.isNull(), F.lit("no type"))
-        .when(kind.isin(*plain), F.lit(None))
+        .when(kind.isin(*PLAIN_TYPES), F.lit(None))
         .when(
             kind == "setActiveTab",
             F.when(F.coalesce(value.isin("chat", "settings"), F.lit(False)), F.lit(None)).otherwise(F.lit("bad tab")),
@@ -190,7 +193,7 @@ def validate_payload(df: DataFrame) -> DataFrame:
             F.when(value.isNull() | (F.length(value) > MAX_CODE), F.lit("bad code")).otherwise(F.lit(None)),
         )
         .when(
-            kind == "askLlama",
+            kind == prompt_type,
             F.when(value.isNull() | (F.length(value) > MAX_PROMPT), F.lit("bad prompt")).when(
                 F.exists(F.coalesce(files, F.array()), bad_file), F.lit("bad attachment")
             ),

@@ -60,7 +60,7 @@ def describe_files(files: DataFrame, project: DataFrame | str | None = None) ->
 def enrich_file_dims(rows: DataFrame, dims: DataFrame) -> DataFrame:
     """Bring file attributes of an extension table (extension, language) to rows.
 
-    The dimension is small and its size known to Spark, which then broadcasts it.
+    Spark broadcasts the table when its size, which it knows, allows it.
     """
     return rows.join(dims, "extension", "left").withColumn("language", F.coalesce("language", F.lit("text")))
 

@@ -34,16 +34,19 @@ def metrics_snapshots(requests: DataFrame, order: list[str], every: int = 10) ->
     )
 
 
-def idle_requests(events: DataFrame, gap: str = "10 seconds", key: str = "user_id", ts: str = "ts") -> DataFrame:
+def idle_requests(
+    events: DataFrame, gap: str = "10 seconds", key: str = "user_id", ts: str = "ts", slice_by: str = "hour"
+) -> DataFrame:
     """Stretches of activity per key that end after more than ``gap`` of silence.
 
-    First within days, so that one busy key is many groups, then the few
-    day-level stretches of a key are joined where their gap is short enough.
+    First within time slices, so that one busy key is many groups, then the
+    few slice-level stretches of a key are joined where their gap is short
+    enough.
     """
     part = (
-        events.groupBy(key, F.date_trunc("day", F.col(ts)).alias("_day"), F.session_window(ts, gap).alias("w"))
+        events.groupBy(key, F.date_trunc(slice_by, F.col(ts)).alias("_slice"), F.session_window(ts, gap).alias("w"))
         .agg(F.min(ts).alias("first_ts"), F.max(ts).alias("last_ts"), F.count("*").alias("events"))
-        .drop("w", "_day")
+        .drop("w", "_slice")
     )
     order = Window.partitionBy(key).orderBy("first_ts")
     quiet = F.col("first_ts") > F.lag("last_ts").over(order) + F.expr(f"INTERVAL {gap}")
@@ -110,6 +113,7 @@ def agent_totals(steps: DataFrame) -> DataFrame:
 def references(hits: DataFrame, key: str = "conv_id", path: str = "path") -> DataFrame:
     """Sorted distinct hit labels per conversation.
 
-    Distinct first, so a label that is hit again and again is gathered once.
+    Distinct first, so a label that is hit again and again is gathered once; an
+    agent run has at most rounds times matches of them.
     """
     return hits.select(key, path).distinct().groupBy(key).agg(F.array_sort(F.collect_list(path)).alias("references"))

@@ -74,6 +74,7 @@ class SearchOptions:
 
 @dataclass(frozen=True)
 class MemoryOptions:
+    # Fixed value: the marker that stands in for a shortened message.
     context_window: int = 8192
     safety_threshold: int = 6500
     keep_system: bool = True
@@ -83,7 +84,10 @@ class MemoryOptions:
 
 @dataclass(frozen=True)
 class AgentOptions:
-    """Texts and limits of the agent loop; every text can be replaced."""
+    """Texts and limits of the agent loop; every text can be replaced.
+
+    ``no_match`` and ``repeated`` are fixed report texts that replies may refer to.
+    """
 
     max_rounds: int = 6
     max_matches: int = 5

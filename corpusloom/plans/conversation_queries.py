@@ -346,7 +346,8 @@ AGENT = AgentOptions()
         ELSE 'Tool: agent_search' || chr(10) || 'Query: q' || conv_id || chr(10) || chr(10) ||
           string_agg('Result ' || rn || ' | Source: ' || role || chr(10) || '```' || chr(10) || text || chr(10) || '```', chr(10) ORDER BY turn) END AS observation,
         'Tool: agent_search' || chr(10) || 'Query: q' || conv_id || chr(10) || '{AGENT.repeated}' AS repeated
-        FROM (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS rn FROM conversations QUALIFY row_number() OVER (PARTITION BY conv_id ORDER BY turn DESC) <= {AGENT.max_matches}) GROUP BY conv_id""",
+        FROM (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS rn FROM (SELECT * FROM conversations
+          QUALIFY row_number() OVER (PARTITION BY conv_id ORDER BY turn DESC) <= {AGENT.max_matches})) GROUP BY conv_id""",
 )
 def render_observation(spark, sf):
     """The newest turns of every conversation as the hits of one query; a report lists so many."""
@@ -569,7 +570,7 @@ def config_coalesce(spark, sf):
 )
 def validate_payload(spark, sf):
     doc = F.col("doc_id")
-    kinds = ("indexAll", "askLlama", "askLlama", "format", "setActiveTab", "deleteSession", "applyCode")
+    kinds = ("indexAll", "ask", "ask", "format", "setActiveTab", "deleteSession", "applyCode")
     kind = F.when(doc % 8 != 7, F.get(F.array(*map(F.lit, kinds)), (doc % 8).cast("int")))
     value = F.when(doc % 16 == 1, F.repeat("text", F.lit(400))).when(doc % 8 == 5, F.lit("")).otherwise(F.col("text"))
     files = F.when(doc % 8 == 2, F.array(F.struct(F.lit("").alias("name"), F.col("text").alias("content"))))

@@ -173,7 +173,8 @@ def running_cap(spark, sf):
 
 @query("enrich_file_dims", sql="SELECT doc_id, path, coalesce((" + o.LANGUAGES + ")[extension], 'text') AS language FROM named")
 def enrich(spark, sf):
-    dims = spark.createDataFrame(list(ff.LANGUAGE_BY_EXTENSION.items()), "extension string, language string")
+    pairs = F.create_map(*[F.lit(x) for item in ff.LANGUAGE_BY_EXTENSION.items() for x in item])
+    dims = spark.range(1).select(F.explode(pairs).alias("extension", "language"))
     rows = v.named(spark, sf).select("doc_id", "path", "extension")
     return enrich_file_dims(rows, dims).select("doc_id", "path", "language")
 

@@ -144,3 +144,17 @@ def stream_sessions(spark, sf):
     path = fresh_path(spark, "sessions")
     jobs.stream_sessions(arriving, path, f"{path}-checkpoint").awaitTermination()
     return jobs.sessions_of(spark, path)
+
+
+@query(
+    "stream_idle",
+    sql="""SELECT user_id, epoch_us(min(ts)) AS start_us, count(*) AS events FROM (
+        SELECT *, sum(n) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS s FROM (SELECT *, CASE WHEN ts - lag(ts) OVER (PARTITION BY user_id ORDER BY ts, event_id)
+          <= INTERVAL 4 HOUR THEN 0 ELSE 1 END AS n FROM events)) GROUP BY user_id, s
+        HAVING max(ts) + INTERVAL 4 HOUR <= (SELECT max(ts) - INTERVAL 1 MINUTE FROM events)""",
+)
+def stream_idle(spark, sf):
+    """Stretches that are over by the time the stream has been read."""
+    events = v.table_stream(spark, sf, "events").select("user_id", "ts")
+    path = drained(jobs.stream_idle(events, "4 hours"), fresh_path(spark, "idle"), "append")
+    return spark.read.parquet(path).select("user_id", micros("start").alias("start_us"), "events")

@@ -14,6 +14,7 @@ from corpusloom.plans.registry import query
 from corpusloom.plans.stubs import LETTERS, make_embed
 from corpusloom.session import fresh_path
 from corpusloom.sources import collections as co
+from corpusloom.sources import files as fs
 from corpusloom.sources import sessions as ss
 
 LONG = "long"
@@ -31,6 +32,19 @@ def vector_text(column: str):
     return F.array_join(F.transform(column, lambda x: x.cast(LONG).cast("string")), ",")
 
 
+@query("scan_corpus", sql="SELECT lang, CAST(sum(strlen(text) + 1) AS BIGINT) AS bytes, CAST(sum(length(text) + 1) AS BIGINT) AS chars FROM documents GROUP BY lang")
+def scan_corpus(spark, sf):
+    """Documents exported as text files below one folder per language, then scanned."""
+    path = fresh_path(spark, "tree")
+    docs = v.table(spark, sf, "documents").select("lang", F.col("text").alias("value"))
+    docs.write.option("maxRecordsPerFile", 1000).partitionBy("lang").text(path)
+    found = fs.scan_corpus(spark, path).where(F.endswith("path", F.lit(".txt")))
+    lang = F.regexp_extract("path", r"^lang=([^/]*)/", 1)
+    return found.groupBy(lang.alias("lang")).agg(
+        F.sum("size").alias("bytes"), F.sum(F.length("content").cast(LONG)).alias("chars")
+    )
+
+
 @query(
     "read_sessions",
     sql="""SELECT conv_id AS doc, turn AS doc_turn, 'c' || conv_id AS session_id, 'T' || conv_id AS title, conv_id * 1000 AS created_at, CAST(0 AS BIGINT) AS turn, role,

@@ -48,10 +48,10 @@ def test_attach_files(spark, tree):
 
 def test_logs(spark, tmp_path):
     (tmp_path / "x.log").write_text(
-        '2024-05-01T10:00:00.000Z [INFO] [rag] Index done | {"n": 3}\n2024-05-01T10:00:01.000Z [ERROR] [llama] broke\nnoise\n'
+        '2024-05-01T10:00:00.000Z [INFO] [rag] Index done | {"n": 3}\n2024-05-01T10:00:01.000Z [ERROR] [chat] broke\nnoise\n'
     )
     rows = fs.read_logs(spark, str(tmp_path)).select("level", "scope", "message", F.try_variant_get("record", "$.n", "int").alias("n"))
-    assert sorted(map(tuple, rows.collect())) == [("ERROR", "llama", "broke", None), ("INFO", "rag", "Index done", 3)]
+    assert sorted(map(tuple, rows.collect())) == [("ERROR", "chat", "broke", None), ("INFO", "rag", "Index done", 3)]
 
 
 def test_both_session_layouts(spark, tmp_path):
