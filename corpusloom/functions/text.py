@@ -7,14 +7,16 @@ from pyspark.sql import functions as F
 
 from corpusloom.functions.bind import bind
 
-# Code points that count as whitespace.
-SPACE_CODES = (
-    0x09, 0x0A, 0x0B, 0x0C, 0x0D, 0x20, 0xA0, 0x1680, *range(0x2000, 0x200B),
-    0x2028, 0x2029, 0x202F, 0x205F, 0x3000, 0xFEFF,
+# First and last code points of the runs that count as whitespace.
+SPACE_RUNS = (
+    (0x09, 0x0D), (0x20, 0x20), (0xA0, 0xA0), (0x1680, 0x1680), (0x2000, 0x200A), (0x2028, 0x2029),
+    (0x202F, 0x202F), (0x205F, 0x205F), (0x3000, 0x3000), (0xFEFF, 0xFEFF),
 )
-SPACE_CHARS = "".join(map(chr, SPACE_CODES))
+SPACE_CHARS = "".join(chr(code) for first, last in SPACE_RUNS for code in range(first, last + 1))
 # The same set as the inside of a character class.
-SPACE_CLASS = "".join(rf"\x{{{code:x}}}" for code in SPACE_CODES)
+SPACE_CLASS = "".join(
+    rf"\x{{{first:x}}}" + (rf"-\x{{{last:x}}}" if last > first else "") for first, last in SPACE_RUNS
+)
 
 # Control characters that never reach a prompt.
 CONTROL_CLASS = r"[\x00-\x08\x0B\x0C\x0E-\x1F\x7F]"

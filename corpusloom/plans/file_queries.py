@@ -14,6 +14,7 @@ from corpusloom.options import EXCLUDED_DIRS, EXCLUDED_GLOBS, ChunkBudgets, Inde
 from corpusloom.plans import oracle as o
 from corpusloom.plans import views as v
 from corpusloom.plans.registry import query
+from corpusloom.session import spread
 
 OPTIONS = IndexOptions(max_file_kb=16, max_chunks=None)
 LONG = "long"
@@ -239,7 +240,8 @@ FLAT = o.trim(f"regexp_replace(text, '[{o.WS}]+', ' ', 'g')")
     sql=f"SELECT doc_id, CASE WHEN length(f) <= 140 THEN f ELSE left(f, 140) || '...' END AS preview FROM (SELECT doc_id, {FLAT} AS f FROM documents)",
 )
 def query_preview(spark, sf):
-    return v.table(spark, sf, "documents").select("doc_id", tx.query_preview(F.col("text")).alias("preview"))
+    docs = spread(v.table(spark, sf, "documents").select("doc_id", "text"))
+    return docs.select("doc_id", tx.query_preview(F.col("text")).alias("preview"))
 
 
 @query(
@@ -336,7 +338,7 @@ def chunk_structured(spark, sf):
 
 @query("keyword_entities", "distinct_entities", sql=f"SELECT doc_id, {o.entities('content')} AS keyword_entities FROM code")
 def keyword_entities(spark, sf):
-    return v.code(spark, sf).select(
+    return spread(v.code(spark, sf)).select(
         "doc_id", F.array_join(tx.keyword_entities(F.col("content")), "|").alias("keyword_entities")
     )
 
@@ -355,7 +357,7 @@ METHOD = rf"[A-Za-z0-9_<>,\[\]?][{o.WS}]+([A-Za-z_][A-Za-z0-9_]*)[{o.WS}]*\("
         FROM (SELECT doc_id, content AS c FROM code)""",
 )
 def java_symbols(spark, sf):
-    return v.code(spark, sf).select(
+    return spread(v.code(spark, sf)).select(
         "doc_id", tx.java_symbols(F.col("content"), F.length("content")).alias("s")
     ).select("doc_id", "s.class_name", "s.method_name")
 

@@ -12,6 +12,7 @@ from corpusloom.options import SearchOptions
 from corpusloom.plans import oracle as o
 from corpusloom.plans import views as v
 from corpusloom.plans.registry import query
+from corpusloom.session import spread
 
 OPTIONS = SearchOptions(digits=6)
 LONG = "long"
@@ -24,7 +25,8 @@ def shown(hits, *scores):
 
 @query("tokenize", sql=f"SELECT doc_id, len(t) AS n, md5(array_to_string(t, ' ')) AS tokens_md5 FROM (SELECT doc_id, {o.tokens('text')} AS t FROM documents)")
 def tokenize(spark, sf):
-    t = v.table(spark, sf, "documents").select("doc_id", sc.tokenize(F.col("text")).alias("t"))
+    docs = spread(v.table(spark, sf, "documents").select("doc_id", "text"))
+    t = docs.select("doc_id", sc.tokenize(F.col("text")).alias("t"))
     return t.select("doc_id", F.size("t").cast(LONG).alias("n"), F.md5(F.array_join("t", " ")).alias("tokens_md5"))
 
 
@@ -33,7 +35,7 @@ def tokenize(spark, sf):
     sql=f"SELECT doc_id, round({o.ratio('t', 's')}, 6) AS score FROM (SELECT doc_id, {o.tokens('content')} AS t, {SEARCHABLE} AS s FROM corpus_chunks)",
 )
 def lexical_path_score(spark, sf):
-    chunks = v.corpus_chunks(spark, sf)
+    chunks = spread(v.corpus_chunks(spark, sf))
     score = sc.lexical_path_score(sc.tokenize(F.col("content")), se.searchable_text(chunks))
     return chunks.select("doc_id", F.round(score, 6).alias("score"))
 

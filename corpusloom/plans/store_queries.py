@@ -119,9 +119,9 @@ def collection_exists(spark, sf):
     rows.where("label % 2 = 0").withColumn("collection_id", F.concat(F.lit("l"), F.col("label").cast("string"))).write.partitionBy(
         "collection_id"
     ).parquet(path)
-    labels = rows.select("label").distinct().limit(1000).collect()
-    found = [(r.label, co.collection_exists(spark, path, f"l{r.label}")) for r in labels]
-    return spark.createDataFrame(found, "label bigint, found boolean")
+    known = co.list_collections(spark, path).withColumn("found", F.lit(True))
+    names = rows.select("label").distinct().withColumn("collection_id", F.concat(F.lit("l"), F.col("label").cast("string")))
+    return names.join(known, "collection_id", "left").select("label", F.coalesce("found", F.lit(False)).alias("found"))
 
 
 @query("collection_get", sql=f"SELECT id, path FROM ({RECORDS}) WHERE path IN (SELECT path FROM corpus JOIN labels USING (doc_id) WHERE quality = 1) ORDER BY id LIMIT 100 OFFSET 20")

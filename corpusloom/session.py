@@ -85,6 +85,8 @@ def ship_package(spark: SparkSession) -> None:
 
 # Inputs up to this size may sit in very few row groups.
 SMALL_INPUT_BYTES = 512 << 20
+# Least input per task when a small input is spread.
+SPREAD_BYTES = 128 << 10
 
 
 def spread(df):
@@ -101,5 +103,5 @@ def spread(df):
         size = sum(int(str(leaves.apply(i).stats().sizeInBytes())) for i in range(leaves.size()))
     except ValueError:  # an estimate of thousands of digits: not known, so not small
         return df
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores) if size <= SMALL_INPUT_BYTES and cores > 1 else df
+    tasks = min(df.sparkSession.sparkContext.defaultParallelism, size // SPREAD_BYTES + 1)
+    return df.repartition(tasks) if size <= SMALL_INPUT_BYTES and tasks > 1 else df

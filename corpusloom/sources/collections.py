@@ -52,6 +52,11 @@ def replace_collection(
         drop_collection(spark, path, previous_id)
 
 
+def list_collections(spark: SparkSession, path: str) -> DataFrame:
+    """Ids of all collections below ``path``; only the partition column is read."""
+    return spark.read.parquet(path).select(PARTITION).distinct()
+
+
 def read_collection(spark: SparkSession, path: str, collection_id: str) -> DataFrame:
     """Records of one collection. Reads its folder alone; other ids are not listed."""
     return spark.read.parquet(_of(path, collection_id)).withColumn(PARTITION, F.lit(collection_id))
