@@ -77,20 +77,25 @@ def search_lexical(
 ) -> DataFrame:
     """Token hits in metadata and content, positive scores only, top-k.
 
-    ``fetch_limit`` looks at the first so many chunks by id only; without it
-    the whole corpus is scored. ``paths`` (query_id, path) narrows a query.
+    ``fetch_limit`` looks at the first so many chunks by id only, for a query
+    with a path list at the first of those it may see; without it the whole
+    corpus is scored. ``paths`` (query_id, path) narrows a query.
     """
     asked = nonblank_queries(queries).select("query_id", sc.tokenize(F.col("text")).alias("tokens"))
-    rows = chunks.where(F.col("content").isNotNull())
-    if fetch_limit is not None:
-        rows = rows.orderBy("id").limit(fetch_limit)
-    rows = rows.select("id", "path", searchable_text(chunks).alias("searchable"), "content")
+    rows = chunks.where(F.col("content").isNotNull()).select(
+        "id", "path", searchable_text(chunks).alias("searchable"), "content"
+    )
+    first = rows if fetch_limit is None else rows.orderBy("id").limit(fetch_limit)
     weights = (options.metadata_weight, options.content_weight)
     k = options.max_results
-    if paths is None:
-        hits, bound = scan_topk(asked, rows.drop("path"), Scoring("words", k, weights, digits=options.digits), **scan)
+    scoring = Scoring("words", k, weights, digits=options.digits)
+    asked, listed = _with_paths(asked, paths, as_pairs=fetch_limit is not None)
+    if listed is None:
+        hits, bound = scan_topk(asked, first if "paths" in asked.columns else first.drop("path"), scoring, **scan)
     else:
-        free, pairs = _split_by_filter(asked, rows, paths)
+        free, pairs = _split_by_filter(asked, rows, listed)
+        if fetch_limit is not None:
+            pairs = _ranked(pairs, fetch_limit, F.asc("id"))
         scored = pairs.select(
             "query_id", "id",
             sc.lexical_path_score(F.col("tokens"), F.col("searchable")).alias("first"),
@@ -99,7 +104,7 @@ def search_lexical(
         scored = scored.withColumn("score", F.col("first") * weights[0] + F.col("second") * weights[1])
         scored = _rounded(scored, options)
         narrow = _ranked(scored.where(F.col("score") > 0), k, F.desc("score"), F.asc("id"))
-        wide, _ = scan_topk(free, rows.drop("path"), Scoring("words", k, weights, digits=options.digits), **scan)
+        wide, _ = scan_topk(free, first.drop("path"), scoring, **scan)
         hits, bound = wide.unionByName(narrow), _bound(asked, k)
     hits = hits.select(
         "query_id", "id", "rank", F.col("score").alias("combined"),
@@ -124,10 +129,12 @@ def _pool(queries, chunks, options, paths, **scan) -> tuple[DataFrame, int | Non
     asked = nonblank_queries(queries).select("query_id", "embedding")
     rows = _usable(chunks, options)
     scoring = Scoring("near", k, metric=options.metric, digits=options.digits)
-    if paths is None:
-        pool, bound = scan_topk(asked, rows.select("id", "embedding"), scoring, **scan)
+    asked, listed = _with_paths(asked, paths)
+    if listed is None:
+        seen = ["id", "embedding", *(["path"] if "paths" in asked.columns else [])]
+        pool, bound = scan_topk(asked, rows.select(*seen), scoring, **scan)
     else:
-        free, pairs = _split_by_filter(asked, rows.select("id", "path", F.col("embedding").alias("stored")), paths)
+        free, pairs = _split_by_filter(asked, rows.select("id", "path", F.col("embedding").alias("stored")), listed)
         near = pairs.select(
             "query_id", "id", sc.distance(F.col("embedding"), F.col("stored"), options.metric).alias("first")
         )
@@ -208,12 +215,28 @@ def agent_search(queries: DataFrame, chunks: DataFrame, options: SearchOptions =
     )
 
 
-def _split_by_filter(asked: DataFrame, rows: DataFrame, paths: DataFrame):
-    """Queries without usable filter entries, and the allowed (query, chunk) pairs.
+# Path lists travel with their queries up to this many entries in all.
+MAX_FILTER_ROWS = 200_000
+
+
+def _with_paths(
+    asked: DataFrame, paths: DataFrame | None, as_pairs: bool = False
+) -> tuple[DataFrame, DataFrame | None]:
+    """Queries with their path lists as a column, or the lists when they are too many."""
+    if paths is None:
+        return asked, None
+    allowed = path_filter(paths.select("query_id", "path"))
+    if as_pairs or allowed.limit(MAX_FILTER_ROWS + 1).count() > MAX_FILTER_ROWS:
+        return asked, allowed
+    lists = allowed.groupBy("query_id").agg(F.collect_list("path").alias("paths"))
+    return asked.join(lists, "query_id", "left"), None
+
+
+def _split_by_filter(asked: DataFrame, rows: DataFrame, allowed: DataFrame):
+    """Queries without filter entries, and the allowed (query, chunk) pairs.
 
     Pairs come from equi-joins on path and query, so only listed ones exist.
     """
-    allowed = path_filter(paths.select("query_id", "path"))
     free = asked.join(allowed, "query_id", "left_anti")
     return free, allowed.join(rows, "path").join(asked, "query_id")
 

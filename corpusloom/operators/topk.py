@@ -112,6 +112,16 @@ class QueryBlock:
         self.scoring = scoring
         self.tokens = TokenIndex([list(t) for t in pdf["tokens"]]) if "tokens" in pdf else None
         self.needles = pdf["needle"].tolist() if "needle" in pdf else None
+        # A query with a path list sees rows of those paths only.
+        lists = pdf["paths"].tolist() if "paths" in pdf else None
+        self.allowed: dict[str, np.ndarray] | None = None
+        if lists is not None:
+            self.unlisted = np.array([paths is None for paths in lists])
+            positions: dict[str, list[int]] = {}
+            for q, paths in enumerate(lists):
+                for path in [] if paths is None else paths:
+                    positions.setdefault(path, []).append(q)
+            self.allowed = {path: np.array(at) for path, at in positions.items()}
         self.by_width: dict[int, tuple[np.ndarray, np.ndarray]] = {}
         if "embedding" in pdf:
             vectors = [np.asarray(v, dtype=float) for v in pdf["embedding"]]
@@ -147,8 +157,21 @@ class QueryBlock:
                 out[np.ix_(here, at)] = np.maximum(squares, 0.0)
         return out
 
+    def visible(self, paths: pd.Series) -> np.ndarray:
+        """Which queries may see each row, by its path."""
+        codes, names = pd.factorize(paths)
+        table = np.tile(self.unlisted, (len(names), 1))
+        for i, name in enumerate(names):
+            if name in self.allowed:
+                table[i, self.allowed[name]] = True
+        return table[codes]
+
     def score(self, rows):
         """(score, first, second) matrices and the mask of rows that count."""
+        score, first, second, keep = self._score(rows)
+        return score, first, second, keep if self.allowed is None else keep & self.visible(rows["path"])
+
+    def _score(self, rows):
         s = self.scoring
         if s.kind == "contains":
             texts = rows["searchable"]
@@ -223,8 +246,9 @@ def scan_topk(
     Also gives the largest number of rows the result can have, or None when
     the query set is larger than one block.
 
-    Query columns: ``embedding`` and/or ``tokens``. Corpus columns as the
-    scoring needs them: ``embedding``, ``searchable``, ``content``.
+    Query columns: ``embedding`` and/or ``tokens``, and ``paths`` (null for
+    none) where queries have path lists. Corpus columns as the scoring needs
+    them: ``embedding``, ``searchable``, ``content``, ``path``.
     """
     corpus = spread(corpus)
     bound = MAX_BLOCK_ROWS if max_block_rows is None else max_block_rows
@@ -251,7 +275,14 @@ def scan_first(needles: DataFrame, rows: DataFrame, k: int, **scan) -> DataFrame
 
 
 def _weight(row) -> int:
-    return sum(8 * len(v) if hasattr(v, "__len__") else 8 for v in row)
+    def one(value):
+        if isinstance(value, str):
+            return 50 + len(value)
+        if not hasattr(value, "__len__"):
+            return 8
+        return sum(map(one, value)) if len(value) and isinstance(value[0], str) else 8 * len(value)
+
+    return sum(map(one, row))
 
 
 def _grid(queries, corpus, scoring, schema, bound, row_bytes, pack_rows):

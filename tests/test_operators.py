@@ -187,12 +187,14 @@ def test_topk_is_a_prefix(space):
     assert few <= hits(se.search_hybrid(q, c, SearchOptions(digits=6, max_results=8)))
 
 
-def test_path_filter_narrows_only_its_queries(space):
+@pytest.mark.parametrize("most,scan", [(200_000, {}), (0, {}), (200_000, {"max_block_rows": 7, "pack_rows": 90})])
+def test_path_filter_narrows_only_its_queries(space, monkeypatch, most, scan):
     _, _, c, q = space
+    monkeypatch.setattr(se, "MAX_FILTER_ROWS", most)
     paths = q.sparkSession.createDataFrame([(1, "src\\f3.ts"), (1, "../x"), (2, "/abs")], "query_id long, path string")
     options = SearchOptions(digits=6)
     for search in (se.search_hybrid, se.search_lexical):
-        wide, narrow = search(q, c, options), search(q, c, options, paths)
+        wide, narrow = search(q, c, options), search(q, c, options, paths, **scan)
         assert {r.path for r in narrow.where("query_id = 1").collect()} == {"src/f3.ts"}
         assert hits(narrow.where("query_id <> 1")) == hits(wide.where("query_id <> 1"))
 
@@ -213,6 +215,9 @@ def test_fetch_limit(space):
     _, _, c, q = space
     seen = se.search_lexical(q, c, SearchOptions(), fetch_limit=10)
     assert {r.id for r in seen.collect()} <= {f"id{i:04d}" for i in range(11)}
+    paths = q.sparkSession.createDataFrame([(1, "src/f8.ts")], "query_id long, path string")
+    narrow = se.search_lexical(q, c, SearchOptions(), paths, fetch_limit=2).where("query_id = 1")
+    assert {r.id for r in narrow.collect()} == {"id0008", "id0017"}
 
 
 def test_agent_search_reports(space):
