@@ -254,18 +254,19 @@ def scan_topk(
     bound = MAX_BLOCK_ROWS if max_block_rows is None else max_block_rows
     types = {"q": queries.schema["query_id"].dataType.simpleString(), "c": corpus.schema["id"].dataType.simpleString()}
     schema = RESULT.format(**types)
-    sample = queries.limit(bound + 1).toPandas()  # never more than one row above the bound
-    if not len(sample):  # nothing asked: the corpus is not read
+    block = queries.limit(bound + 1)
+    rows, weight = block.agg(F.count("*"), F.coalesce(F.sum(_weight(queries)), F.lit(0))).first()
+    if not rows:  # nothing asked: the corpus is not read
         return merge_topk(queries.sparkSession.createDataFrame([], schema), scoring.k), 0
-    weight = sum(_weight(row) for row in sample.itertuples(index=False))
-    if len(sample) <= bound and weight <= MAX_BLOCK_BYTES:
+    if rows <= bound and weight <= MAX_BLOCK_BYTES:
+        sample = block.toPandas()  # within both bounds
         handed = queries.sparkSession.sparkContext.broadcast(sample)
 
         def run(batches):
             yield QueryBlock(handed.value, scoring).best(batches)
 
-        return merge_topk(corpus.mapInPandas(run, schema), scoring.k), len(sample) * scoring.k
-    partials = _grid(queries, corpus, scoring, schema, bound, weight / max(len(sample), 1), pack_rows or PACK_ROWS)
+        return merge_topk(corpus.mapInPandas(run, schema), scoring.k), rows * scoring.k
+    partials = _grid(queries, corpus, scoring, schema, bound, weight / rows, pack_rows or PACK_ROWS)
     return merge_topk(partials, scoring.k), None
 
 
@@ -274,15 +275,21 @@ def scan_first(needles: DataFrame, rows: DataFrame, k: int, **scan) -> DataFrame
     return scan_topk(needles, rows, Scoring("contains", k), **scan)[0]
 
 
-def _weight(row) -> int:
-    def one(value):
-        if isinstance(value, str):
-            return 50 + len(value)
-        if not hasattr(value, "__len__"):
-            return 8
-        return sum(map(one, value)) if len(value) and isinstance(value[0], str) else 8 * len(value)
+def _weight(queries: DataFrame):
+    """Bytes a query row takes in a block."""
 
-    return sum(map(one, row))
+    def one(field):
+        kind, c = field.dataType.simpleString(), F.col(field.name)
+        if kind == "array<string>":
+            size = F.aggregate(c, F.lit(0), lambda s, x: s + F.length(x) + 50)
+        else:
+            size = F.size(c) * 8 if kind.startswith("array") else F.length(c.cast("string"))
+        return F.coalesce(size, F.lit(0)) + 8
+
+    total = F.lit(0).cast("long")
+    for field in queries.schema:
+        total = total + one(field)
+    return total
 
 
 def _grid(queries, corpus, scoring, schema, bound, row_bytes, pack_rows):

@@ -207,8 +207,8 @@ CTES = {
     "chunks_vec": """SELECT path || '::chunk-0' AS id, n.*, c.content, CAST(e.embedding AS DOUBLE[]) AS embedding, e.label
         FROM named n JOIN (SELECT doc_id, content FROM corpus) c USING (doc_id) JOIN embeddings e ON doc_id = vec_id""",
     "corpus_chunks": "SELECT path || '::chunk-0' AS id, n.*, content FROM named n JOIN (SELECT doc_id, content FROM corpus) USING (doc_id)",
-    "query_paths": """SELECT query_id, path FROM (SELECT item_id AS query_id, unnest(range(item_id, item_id + 5)) AS doc_id
-        FROM benchmark WHERE item_id % 6 <> 5) JOIN corpus USING (doc_id)""",
+    "query_paths": """SELECT query_id, path FROM (SELECT item_id AS query_id, unnest(range(item_id, item_id + 3)) AS doc_id
+        FROM benchmark) JOIN corpus USING (doc_id) SEMI JOIN (SELECT doc_id FROM labels WHERE quality = 1) l USING (doc_id)""",
     "neighbours": """SELECT x.vec_id, CAST(x.embedding AS DOUBLE[]) AS a, CAST(y.embedding AS DOUBLE[]) AS b
         FROM embeddings x JOIN embeddings y ON y.vec_id = x.vec_id + 1""",
     "messages": """SELECT conv_id, turn, role, CASE WHEN turn % 3 = 2 THEN 'Observation: ' || text ELSE text END AS text

@@ -90,14 +90,14 @@ def records(spark, sf):
     return v.chunks_vec(spark, sf).select("id", "path", "content", F.col("label").cast(LONG).alias("label"))
 
 
-@query("replace_collection", sql=f"SELECT 'code_2' AS collection_id, * FROM ({RECORDS}) WHERE label > 2")
+@query("replace_collection", sql=f"SELECT 'code_2' AS collection_id, * FROM ({RECORDS})")
 def replace_collection(spark, sf):
     """Written, replaced under the same id, then succeeded by another one."""
     path = fresh_path(spark, "collections")
     rows = records(spark, sf)
-    co.replace_collection(rows, path, "code_1")
-    co.replace_collection(rows.where("label > 1"), path, "code_1")
-    co.replace_collection(rows.where("label > 2"), path, "code_2", previous_id="code_1")
+    co.replace_collection(rows.withColumn("content", F.lit("first")), path, "code_1")
+    co.replace_collection(rows.withColumn("content", F.lit("second")), path, "code_1")
+    co.replace_collection(rows, path, "code_2", previous_id="code_1")
     return spark.read.parquet(path)
 
 
@@ -111,17 +111,21 @@ def drop_collection(spark, sf):
     return spark.read.parquet(path).groupBy("collection_id").agg(F.count("*").alias("n"))
 
 
-@query("collection_exists", sql=f"SELECT label, label % 2 = 0 AS found FROM ({RECORDS}) GROUP BY label")
+@query("collection_exists", sql=f"SELECT DISTINCT 'l' || label AS name, true AS found FROM ({RECORDS}) UNION ALL SELECT DISTINCT 'l' || source, false FROM documents")
 def collection_exists(spark, sf):
-    """One collection per even label; every label is looked up."""
+    """One collection per label; names of labels and of sources are looked up."""
     path = fresh_path(spark, "collections")
     rows = records(spark, sf)
-    rows.where("label % 2 = 0").withColumn("collection_id", F.concat(F.lit("l"), F.col("label").cast("string"))).write.partitionBy(
+    rows.withColumn("collection_id", F.concat(F.lit("l"), F.col("label").cast("string"))).write.partitionBy(
         "collection_id"
     ).parquet(path)
     known = co.list_collections(spark, path).withColumn("found", F.lit(True))
-    names = rows.select("label").distinct().withColumn("collection_id", F.concat(F.lit("l"), F.col("label").cast("string")))
-    return names.join(known, "collection_id", "left").select("label", F.coalesce("found", F.lit(False)).alias("found"))
+    sources = v.table(spark, sf, "documents").select(F.col("source").alias("name"))
+    names = rows.select(F.col("label").cast("string").alias("name")).unionByName(sources).distinct()
+    asked = names.select(F.concat(F.lit("l"), F.col("name")).alias("collection_id"))
+    return asked.join(known, "collection_id", "left").select(
+        F.col("collection_id").alias("name"), F.coalesce("found", F.lit(False)).alias("found")
+    )
 
 
 @query("collection_get", sql=f"SELECT id, path FROM ({RECORDS}) WHERE path IN (SELECT path FROM corpus JOIN labels USING (doc_id) WHERE quality = 1) ORDER BY id LIMIT 100 OFFSET 20")
