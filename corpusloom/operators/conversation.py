@@ -91,7 +91,7 @@ def latest_attachments(messages: DataFrame) -> DataFrame:
     )
 
 
-def _with_active_files(messages: DataFrame) -> DataFrame:
+def with_active_files(messages: DataFrame) -> DataFrame:
     """Each message with its still-current attachments as one array.
 
     The re-grouped array is as large as the message's own list, never more.
@@ -139,7 +139,7 @@ def build_messages(messages: DataFrame, prompts: DataFrame, system_prompt) -> Da
     last = messages.groupBy("conv_id").agg(F.max("turn").alias("_last"))
     user, is_last = F.col("role") == "user", F.col("turn") == F.col("_last")
     told = (
-        _with_active_files(messages)
+        with_active_files(messages)
         .join(last, "conv_id")
         .join(prompts.select("conv_id", F.col("prompt").alias("_prompt")), "conv_id", "left")
     )
@@ -197,7 +197,7 @@ def truncate_observation(role, text, marker: str):
     )
 
 
-def _newest(messages: DataFrame, n: int) -> DataFrame:
+def newest(messages: DataFrame, n: int) -> DataFrame:
     """The last ``n`` messages of each conversation.
 
     A rank with a limit: each task keeps ``n`` rows per conversation before
@@ -215,7 +215,7 @@ def _first_system(messages: DataFrame) -> DataFrame:
 
 def keep_recent(messages: DataFrame, options: MemoryOptions = MemoryOptions()) -> DataFrame:
     """An opening system message (when kept) and the last messages."""
-    recent = _newest(messages, options.keep_recent).drop("_back")
+    recent = newest(messages, options.keep_recent).drop("_back")
     if not options.keep_system:
         return recent
     opening = messages.join(_first_system(messages), "conv_id").where(F.col("turn") == F.col("_system"))
@@ -235,7 +235,7 @@ def _prune_facts(messages: DataFrame, options: MemoryOptions, counter: Counter)
     )
     recent = F.col("_back") <= n
     tail = (
-        _newest(sized, n + 1)
+        newest(sized, n + 1)
         .groupBy("conv_id")
         .agg(
             F.min(F.when(recent, F.col("turn"))).alias("_from"),

@@ -190,7 +190,7 @@ HISTORY = f"""SELECT c.conv_id, c.turn, c.role, coalesce(b || chr(10) || chr(10)
 
 @query("history_user_content", sql=f"SELECT conv_id, turn, text FROM ({HISTORY})")
 def history_user_content(spark, sf):
-    users = cv._with_active_files(v.with_files(spark, sf)).where(F.col("role") == "user")
+    users = cv.with_active_files(v.with_files(spark, sf)).where(F.col("role") == "user")
     return users.select("conv_id", "turn", pr.history_user_content(F.col("text"), F.col("active")).alias("text"))
 
 
@@ -351,7 +351,7 @@ AGENT = AgentOptions()
 )
 def render_observation(spark, sf):
     """The newest turns of every conversation as the hits of one query; a report lists so many."""
-    listed = cv._newest(v.table(spark, sf, "conversations"), AGENT.max_matches).groupBy("conv_id").agg(
+    listed = cv.newest(v.table(spark, sf, "conversations"), AGENT.max_matches).groupBy("conv_id").agg(
         F.array_sort(F.collect_list(F.struct("turn", F.col("role").alias("path"), F.col("text").alias("content")))).alias("h")
     )
     asked = F.concat(F.lit("q"), F.col("conv_id").cast("string"))
