@@ -47,3 +47,31 @@ def crc_mod(id_col: Column, k: int) -> Column:
 def size_of(df: DataFrame) -> int:
     """Partitions for a step that shuffles: what the session is set to."""
     return int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+
+
+#: Bits of the filter that keeps rows without a partner out of a shuffle: 128 maps of 4 KB, whatever the input.
+FILTER_BITS = 1 << 22
+MAP_BITS = 32768
+
+
+def maybe_in(rows: DataFrame, members: DataFrame, *key: str) -> DataFrame:
+    """``rows`` with ``maybe``: false only where no row of ``members`` has the same key.
+
+    A one-hash Bloom filter of fixed size. With more members than bits it lets more rows through; the join
+    that follows decides.
+    """
+    bit = F.pmod(F.xxhash64(*key), F.lit(FILTER_BITS))
+    maps = (
+        members.select(bit.alias("bit"))
+        .groupBy((F.col("bit") / MAP_BITS).cast("long").alias("map_no"))
+        .agg(F.expr(f"bitmap_construct_agg(bit % {MAP_BITS})").alias("bits"))
+    )
+    at = F.col("bit_no") % MAP_BITS
+    byte = F.conv(F.hex(F.substring(F.col("bits"), (at / 8).cast("int") + 1, F.lit(1))), 16, 10).cast("int")
+    return (
+        rows.withColumn("bit_no", bit)
+        .withColumn("map_no", (F.col("bit_no") / MAP_BITS).cast("long"))
+        .join(F.broadcast(maps), "map_no", "left")  # at most FILTER_BITS / MAP_BITS rows of 4 KB
+        .withColumn("maybe", F.coalesce(F.getbit(byte, (at % 8).cast("int")) == 1, F.lit(False)))
+        .drop("bit_no", "map_no", "bits")
+    )

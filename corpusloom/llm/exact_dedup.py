@@ -9,13 +9,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from corpusloom.llm.common import ascii_lower, free_name, two_columns
+from corpusloom.llm.common import ascii_lower, free_name, maybe_in, two_columns
 from corpusloom.session import checkpoint
 
 PREFIX_CHARS = 256
-#: Bits of the filter that keeps rows of no surviving group out of the shuffle: 128 maps of 4 KB, whatever the input.
-FILTER_BITS = 1 << 22
-MAP_BITS = 32768
 
 
 def _keys(rows: DataFrame, prefix: int) -> DataFrame:
@@ -25,10 +22,6 @@ def _keys(rows: DataFrame, prefix: int) -> DataFrame:
     })
 
 
-def _bit(*key):
-    return F.pmod(F.xxhash64(*key), F.lit(FILTER_BITS))
-
-
 def _surviving(narrow: DataFrame) -> DataFrame:
     """(length, head) of groups of at least two rows. Partial counts merge copies before the shuffle."""
     lengths = narrow.groupBy("length").count().where("count > 1").select("length")
@@ -36,33 +29,12 @@ def _surviving(narrow: DataFrame) -> DataFrame:
     return alike.groupBy("length", "head").count().where("count > 1").select("length", "head")
 
 
-def _maybe(rows: DataFrame, groups: DataFrame) -> DataFrame:
-    """Adds ``maybe``: false only where the row is in no surviving group.
-
-    A one-hash Bloom filter of fixed size. When there are more groups than bits it lets more rows through;
-    the joins that follow decide.
-    """
-    bit = groups.select(_bit("length", "head").alias("bit"))
-    maps = bit.groupBy((F.col("bit") / MAP_BITS).cast("long").alias("map_no")).agg(
-        F.expr(f"bitmap_construct_agg(bit % {MAP_BITS})").alias("bits")
-    )
-    at = F.col("bit_no") % MAP_BITS
-    byte = F.conv(F.hex(F.substring(F.col("bits"), (at / 8).cast("int") + 1, F.lit(1))), 16, 10).cast("int")
-    return (
-        rows.withColumn("bit_no", _bit("length", "head"))
-        .withColumn("map_no", (F.col("bit_no") / MAP_BITS).cast("long"))
-        .join(F.broadcast(maps), "map_no", "left")  # at most FILTER_BITS / MAP_BITS rows of 4 KB
-        .withColumn("maybe", F.coalesce(F.getbit(byte, (at % 8).cast("int")) == 1, F.lit(False)))
-        .drop("bit_no", "map_no", "bits")
-    )
-
-
 def _groups(docs: DataFrame, id_col: str, text_col: str, prefix: int):
     rows = _keys(two_columns(docs, id_col, text_col), prefix)
     narrow = checkpoint(rows.select("row", "doc_id", "length", "head"), "exact-keys")
     groups = checkpoint(_surviving(narrow), "exact-heads")
     full = checkpoint(
-        _maybe(rows, groups).where("maybe")
+        maybe_in(rows, groups, "length", "head").where("maybe")
         .select("row", "doc_id", "length", "head", "text")
         .join(groups, ["length", "head"], "left_semi")
         .select("row", "doc_id", F.sha2(ascii_lower(F.col("text")), 256).alias("full_hash")),
@@ -104,7 +76,7 @@ def drop_exact_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str
     dropped = copies.where("row <> keep_row").select(F.col("row").alias(row))
     packed = docs.select(F.struct(*[F.col(f"`{c}`") for c in names]).alias("doc"), F.monotonically_increasing_id().alias(row))
     keyed = packed.withColumn("text", F.coalesce(F.col(f"doc.`{text_col}`"), F.lit("")))
-    flagged = _maybe(_keys(keyed, prefix), groups)
+    flagged = maybe_in(_keys(keyed, prefix), groups, "length", "head")
     alone = flagged.where("not maybe").select("doc.*")
     judged = flagged.where("maybe").select(row, "doc").join(dropped, row, "left_anti").select("doc.*")
     return alone.unionByName(judged)

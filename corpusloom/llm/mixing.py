@@ -25,7 +25,7 @@ MAX_BLOCKS = 4096
 WINDOW = 64
 FINE_ROWS = 4
 #: Rows that one ranking window holds on average; a source has as many as it needs.
-BUCKET_ROWS = 20_000
+BUCKET_ROWS = 4_000
 EPS = 1e-9
 
 

@@ -8,8 +8,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from corpusloom.llm.common import ascii_lower
+from corpusloom.llm.decontaminate import decontaminate
 from corpusloom.llm.exact_dedup import exact_dedup
 from corpusloom.llm.mixing import mix_sources
+from corpusloom.llm.near_dedup import near_duplicates
 from corpusloom.llm.url_filter import host_of, url_filter
 from corpusloom.session import ship_package
 
@@ -142,3 +144,43 @@ def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filter(captures_of(pages), entries_of(pages)).select(
         F.col("capture_id").alias("page_id"), "fetched_on", "decision", "pattern", "list_name", "n_active"
     )
+
+
+@query("op4_minhash_dedup")
+def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Near-duplicate components of all documents at a similarity of 0.85."""
+    judged = near_duplicates(table(spark, sf_dir, "documents"))
+    return judged.select("doc_id", "n_shingles", "component_id", (F.col("doc_id") == F.col("component_id")).alias("kept"))
+
+
+@query("op7_decontamination", """
+    WITH item_words AS (
+      SELECT item_id, regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+        '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM benchmark),
+    windows AS (
+      SELECT DISTINCT item_id, least(len(w), 13) AS size,
+        unnest(list_transform(range(1, greatest(len(w) - 12, 1) + 1), lambda i: array_to_string(w[i:i + least(len(w), 13) - 1], ' '))) AS gram
+      FROM item_words WHERE len(w) > 0),
+    doc_words AS (
+      SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+        '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM documents),
+    sizes AS (SELECT DISTINCT size FROM windows),
+    grams AS (
+      SELECT doc_id, size, unnest(range(1, len(w) - size + 2)) AS pos,
+        unnest(list_transform(range(1, len(w) - size + 2), lambda i: array_to_string(w[i:i + size - 1], ' '))) AS gram
+      FROM doc_words, sizes WHERE len(w) >= size),
+    hits AS (SELECT doc_id, pos, g.size, item_id FROM grams g JOIN windows x ON g.gram = x.gram AND g.size = x.size),
+    places AS (SELECT DISTINCT doc_id, unnest(range(pos, pos + size)) AS place FROM (SELECT DISTINCT doc_id, pos, size FROM hits)),
+    counted AS (SELECT doc_id, count(*) AS n_hit FROM places GROUP BY doc_id),
+    named AS (SELECT doc_id, list_sort(list_distinct(list(item_id::VARCHAR))) AS items FROM hits GROUP BY doc_id)
+    SELECT d.doc_id, len(d.w)::BIGINT AS n_words, coalesce(c.n_hit, 0)::BIGINT AS n_hit, coalesce(len(n.items), 0)::BIGINT AS n_items,
+      sha256(coalesce(array_to_string(n.items, ','), '')) AS items_sha256,
+      coalesce(c.n_hit, 0) > 0 AND 20 * coalesce(c.n_hit, 0) >= len(d.w) AS contaminated
+    FROM doc_words d LEFT JOIN counted c USING (doc_id) LEFT JOIN named n USING (doc_id)""")
+def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Benchmark windows of 13 words in every document."""
+    judged = decontaminate(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    return judged.select(
+        "doc_id", "n_words", "n_hit", F.size("item_ids").cast("long").alias("n_items"),
+        F.sha2(F.array_join("item_ids", ","), 256).alias("items_sha256"), "contaminated",
+    )
