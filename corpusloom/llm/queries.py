@@ -12,6 +12,7 @@ from corpusloom.llm.decontaminate import decontaminate
 from corpusloom.llm.exact_dedup import exact_dedup
 from corpusloom.llm.mixing import mix_sources
 from corpusloom.llm.near_dedup import near_duplicates
+from corpusloom.llm.repeats import repeated_bytes
 from corpusloom.llm.url_filter import host_of, url_filter
 from corpusloom.session import ship_package
 
@@ -184,3 +185,10 @@ def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
         "doc_id", "n_words", "n_hit", F.size("item_ids").cast("long").alias("n_items"),
         F.sha2(F.array_join("item_ids", ","), 256).alias("items_sha256"), "contaminated",
     )
+
+
+@query("op10_suffix_dedup")
+def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Strings of 100 bytes that also start earlier, removed from every document."""
+    judged = repeated_bytes(table(spark, sf_dir, "documents"))
+    return judged.select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256")
