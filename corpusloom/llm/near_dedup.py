@@ -138,13 +138,12 @@ def near_duplicates(
         open_ones = checkpoint(_unresolved(buckets, labels), "near-open")
         if open_ones.isEmpty():
             break
-        if turn < LEADER_ROUNDS:
-            found = _with_leader(open_ones, turn)
-        else:
-            found = _across(open_ones)
-        pairs = checkpoint(
-            found.where(alike(F.col("size_a"), F.col("size_b"))).select("a", "b").distinct().join(tested, ["a", "b"], "left_anti"), "near-pairs"
-        )
+        if turn in (0, LEADER_ROUNDS):
+            bounds = _bounds(open_ones, sets, percent)
+        open_ones = open_ones.join(bounds, "node")
+        found = _with_leader(open_ones, turn) if turn < LEADER_ROUNDS else _across(open_ones, percent)
+        near = alike(F.col("size_a"), F.col("size_b")) & _reaches("bound_a", "bound_b", "size_a", "size_b", percent)
+        pairs = checkpoint(found.where(near).select("a", "b").distinct().join(tested, ["a", "b"], "left_anti"), "near-pairs")
         tested = tested.unionByName(pairs)
         links = links.unionByName(checkpoint(_confirmed(pairs, sets, percent), "near-links"))
         labels = components(links)
@@ -168,24 +167,49 @@ def _unresolved(buckets: DataFrame, labels: DataFrame) -> DataFrame:
     )
 
 
+def _bounds(open_ones: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """(node, bound) of the members that can still be linked: ``bound`` is the most they have in common with any other.
+
+    A shingle that only one of the open members has is in no intersection. Members with too many of those
+    leave, which leaves others with more; two passes.
+    """
+    nodes = open_ones.select("node", "size").distinct()
+    for _ in range(2):
+        owned = sets.join(nodes.select("node"), "node", "left_semi").select("node", F.explode("shingles").alias("shingle"))
+        alone = owned.groupBy("shingle").agg(F.count("*").alias("n"), F.min("node").alias("node")).where("n = 1")
+        alone = alone.groupBy("node").agg(F.count("*").alias("alone"))
+        bound = F.col("size") - F.coalesce("alone", F.lit(0))
+        nodes = checkpoint(
+            nodes.select("node", "size").join(alone, "node", "left").select("node", "size", bound.alias("bound")).where(100 * bound >= percent * F.col("size")),
+            "near-bounds",
+        )
+    return nodes.select("node", "bound")
+
+
+def _reaches(bound_a: str, bound_b: str, size_a: str, size_b: str, percent: int):
+    """Whether two sets can have ``percent`` of their union in common, by their bounds."""
+    return (100 + percent) * F.least(bound_a, bound_b) >= percent * (F.col(size_a) + F.col(size_b))
+
+
 def _pair(x: str, y: str) -> list:
     swap = F.col(f"{x}.node") > F.col(f"{y}.node")
-    return [F.when(swap, F.col(f"{p}.{c}")).otherwise(F.col(f"{q}.{c}")).alias(name) for p, q, c, name in (
-        (y, x, "node", "a"), (x, y, "node", "b"), (y, x, "size", "size_a"), (x, y, "size", "size_b"))]
+    return [F.when(swap, F.col(f"{p}.{c}")).otherwise(F.col(f"{q}.{c}")).alias(f"{name}{end}") for c, name in (
+        ("node", ""), ("size", "size_"), ("bound", "bound_")) for p, q, end in ((y, x, "a"), (x, y, "b"))]
 
 
 def _with_leader(open_ones: DataFrame, turn: int) -> DataFrame:
     """Every member outside the largest component of its bucket with one of its members."""
-    leader = open_ones.where("main").groupBy("bucket").agg(F.min(F.struct(F.xxhash64("node", F.lit(turn), "bucket"), "node", "size")).alias("l"))
-    leader = leader.select("bucket", "l.node", "l.size")
+    leader = open_ones.where("main").groupBy("bucket").agg(F.min(F.struct(F.xxhash64("node", F.lit(turn), "bucket"), "node", "size", "bound")).alias("l"))
+    leader = leader.select("bucket", "l.node", "l.size", "l.bound")
     return open_ones.where("not main").alias("x").join(leader.alias("y"), "bucket").select(*_pair("x", "y"))
 
 
-def _across(open_ones: DataFrame) -> DataFrame:
-    """Every member outside the largest component with every member of the other components."""
+def _across(open_ones: DataFrame, percent: int) -> DataFrame:
+    """Every member outside the largest component with the members of other components that its bound allows."""
     differs = (F.col("x.bucket") == F.col("y.bucket")) & (F.col("x.component") != F.col("y.component"))
     once = F.col("y.main") | (F.col("x.node") < F.col("y.node"))
-    return open_ones.where("not main").alias("x").join(open_ones.alias("y"), differs & once).select(*_pair("x", "y"))
+    reaches = _reaches("x.bound", "y.bound", "x.size", "y.size", percent)
+    return open_ones.where("not main").alias("x").join(open_ones.alias("y"), differs & once & reaches).select(*_pair("x", "y"))
 
 
 def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", percent: int = 85, **options) -> DataFrame:
