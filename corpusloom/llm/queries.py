@@ -7,6 +7,7 @@ import functools
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from corpusloom.llm import quality, toxicity
 from corpusloom.llm.common import ascii_lower
 from corpusloom.llm.decontaminate import decontaminate
 from corpusloom.llm.exact_dedup import exact_dedup
@@ -192,3 +193,17 @@ def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Strings of 100 bytes that also start earlier, removed from every document."""
     judged = repeated_bytes(table(spark, sf_dir, "documents"))
     return judged.select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256")
+
+
+@query("op5_toxicity")
+def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Toxicity of every document, learned from labels outside the held-out fold."""
+    docs = table(spark, sf_dir, "documents")
+    return toxicity.score_toxicity(docs, toxicity.fit(docs, table(spark, sf_dir, "labels")))
+
+
+@query("op6_quality")
+def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Quality of every document, learned from labels outside the held-out fold."""
+    docs = table(spark, sf_dir, "documents")
+    return quality.score_quality(docs, quality.fit(docs, table(spark, sf_dir, "labels")))
