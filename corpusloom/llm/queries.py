@@ -7,7 +7,7 @@ import functools
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corpusloom.llm import quality, toxicity
+from corpusloom.llm import quality, toxicity, warc
 from corpusloom.llm.common import ascii_lower
 from corpusloom.llm.decontaminate import decontaminate
 from corpusloom.llm.exact_dedup import exact_dedup
@@ -207,3 +207,21 @@ def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Quality of every document, learned from labels outside the held-out fold."""
     docs = table(spark, sf_dir, "documents")
     return quality.score_quality(docs, quality.fit(docs, table(spark, sf_dir, "labels")))
+
+
+@query("op9_warc", """
+    WITH p AS (SELECT page_id, coalesce(html, '') AS html FROM pages),
+    h AS (SELECT page_id, strlen(html) AS payload_bytes, sha1(html) AS hex FROM p),
+    bits AS (
+      SELECT page_id, payload_bytes, hex, array_to_string(list_transform(range(0, 32), lambda i:
+        substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', 1 + (((
+          ('0x' || substr(hex, 1 + (i * 5 // 40) * 10, 10))::BIGINT >> (35 - i * 5 % 40)) & 31)::INT), 1)), '') AS payload_digest FROM h),
+    f AS (SELECT hex, min(page_id) AS first_page FROM h GROUP BY hex)
+    SELECT page_id, payload_bytes, payload_digest, CASE WHEN page_id = first_page THEN 'response' ELSE 'revisit' END AS record_type,
+      CASE WHEN page_id <> first_page THEN first_page END AS refers_to FROM bits JOIN f USING (hex)""")
+def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every page as a record of an archive that was written, read back and merged into one order by URL and time."""
+    pages = table(spark, sf_dir, "pages").withColumn(
+        "fetched_at", F.timestamp_seconds(F.unix_seconds(F.lit(f"{FIRST_DAY} 00:00:00").cast("timestamp")) + F.col("page_id") * 613 % 100_000_000)
+    )
+    return warc.archive(pages).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
