@@ -4,15 +4,16 @@ All suffixes are compared to a depth of ``length`` bytes, no deeper. Three passe
 read in chunks of bounded size:
 
 1. Sample: of every ``length``-byte string the smallest hash of its ``ANCHOR``-byte substrings. Equal strings
-   have the same sample. Samples meet by ranges of their hash; those that occur once are discarded, and with
-   them every suffix that has such a sample.
-2. Name: the suffixes that are left get a 64-bit name for their first ``length`` bytes, and the names meet by
-   ranges. Of equal names all but the one with the smallest (doc_id, row, start) are repeats.
+   have the same sample. Neighbouring suffixes with one sample are a stretch; stretches meet by ranges of
+   their sample. A sample that occurs once is discarded with its suffixes. Of stretches with the same bytes
+   all but the first, in the order of (doc_id, row, start), are repeats as a whole.
+2. Name: the suffixes of the first stretches get a 64-bit name for their first ``length`` bytes, and the names
+   meet by ranges. Of equal names all but the first are repeats.
 3. Remove: the bytes that repeats cover.
 
 What travels between the passes are sorted hashes, packed by chunk and range, once per chunk however often
-they occur in it; answers travel back as one bit for each. So a passage that is in a third of all documents
-is one entry per chunk.
+they occur in it; answers travel back as bits. So a passage that is in a third of all documents is a few
+entries per chunk.
 """
 
 from __future__ import annotations
@@ -33,7 +34,7 @@ from corpusloom.session import checkpoint
 LENGTH = 100
 ANCHOR = 44
 #: Bytes of text in a chunk, unless one text is longer, and bytes that are hashed together.
-CHUNK_BYTES = 8 << 20
+CHUNK_BYTES = 6 << 20
 PIECE = 1 << 19
 
 _BYTE = stream(61, 256)
@@ -77,38 +78,48 @@ def pieces(data: np.ndarray, offsets: np.ndarray, length: int):
         yield at, n, valid, total
 
 
-def samples(data: np.ndarray, offsets: np.ndarray, length: int):
-    """For every piece: (first start, valid, smallest anchor of every string, occurrences of these anchors)."""
-    width = length - ANCHOR + 1
+def stretches(data: np.ndarray, offsets: np.ndarray, length: int):
+    """(first start, number of starts, sample, name of the bytes, whether the sample occurs in it twice) of stretches by start.
+
+    A stretch has at most as many starts as a sample can serve, so its first and its last string overlap or
+    touch and name all its bytes.
+    """
+    width, found = length - ANCHOR + 1, []
     for at, n, valid, total in pieces(data, offsets, length):
         anchors = rolling(total, ANCHOR, n + width - 1)
         least = sliding(anchors, width, np.minimum)
-        yield at, n, valid, total, anchors, least
-
-
-def sample_values(data: np.ndarray, offsets: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray]:
-    """(distinct samples as sorted 32-bit numbers, whether one occurs at several places in the chunk)."""
-    width, found = length - ANCHOR + 1, []
-    for _, n, valid, _, anchors, least in samples(data, offsets, length):
-        low = np.where(valid, least, np.uint64(0))
-        padded = np.concatenate([np.zeros(width - 1, np.uint64), low, np.zeros(width - 1, np.uint64)])
-        taken = sliding(padded, width, np.maximum) == anchors
-        found.append((anchors[taken] >> np.uint64(32)).astype(np.uint32))
-    value, count = np.unique(np.concatenate([np.zeros(0, np.uint32), *found]), return_counts=True)
-    return value, count > 1
-
-
-def suffix_names(data: np.ndarray, offsets: np.ndarray, length: int, value: np.ndarray, repeated: np.ndarray):
-    """(start, name) of the suffixes whose sample is repeated."""
-    starts, names = [np.zeros(0, np.int64)], [np.zeros(0, np.uint64)]
-    for at, n, valid, total, _, least in samples(data, offsets, length):
-        change = np.concatenate([[0], np.flatnonzero(least[1:] != least[:-1]) + 1])
-        known = repeated[np.minimum(np.searchsorted(value, (least[change] >> np.uint64(32)).astype(np.uint32)), len(value) - 1)]
-        left = np.repeat(known, np.diff(np.append(change, n))) & valid
-        if left.any():
-            names.append(rolling(total, length, n)[left])
-            starts.append(np.flatnonzero(left) + at)
-    return np.concatenate(starts), np.concatenate(names)
+        edge = np.concatenate([[True], (least[1:] != least[:-1]) | (valid[1:] != valid[:-1])])
+        start = np.flatnonzero(edge)
+        count = np.diff(np.append(start, n))
+        kept = valid[start]
+        start, count = start[kept], count[kept]
+        turns = -(-count // width)
+        turn = np.arange(turns.sum()) - np.repeat(np.cumsum(turns) - turns, turns)
+        start = np.repeat(start, turns) + turn * width
+        count = np.minimum(np.repeat(count, turns) - turn * width, width)
+        ends = [_named(total, x, length) for x in (start, start + count - 1)]
+        name = mix(ends[0] * np.uint64(0x9E3779B97F4A7C15) + ends[1] + count.astype(np.uint64))
+        reach = count + width - 1
+        begin = np.cumsum(reach) - reach
+        same = anchors[np.arange(reach.sum()) + np.repeat(start - begin, reach)] == np.repeat(least[start], reach)
+        twice = np.add.reduceat(same, begin, dtype=np.int64) > 1 if len(begin) else np.zeros(0, bool)
+        found.append((start + at, count, least[start] >> np.uint64(32), name, twice))
+    if not found:
+        return np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.uint64), np.zeros(0, np.uint64), np.zeros(0, bool)
+    return tuple(np.concatenate(x) for x in zip(*found))
+
+
+def _named(total: np.ndarray, start: np.ndarray, length: int) -> np.ndarray:
+    return mix((total[start + length] - total[start]) * _powers(PIECE + 1024)[PIECE + 512 - start])
+
+
+def suffix_names(data: np.ndarray, offsets: np.ndarray, length: int, start: np.ndarray) -> np.ndarray:
+    """Names of the first ``length`` bytes of suffixes; ``start`` ascends."""
+    out = np.zeros(len(start), np.uint64)
+    for at, n, _, total in pieces(data, offsets, length):
+        lo, hi = np.searchsorted(start, [at, at + n])
+        out[lo:hi] = _named(total, start[lo:hi] - at, length)
+    return out
 
 
 def pack(values: np.ndarray) -> bytes:
@@ -189,78 +200,126 @@ def _unpacked(texts: bytes) -> Chunk:
     return Chunk(pa.ipc.open_stream(texts).read_all())
 
 
-def _answered(entries: DataFrame, parts: int, kind, ordered: bool) -> DataFrame:
-    """chunk, part, bits: for each packed entry whether it is repeated (``ordered``: also earlier elsewhere)."""
+def pack_ids(ids: np.ndarray) -> bytes:
+    """Ids as the distinct ones and the place of each among them."""
+    known, place = np.unique(ids, return_inverse=True)
+    first = pack_sorted(known)
+    wide = len(known) > 1 << 16
+    return len(first).to_bytes(4, "little") + bytes([wide]) + first + pack(place.astype(np.uint32 if wide else np.uint16))
+
+
+def unpack_ids(blob: bytes) -> np.ndarray:
+    n = int.from_bytes(blob[:4], "little")
+    return unpack_sorted(blob[5:5 + n], np.int64)[unpack(blob[5 + n:], np.uint32 if blob[4] else np.uint16)]
+
+
+def _groups(keys: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(order, first of each group in it, group sizes) of entries with equal keys; stable."""
+    order = np.argsort(keys[0], kind="stable") if len(keys) == 1 else np.lexsort(keys[::-1])
+    new = np.zeros(len(order), bool)
+    new[:1] = True
+    for key in keys:
+        new[1:] |= key[order][1:] != key[order][:-1]
+    first = np.flatnonzero(new)
+    return order, first, np.diff(np.append(first, len(order)))
+
+
+def _late(keys: list[np.ndarray], ids: np.ndarray) -> np.ndarray:
+    """Which entries are not the first of their key: smallest id, of equal ids the one that comes first."""
+    order, first, size = _groups(keys)
+    out = np.zeros(len(order), bool)
+    if len(order):
+        own = ids[order]
+        place = np.where(own == np.repeat(np.minimum.reduceat(own, first), size), np.arange(len(own)), len(own))
+        out[order] = np.arange(len(own)) != np.repeat(np.minimum.reduceat(place, first), size)
+    return out
+
+
+def _answered(entries: DataFrame, parts: int, whole: bool) -> DataFrame:
+    """chunk, part, late, repeated: for each packed entry whether its key is earlier elsewhere, and its sample repeated.
+
+    ``whole``: entries are stretches, their keys are (sample and name, rest of the name).
+    """
 
     def meet(batches):
-        blobs = [(c, p, v, x) for b in batches for c, p, v, x in zip(*[b.column(n).to_pylist() for n in ("chunk", "part", "keys", "extra")])]
-        for part in sorted({b[1] for b in blobs}):
-            own = sorted((b for b in blobs if b[1] == part), key=lambda b: b[0])
-            keys = [unpack_sorted(b[2], kind) for b in own]
+        blobs = [x for b in batches for x in b.to_pylist()]
+        for part in sorted({b["part"] for b in blobs}):
+            own = sorted((b for b in blobs if b["part"] == part), key=lambda b: b["chunk"])  # chunks are in the order of rows
+            keys = [unpack_sorted(b["keys"], np.uint64) for b in own]
             cuts = np.concatenate([[0], np.cumsum([len(k) for k in keys])])
             key = np.concatenate(keys)
-            order = np.argsort(key, kind="stable")
-            key = key[order]
-            first = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]])) if len(key) else np.zeros(0, np.int64)
-            size = np.diff(np.append(first, len(key)))
-            answer = np.zeros(len(key), bool)
-            if ordered:
-                ids = np.concatenate([unpack(b[3], np.int64) for b in own])[order]
-                least = np.minimum.reduceat(ids, first) if len(first) else ids
-                late = ids != np.repeat(least, size)
-                # of equal ids in several chunks the earliest chunk holds the first row
-                place = np.where(late, len(key), np.arange(len(key)))
-                winner = np.minimum.reduceat(place, first) if len(first) else place
-                answer[order] = np.arange(len(key)) != np.repeat(winner, size)
-            else:
-                local = np.concatenate([np.unpackbits(np.frombuffer(b[3], np.uint8), count=len(k)).astype(bool) for b, k in zip(own, keys)])
-                answer[order] = np.repeat(size > 1, size)
-                answer |= local
-            for b, lo, hi in zip(own, cuts, cuts[1:]):
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array([b[0]]), pa.array([part], pa.int32()), pa.array([np.packbits(answer[lo:hi]).tobytes()], pa.binary())], ["chunk", "part", "bits"]
-                )
-
-    return entries.repartition(parts, "part").mapInArrow(meet, "chunk long, part int, bits binary")
+            more = [np.concatenate([unpack(b["more"], np.uint32) for b in own])] if whole else []
+            late = _late([key, *more], np.concatenate([unpack_ids(b["ids"]) for b in own]))
+            repeated = np.zeros(len(key), bool)
+            if whole:
+                order, _, size = _groups([key >> np.uint64(32)])
+                repeated[order] = np.repeat(size > 1, size)
+                repeated |= np.concatenate([np.unpackbits(np.frombuffer(b["several"], np.uint8), count=len(k)).astype(bool) for b, k in zip(own, keys)])
+            yield pa.RecordBatch.from_arrays([
+                pa.array([b["chunk"] for b in own], pa.int64()), pa.array([part] * len(own), pa.int32()),
+                *[pa.array([np.packbits(x[lo:hi]).tobytes() for lo, hi in zip(cuts, cuts[1:])], pa.binary()) for x in (late, repeated)],
+            ], ["chunk", "part", "late", "repeated"])
+
+    return entries.repartition(parts, "part").mapInArrow(meet, "chunk long, part int, late binary, repeated binary")
 
 
 def _gathered(answers: DataFrame) -> DataFrame:
     """chunk, answers: all the answers of a chunk, one for each range at most."""
-    return answers.groupBy("chunk").agg(F.sort_array(F.collect_list(F.struct("part", "bits"))).alias("answers"))
+    return answers.groupBy("chunk").agg(F.sort_array(F.collect_list(F.struct("part", "late", "repeated"))).alias("answers"))
 
 
-def _emit(number: int, values: np.ndarray, bits: int, parts: int, extra) -> pa.RecordBatch:
-    edge = ranges(values, bits, parts)
-    full = [(p, a, b) for p, (a, b) in enumerate(zip(edge, edge[1:])) if b > a]
+def _emit(number: int, parts: int, keys: np.ndarray, ids: np.ndarray, more: np.ndarray | None = None, several: np.ndarray | None = None) -> pa.RecordBatch:
+    edge = ranges(keys, 64, parts)
+    full = [(p, slice(a, b)) for p, (a, b) in enumerate(zip(edge, edge[1:])) if b > a]
     return pa.RecordBatch.from_arrays([
-        pa.array([number] * len(full), pa.int64()), pa.array([p for p, _, _ in full], pa.int32()),
-        pa.array([pack_sorted(values[a:b]) for _, a, b in full], pa.binary()), pa.array([extra(a, b) for _, a, b in full], pa.binary()),
-    ], ["chunk", "part", "keys", "extra"])
+        pa.array([number] * len(full), pa.int64()), pa.array([p for p, _ in full], pa.int32()),
+        pa.array([pack_sorted(keys[x]) for _, x in full], pa.binary()), pa.array([pack_ids(ids[x]) for _, x in full], pa.binary()),
+        pa.array([None if more is None else pack(more[x]) for _, x in full], pa.binary()),
+        pa.array([None if several is None else np.packbits(several[x]).tobytes() for _, x in full], pa.binary()),
+    ], ["chunk", "part", "keys", "ids", "more", "several"])
 
 
-def _bits(answers: list[dict] | None, values: np.ndarray, bits: int, parts: int) -> np.ndarray:
-    out, edge = np.zeros(len(values), bool), ranges(values, bits, parts)
+def _bits(answers: list[dict] | None, name: str, keys: np.ndarray, parts: int) -> np.ndarray:
+    out, edge = np.zeros(len(keys), bool), ranges(keys, 64, parts)
     for x in answers or ():
         a, b = edge[x["part"]], edge[x["part"] + 1]
-        out[a:b] = np.unpackbits(np.frombuffer(x["bits"], np.uint8), count=b - a)
+        out[a:b] = np.unpackbits(np.frombuffer(x[name], np.uint8), count=b - a)
     return out
 
 
+class Stretches:
+    """Stretches of a chunk in the order of their keys; ``new`` tells the first of each key in the chunk."""
+
+    def __init__(self, chunk: Chunk, length: int):
+        start, count, sample, name, twice = stretches(chunk.data, chunk.offsets, length)
+        key, more = sample << np.uint64(32) | name >> np.uint64(32), name.astype(np.uint32)
+        order, first, _ = _groups([key, more])
+        self.start, self.count, self.key, self.more = start[order], count[order], key[order], more[order]
+        self.new = np.zeros(len(order), bool)
+        self.new[first] = True
+        by_sample, _, size = _groups([self.key >> np.uint64(32)])
+        self.several = twice[order]
+        self.several[by_sample] |= np.repeat(size > 1, size)
+
+
 def _suffixes(chunk: Chunk, answers: list[dict], length: int, parts: int):
-    """start, name and (by name) order of the suffixes left, and which of them are the first of their name."""
-    value, _ = sample_values(chunk.data, chunk.offsets, length)
-    repeated = _bits(answers, value, 32, parts)
-    if not repeated.any():
-        start, name = np.zeros(0, np.int64), np.zeros(0, np.uint64)
-    else:
-        start, name = suffix_names(chunk.data, chunk.offsets, length, value, repeated)
-    order = np.argsort(name, kind="stable")
-    name = name[order]
-    new = np.concatenate([[True], name[1:] != name[:-1]]) if len(name) else np.zeros(0, bool)
-    return start[order], name, new
+    """(starts and counts of stretches that are repeats; starts and names of the other suffixes left, by name; first of each name)."""
+    s = Stretches(chunk, length)
+    late, repeated = ~s.new, s.several.copy()
+    late[s.new] = _bits(answers, "late", s.key[s.new], parts)
+    repeated[s.new] |= _bits(answers, "repeated", s.key[s.new], parts)
+    left = s.new & ~late & repeated
+    order = np.argsort(s.start[left])
+    first, count = s.start[left][order], s.count[left][order]
+    start = np.repeat(first, count) + np.arange(count.sum()) - np.repeat(np.cumsum(count) - count, count)
+    name = suffix_names(chunk.data, chunk.offsets, length, start)
+    order, first, _ = _groups([name])
+    new = np.zeros(len(order), bool)
+    new[first] = True
+    return (s.start[late], s.count[late]), start[order], name[order], new
 
 
-ENTRY = "chunk long, part int, keys binary, extra binary"
+ENTRY = "chunk long, part int, keys binary, ids binary, more binary, several binary"
 
 
 def repeated_bytes(
@@ -276,44 +335,46 @@ def repeated_bytes(
     rows = two_columns(docs, id_col, text_col).withColumn("doc_id", F.col("doc_id").cast("long"))
     parts = size_of(docs)
 
+    def ids_of(chunk, start):
+        return chunk.ids[np.searchsorted(chunk.offsets, start, "right") - 1]
+
     def sample(batches):
         for number, table in chunks(batches, chunk_bytes):
             chunk = Chunk(table)
-            value, several = sample_values(chunk.data, chunk.offsets, length)
-            yield _emit(number, value, 32, parts, lambda a, b: np.packbits(several[a:b]).tobytes())
+            s = Stretches(chunk, length)
+            yield _emit(number, parts, s.key[s.new], ids_of(chunk, s.start[s.new]), s.more[s.new], s.several[s.new])
 
     def name(batches):
         for batch in batches:
             for number, texts, answers in zip(*[batch.column(n) for n in ("chunk", "texts", "answers")]):
                 chunk = _unpacked(texts.as_py())
-                start, names, new = _suffixes(chunk, answers.as_py(), length, parts)
-                start, names = start[new], names[new]
-                ids = chunk.ids[np.searchsorted(chunk.offsets, start, "right") - 1]
-                yield _emit(number.as_py(), names, 64, parts, lambda a, b: pack(ids[a:b]))
+                _, start, names, new = _suffixes(chunk, answers.as_py(), length, parts)
+                yield _emit(number.as_py(), parts, names[new], ids_of(chunk, start[new]))
 
     def remove(batches):
         for batch in batches:
             for texts, answers, later in zip(*[batch.column(n) for n in ("texts", "answers", "later")]):
                 chunk = _unpacked(texts.as_py())
-                start, names, new = _suffixes(chunk, answers.as_py(), length, parts)
+                (whole, count), start, names, new = _suffixes(chunk, answers.as_py(), length, parts)
                 repeat = ~new
-                repeat[new] = _bits(later.as_py(), names[new], 64, parts)
-                yield _removed(chunk, start[repeat], length, with_text)
+                repeat[new] = _bits(later.as_py(), "late", names[new], parts)
+                from_, to = np.concatenate([whole, start[repeat]]), np.concatenate([whole + count - 1, start[repeat]]) + length
+                yield _removed(chunk, from_, to, with_text)
 
     packed = _packed(rows, chunk_bytes)
-    first = checkpoint(_gathered(_answered(rows.mapInArrow(sample, ENTRY), parts, np.uint32, False)), "repeat-samples")
+    first = checkpoint(_gathered(_answered(rows.mapInArrow(sample, ENTRY), parts, True)), "repeat-samples")
     asked = packed.join(first, "chunk", "left")
-    second = checkpoint(_gathered(_answered(asked.mapInArrow(name, ENTRY), parts, np.uint64, True)), "repeat-names")
+    second = checkpoint(_gathered(_answered(asked.mapInArrow(name, ENTRY), parts, False)), "repeat-names")
     out = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, spans array<struct<start: long, end: long>>"
     return packed.join(first, "chunk", "left").join(second.withColumnRenamed("answers", "later"), "chunk", "left").mapInArrow(
         remove, out + (", kept binary" if with_text else "")
     )
 
 
-def _removed(chunk: Chunk, starts: np.ndarray, length: int, with_text: bool) -> pa.RecordBatch:
+def _removed(chunk: Chunk, from_: np.ndarray, to: np.ndarray, with_text: bool) -> pa.RecordBatch:
     change = np.zeros(len(chunk.data) + 1, np.int32)
-    change[starts] += 1
-    np.subtract.at(change, starts + length, 1)
+    np.add.at(change, from_, 1)
+    np.subtract.at(change, to, 1)
     gone = np.cumsum(change)[:-1] > 0
     columns: list[list] = [[] for _ in range(6)]
     for a, b in zip(chunk.offsets[:-1].tolist(), chunk.offsets[1:].tolist()):
