@@ -11,6 +11,7 @@ from corpusloom.llm import quality, toxicity, warc
 from corpusloom.llm.common import ascii_lower
 from corpusloom.llm.decontaminate import decontaminate
 from corpusloom.llm.exact_dedup import exact_dedup
+from corpusloom.llm.lm import score_texts
 from corpusloom.llm.mixing import mix_sources
 from corpusloom.llm.near_dedup import near_duplicates
 from corpusloom.llm.repeats import repeated_bytes
@@ -225,3 +226,9 @@ def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
         "fetched_at", F.timestamp_seconds(F.unix_seconds(F.lit(f"{FIRST_DAY} 00:00:00").cast("timestamp")) + F.col("page_id") * 613 % 100_000_000)
     )
     return warc.archive(pages).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
+@query("op1_lm_scoring")
+def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Log-probability of every document under a log-bilinear model of the training documents."""
+    return score_texts(table(spark, sf_dir, "documents"))
