@@ -205,11 +205,17 @@ def _with_leader(open_ones: DataFrame, turn: int) -> DataFrame:
 
 
 def _across(open_ones: DataFrame, percent: int) -> DataFrame:
-    """Every member outside the largest component with the members of other components that its bound allows."""
+    """Every member outside the largest component with the members of other components that its bound allows.
+
+    A pair with several common buckets comes from the smallest of them only.
+    """
+    held = open_ones.groupBy("node").agg(F.collect_list("bucket").alias("held"))  # at most one for each band
+    members = checkpoint(open_ones.join(held, "node"), "near-members")
     differs = (F.col("x.bucket") == F.col("y.bucket")) & (F.col("x.component") != F.col("y.component"))
     once = F.col("y.main") | (F.col("x.node") < F.col("y.node"))
     reaches = _reaches("x.bound", "y.bound", "x.size", "y.size", percent)
-    return open_ones.where("not main").alias("x").join(open_ones.alias("y"), differs & once & reaches).select(*_pair("x", "y"))
+    here = F.array_min(F.array_intersect("x.held", "y.held")) == F.col("x.bucket")
+    return members.where("not main").alias("x").join(members.alias("y"), differs & once & reaches & here).select(*_pair("x", "y"))
 
 
 def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", percent: int = 85, **options) -> DataFrame:
