@@ -28,6 +28,8 @@ LEAST_SHARE = 0.9
 #: A stem has at least so many bytes, and so many words that start with it.
 STEM_BYTES = 4
 STEM_WORDS = 5
+#: How far a misspelling that no labelled text has is trusted, as a part of the term itself.
+MISSPELLED = 0.9
 #: Words on either side of a hit.
 WINDOW = 6
 #: Hashed context words; harmless hits from which on they are used.
@@ -278,14 +280,14 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", id_col: str =
     counted = sample.mapInArrow(scan, "kind string, number long, toxic long, clean long").groupBy("kind", "number").agg(F.sum("toxic"), F.sum("clean"))
     rows = counted.collect()  # codes of the lexicon and hashed context words: both bounded
     by_code = {r[1]: (r[2], r[3]) for r in rows if r[0] == "t"}
-    strength = np.zeros(len(matcher.meaning))
-    for d in range(3):
-        own = [c for c, (_, e) in enumerate(matcher.meaning) if c and e == d]
-        toxic, clean = (sum(by_code.get(c, (0, 0))[i] for c in own) for i in (0, 1))
-        prior = (toxic + 0.5 ** d) / (toxic + clean + 1)
-        for c in own:
-            t, n = by_code.get(c, (0, 0))
-            strength[c] = max(2 * (t + 2 * prior) / (t + n + 2) - 1, 0.0)  # 0 where the label is a toss-up
+    share = np.zeros(len(matcher.meaning))
+    term_share: dict[int, float] = {}
+    for code in sorted(range(1, len(matcher.meaning)), key=lambda c: matcher.meaning[c][1]):  # fewest edits first
+        term, _ = matcher.meaning[code]
+        t, n = by_code.get(code, (0, 0))
+        # two texts' worth of trust in what the term was with fewer edits
+        share[code] = term_share[term] = (t + 2 * MISSPELLED * term_share.get(term, 1.0)) / (t + n + 2)
+    strength = np.maximum(2 * share - 1, 0.0)  # 0 where the label is a toss-up
     totals = next(((r[2], r[3]) for r in rows if r[0] == "n"), (0, 0))
     context = np.zeros(CONTEXT_BUCKETS)
     if totals[1] >= CONTEXT_HITS:
