@@ -131,6 +131,16 @@ def words(data: np.ndarray, offsets: np.ndarray, is_word: np.ndarray = NOT_SPACE
     return Words(*[np.concatenate(x) for x in zip(*found)])
 
 
+def span_keys(data: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """Hashes of spans that do not overlap, A-Z lower-cased; for slices of bounded size."""
+    length = end - start
+    place = np.arange(length.sum()) - np.repeat(np.cumsum(length) - length, length)
+    value = _BYTE_LOW[data[place + np.repeat(start, length)]] * powers(_BASE, int(length.max(initial=0)) + 1)[place]
+    total = np.concatenate([np.zeros(1, np.uint64), np.cumsum(value, dtype=np.uint64)])
+    stop = np.cumsum(length)
+    return mix(total[stop] - total[stop - length] + length.astype(np.uint64))
+
+
 def word_counts(w: Words, rows: int) -> np.ndarray:
     return np.bincount(w.doc, minlength=rows)
 

@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from corpusloom.llm.common import crc_mod, free_name, quoted
-from corpusloom.llm.kernels import ALNUM, NOT_SPACE, Words, slices, utf8, words
+from corpusloom.llm.kernels import ALNUM, NOT_SPACE, Words, slices, span_keys, utf8, words
 from corpusloom.llm.labelled import FOLDS, HELD_OUT, MAX_LABELLED, fit_logistic, labelled_sample, probability
 
 #: Lexicon terms at most; the labelled texts that a term must be in, and its share of toxic ones.
@@ -37,6 +37,8 @@ CONTEXT_BUCKETS = 4096
 CONTEXT_HITS = 50
 QUOTES = ("\"", "“", "”", "„", "«", "»")
 DEAD, START = 0, 1
+#: Bytes of text looked at together.
+SLICE = 1 << 20
 
 
 def edits_for(term: bytes) -> int:
@@ -224,20 +226,24 @@ def _lexicon(sample: DataFrame) -> tuple[list[bytes], list[bytes]]:
     """Whole terms and stems, by counts over the labelled texts."""
 
     def spell(batches):
-        for batch in slices(batches, "text"):
+        for batch in slices(batches, "text", SLICE):
             data, offsets = utf8(batch.column("text"))
             w = words(data, offsets, NOT_SPACE)
             start, end = stripped(data, w)
-            raw, labels, seen = data.tobytes().lower(), batch.column("label").to_pylist(), set()
-            for a, b, doc in zip(start.tolist(), end.tolist(), w.doc.tolist()):
-                if STEM_BYTES <= b - a <= 40:
-                    seen.add((doc, raw[a:b]))
-            own = defaultdict(lambda: [0, 0])
-            for doc, word in seen:
-                own[word][labels[doc] > 0] += 1
-            if own:
+            w = w._replace(key=span_keys(data, start, end))
+            kept = np.flatnonzero((end - start >= STEM_BYTES) & (end - start <= 40))
+            # each word once per text, then texts by label for each word
+            order = kept[np.lexsort((w.key[kept], w.doc[kept]))]
+            new = np.ones(len(order), bool)
+            new[1:] = (w.key[order][1:] != w.key[order][:-1]) | (w.doc[order][1:] != w.doc[order][:-1])
+            order = order[new]
+            toxic = (np.asarray(batch.column("label").fill_null(0)) > 0)[w.doc[order]]
+            known, one, place = np.unique(w.key[order], return_index=True, return_inverse=True)
+            if len(known):
+                raw, at = data.tobytes().lower(), order[one]
                 yield pa.RecordBatch.from_arrays([
-                    pa.array(list(own), pa.binary()), pa.array([v[1] for v in own.values()]), pa.array([v[0] for v in own.values()])
+                    pa.array([raw[a:b] for a, b in zip(start[at].tolist(), end[at].tolist())], pa.binary()),
+                    pa.array(np.bincount(place, toxic).astype(np.int64)), pa.array(np.bincount(place, ~toxic).astype(np.int64)),
                 ], ["word", "toxic", "clean"])
 
     counts = sample.mapInArrow(spell, "word binary, toxic long, clean long").groupBy("word").agg(F.sum("toxic").alias("toxic"), F.sum("clean").alias("clean"))
@@ -261,7 +267,7 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", id_col: str =
     shared = sample.sparkSession.sparkContext.broadcast(matcher)
 
     def scan(batches):
-        for batch in slices(batches, "text"):
+        for batch in slices(batches, "text", SLICE):
             hits, _ = find_hits(shared.value, *utf8(batch.column("text")), window)
             toxic = (np.asarray(batch.column("label").fill_null(0)) > 0).astype(int).tolist()
             counts = defaultdict(lambda: [0, 0])
@@ -297,7 +303,7 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", id_col: str =
     parts = sample.sparkSession.sparkContext.broadcast((strength, context))
 
     def describe(batches):
-        for batch in slices(batches, "text"):
+        for batch in slices(batches, "text", SLICE):
             x = features(shared.value, *parts.value, window, *utf8(batch.column("text")))
             yield pa.RecordBatch.from_arrays([pa.array(list(x), pa.list_(pa.float64())), batch.column("label")], ["x", "label"])
 
@@ -325,7 +331,7 @@ def score_toxicity(docs: DataFrame, model: Model, id_col: str = "doc_id", text_c
     )
 
     def score(batches):
-        for batch in slices(batches, "text"):
+        for batch in slices(batches, "text", SLICE):
             p = score_slice(shared.value, batch, "text")
             yield pa.RecordBatch.from_arrays(
                 [batch.column("doc_id"), batch.column("held_out"), pa.array(p), pa.array((p >= threshold).astype(np.int32))],
@@ -341,7 +347,7 @@ def drop_toxic(docs: DataFrame, model: Model, text_col: str = "text", threshold:
     text, names = free_name(docs, "__text"), docs.columns
 
     def keep(batches):
-        for batch in slices(batches, text):
+        for batch in slices(batches, text, SLICE):
             yield batch.filter(pa.array(score_slice(shared.value, batch, text) < threshold)).select(names)
 
     return docs.withColumn(text, F.col(quoted(text_col))).mapInArrow(keep, docs.schema)
