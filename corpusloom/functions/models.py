@@ -14,10 +14,6 @@ from corpusloom.functions.text import js_trim
 from corpusloom.functions.tokens import chars4, message_tokens
 from corpusloom.session import spread
 
-# A request larger than this is refused instead of being gathered.
-MAX_REQUEST_TOKENS = 1_000_000
-
-
 def embed(
     df: DataFrame,
     text: str,
@@ -48,24 +44,38 @@ GENERATED = "text string, tokens bigint, server_tokens bigint, error string"
 
 
 def generate(
-    messages: DataFrame, make_generate: Callable[[], Callable], max_tokens: int = MAX_REQUEST_TOKENS
+    messages: DataFrame, make_generate: Callable[[], Callable], max_tokens: int | None = None
 ) -> DataFrame:
     """One reply per conversation: (conv_id, text, tokens, server_tokens, error).
 
     ``make_generate`` builds the model once per task; its function takes a list
     of ``{"role", "content"}`` and returns ``(text, tokens, server_tokens)``.
-    A request has to fit a model's context, so a conversation above
-    ``max_tokens`` is answered with an error and its messages are not gathered.
+    A request is gathered whole, as the model needs it. With ``max_tokens``, the
+    model's context, a longer conversation is answered with an error instead
+    and its messages are not gathered.
     """
+    kind = messages.schema["conv_id"].dataType.simpleString()
+    if max_tokens is None:
+        return _requests(messages).mapInPandas(_replier(make_generate), f"conv_id {kind}, {GENERATED}")
     size = messages.groupBy("conv_id").agg(F.sum(message_tokens(F.col("role"), F.col("text"), chars4)).alias("_size"))
     fits = size.where(F.col("_size") <= max_tokens).select("conv_id")
-    requests = (
-        messages.join(fits, "conv_id", "left_semi")
-        .groupBy("conv_id")
-        .agg(F.array_sort(F.collect_list(F.struct("turn", "role", "text"))).alias("request"))
+    requests = _requests(messages.join(fits, "conv_id", "left_semi"))
+    done = requests.mapInPandas(_replier(make_generate), f"conv_id {kind}, {GENERATED}")
+    refused = size.where(F.col("_size") > max_tokens).select(
+        "conv_id",
+        F.lit(None).cast("string").alias("text"),
+        F.lit(0).cast("long").alias("tokens"),
+        F.lit(0).cast("long").alias("server_tokens"),
+        F.lit("context exceeded").alias("error"),
     )
-    kind = messages.schema["conv_id"].dataType.simpleString()
+    return done.unionByName(refused)
 
+
+def _requests(messages: DataFrame) -> DataFrame:
+    return messages.groupBy("conv_id").agg(F.array_sort(F.collect_list(F.struct("turn", "role", "text"))).alias("request"))
+
+
+def _replier(make_generate: Callable[[], Callable]) -> Callable:
     def run(batches):
         model = make_generate()
         for batch in batches:
@@ -82,12 +92,4 @@ def generate(
                 }
             )
 
-    done = requests.mapInPandas(run, f"conv_id {kind}, {GENERATED}")
-    refused = size.where(F.col("_size") > max_tokens).select(
-        "conv_id",
-        F.lit(None).cast("string").alias("text"),
-        F.lit(0).cast("long").alias("tokens"),
-        F.lit(0).cast("long").alias("server_tokens"),
-        F.lit("context exceeded").alias("error"),
-    )
-    return done.unionByName(refused)
+    return run

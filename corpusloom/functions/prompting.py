@@ -126,9 +126,8 @@ def file_base(f: Column) -> Column:
 
 def final_answer(text: Column) -> Column:
     """What follows the first ``Final Answer:``; null when nothing does."""
-    at = F.locate("final answer:", F.lower(text))
-    tail = js_trim(F.substr(text, at + F.lit(len("final answer:"))))
-    return F.when((at > 0) & (tail != ""), tail)
+    tail = js_trim(F.regexp_extract(text, r"(?is)final answer:(.*)\z", 1))
+    return F.when(tail != "", tail)
 
 
 def is_placeholder(answer: Column) -> Column:

@@ -9,10 +9,9 @@ from pyspark.sql import functions as F
 
 from corpusloom.functions import prompting as pr
 from corpusloom.functions.models import embed, generate
-from corpusloom.functions.text import duration_seconds
 from corpusloom.operators.conversation import append_turn, build_messages, prune_context
 from corpusloom.operators.metrics import references
-from corpusloom.operators.search import agent_search
+from corpusloom.operators.search import agent_search, search_hybrid
 from corpusloom.options import AgentOptions, MemoryOptions, SearchOptions
 from corpusloom.session import checkpoint
 
@@ -39,16 +38,20 @@ def batch_agent(
     make_generate: Callable,
     make_embed: Callable,
     system_prompt,
-    agent: AgentOptions = AgentOptions(),
+    agent: AgentOptions,
     memory: MemoryOptions = MemoryOptions(),
     search: SearchOptions = SearchOptions(),
+    max_request_tokens: int | None = None,
+    retrieve: Callable[..., DataFrame] = search_hybrid,
 ) -> DataFrame:
     """Answer every conversation in at most ``max_rounds`` rounds of search.
 
     All open conversations take one round together: prune, generate, read the
     reply, then either accept the answer, ask for a search first, ask for a
     readable reply, refuse a repeated query or report its hits. What is still
-    open afterwards gets one forced answer. Each round is written to the
+    open afterwards gets one forced answer. A conversation whose request is
+    longer than ``max_request_tokens`` ends with its error and no text.
+    ``retrieve(queries, chunks, options)`` finds the hits. Each round is written to the
     shared folder, so a lost executor costs one round and never a second call
     of the model for finished rounds.
     """
@@ -58,20 +61,20 @@ def batch_agent(
     zero = F.lit(0).cast("long")
     state = working.select("conv_id").distinct().select(
         "conv_id", zero.alias("tool_calls"), zero.alias("retrieved_matches"), zero.alias("tokens"),
-        zero.alias("server_tokens"), F.lit(None).cast("string").alias("answer"),
+        zero.alias("server_tokens"), F.lit(None).cast("string").alias("answer"), F.lit(None).cast("string").alias("error"),
     )
     state = checkpoint(state)
     asked = state.select("conv_id", F.lit("").alias("key")).limit(0)
     seen = state.select("conv_id", F.lit("").alias("path")).limit(0)
 
     for _ in range(agent.max_rounds):
-        open_ones = state.where(F.col("answer").isNull())
+        open_ones = state.where(F.col("answer").isNull() & F.col("error").isNull())
         if open_ones.isEmpty():
             break
         now = checkpoint(_pruned(working.join(open_ones, "conv_id", "left_semi"), memory))
-        replies = checkpoint(parse_replies(generate(now, make_generate)).withColumnRenamed("answer", "found"))
-        told = checkpoint(_observed(_classified(replies, state, asked), chunks, make_embed, agent, search))
-        going_on = told.where(F.col("kind") != "answer")
+        replies = checkpoint(parse_replies(generate(now, make_generate, max_request_tokens)).withColumnRenamed("answer", "found"))
+        told = checkpoint(_observed(_classified(replies, state, asked), chunks, make_embed, agent, search, retrieve))
+        going_on = told.where(~F.col("kind").isin("answer", "error"))
         working = append_turn(
             now.join(going_on, "conv_id", "left_semi"),
             going_on.select(
@@ -84,16 +87,17 @@ def batch_agent(
         seen = seen.unionByName(told.select("conv_id", F.explode("paths").alias("path")))
         state = checkpoint(_advanced(state, told))
 
-    left = state.where(F.col("answer").isNull())
+    left = state.where(F.col("answer").isNull() & F.col("error").isNull())
     if not left.isEmpty():
         now = _pruned(working.join(left, "conv_id", "left_semi"), memory)
         last = now.groupBy("conv_id").agg((F.max("turn") + 1).alias("turn"))
         ask = last.select("conv_id", "turn", F.lit("user").alias("role"), F.lit(agent.answer_now).alias("text"))
-        replies = checkpoint(parse_replies(generate(now.unionByName(ask), make_generate)))
+        replies = checkpoint(parse_replies(generate(now.unionByName(ask), make_generate, max_request_tokens)))
         real = F.col("answer").isNotNull() & ~F.col("placeholder")
         forced = replies.select(
             "conv_id",
-            F.when(real, F.col("answer")).otherwise(F.trim(F.coalesce("text", F.lit("")))).alias("_answer"),
+            F.when(F.col("error").isNull(), F.when(real, F.col("answer")).otherwise(F.trim(F.coalesce("text", F.lit(""))))).alias("_answer"),
+            F.col("error").alias("_error"),
             F.col("tokens").alias("_tokens"),
             F.col("server_tokens").alias("_server"),
         )
@@ -102,6 +106,7 @@ def batch_agent(
             (F.col("tokens") + F.coalesce("_tokens", F.lit(0))).alias("tokens"),
             (F.col("server_tokens") + F.coalesce("_server", F.lit(0))).alias("server_tokens"),
             F.coalesce("answer", "_answer").alias("answer"),
+            F.coalesce("error", "_error").alias("error"),
         )
     cited = references(seen)
     return state.join(cited, "conv_id", "left").select(
@@ -109,6 +114,7 @@ def batch_agent(
         F.col("answer").alias("text"),
         "tokens", "server_tokens", "tool_calls", "retrieved_matches",
         F.coalesce("references", F.array().cast("array<string>")).alias("references"),
+        "error",
     )
 
 
@@ -118,7 +124,8 @@ def _classified(replies: DataFrame, state: DataFrame, asked: DataFrame) -> DataF
     keyed = replies.join(state.select("conv_id", "tool_calls"), "conv_id").withColumn("key", F.lower("action"))
     marked = keyed.join(asked.withColumn("_again", F.lit(True)), ["conv_id", "key"], "left")
     kind = (
-        F.when(real & (F.col("tool_calls") > 0), F.lit("answer"))
+        F.when(F.col("error").isNotNull(), F.lit("error"))
+        .when(real & (F.col("tool_calls") > 0), F.lit("answer"))
         .when(real, F.lit("early"))
         .when(F.col("action").isNull(), F.lit("format"))
         .when(F.col("_again"), F.lit("repeat"))
@@ -127,7 +134,7 @@ def _classified(replies: DataFrame, state: DataFrame, asked: DataFrame) -> DataF
     return marked.withColumn("kind", kind).drop("_again", "key", "tool_calls")
 
 
-def _observed(step, chunks, make_embed, agent, search) -> DataFrame:
+def _observed(step, chunks, make_embed, agent, search, retrieve) -> DataFrame:
     """Each step with the user turn that follows it and the paths it consulted."""
     queries = step.where(F.col("kind") == "search").select(F.col("conv_id").alias("query_id"), F.col("action").alias("text"))
     if chunks is None:
@@ -139,7 +146,7 @@ def _observed(step, chunks, make_embed, agent, search) -> DataFrame:
             ),
         )
     else:
-        report = agent_search(embed(queries, "text", make_embed), chunks, search, agent).select(
+        report = agent_search(embed(queries, "text", make_embed), chunks, search, agent, retrieve).select(
             F.col("query_id").alias("conv_id"), "matches", "paths", "observation"
         )
     text = (
@@ -166,6 +173,7 @@ def _advanced(state: DataFrame, told: DataFrame) -> DataFrame:
         F.col("tokens").alias("_tokens"),
         F.col("server_tokens").alias("_server"),
         F.when(F.col("kind") == "answer", F.col("found")).alias("_answer"),
+        F.when(F.col("kind") == "error", F.col("error")).alias("_error"),
     )
 
     def plus(name, other):
@@ -174,6 +182,7 @@ def _advanced(state: DataFrame, told: DataFrame) -> DataFrame:
     return state.join(moved, "conv_id", "left").select(
         "conv_id", plus("tool_calls", "_calls"), plus("retrieved_matches", "_matches"), plus("tokens", "_tokens"),
         plus("server_tokens", "_server"), F.coalesce("answer", "_answer").alias("answer"),
+        F.coalesce("error", "_error").alias("error"),
     )
 
 
@@ -184,18 +193,18 @@ def batch_reply(
     chunks: DataFrame | None,
     make_generate: Callable,
     make_embed: Callable,
-    agent: AgentOptions = AgentOptions(),
+    agent: AgentOptions,
     memory: MemoryOptions = MemoryOptions(),
     search: SearchOptions = SearchOptions(),
+    max_request_tokens: int | None = None,
+    retrieve: Callable[..., DataFrame] = search_hybrid,
 ) -> DataFrame:
     """Reply to every request (conv_id, prompt, files, rag_enabled).
 
     The flow of a request picks its template (system, user) and whether the
     agent runs or the model is called once. All requests of a kind run
-    together; a run's duration is shared by its rows.
+    together. A request that was refused has its error and no text.
     """
-    import time
-
     flow = pr.flow_type(F.col("files"), F.col("rag_enabled"))
     table = F.create_map(
         *[x for name, pair in templates.items() for x in (F.lit(name), F.struct(
@@ -209,13 +218,12 @@ def batch_reply(
         )
     )
     react = F.col("flow").isin("GLOBAL_REACT_AGENT", "DEEP_REACT_AGENT")
-    started = time.time()
     deep = routed.where(react)
     parts = []
     if not deep.isEmpty():
         run = batch_agent(
             messages.join(deep, "conv_id", "left_semi"), deep.select("conv_id", "prompt"), chunks, make_generate,
-            make_embed, deep.select("conv_id", "system_prompt"), agent, memory, search,
+            make_embed, deep.select("conv_id", "system_prompt"), agent, memory, search, max_request_tokens, retrieve,
         )
         parts.append(checkpoint(run))
     plain = routed.where(~react)
@@ -227,14 +235,13 @@ def batch_reply(
         zero = F.lit(0).cast("long")
         parts.append(
             checkpoint(
-                generate(history, make_generate).select(
+                generate(history, make_generate, max_request_tokens).select(
                     "conv_id", "text", "tokens", "server_tokens", zero.alias("tool_calls"),
-                    zero.alias("retrieved_matches"), F.array().cast("array<string>").alias("references"),
+                    zero.alias("retrieved_matches"), F.array().cast("array<string>").alias("references"), "error",
                 )
             )
         )
     if not parts:
         raise ValueError("no requests")
     out = parts[0] if len(parts) == 1 else parts[0].unionByName(parts[1])
-    ms = F.lit(int((time.time() - started) * 1000))
-    return out.join(routed.select("conv_id", "flow"), "conv_id").withColumn("duration_seconds", duration_seconds(ms))
+    return out.join(routed.select("conv_id", "flow"), "conv_id")

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable, Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -154,63 +155,53 @@ def chunk_plain(docs: DataFrame, budgets: ChunkBudgets = ChunkBudgets(), content
 
 def chunk_with_encoder(
     docs: DataFrame,
-    make_count: Callable[[], Callable[[str], int]],
+    make_ends: Callable[[], Callable[[str], list]],
     budgets: ChunkBudgets = ChunkBudgets(),
     content: str = "content",
     **kw,
 ) -> DataFrame:
-    """Line packing with a user's token counter, in Arrow batches.
+    """Line packing by a user's tokens, in Arrow batches.
 
-    The counter is built once per Python worker. Rows stay where they are: no
-    shuffle, and one document is the unit of work.
+    ``make_ends`` builds the encoder once per Python worker; its function gives
+    the end of every token of a text, in characters and ascending. A text is
+    encoded once. Whole lines join a chunk while its tokens fit the fallback
+    budget; a line that alone exceeds it is cut behind its tokens, as many at a
+    time as the max budget holds. Rows stay where they are.
     """
     cache: list = []
     room = min(budgets.fallback, budgets.max)
 
-    def prefix_end(count, text, start, end):
-        low, high, best = start + 1, end, min(end, start + 1)
-        while low <= high:
-            mid = (low + high) // 2
-            if count(text[start:mid]) <= budgets.max:
-                best, low = mid, mid + 1
-            else:
-                high = mid - 1
-        return best
-
-    def cut(count, text, start, end):
-        while start < end:
-            stop = prefix_end(count, text, start, end)
-            yield start, stop
-            start = stop
-
-    def pack(count, text):
-        start = cursor = 0
-        for line in _lines(text):
-            after = cursor + len(line)
-            size = count(text[start:after])
-            if size > room and start < cursor:
-                yield start, cursor
-                start, size = cursor, count(line)
-            if size > room:
-                yield from cut(count, text, start, after)
-                start = after
-            cursor = after
-        if start < len(text):
-            yield from cut(count, text, start, len(text))
-
     @pandas_udf(NO_SPANS)
     def spans(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         if not cache:
-            cache.append(make_count())
+            cache.append(make_ends())
         for texts in batches:
-            yield texts.map(lambda t: [{"start": s, "end": e} for s, e in pack(cache[0], t or "")])
+            yield texts.map(lambda t: list(_token_spans(t or "", cache[0](t or ""), room, budgets.max)))
 
     return emit_chunks(docs, spans(F.col(content)), content, **kw)
 
 
-def _lines(text: str) -> list[str]:
-    parts = text.split("\n")
-    return [p + "\n" for p in parts[:-1]] + ([parts[-1]] if parts[-1] else [])
+def _token_spans(text: str, ends, room: int, most: int) -> Iterator[dict]:
+    """Spans of ``text``; a token belongs to the span in which it ends."""
+    ends = np.asarray(ends, dtype=np.int64)
+    lines = np.flatnonzero(np.frombuffer(text.encode("utf-32-le"), np.uint32) == ord("\n")) + 1
+    if len(text) and (not len(lines) or lines[-1] < len(text)):
+        lines = np.append(lines, len(text))
+    tokens_to = np.searchsorted(ends, lines, "right")  # tokens that end by the end of each line
+    start, line, used = 0, 0, 0
+    while line < len(lines):
+        fitting = int(np.searchsorted(tokens_to, used + room, "right"))
+        if fitting > line:  # lines that fit together
+            yield {"start": start, "end": int(lines[fitting - 1])}
+            line = fitting
+        else:
+            stop, total = int(lines[line]), int(tokens_to[line])
+            for n in range(used + most, total, most):
+                yield {"start": start, "end": int(ends[n - 1])}
+                start = int(ends[n - 1])
+            yield {"start": start, "end": stop}
+            line += 1
+        start, used = int(lines[line - 1]), int(tokens_to[line - 1])
 
 
 # Line starts that open a declaration, per language family.

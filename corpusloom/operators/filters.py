@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from corpusloom.functions import files as ff
@@ -10,9 +10,6 @@ from corpusloom.functions.text import is_blank
 from corpusloom.operators.prefix import with_prefix_sums
 from corpusloom.options import IndexOptions
 
-# Largest cap for which the first files are picked by a distributed top-n.
-TOP_N_LIMIT = 1_000_000
-
 
 def size_limit(max_kb: int) -> int:
     return max(1, max_kb) * 1024
@@ -109,16 +106,11 @@ def error_samples(dispositions: DataFrame, reason: Column, failed: Column, n: in
 def running_cap(files: DataFrame, cap: int, count: str = "chunk_count", order: str = "path") -> DataFrame:
     """Files in path order until the chunks before them reach ``cap``.
 
-    The file that crosses the cap is kept whole. A kept file has at least one
-    chunk, so no more than ``cap`` files can stay: they are taken by a
-    distributed top-n before the running sum. Larger caps use range sums.
+    The file that crosses the cap is kept whole. Running sums go by ranges of
+    the path, whatever the cap.
     """
     cap = max(1, cap)
     counted = files.where(F.col(count) > 0)
-    if cap <= TOP_N_LIMIT:
-        first = counted.orderBy(order).limit(cap)
-        before = F.sum(count).over(Window.orderBy(order).rowsBetween(Window.unboundedPreceding, 0)) - F.col(count)
-        return first.withColumn("chunks_before", before).where(F.col("chunks_before") < cap)
     summed = with_prefix_sums(counted, [order], {"_upto": F.col(count)})
     return (
         summed.withColumn("chunks_before", F.col("_upto") - F.col(count))

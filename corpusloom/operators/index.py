@@ -11,7 +11,7 @@ from corpusloom.functions import files as ff
 from corpusloom.functions.models import embed
 from corpusloom.functions.text import java_symbols, keyword_entities
 from corpusloom.operators.chunking import emit_chunks, line_spans, merge_small
-from corpusloom.operators.filters import TOP_N_LIMIT, keep_files, running_cap
+from corpusloom.operators.filters import keep_files, running_cap
 from corpusloom.operators.metrics import index_summary, project_type
 from corpusloom.options import IndexOptions
 from corpusloom.session import spread
@@ -71,16 +71,9 @@ def collect_chunks(
     project: DataFrame | str | None = None,
     merge: bool = False,
 ) -> DataFrame:
-    """Chunk rows of a table of files (path, size, content).
-
-    A kept file has at least one chunk, so a cap on chunks never needs more
-    files than its number: the first paths are found before anything is
-    chunked.
-    """
+    """Chunk rows of a table of files (path, size, content); all of them unless ``options.max_chunks`` is set."""
     kept = keep_files(files, options)
     cap = options.max_chunks
-    if cap is not None and cap <= TOP_N_LIMIT:
-        kept = kept.join(kept.select("path").orderBy("path").limit(max(1, cap)), "path", "left_semi")
     spans = line_spans(F.col("content"), options.budgets)
     if merge:
         spans = merge_small(spans, options.budgets)

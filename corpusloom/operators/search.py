@@ -6,15 +6,19 @@ Queries: ``query_id``, ``text``, ``embedding``. Chunks: the chunk row plus
 
 from __future__ import annotations
 
+from dataclasses import replace
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from corpusloom.functions import files as ff
 from corpusloom.functions import scoring as sc
+from corpusloom.functions.prompting import observation_text
 from corpusloom.functions.text import js_trim
 from corpusloom.operators.filters import nonblank_queries, path_filter, valid_records
 from corpusloom.operators.topk import Scoring, scan_topk
-from corpusloom.options import SearchOptions
+from corpusloom.options import ReportOptions, SearchOptions
+from corpusloom.session import checkpoint
 
 METADATA = ("path", "file_name", "folder", "extension", "language", "class_name", "method_name", "keyword_entities")
 
@@ -23,19 +27,11 @@ def searchable_text(chunks: DataFrame):
     return sc.searchable(*[F.col(c) for c in METADATA if c in chunks.columns])
 
 
-# Hits are broadcast up to this many rows of an id and a few numbers each.
-MAX_BROADCAST_HITS = 500_000
-
+def _labelled(hits: DataFrame, chunks: DataFrame, *columns: str) -> DataFrame:
+    """Bring the shown columns of the hits back by id; Spark measures the hits and picks the join.
 
-def _labelled(hits: DataFrame, bound: int | None, chunks: DataFrame, *columns: str) -> DataFrame:
-    """Bring the shown columns of the few hits back by id.
-
-    The first pass over the corpus reads only what scoring needs. ``bound`` is
-    the proven number of hit rows: up to a limit they are broadcast, so the
-    corpus is not shuffled; beyond it the join is left to Spark.
+    The first pass over the corpus reads only what scoring needs.
     """
-    if bound is not None and bound <= MAX_BROADCAST_HITS:
-        hits = F.broadcast(hits)
     index = F.col("chunk_index") if "chunk_index" in chunks.columns else F.lit(None).cast("int")
     count = F.col("chunk_count") if "chunk_count" in chunks.columns else F.lit(None).cast("int")
     shown = chunks.select(
@@ -59,12 +55,12 @@ def search_exact(queries: DataFrame, chunks: DataFrame, options: SearchOptions =
         options.min_cosine,
         digits=options.digits,
     )
-    found, bound = scan_topk(asked, rows, scoring, **scan)
+    found = scan_topk(asked, rows, scoring, **scan)
     hits = found.select(
         "query_id", "id", "rank", F.col("score").alias("combined"),
         F.col("first").alias("cosine"), F.col("second").alias("lexical"), (1 - F.col("first")).alias("distance"),
     )
-    return _labelled(hits, bound, chunks)
+    return _labelled(hits, chunks)
 
 
 def search_lexical(
@@ -91,7 +87,7 @@ def search_lexical(
     scoring = Scoring("words", k, weights, digits=options.digits)
     asked, listed = _with_paths(asked, paths, as_pairs=fetch_limit is not None)
     if listed is None:
-        hits, bound = scan_topk(asked, first if "paths" in asked.columns else first.drop("path"), scoring, **scan)
+        hits = scan_topk(asked, first if "paths" in asked.columns else first.drop("path"), scoring, **scan)
     else:
         free, pairs = _split_by_filter(asked, rows, listed)
         if fetch_limit is not None:
@@ -104,13 +100,13 @@ def search_lexical(
         scored = scored.withColumn("score", F.col("first") * weights[0] + F.col("second") * weights[1])
         scored = _rounded(scored, options)
         narrow = _ranked(scored.where(F.col("score") > 0), k, F.desc("score"), F.asc("id"))
-        wide, _ = scan_topk(free, first.drop("path"), scoring, **scan)
-        hits, bound = wide.unionByName(narrow), _bound(asked, k)
+        wide = scan_topk(free, first.drop("path"), scoring, **scan)
+        hits = wide.unionByName(narrow)
     hits = hits.select(
         "query_id", "id", "rank", F.col("score").alias("combined"),
         F.col("first").alias("metadata_score"), F.col("second").alias("content_score"),
     )
-    return _labelled(hits, bound, chunks)
+    return _labelled(hits, chunks)
 
 
 def candidate_pool(
@@ -121,10 +117,6 @@ def candidate_pool(
     **scan,
 ) -> DataFrame:
     """Nearest ``max(max_results, candidate_pool)`` chunks of each query by distance."""
-    return _pool(queries, chunks, options, paths, **scan)[0]
-
-
-def _pool(queries, chunks, options, paths, **scan) -> tuple[DataFrame, int | None]:
     k = max(options.max_results, options.candidate_pool)
     asked = nonblank_queries(queries).select("query_id", "embedding")
     rows = _usable(chunks, options)
@@ -132,7 +124,7 @@ def _pool(queries, chunks, options, paths, **scan) -> tuple[DataFrame, int | Non
     asked, listed = _with_paths(asked, paths)
     if listed is None:
         seen = ["id", "embedding", *(["path"] if "paths" in asked.columns else [])]
-        pool, bound = scan_topk(asked, rows.select(*seen), scoring, **scan)
+        pool = scan_topk(asked, rows.select(*seen), scoring, **scan)
     else:
         free, pairs = _split_by_filter(asked, rows.select("id", "path", F.col("embedding").alias("stored")), listed)
         near = pairs.select(
@@ -140,10 +132,9 @@ def _pool(queries, chunks, options, paths, **scan) -> tuple[DataFrame, int | Non
         )
         near = _rounded(near.withColumn("second", F.lit(0.0)), options).withColumn("score", -F.col("first"))
         narrow = _ranked(near, k, F.desc("score"), F.asc("id"))
-        wide, _ = scan_topk(free, rows.select("id", "embedding"), scoring, **scan)
-        pool, bound = wide.unionByName(narrow), _bound(asked, k)
-    shown = pool.select("query_id", "id", F.col("rank").alias("pool_rank"), F.col("first").alias("distance"))
-    return shown, bound
+        wide = scan_topk(free, rows.select("id", "embedding"), scoring, **scan)
+        pool = wide.unionByName(narrow)
+    return pool.select("query_id", "id", F.col("rank").alias("pool_rank"), F.col("first").alias("distance"))
 
 
 def search_hybrid(
@@ -154,8 +145,8 @@ def search_hybrid(
     **scan,
 ) -> DataFrame:
     """Nearest neighbours by distance, re-ranked with token hits in the metadata."""
-    pool, bound = _pool(queries, chunks, options, paths, **scan)
-    return rerank(pool, queries, chunks, options, bound)
+    queries = checkpoint(queries, "queries")  # a query is embedded once, however often it is read
+    return rerank(candidate_pool(queries, chunks, options, paths, **scan), queries, chunks, options)
 
 
 def rerank(
@@ -163,13 +154,12 @@ def rerank(
     queries: DataFrame,
     chunks: DataFrame,
     options: SearchOptions = SearchOptions(),
-    bound: int | None = None,
 ) -> DataFrame:
     """Score a candidate pool with vector and lexical parts and keep the best."""
     meta = chunks.withColumn("searchable", searchable_text(chunks))
     tokens = queries.select("query_id", sc.tokenize(F.col("text")).alias("tokens"))
     scored = (
-        _labelled(pool, bound, meta, "searchable")
+        _labelled(pool, meta, "searchable")
         .join(tokens, "query_id")
         .withColumn("vector", sc.vector_score(F.col("distance")))
         .withColumn("lexical", sc.lexical_path_score(F.col("tokens"), F.col("searchable")))
@@ -187,20 +177,21 @@ def top_summary(hits: DataFrame, n: int = 5) -> DataFrame:
     return hits.where(F.col("rank") <= n)
 
 
-def agent_search(queries: DataFrame, chunks: DataFrame, options: SearchOptions = SearchOptions(), agent=None, **scan):
-    """Hybrid search with few results and one text report per query.
+def agent_search(
+    queries: DataFrame,
+    chunks: DataFrame,
+    options: SearchOptions = SearchOptions(),
+    agent: ReportOptions = ReportOptions(),
+    retrieve=search_hybrid,
+    **scan,
+) -> DataFrame:
+    """Few results of a search and one text report per query.
 
     A query with no hit, or a blank one, gets the no-match report.
     """
-    from dataclasses import replace
-
-    from corpusloom.functions.prompting import observation_text
-    from corpusloom.options import AgentOptions
-
-    agent = agent or AgentOptions()
-    trimmed = queries.withColumn("text", js_trim(F.col("text")))
+    trimmed = checkpoint(queries.withColumn("text", js_trim(F.col("text"))), "queries")
     few = replace(options, max_results=min(options.max_results, agent.max_matches))
-    hits = search_hybrid(trimmed, chunks, few, **scan)
+    hits = retrieve(trimmed, chunks, few, **scan)
     # At most max_matches structs per query.
     listed = hits.groupBy("query_id").agg(
         F.array_sort(F.collect_list(F.struct("rank", "path", "content"))).alias("hits")
@@ -249,12 +240,6 @@ def _usable(chunks: DataFrame, options: SearchOptions) -> DataFrame:
     return valid_records(chunks)
 
 
-def _bound(asked: DataFrame, k: int) -> int | None:
-    """Most rows a top-k of these queries can have, when that is few."""
-    count = asked.limit(MAX_BROADCAST_HITS // k + 1).count()
-    return count * k if count * k <= MAX_BROADCAST_HITS else None
-
-
 def semi_path_filter(pairs: DataFrame, paths: DataFrame) -> DataFrame:
     """Keep (query_id, path) rows that the query's own list allows."""
     return pairs.join(path_filter(paths.select("query_id", "path")), ["query_id", "path"], "left_semi")

@@ -2,14 +2,14 @@
 
 Each task streams its share of the corpus against a block of queries with one
 matrix product per batch and keeps its best ``k`` rows per query. Only those
-leave the task; two merge steps bring them together. A query set larger than
-the bound on a block is spread over a grid of (corpus pack, query block) pairs
-whose sizes are bounded on both sides.
+leave the task; two merge steps bring them together. Queries are dealt into
+blocks of bounded rows and bytes; every block is one scan of the corpus, which
+is never shuffled, and one block is the same path as many.
 """
 
 from __future__ import annotations
 
-import math
+import functools
 import re
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -19,13 +19,11 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from corpusloom.session import spread
+from corpusloom.session import checkpoint, spread
 
-# A query block may travel with every task up to these bounds.
+# Bounds of a query block, which travels with every task.
 MAX_BLOCK_ROWS = 4096
 MAX_BLOCK_BYTES = 64 << 20
-# Corpus rows per pack when the query set is spread over a grid.
-PACK_ROWS = 50_000
 ROWS_AT_ONCE = 1024
 # Spread of one query's candidates in the first merge step.
 MERGE_SALTS = 64
@@ -73,11 +71,13 @@ class TokenIndex:
         self.position = {t: i for i, t in enumerate(names)}
         self.sizes = sorted({len(t) for t in names})
         self.known: dict[str, np.ndarray] = {}
-        # Occurrences of each token per query: duplicates count.
-        self.weight = np.zeros((len(names), len(token_lists)))
+        # Queries of each token, one entry per occurrence: duplicates count.
+        asked = [[] for _ in names]
         for q, tokens in enumerate(token_lists):
             for t in tokens:
-                self.weight[self.position[t], q] += 1
+                asked[self.position[t]].append(q)
+        self.first = np.concatenate([[0], np.cumsum([len(a) for a in asked], dtype=np.int64)])
+        self.query = np.array([q for a in asked for q in a], dtype=np.int64)
         self.total = np.array([max(len(t), 1) for t in token_lists], dtype=float)
 
     def inside(self, word: str) -> np.ndarray:
@@ -95,13 +95,21 @@ class TokenIndex:
         return found
 
     def ratios(self, texts) -> np.ndarray:
-        """Share of each query's tokens found, as (texts, queries)."""
-        hits = np.zeros((len(texts), len(self.position)))
+        """Share of each query's tokens found, as (texts, queries); tokens are kept as lists, not as a matrix."""
+        rows, tokens = [], []
         for row, text in enumerate(texts):
             found = [self.inside(word) for word in set(WORD.findall((text or "").lower()))]
             if found:
-                hits[row, np.concatenate(found)] = 1.0
-        return (hits @ self.weight) / self.total
+                own = np.unique(np.concatenate(found))
+                rows.append(np.full(len(own), row))
+                tokens.append(own)
+        out = np.zeros((len(texts), len(self.total)))
+        if rows:
+            row, token = np.concatenate(rows), np.concatenate(tokens)
+            n = self.first[token + 1] - self.first[token]
+            at = np.repeat(self.first[token] - (np.cumsum(n) - n), n) + np.arange(n.sum())
+            out = np.bincount(np.repeat(row, n) * len(self.total) + self.query[at], minlength=out.size).reshape(out.shape)
+        return out / self.total
 
 
 class QueryBlock:
@@ -234,45 +242,46 @@ def merge_topk(partials: DataFrame, k: int) -> DataFrame:
     return cut.withColumn("rank", F.row_number().over(whole)).where(F.col("rank") <= k)
 
 
-def scan_topk(
-    queries: DataFrame,
-    corpus: DataFrame,
-    scoring: Scoring,
-    max_block_rows: int | None = None,
-    pack_rows: int | None = None,
-) -> tuple[DataFrame, int | None]:
+def scan_topk(queries: DataFrame, corpus: DataFrame, scoring: Scoring, max_block_rows: int = MAX_BLOCK_ROWS) -> DataFrame:
     """Top-k rows of ``corpus`` (id, ...) for each of ``queries`` (query_id, ...).
 
-    Also gives the largest number of rows the result can have, or None when
-    the query set is larger than one block.
-
     Query columns: ``embedding`` and/or ``tokens``, and ``paths`` (null for
     none) where queries have path lists. Corpus columns as the scoring needs
     them: ``embedding``, ``searchable``, ``content``, ``path``.
     """
     corpus = spread(corpus)
-    bound = MAX_BLOCK_ROWS if max_block_rows is None else max_block_rows
+    spark = queries.sparkSession
     types = {"q": queries.schema["query_id"].dataType.simpleString(), "c": corpus.schema["id"].dataType.simpleString()}
     schema = RESULT.format(**types)
-    block = queries.limit(bound + 1)
-    rows, weight = block.agg(F.count("*"), F.coalesce(F.sum(_weight(queries)), F.lit(0))).first()
-    if not rows:  # nothing asked: the corpus is not read
-        return merge_topk(queries.sparkSession.createDataFrame([], schema), scoring.k), 0
-    if rows <= bound and weight <= MAX_BLOCK_BYTES:
-        sample = block.toPandas()  # within both bounds
-        handed = queries.sparkSession.sparkContext.broadcast(sample)
+    partials = [_scan(corpus, spark.sparkContext.broadcast(block), scoring, schema) for block in _blocks(queries, max_block_rows)]
+    if not partials:  # nothing asked: the corpus is not read
+        partials = [spark.createDataFrame([], schema)]
+    return merge_topk(functools.reduce(DataFrame.unionByName, partials), scoring.k)
+
+
+def _scan(corpus: DataFrame, block, scoring: Scoring, schema: str) -> DataFrame:
+    def run(batches):
+        yield QueryBlock(block.value, scoring).best(batches)
 
-        def run(batches):
-            yield QueryBlock(handed.value, scoring).best(batches)
+    return corpus.mapInPandas(run, schema)
 
-        return merge_topk(corpus.mapInPandas(run, schema), scoring.k), rows * scoring.k
-    partials = _grid(queries, corpus, scoring, schema, bound, weight / rows, pack_rows or PACK_ROWS)
-    return merge_topk(partials, scoring.k), None
+
+def _blocks(queries: DataFrame, most: int) -> Iterator[pd.DataFrame]:
+    """The queries once, in blocks within both bounds (or of one query); the driver holds one block at a time."""
+    names, rows, weight = queries.columns, [], 0
+    for row in checkpoint(queries.withColumn("_weight", _weight(queries)), "queries").toLocalIterator():
+        if rows and (len(rows) >= most or weight + row["_weight"] > MAX_BLOCK_BYTES):
+            yield pd.DataFrame(rows, columns=names)
+            rows, weight = [], 0
+        rows.append(tuple(row)[:-1])
+        weight += row["_weight"]
+    if rows:
+        yield pd.DataFrame(rows, columns=names)
 
 
 def scan_first(needles: DataFrame, rows: DataFrame, k: int, **scan) -> DataFrame:
     """First ``k`` rows by id whose text contains the needle."""
-    return scan_topk(needles, rows, Scoring("contains", k), **scan)[0]
+    return scan_topk(needles, rows, Scoring("contains", k), **scan)
 
 
 def _weight(queries: DataFrame):
@@ -290,27 +299,3 @@ def _weight(queries: DataFrame):
     for field in queries.schema:
         total = total + one(field)
     return total
-
-
-def _grid(queries, corpus, scoring, schema, bound, row_bytes, pack_rows):
-    """Pair every corpus pack with every query block; both have bounded sizes."""
-    rows = max(1, min(bound, int(MAX_BLOCK_BYTES / max(row_bytes, 1))))
-    blocks = math.ceil(queries.count() / rows)
-    packs = math.ceil(corpus.count() / pack_rows)
-
-    def numbered(df, key, n):
-        return F.pmod(F.xxhash64(F.col(key)), F.lit(max(n, 1))).cast("int")
-
-    def every(n):
-        return F.explode(F.sequence(F.lit(0), F.lit(max(n, 1) - 1)))
-
-    left = corpus.withColumn("_pack", numbered(corpus, "id", packs)).withColumn("_block", every(blocks))
-    right = queries.withColumn("_block", numbered(queries, "query_id", blocks)).withColumn("_pack", every(packs))
-
-    def run(pack: pd.DataFrame, block: pd.DataFrame) -> pd.DataFrame:
-        if not len(pack) or not len(block):
-            return pd.DataFrame(columns=["query_id", "id", "score", "first", "second"])
-        return QueryBlock(block.reset_index(drop=True), scoring).best(iter([pack]))
-
-    keys = ["_pack", "_block"]
-    return left.groupBy(*keys).cogroup(right.groupBy(*keys)).applyInPandas(run, schema)

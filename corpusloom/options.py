@@ -36,7 +36,7 @@ class ChunkBudgets:
 @dataclass(frozen=True)
 class IndexOptions:
     max_file_kb: int = 512
-    max_chunks: int | None = 2000
+    max_chunks: int | None = None
     exclude_dirs: tuple[str, ...] = EXCLUDED_DIRS
     exclude_globs: tuple[str, ...] = EXCLUDED_GLOBS
     budgets: ChunkBudgets = field(default_factory=ChunkBudgets)
@@ -83,23 +83,29 @@ class MemoryOptions:
 
 
 @dataclass(frozen=True)
-class AgentOptions:
-    """Texts and limits of the agent loop; every text can be replaced.
+class ReportOptions:
+    """How hits are reported to a model.
 
     ``no_match`` and ``repeated`` are fixed report texts that replies may refer to.
     """
 
-    max_rounds: int = 6
     max_matches: int = 5
     tool_name: str = "agent_search"
-    search_first: str = "Run at least one search action before the final answer: give Thought and Action."
-    fix_format: str = (
-        "The last reply could not be read. Reply with these two lines only:\n"
-        "Thought: <what to look up next>\n"
-        "Action: agent_search(\"search terms\")"
-    )
-    answer_now: str = "No more searching. Give Final Answer: from the observations so far."
-    keep_going: str = "Go on with Thought and Action, or end with Final Answer: <your answer>"
     no_match: str = "No indexed code matched the query."
     unavailable: str = "The collection is unavailable or not indexed."
     repeated: str = "This exact query was already executed. Refine the search terms before trying again."
+
+
+@dataclass(frozen=True, kw_only=True)
+class AgentOptions(ReportOptions):
+    """Texts and limits of the agent loop. What the model is told is the caller's: these texts have no defaults.
+
+    ``search_first`` follows an answer without a search, ``fix_format`` a reply that cannot be read,
+    ``keep_going`` every report, and ``answer_now`` the last round.
+    """
+
+    search_first: str
+    fix_format: str
+    answer_now: str
+    keep_going: str
+    max_rounds: int = 6

@@ -13,7 +13,7 @@ from corpusloom.plans import views as v
 from corpusloom.plans.registry import query
 from corpusloom.plans.search_queries import SEARCHABLE
 from corpusloom.plans.store_queries import profile
-from corpusloom.plans.stubs import make_counter_reply, make_embed, make_generate
+from corpusloom.plans.stubs import AGENT, make_counter_reply, make_embed, make_generate
 from corpusloom.session import fresh_path
 from corpusloom.sources.collections import read_collection, replace_collection
 
@@ -76,13 +76,13 @@ def last_text(spark, sf):
 @query(
     "batch_agent",
     sql=f"""SELECT query_id AS conv_id, 'about ' || any_value(q.text) AS text, CAST(2 AS BIGINT) AS tokens, CAST(2 AS BIGINT) AS server_tokens,
-        CAST(1 AS BIGINT) AS tool_calls, count(*) AS retrieved_matches, array_to_string(list_sort(list(path)), '|') AS "references"
+        CAST(1 AS BIGINT) AS tool_calls, count(*) AS retrieved_matches, array_to_string(list_sort(list(path)), '|') AS "references", NULL::VARCHAR AS error
         FROM ({hits_sql(WORDS)}) JOIN ({WORDS}) q USING (query_id) GROUP BY query_id""",
 )
 def batch_agent(spark, sf):
     out = ag.batch_agent(
         v.table(spark, sf, "conversations"), last_text(spark, sf), collection(spark, sf), make_generate, make_embed,
-        SYSTEM, search=OPTIONS,
+        SYSTEM, AGENT, search=OPTIONS,
     )
     return out.withColumn("references", F.array_join("references", "|"))
 
@@ -110,6 +110,6 @@ def batch_reply(spark, sf):
     requests = last_text(spark, sf).withColumn("files", F.array(file)).withColumn("rag_enabled", F.col("conv_id") % 2 == 0)
     out = ag.batch_reply(
         v.table(spark, sf, "conversations"), requests, TEMPLATES, collection(spark, sf), make_generate, make_embed,
-        search=OPTIONS,
+        AGENT, search=OPTIONS,
     )
     return out.select("conv_id", "flow", "text", "tool_calls", "retrieved_matches")

@@ -12,7 +12,7 @@ from corpusloom.operators import conversation as cv
 from corpusloom.operators import filters as fl
 from corpusloom.operators import metrics as mt
 from corpusloom.operators.agent import parse_replies
-from corpusloom.options import AgentOptions, MemoryOptions
+from corpusloom.options import MemoryOptions, ReportOptions
 from corpusloom.plans import oracle as o
 from corpusloom.plans import views as v
 from corpusloom.plans.registry import query
@@ -337,7 +337,7 @@ def render_mode(spark, sf):
     )
 
 
-AGENT = AgentOptions()
+AGENT = ReportOptions()
 
 
 @query(

@@ -197,6 +197,7 @@ CTES = {
         WHEN regexp_matches(path, '(?i)^(?:.*/[^/]*\.bin|.*/[^/]*\.class|.*/[^/]*\.jar|.*/[^/]*\.lock)$') THEN 'glob'
         ELSE 'kept' END AS disposition
         FROM dirty WHERE NOT list_has_any(string_split(path, '/')[:-2], {texts(EXCLUDED_DIRS)})""",
+    "whole_dispositions": None,
     "code": """SELECT doc_id, path, 'import "mod' || doc_id || '.core"' || chr(10) || 'class Doc' || doc_id || ' {' || chr(10)
         || '  public int run' || (doc_id % 5) || '(int a, String b) {' || chr(10)
         || '    if (a > 0) { return helper(a); }' || chr(10) || '  }' || chr(10) || '}' || chr(10)
@@ -250,6 +251,10 @@ CTES = {
 }
 
 
+# The same tests with the default size limit.
+CTES["whole_dispositions"] = CTES["dispositions"].replace("16384", "524288")
+
+
 def statement(body: str) -> str:
     """``body`` with exactly the views it reaches in front of it."""
     wanted: list[str] = []

@@ -9,7 +9,6 @@ from corpusloom.operators import index as ix
 from corpusloom.operators import metrics as mt
 from corpusloom.plans import oracle as o
 from corpusloom.plans import views as v
-from corpusloom.plans.file_queries import OPTIONS
 from corpusloom.plans.registry import query
 from corpusloom.plans.stubs import LETTERS, make_embed
 from corpusloom.session import fresh_path
@@ -154,7 +153,7 @@ def embed_texts(spark, sf):
 
 
 KEPT_SPANS = f"""SELECT *, string_split(path, '/')[-1] AS file_name FROM (SELECT path, content, {o.finished('f')} AS k
-    FROM (SELECT path, content, {o.spans('content', 300, 512)} AS f FROM dispositions WHERE disposition = 'kept'))"""
+    FROM (SELECT path, content, {o.spans('content', 300, 512)} AS f FROM whole_dispositions WHERE disposition = 'kept'))"""
 INDEX_INPUT = f"""concat_ws(chr(10), path, file_name, {o.extension('file_name')}, array_to_string(string_split(path, '/')[:-2], '/'),
     {o.language('file_name')}, {o.file_type('file_name')}, '', '', 'generic', text)"""
 
@@ -168,7 +167,7 @@ INDEX_INPUT = f"""concat_ws(chr(10), path, file_name, {o.extension('file_name')}
 def index_corpus(spark, sf):
     path = fresh_path(spark, "index")
     files = v.dirty(spark, sf).select("path", "size", "content")
-    ix.index_corpus(files, make_embed, path, "whole_1", options=OPTIONS)
+    ix.index_corpus(files, make_embed, path, "whole_1")
     return co.read_collection(spark, path, "whole_1").select(
         "collection_id", "id", F.col("chunk_count").cast(LONG).alias("chunk_count"),
         F.col("chunk_end").cast(LONG).alias("chunk_end"), "language", F.md5("content").alias("text_md5"),

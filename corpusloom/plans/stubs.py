@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from corpusloom.options import AgentOptions
+
 LETTERS = "aent"
 
 
@@ -35,3 +37,6 @@ def make_counter_reply():
         return f"{len(messages)} {messages[-1]['role']}", len(messages), 0
 
     return generate
+
+
+AGENT = AgentOptions(search_first="search", fix_format="format", answer_now="answer", keep_going="next")

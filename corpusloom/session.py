@@ -29,8 +29,8 @@ def build_session(app: str = "corpusloom", master: str | None = None, **conf) ->
 def shared_dir(spark: SparkSession) -> str:
     """The folder the cluster names in ``spark.checkpoint.dir``.
 
-    Only where the session names none (tests, one machine) is a temporary
-    folder made and set.
+    Only on one machine is a temporary folder made where the session names
+    none; on a cluster its executors would not share it, so that is an error.
     """
     named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get(
         "spark.checkpoint.dir", None
@@ -41,6 +41,8 @@ def shared_dir(spark: SparkSession) -> str:
         return named
     current = spark.sparkContext.getCheckpointDir()
     if current is None:
+        if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
         spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="corpusloom-"))
         current = spark.sparkContext.getCheckpointDir()
     return current

@@ -82,10 +82,23 @@ def test_encoder_chunks_match_the_default_counter(spark):
     docs = spark.createDataFrame(list(enumerate(texts())), "doc long, content string")
     budgets = ChunkBudgets(80, 100, 40, 60)
     cols = ("doc", "chunk_index", "chunk_start", "chunk_end")
-    mine = ch.chunk_with_encoder(docs, lambda: (lambda t: math.ceil(len(t) / 4)), budgets).select(*cols)
+    mine = ch.chunk_with_encoder(docs, lambda: (lambda t: list(range(1, len(t) + 1))), ChunkBudgets(320, 400, 160, 240)).select(*cols)
     assert sorted(mine.collect()) == sorted(ch.chunk_lines(docs, budgets).select(*cols).collect())
 
 
+def test_encoder_chunks_hold_whole_tokens(spark):
+    import re
+
+    docs = spark.createDataFrame(list(enumerate(texts())), "doc long, content string")
+    budgets = ChunkBudgets(32, 64, 8, 32)
+    ends = lambda t: [m.end() for m in re.finditer(r"\S+\s*|^\s+", t)]
+    rows = ch.chunk_with_encoder(docs, lambda: ends, budgets).collect()
+    for doc, text in enumerate(texts()):
+        parts = sorted((r.chunk_start, r.chunk_end, r.text) for r in rows if r.doc == doc)
+        assert "".join(p[2] for p in parts) == text
+        assert all(sum(p[0] < e <= p[1] for e in ends(text)) <= 64 for p in parts)
+
+
 def test_structured_units(spark):
     text = "/* c */" + "import a\n" + "class A {" + "x" * 600 + "}" + "tail"
     head, cls = text.index("import"), text.index("class")
@@ -172,7 +185,7 @@ def hits(df, rank="rank"):
     return {(r.query_id, r.id, r[rank]) for r in df.select("query_id", "id", rank).collect()}
 
 
-@pytest.mark.parametrize("scan", [{}, {"max_block_rows": 7, "pack_rows": 90}])
+@pytest.mark.parametrize("scan", [{}, {"max_block_rows": 7}, {"max_block_rows": 100}])
 def test_searches_against_brute_force(space, scan):
     chunks, queries, c, q = space
     options = SearchOptions(digits=6, max_results=9, candidate_pool=20)
@@ -187,7 +200,7 @@ def test_topk_is_a_prefix(space):
     assert few <= hits(se.search_hybrid(q, c, SearchOptions(digits=6, max_results=8)))
 
 
-@pytest.mark.parametrize("most,scan", [(200_000, {}), (0, {}), (200_000, {"max_block_rows": 7, "pack_rows": 90})])
+@pytest.mark.parametrize("most,scan", [(200_000, {}), (0, {}), (200_000, {"max_block_rows": 7})])
 def test_path_filter_narrows_only_its_queries(space, monkeypatch, most, scan):
     _, _, c, q = space
     monkeypatch.setattr(se, "MAX_FILTER_ROWS", most)
@@ -206,6 +219,32 @@ def test_metrics(space):
         assert pool.count() == 27 * 5
 
 
+def test_every_query_is_embedded_once(spark, space):
+    _, _, c, _ = space
+    from pyspark.sql import functions as F
+
+    calls = spark.sparkContext.accumulator(0)
+
+    @F.udf("array<double>")
+    def vector(text):
+        calls.add(1)
+        return [1.0] * 6
+
+    queries = spark.createDataFrame([(i, f"q{i}") for i in range(10)], "query_id long, text string").repartition(2)
+    se.agent_search(queries.withColumn("embedding", vector("text")), c).collect()
+    assert calls.value == 10
+
+
+def test_many_long_queries_stay_small():
+    from corpusloom.operators.topk import TokenIndex
+
+    index = TokenIndex([[f"t{q}x{i}" for i in range(40)] for q in range(4096)])
+    held = sum(x.nbytes for x in vars(index).values() if hasattr(x, "nbytes"))
+    assert held < 8 << 20
+    out = index.ratios(["t5x1 t5x2 t7x0", "nothing"])
+    assert out[0, 5] == 2 / 40 and out[0, 7] == 1 / 40 and np.count_nonzero(out) == 2
+
+
 def test_no_queries_reads_no_corpus(space):
     _, _, c, q = space
     assert se.search_exact(q.where("query_id < 0"), c).count() == 0

@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 
 from corpusloom.functions.models import embed, generate
 from corpusloom.operators import agent as ag
+from corpusloom.operators import search as se
 from corpusloom.operators import index as ix
 from corpusloom.operators import metrics as mt
 from corpusloom.options import AgentOptions, IndexOptions, SearchOptions
@@ -216,13 +217,16 @@ SCRIPTS = {
 }
 
 
-def run_agent(spark, **options):
+TEXTS = {"search_first": "search first", "fix_format": "fix", "answer_now": "answer", "keep_going": "go on"}
+
+
+def run_agent(spark, more={}, **options):
     messages = spark.createDataFrame(
         [(c, t, r, x) for c in SCRIPTS for t, r, x in ((0, "user", "hello"), (1, "assistant", "hi"), (2, "user", "q"))],
         "conv_id long, turn long, role string, text string",
     )
     prompts = spark.createDataFrame([(c, f"play {s}") for c, s in SCRIPTS.items()], "conv_id long, prompt string")
-    out = ag.batch_agent(messages, prompts, chunks(spark), scripted(), make_embed, "SYS", AgentOptions(**options), search=SearchOptions(digits=6))
+    out = ag.batch_agent(messages, prompts, chunks(spark), scripted(), make_embed, "SYS", AgentOptions(**TEXTS | options), search=SearchOptions(digits=6), **more)
     return {r.conv_id: r for r in out.collect()}
 
 
@@ -239,6 +243,18 @@ def test_agent_rules(spark):
     assert out[1].references == sorted(out[1].references)
 
 
+def test_a_refused_request_ends_with_its_error(spark, monkeypatch):
+    monkeypatch.setitem(SCRIPTS, 6, "x" * 40_000)
+    out = run_agent(spark, {"max_request_tokens": 5000})
+    assert {c: r.error for c, r in out.items()} == {c: "context exceeded" if c == 6 else None for c in SCRIPTS}
+    assert out[6].text is None and out[1].text == "one"
+
+
+def test_agent_with_another_retriever(spark):
+    out = run_agent(spark, {"retrieve": se.search_exact})
+    assert out[1].text == "one" and out[1].tool_calls == 1
+
+
 def test_agent_round_limit(spark):
     assert run_agent(spark, max_rounds=1)[1].text == "one"
 
