@@ -44,7 +44,34 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 DUCK_LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 
 
-@query("op2_mixing")
+@query("op2_mixing", """
+    WITH RECURSIVE docs AS (
+      SELECT doc_id, source, coalesce('=' || source, '') AS key,
+        row_number() OVER (PARTITION BY source ORDER BY md5(coalesce(doc_id::VARCHAR, '')), doc_id) - 1 AS mix_rank FROM documents),
+    counts AS (SELECT key, count(*) AS n FROM docs GROUP BY key),
+    src AS (
+      SELECT key, n, block_rows, sqrt(n) AS weight, ceil(n / block_rows)::BIGINT AS n_blocks, row_number() OVER (ORDER BY key) AS i
+      FROM counts, (SELECT greatest(1, ceil(sum(n) / 4096))::BIGINT AS block_rows FROM counts)),
+    ends AS (
+      SELECT s.i, j, sum(least(k.weight * (j - 1) / s.weight, k.n_blocks)) AS a, sum(least(k.weight * j / s.weight, k.n_blocks)) AS b
+      FROM (SELECT i, weight, unnest(range(1, n_blocks + 1)) AS j FROM src) s, src k GROUP BY s.i, j),
+    arrays AS (
+      SELECT list(w ORDER BY i) AS w, sum(len(w)) AS slots
+      FROM (SELECT i, list({'r': floor(a + 1e-9), 'd': ceil(b - 1e-9)} ORDER BY j) AS w FROM ends GROUP BY i)),
+    edf AS (
+      SELECT 0 AS t, list_transform(w, lambda x: 0) AS used, 0::BIGINT AS pick FROM arrays
+      UNION ALL
+      SELECT t + 1, list_transform(used, lambda n, i: CASE WHEN i = best THEN n + 1 ELSE n END), best
+      FROM (SELECT t, used, list_sort(list_transform(
+          list_filter(range(1, len(w) + 1), lambda i: used[i] < len(w[i])),
+          lambda i: {'early': w[i][used[i] + 1].r > t, 'd': w[i][used[i] + 1].d, 'i': i}))[1].i AS best, slots FROM edf, arrays WHERE t < slots)),
+    coarse AS (
+      SELECT pick AS i, t - 1 AS slot, (t - 1) // 64 AS win, row_number() OVER (PARTITION BY pick ORDER BY t) - 1 AS block FROM edf WHERE t > 0),
+    fine AS (SELECT win, i, count(*) AS quota, min(block) AS first_block, list(slot % 64 ORDER BY slot) AS places FROM coarse GROUP BY win, i)
+    SELECT doc_id, source, f.win::BIGINT AS mix_window,
+      ((x.idx // quota) * 64 + places[(x.idx % quota) + 1])::BIGINT AS mix_slot, mix_rank
+    FROM docs d JOIN src USING (key) JOIN coarse c ON c.i = src.i AND c.block = mix_rank // block_rows
+    JOIN fine f ON f.win = c.win AND f.i = c.i, LATERAL (SELECT (mix_rank - first_block * block_rows) // 4 AS idx) x""")
 def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document's place in the mix, source weights the square root of their size."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "source")
@@ -138,14 +165,14 @@ _N = "('0x' || substr(md5(host), {}, 3))::INT"
     best AS (
       SELECT *, row_number() OVER (PARTITION BY capture_id ORDER BY length(pattern) DESC, action, list_name) AS place,
         count(*) OVER (PARTITION BY capture_id) AS n FROM hits)
-    SELECT c.capture_id AS page_id, c.fetched_on, coalesce(b.action, 'none') AS decision, b.pattern, b.list_name,
+    SELECT c.capture_id AS page_id, c.fetched_on::VARCHAR AS fetched_on, coalesce(b.action, 'none') AS decision, b.pattern, b.list_name,
       coalesce(b.n, 0) AS n_active
     FROM captures c LEFT JOIN best b ON c.capture_id = b.capture_id AND b.place = 1""")
 def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every page judged by the list entries in force on its fetch date."""
     pages = table(spark, sf_dir, "pages").select("page_id", "url")
     return url_filter(captures_of(pages), entries_of(pages)).select(
-        F.col("capture_id").alias("page_id"), "fetched_on", "decision", "pattern", "list_name", "n_active"
+        F.col("capture_id").alias("page_id"), F.col("fetched_on").cast("string").alias("fetched_on"), "decision", "pattern", "list_name", "n_active"
     )
 
 
