@@ -44,30 +44,54 @@ def line_spans(content: Column, budgets: ChunkBudgets) -> Column:
         F.split(content, "\n"),
         lambda lines: F.transform(lines, lambda x, i: F.length(x) + F.when(i < F.size(lines) - 1, 1).otherwise(0)),
     )
-    zero = F.struct(
-        F.lit(0).alias("start"), F.lit(0).alias("cursor"), F.array().cast(NO_SPANS).alias("cuts")
-    )
+    zero = F.struct(F.lit(0).alias("start"), F.lit(0).alias("cursor"), *_no_cuts())
 
     def state(start, cursor, cuts):
-        return F.struct(start.cast("int").alias("start"), cursor.cast("int").alias("cursor"), cuts.alias("cuts"))
+        return F.struct(start.cast("int").alias("start"), cursor.cast("int").alias("cursor"), *cuts)
 
     def step(acc, n):
-        start, cursor, cuts = acc["start"], acc["cursor"], acc["cuts"]
+        start, cursor = acc["start"], acc["cursor"]
         after = cursor + n
-        closed = F.when(cursor > start, F.concat(cuts, F.array(_span(start, cursor)))).otherwise(cuts)
+        open_one = F.when(cursor > start, F.array(_span(start, cursor))).otherwise(F.array().cast(NO_SPANS))
         return (
-            F.when(after - start <= room, state(start, after, cuts))
-            .when(n <= room, state(cursor, after, closed))
-            .otherwise(state(after, after, F.concat(closed, windows(cursor, after, budgets.max))))
+            F.when(after - start <= room, state(start, after, _same(acc)))
+            .when(n <= room, state(cursor, after, _with(acc, open_one)))
+            .otherwise(state(after, after, _with(acc, F.concat(open_one, windows(cursor, after, budgets.max)))))
         )
 
     def finish(acc):
-        open_end = F.array(_span(acc["start"], acc["cursor"]))
-        return F.when(acc["cursor"] > acc["start"], F.concat(acc["cuts"], open_end)).otherwise(acc["cuts"])
+        open_end = F.when(acc["cursor"] > acc["start"], F.array(_span(acc["start"], acc["cursor"]))).otherwise(F.array().cast(NO_SPANS))
+        return _all(acc, open_end)
 
     return F.aggregate(lengths, zero, step, finish)
 
 
+# Spans that a fold collects before it files them. A fold copies its lists when it adds to them, so the
+# open list stays short and the filed ones are only pointed to: the work is linear in the text.
+FILED = 128
+
+
+def _no_cuts() -> list[Column]:
+    return [F.array().cast(NO_SPANS).alias("recent"), F.array().cast(f"array<{NO_SPANS}>").alias("filed")]
+
+
+def _same(acc: Column) -> list[Column]:
+    return [acc["recent"].alias("recent"), acc["filed"].alias("filed")]
+
+
+def _with(acc: Column, more: Column) -> list[Column]:
+    recent = F.concat(acc["recent"], more)
+    full = F.size(acc["recent"]) + F.size(more) >= FILED
+    return [
+        F.when(full, F.array().cast(NO_SPANS)).otherwise(recent).alias("recent"),
+        F.when(full, F.concat(acc["filed"], F.array(recent))).otherwise(acc["filed"]).alias("filed"),
+    ]
+
+
+def _all(acc: Column, more: Column) -> Column:
+    return F.flatten(F.concat(acc["filed"], F.array(F.concat(acc["recent"], more))))
+
+
 def merge_small(spans: Column, budgets: ChunkBudgets) -> Column:
     """Join neighbours when one is under the minimum and both together fit the target."""
     small, target = budgets.min, budgets.target
@@ -75,18 +99,23 @@ def merge_small(spans: Column, budgets: ChunkBudgets) -> Column:
     def tokens(start, end):
         return F.ceil((end - start) / CHARS_PER_TOKEN)
 
+    def state(start, end, cuts):
+        return F.struct(start.cast("int").alias("start"), end.cast("int").alias("end"), *cuts)
+
     def step(acc, x):
-        last = F.element_at(acc, -1)
-        little = (tokens(last["start"], last["end"]) < small) | (tokens(x["start"], x["end"]) < small)
-        fits = tokens(last["start"], x["end"]) <= target
-        joined = F.concat(F.slice(acc, F.lit(1), F.size(acc) - 1), F.array(_span(last["start"], x["end"])))
-        return F.when((F.size(acc) > 0) & little & fits, joined).otherwise(F.concat(acc, F.array(x)))
+        start, end = acc["start"], acc["end"]  # the open span; -1 before the first
+        little = (tokens(start, end) < small) | (tokens(x["start"], x["end"]) < small)
+        fits = tokens(start, x["end"]) <= target
+        return (
+            F.when(start < 0, state(x["start"], x["end"], _same(acc)))
+            .when(little & fits, state(start, x["end"], _same(acc)))
+            .otherwise(state(x["start"], x["end"], _with(acc, F.array(_span(start, end)))))
+        )
 
-    # The guard keeps element_at away from the empty array.
-    def safe_step(acc, x):
-        return F.when(F.size(acc) == 0, F.array(x)).otherwise(step(acc, x))
+    def finish(acc):
+        return F.when(acc["start"] < 0, F.array().cast(NO_SPANS)).otherwise(_all(acc, F.array(_span(acc["start"], acc["end"]))))
 
-    return F.aggregate(spans, F.array().cast(NO_SPANS), safe_step)
+    return F.aggregate(spans, F.struct(F.lit(-1).alias("start"), F.lit(-1).alias("end"), *_no_cuts()), step, finish)
 
 
 def emit_chunks(
