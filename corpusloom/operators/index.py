@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from corpusloom.functions import files as ff
@@ -13,7 +13,7 @@ from corpusloom.functions.text import java_symbols, keyword_entities
 from corpusloom.operators.chunking import emit_chunks, line_spans, merge_small
 from corpusloom.operators.filters import keep_files, running_cap
 from corpusloom.operators.metrics import index_summary, project_type
-from corpusloom.options import IndexOptions
+from corpusloom.options import ChunkBudgets, IndexOptions
 from corpusloom.session import spread
 from corpusloom.sources.collections import read_collection, replace_collection
 
@@ -70,11 +70,15 @@ def collect_chunks(
     options: IndexOptions = IndexOptions(),
     project: DataFrame | str | None = None,
     merge: bool = False,
+    chunker: Callable[[Column, ChunkBudgets], Column] = line_spans,
 ) -> DataFrame:
-    """Chunk rows of a table of files (path, size, content); all of them unless ``options.max_chunks`` is set."""
+    """Chunk rows of a table of files (path, size, content); all of them unless ``options.max_chunks`` is set.
+
+    ``chunker`` gives the spans (start, end) of a text under the budgets.
+    """
     kept = keep_files(files, options)
     cap = options.max_chunks
-    spans = line_spans(F.col("content"), options.budgets)
+    spans = chunker(F.col("content"), options.budgets)
     if merge:
         spans = merge_small(spans, options.budgets)
     described = spread(describe_files(kept.select(*files.columns), project))
@@ -128,15 +132,20 @@ def index_corpus(
     options: IndexOptions = IndexOptions(),
     indexed_at_ms: int | None = None,
     project: DataFrame | str | None = None,
+    chunker: Callable[[Column, ChunkBudgets], Column] = line_spans,
+    write: Callable[..., None] = replace_collection,
+    read: Callable[..., DataFrame] = read_collection,
 ) -> DataFrame | None:
     """Index files into a collection; the summary row, or None without chunks.
 
     Scan, filters and chunking are narrow; the embedding is the one step in
-    Python and the write the one action over the data.
+    Python and the write the one action over the data. ``chunker`` cuts the
+    texts; ``write(rows, path, id, previous_id)`` and ``read(spark, path, id)``
+    are the store.
     """
     spark = files.sparkSession
     if keep_files(files, options).isEmpty():  # a kept file has at least one chunk
         return None
-    chunks = collect_chunks(files, options, project)
-    replace_collection(embed_chunks(chunks, make_embed, options.embed_batch), path, collection_id, previous_id)
-    return index_summary(read_collection(spark, path, collection_id), indexed_at_ms)
+    chunks = collect_chunks(files, options, project, chunker=chunker)
+    write(embed_chunks(chunks, make_embed, options.embed_batch), path, collection_id, previous_id)
+    return index_summary(read(spark, path, collection_id), indexed_at_ms)

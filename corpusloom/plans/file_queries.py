@@ -330,7 +330,26 @@ def chunk_plain(spark, sf):
     )
 
 
-@query("chunk_structured")
+# Line starts that open a declaration, written out for the twin.
+OPENS = (
+    "(?:export\\s|import\\s|from\\s|class\\s|interface\\s|enum\\s|struct\\s|type\\s|function\\s|async\\s|def\\s|const\\s|let\\s"
+    "|var\\s|public\\s|private\\s|protected\\s|static\\s)"
+)
+
+
+@query(
+    "chunk_structured",
+    sql=f"""SELECT doc_id, CAST(i - 1 AS BIGINT) AS chunk_index, CAST(len(k) AS BIGINT) AS chunk_count, k[i].s AS chunk_start, k[i].e AS chunk_end,
+        md5(substr(content, k[i].s + 1, k[i].e - k[i].s)) AS text_md5 FROM (SELECT *, unnest(range(1, len(k) + 1)) AS i FROM
+        (SELECT doc_id, content, list_append(m.k, {{'s': m.s, 'e': m.e}}) AS k FROM (SELECT doc_id, content, {o.merged('sp', 120, 350)} AS m FROM
+        (SELECT doc_id, content, flatten(list_transform(list_filter(u, lambda x: (x.p OR NOT anyp) AND {o.trim('substr(content, x.s + 1, x.e - x.s)')} <> ''),
+          lambda x: list_transform(range(x.s, x.e, 2048), lambda p: {{'s': p, 'e': least(p + 2048, x.e)}}))) AS sp FROM
+        (SELECT *, len(list_filter(u, lambda x: x.p)) > 0 AS anyp FROM (SELECT doc_id, content, list_transform(pieces, lambda x, i:
+          {{'s': coalesce(list_sum(list_transform(pieces[:i - 1], lambda y: length(y))), 0)::BIGINT,
+            'e': list_sum(list_transform(pieces[:i], lambda y: length(y)))::BIGINT, 'p': regexp_matches(x, '^{OPENS}')}}) AS u
+          FROM (SELECT doc_id, content, list_filter(string_split(regexp_replace(content, '(?m)^({OPENS})', chr(1) || '\\1', 'g'), chr(1)), lambda x: x <> '') AS pieces
+            FROM code)))))))""",
+)
 def chunk_structured(spark, sf):
     docs = v.code(spark, sf).select("doc_id", "content")
     return bounds(ch.chunk_structured(docs.withColumn("units", ch.declaration_spans(F.col("content"))), entities=False))

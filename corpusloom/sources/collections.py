@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+from urllib.parse import unquote
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from corpusloom.operators.filters import path_in_filter
+from corpusloom.operators.prefix import with_prefix_sums
 
 PARTITION = "collection_id"
 
@@ -15,8 +18,14 @@ def _folder(spark: SparkSession, path: str):
     return hadoop.getFileSystem(spark._jsc.hadoopConfiguration()), hadoop
 
 
+# Characters that Spark escapes in the name of a partition folder, besides control characters.
+ESCAPED = "\"#%'*/:=?\\{[]^\x7f"
+
+
 def _of(path: str, collection_id: str) -> str:
-    return f"{path.rstrip('/')}/{PARTITION}={collection_id}"
+    """Folder of a collection; the id is escaped as Spark's writer does."""
+    name = "".join(f"%{ord(c):02X}" if c in ESCAPED or c < " " else c for c in collection_id)
+    return f"{path.rstrip('/')}/{PARTITION}={name}"
 
 
 def collection_exists(spark: SparkSession, path: str, collection_id: str) -> bool:
@@ -53,8 +62,11 @@ def replace_collection(
 
 
 def list_collections(spark: SparkSession, path: str) -> DataFrame:
-    """Ids of all collections below ``path``; only the partition column is read."""
-    return spark.read.parquet(path).select(PARTITION).distinct()
+    """Ids of all collections below ``path``, from the names of their folders; no data file is opened."""
+    fs, folder = _folder(spark, path)
+    names = [s.getPath().getName() for s in fs.listStatus(folder) if s.isDirectory()]
+    ids = [unquote(n.removeprefix(f"{PARTITION}=")) for n in names if n.startswith(f"{PARTITION}=")]
+    return spark.createDataFrame([(i,) for i in ids], f"{PARTITION} string")
 
 
 def read_collection(spark: SparkSession, path: str, collection_id: str) -> DataFrame:
@@ -69,9 +81,16 @@ def collection_get(
     offset: int = 0,
     columns: list[str] | None = None,
 ) -> DataFrame:
-    """A page of records in id order: a distributed top-n when limited."""
+    """A page of records in id order: a distributed top-n when limited.
+
+    An offset without a limit numbers the records by ranges of their id, which
+    has to be unique, so that what is left never goes through one task.
+    """
     found = records if paths is None else path_in_filter(records, paths)
-    if limit is not None or offset:
+    if limit is None and offset:
+        numbered = with_prefix_sums(found, ["id"], {"_place": F.lit(1)})
+        found = numbered.where(F.col("_place") > offset).drop("_place")
+    elif limit is not None:
         found = found.orderBy("id")
         if offset:
             found = found.offset(offset)

@@ -43,6 +43,20 @@ def test_size_limit_reaches_the_reader(spark, tree):
     assert "LessThanOrEqual(length,2048)" in plan
 
 
+def test_collection_ids_are_escaped(spark):
+    path = fresh_path(spark, "ids")
+    rows = spark.createDataFrame([("a", 1), ("b", 2), ("c", 3)], "id string, n int")
+    for name in ("a:b", "x=1%", "007"):
+        co.replace_collection(rows, path, name)
+        assert co.collection_exists(spark, path, name)
+        assert {r.n for r in co.read_collection(spark, path, name).collect()} == {1, 2, 3}
+    assert {r[0] for r in co.list_collections(spark, path).collect()} == {"a:b", "x=1%", "007"}
+    co.drop_collection(spark, path, "a:b")
+    assert not co.collection_exists(spark, path, "a:b")
+    page = co.collection_get(co.read_collection(spark, path, "007"), offset=1)
+    assert sorted(r.id for r in page.collect()) == ["b", "c"]
+
+
 def test_attach_files(spark, tree):
     assert sorted(r.name for r in fs.attach_files(spark, tree, 1).collect()) == ["a.py", "b.txt", "bad.txt"]
 
