@@ -153,19 +153,34 @@ PLAIN_TYPES = (
 )
 
 
-def validate_payload(df: DataFrame, prompt_type: str = "ask") -> DataFrame:
-    """Mark each payload row (type, value, attached_files) valid or say why not.
+def validate_payload(df: DataFrame, prompt_type: str = "ask", sections: tuple[str, ...] = ()) -> DataFrame:
+    """Mark each payload row (type, value, attached_files and, optionally, flags) valid or say why not.
 
     ``prompt_type`` is the client's name for a payload with a prompt.
+    ``flags`` maps the names of boolean fields to their text in the payload;
+    ``sections`` are those that a payload with the state of the settings has.
+    Attachments may have ``is_automatic`` and ``is_repository`` as text.
     """
     value, files = F.col("value"), F.col("attached_files")
+    flags = F.col("flags") if "flags" in df.columns else F.lit(None).cast("map<string,string>")
+    fields = df.schema["attached_files"].dataType.elementType.names
+
+    def is_flag(text):
+        return F.coalesce(text.isin("true", "false"), F.lit(False))
 
     def bad_file(f):
         name, content = f["name"], f["content"]
-        return (
+        bad = (
             name.isNull() | content.isNull() | (F.length(name) < 1) | (F.length(name) > MAX_NAME)
             | (F.length(content) > MAX_FILE)
         )
+        for field in {"is_automatic", "is_repository"} & set(fields):
+            bad = bad | (f[field].isNotNull() & ~is_flag(f[field].cast("string")))
+        return bad
+
+    state = F.lit(True)
+    for name in sections:
+        state = state & is_flag(flags[name])
 
     kind = F.col("type")
     reason = (
@@ -180,6 +195,8 @@ def validate_payload(df: DataFrame, prompt_type: str = "ask") -> DataFrame:
             F.when(F.coalesce(F.length(value) > 0, F.lit(False)), F.lit(None)).otherwise(F.lit("no session")),
         )
         .when(kind == "selectSession", F.lit(None))
+        .when(kind == "setRagEnabled", F.when(~is_flag(flags["rag_enabled"]), F.lit("bad flag")))
+        .when(kind == "setSettingsAccordionState", F.when(~state, F.lit("bad flag")))
         .when(
             kind == "applyCode",
             F.when(value.isNull() | (F.length(value) > MAX_CODE), F.lit("bad code")).otherwise(F.lit(None)),
@@ -188,7 +205,7 @@ def validate_payload(df: DataFrame, prompt_type: str = "ask") -> DataFrame:
             kind == prompt_type,
             F.when(value.isNull() | (F.length(value) > MAX_PROMPT), F.lit("bad prompt")).when(
                 F.exists(F.coalesce(files, F.array()), bad_file), F.lit("bad attachment")
-            ),
+            ).when(flags["rag_enabled"].isNotNull() & ~is_flag(flags["rag_enabled"]), F.lit("bad flag")),
         )
         .otherwise(F.lit("unknown type"))
     )

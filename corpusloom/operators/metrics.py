@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from corpusloom.functions.files import PROJECT_MARKERS
-from corpusloom.operators.prefix import with_prefix_sums
+from corpusloom.operators.prefix import in_ranges, with_prefix_sums
 
 
 def request_metrics(requests: DataFrame, by: list[str] | None = None) -> DataFrame:
@@ -39,22 +39,33 @@ def idle_requests(
 ) -> DataFrame:
     """Stretches of activity per key that end after more than ``gap`` of silence.
 
-    First within time slices, so that one busy key is many groups, then the
-    few slice-level stretches of a key are joined where their gap is short
-    enough.
+    First within time slices, so that one busy key is many groups. The
+    slice-level stretches then lie in ranges of (key, time), so that a busy key
+    may have many ranges; the last stretch of a range tells the next one
+    whether its first goes on.
     """
     part = (
         events.groupBy(key, F.date_trunc(slice_by, F.col(ts)).alias("_slice"), F.session_window(ts, gap).alias("w"))
         .agg(F.min(ts).alias("first_ts"), F.max(ts).alias("last_ts"), F.count("*").alias("events"))
         .drop("w", "_slice")
     )
-    order = Window.partitionBy(key).orderBy("first_ts")
-    quiet = F.col("first_ts") > F.lag("last_ts").over(order) + F.expr(f"INTERVAL {gap}")
-    opened = part.withColumn("_new", F.when(F.coalesce(quiet, F.lit(True)), 1).otherwise(0)).withColumn(
-        "_session", F.sum("_new").over(order)
+    ranged = in_ranges(part, [key, "first_ts"])
+    # one row per range from here to the join
+    edges = ranged.groupBy("_range").agg(F.max(F.struct(F.col(key).alias("k"), F.col("first_ts").alias("f"), F.col("last_ts").alias("l"))).alias("_end"))
+    edges = edges.select("_range", F.lag("_end").over(Window.orderBy("_range")).alias("_end"))
+    inside = Window.partitionBy("_range").orderBy(key, "first_ts")
+    joined = ranged.join(F.broadcast(edges), "_range")
+    before = F.coalesce(F.lag(F.struct(F.col(key).alias("k"), F.col("last_ts").alias("l"))).over(inside), F.struct("_end.k", "_end.l"))
+    goes_on = F.col("_before.k").eqNullSafe(F.col(key)) & (F.col("first_ts") <= F.col("_before.l") + F.expr(f"INTERVAL {gap}"))
+    opened = joined.withColumn("_before", before).withColumn("_new", F.when(F.coalesce(goes_on, F.lit(False)), 0).otherwise(1))
+    opened = opened.withColumn("_inside", F.sum("_new").over(inside.rowsBetween(Window.unboundedPreceding, 0)))
+    # a session that goes on in the next range keeps its number: sums of what the ranges before opened
+    starts = opened.groupBy("_range").agg(F.sum("_new").alias("_n")).select(
+        "_range", F.coalesce(F.sum("_n").over(Window.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_base")
     )
     return (
-        opened.groupBy(key, "_session")
+        opened.join(F.broadcast(starts), "_range").withColumn("_session", F.col("_inside") + F.col("_base"))
+        .groupBy(key, "_session")
         .agg(F.min("first_ts").alias("first_ts"), F.max("last_ts").alias("last_ts"), F.sum("events").alias("events"))
         .drop("_session")
     )

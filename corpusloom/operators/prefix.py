@@ -8,6 +8,12 @@ from pyspark.sql import functions as F
 from corpusloom.session import checkpoint
 
 
+def in_ranges(df: DataFrame, order: list[str], partitions: int | None = None) -> DataFrame:
+    """``df`` in ranges of ``order``, written to the shared folder, with the number of the range as ``_range``."""
+    count = partitions or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return checkpoint(df.repartitionByRange(count, *order).withColumn("_range", F.spark_partition_id()))
+
+
 def with_prefix_sums(
     df: DataFrame, order: list[str], sums: dict[str, Column], partitions: int | None = None
 ) -> DataFrame:
@@ -19,12 +25,7 @@ def with_prefix_sums(
     each range summed by itself. The one single-task step sees one row per
     range.
     """
-    spark = df.sparkSession
-    count = partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
-    valued = df.select("*", *[v.alias(f"_v_{k}") for k, v in sums.items()])
-    ranged = checkpoint(
-        valued.repartitionByRange(count, *order).withColumn("_range", F.spark_partition_id())
-    )
+    ranged = in_ranges(df.select("*", *[v.alias(f"_v_{k}") for k, v in sums.items()]), order, partitions)
     before = Window.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
     starts = (
         ranged.groupBy("_range")

@@ -564,15 +564,21 @@ def config_coalesce(spark, sf):
 @query(
     "validate_payload",
     sql="""SELECT doc_id, reject_reason IS NULL AS valid, reject_reason FROM (SELECT doc_id, CASE doc_id % 8 WHEN 0 THEN NULL
-        WHEN 1 THEN CASE WHEN length(t) > 100000 THEN 'bad prompt' END WHEN 2 THEN 'bad attachment' WHEN 3 THEN 'unknown type'
+        WHEN 1 THEN CASE WHEN length(t) > 100000 THEN 'bad prompt' WHEN doc_id % 32 = 9 THEN 'bad flag' END WHEN 2 THEN 'bad attachment'
+        WHEN 3 THEN CASE doc_id % 32 WHEN 11 THEN 'bad flag' WHEN 27 THEN 'unknown type' END
         WHEN 4 THEN 'bad tab' WHEN 5 THEN 'no session' WHEN 6 THEN CASE WHEN length(t) > 1000000 THEN 'bad code' END
         ELSE 'no type' END AS reject_reason FROM (SELECT doc_id, CASE WHEN doc_id % 16 = 1 THEN repeat(text, 400) ELSE text END AS t FROM documents))""",
 )
 def validate_payload(spark, sf):
     doc = F.col("doc_id")
     kinds = ("indexAll", "ask", "ask", "format", "setActiveTab", "deleteSession", "applyCode")
-    kind = F.when(doc % 8 != 7, F.get(F.array(*map(F.lit, kinds)), (doc % 8).cast("int")))
+    flagged = (doc % 8 == 3) & (doc % 32 != 27)
+    kind = F.when(flagged, F.when(doc % 32 == 19, F.lit("setSettingsAccordionState")).otherwise(F.lit("setRagEnabled"))).when(
+        doc % 8 != 7, F.get(F.array(*map(F.lit, kinds)), (doc % 8).cast("int"))
+    )
+    flag = F.when(doc % 32 == 9, F.lit("maybe")).when(doc % 32 == 11, F.lit("1")).otherwise(F.lit("true"))
+    flags = F.when(flagged | (doc % 32 == 9), F.create_map(F.lit("rag_enabled"), flag, F.lit("open"), F.lit("false")))
     value = F.when(doc % 16 == 1, F.repeat("text", F.lit(400))).when(doc % 8 == 5, F.lit("")).otherwise(F.col("text"))
     files = F.when(doc % 8 == 2, F.array(F.struct(F.lit("").alias("name"), F.col("text").alias("content"))))
-    rows = v.table(spark, sf, "documents").select("doc_id", kind.alias("type"), value.alias("value"), files.alias("attached_files"))
-    return fl.validate_payload(rows).select("doc_id", "valid", "reject_reason")
+    rows = v.table(spark, sf, "documents").select("doc_id", kind.alias("type"), value.alias("value"), files.alias("attached_files"), flags.alias("flags"))
+    return fl.validate_payload(rows, sections=("open",)).select("doc_id", "valid", "reject_reason")
