@@ -29,11 +29,11 @@ from corpusloom.session import checkpoint
 TOP = 511
 DIMENSIONS = 16
 CONTEXT = 4
-ROUNDS = 2
+ROUNDS = 1
 #: Tokens of a gradient step, and noise samples that they share.
 STEP_TOKENS = 1024
-NOISE = 32
-RATE = 0.1
+NOISE = 24
+RATE = 0.03
 #: Longest token that counts as one of the outputs, in bytes: the outputs go to every task.
 TOKEN_BYTES = 64
 FOLDS, HELD_OUT = 7, 2
@@ -91,11 +91,14 @@ def log_probabilities(model: Model, code: np.ndarray, context: np.ndarray) -> np
     for lo, (a, b) in zip(range(0, len(known), 2048), zip(cuts, cuts[1:])):
         own = known[lo:lo + 2048]
         own = np.column_stack([own // n ** (CONTEXT - 1 - k) % n for k in range(CONTEXT)])
-        score = predicted(model, own) @ model.outputs.T + model.bias
-        top = score.max(1)
-        norm = np.log(np.exp(score - top[:, None]).sum(1)) + top
+        score = predicted(model, own) @ model.outputs.T
+        score += model.bias
         rows = order[a:b]
-        out[rows] = score[place[rows] - lo, code[rows]] - norm[place[rows] - lo]
+        at = place[rows] - lo
+        mine = score[at, code[rows]]
+        score -= (top := score.max(1))[:, None]
+        norm = np.log(np.exp(score, out=score) @ np.ones(score.shape[1], score.dtype)) + top
+        out[rows] = mine - norm[at]
     return out
 
 
