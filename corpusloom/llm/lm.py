@@ -29,11 +29,11 @@ from corpusloom.session import checkpoint
 TOP = 511
 DIMENSIONS = 16
 CONTEXT = 4
-ROUNDS = 1
+ROUNDS = 2
 #: Tokens of a gradient step, and noise samples that they share.
 STEP_TOKENS = 1024
-NOISE = 24
-RATE = 0.03
+NOISE = 32
+RATE = 0.1
 #: Longest token that counts as one of the outputs, in bytes: the outputs go to every task.
 TOKEN_BYTES = 64
 FOLDS, HELD_OUT = 7, 2

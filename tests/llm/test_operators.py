@@ -231,6 +231,14 @@ def test_lm(docs_of):
     assert sum(r.score for r in out) > sum(r.base_score for r in out)
 
 
+def test_lm_trains_on_from_the_mean_of_all_tasks(docs_of):
+    rng = random.Random(11)
+    rows = [(i, " ".join(rng.choice(["the cat sat", "a dog ran"]) for _ in range(40))) for i in range(400)]
+    frame = docs_of(rows).repartition(4, "doc_id")
+    held = lambda **o: sum(r.score for r in lm.score_texts(frame, top=8, **o).collect() if r.held_out)
+    assert held() > held(rounds=1)
+
+
 def test_lm_is_normalised():
     vocabulary = {b"a": 0, b"b": 1, b"": 2}
     model = lm.start_model(vocabulary, np.array([4.0, 3.0, 2.0, 5.0]))
