@@ -36,6 +36,8 @@ ANCHOR = 44
 #: Bytes of text in a chunk, unless one text is longer, and bytes that are hashed together.
 CHUNK_BYTES = 6 << 20
 PIECE = 1 << 19
+#: Bytes of text for each range of keys; there are at least as many ranges as the session's shuffle partitions.
+RANGE_BYTES = 16 << 20
 
 _BYTE = stream(61, 256)
 _BASE = np.uint64(0xD6E8FEB86659FD93)
@@ -103,7 +105,7 @@ def stretches(data: np.ndarray, offsets: np.ndarray, length: int):
         begin = np.cumsum(reach) - reach
         same = anchors[np.arange(reach.sum()) + np.repeat(start - begin, reach)] == np.repeat(least[start], reach)
         twice = np.add.reduceat(same, begin, dtype=np.int64) > 1 if len(begin) else np.zeros(0, bool)
-        found.append((start + at, count, least[start] >> np.uint64(32), name, twice))
+        found.append((start + at, count, mix(least[start]) >> np.uint64(32), name, twice))  # minima crowd at 0, mixed ones do not
     if not found:
         return np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.uint64), np.zeros(0, np.uint64), np.zeros(0, bool)
     return tuple(np.concatenate(x) for x in zip(*found))
@@ -260,7 +262,7 @@ def _answered(entries: DataFrame, parts: int, whole: bool) -> DataFrame:
                 *[pa.array([np.packbits(x[lo:hi]).tobytes() for lo, hi in zip(cuts, cuts[1:])], pa.binary()) for x in (late, repeated)],
             ], ["chunk", "part", "late", "repeated"])
 
-    return entries.repartition(parts, "part").mapInArrow(meet, "chunk long, part int, late binary, repeated binary")
+    return entries.repartitionById(parts, F.col("part")).mapInArrow(meet, "chunk long, part int, late binary, repeated binary")
 
 
 def _gathered(answers: DataFrame) -> DataFrame:
@@ -319,6 +321,12 @@ def _suffixes(chunk: Chunk, answers: list[dict], length: int, parts: int):
     return (s.start[late], s.count[late]), start[order], name[order], new
 
 
+def parts_of(rows: DataFrame) -> int:
+    """Ranges of keys, so that what meets in one is bounded at every input size."""
+    n_bytes = rows.agg(F.sum(F.octet_length("text").cast("long"))).first()[0] or 0
+    return max(size_of(rows), -(-n_bytes // RANGE_BYTES))
+
+
 ENTRY = "chunk long, part int, keys binary, ids binary, more binary, several binary"
 
 
@@ -333,7 +341,7 @@ def repeated_bytes(
     ``length`` lose nothing. Ids are integers; other columns are ignored.
     """
     rows = two_columns(docs, id_col, text_col).withColumn("doc_id", F.col("doc_id").cast("long"))
-    parts = size_of(docs)
+    parts = parts_of(rows)
 
     def ids_of(chunk, start):
         return chunk.ids[np.searchsorted(chunk.offsets, start, "right") - 1]

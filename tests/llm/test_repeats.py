@@ -1,9 +1,12 @@
 import hashlib
 import random
 
+import numpy as np
+import pyarrow as pa
 import pytest
 from brute import repeats
 
+from corpusloom.llm import repeats as rp
 from corpusloom.llm.repeats import repeated_bytes
 
 
@@ -46,3 +49,16 @@ def test_planted(docs_of, chunk_bytes):
 def test_empty(docs_of):
     frame = docs_of([(1, "a" * 300)])
     assert found(frame.where("doc_id > 1")) == []
+
+
+def chunk_of(texts):
+    return rp.Chunk(pa.table({"row": pa.array(range(len(texts))), "doc_id": pa.array(range(len(texts))), "text": pa.array(texts)}))
+
+
+def test_ranges_of_stretches_are_even(docs_of, monkeypatch):
+    rng = random.Random(8)
+    s = rp.Stretches(chunk_of(["".join(rng.choices("abcdefgh ", k=50_000)) for _ in range(8)]), 100)
+    size = np.diff(rp.ranges(s.key, 64, 24))
+    assert size.max() < 1.5 * size.mean()
+    monkeypatch.setattr(rp, "RANGE_BYTES", 10)
+    assert rp.parts_of(docs_of([(1, "a" * 5000)])) == 500
