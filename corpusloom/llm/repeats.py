@@ -7,7 +7,7 @@ read in chunks of bounded size:
    have the same sample. Neighbouring suffixes with one sample are a stretch; stretches meet by ranges of
    their sample. A sample that occurs once is discarded with its suffixes. Of stretches with the same bytes
    all but the first, in the order of (doc_id, row, start), are repeats as a whole.
-2. Name: the suffixes of the first stretches get a 64-bit name for their first ``length`` bytes, and the names
+2. Name: the suffixes of the first stretches get a 96-bit name for their first ``length`` bytes, and the names
    meet by ranges. Of equal names all but the first are repeats.
 3. Remove: the bytes that repeats cover.
 
@@ -39,21 +39,29 @@ PIECE = 1 << 19
 #: Bytes of text for each range of keys; there are at least as many ranges as the session's shuffle partitions.
 RANGE_BYTES = 16 << 20
 
-_BYTE = stream(61, 256)
-_BASE = np.uint64(0xD6E8FEB86659FD93)
+#: Bits of a key that are its sample; the rest are of the name, which has 32 more bits than a number.
+SAMPLE_BITS = 48
+
+#: Of two hashes: the first one samples and names, the second one widens the names.
+_BYTE = (stream(61, 256), stream(67, 256))
+_BASE = (np.uint64(0xD6E8FEB86659FD93), np.uint64(0xA0761D6478BD642F))
 _POWERS: dict[int, np.ndarray] = {}
 
 
-def _powers(n: int) -> np.ndarray:
-    if n not in _POWERS:
-        _POWERS.clear()
-        _POWERS[n] = powers(_BASE, n)
-    return _POWERS[n]
+def _powers(which: int = 0) -> np.ndarray:
+    if which not in _POWERS:
+        _POWERS[which] = powers(_BASE[which], PIECE + 1024)
+    return _POWERS[which]
+
+
+def _sums(part: np.ndarray, which: int) -> np.ndarray:
+    """Running sums of byte values times powers."""
+    return np.concatenate([np.zeros(1, np.uint64), np.cumsum(_BYTE[which][part] * _powers(which)[:len(part)], dtype=np.uint64)])
 
 
 def rolling(total: np.ndarray, length: int, n: int) -> np.ndarray:
     """Hashes of the n strings of ``length`` bytes, from running sums of byte values times powers."""
-    lift = _powers(PIECE + 1024)[PIECE + 512 - np.arange(n)]
+    lift = _powers()[PIECE + 512 - np.arange(n)]
     return mix((total[length:length + n] - total[:n]) * lift)
 
 
@@ -67,28 +75,28 @@ def sliding(x: np.ndarray, width: int, best) -> np.ndarray:
 
 
 def pieces(data: np.ndarray, offsets: np.ndarray, length: int):
-    """(first start, number of starts, whether a string lies inside one text, running sums) of every piece."""
+    """(first start, number of starts, whether a string lies inside one text, running sums of both hashes) of every piece."""
     last = len(data) - length + 1
     for at in range(0, max(last, 0), PIECE):
         n = min(PIECE, last - at)
         part = data[at:at + n + length - 1]
-        total = np.concatenate([np.zeros(1, np.uint64), np.cumsum(_BYTE[part] * _powers(PIECE + 1024)[:len(part)], dtype=np.uint64)])
+        totals = [_sums(part, which) for which in range(2)]
         valid = np.ones(n, bool)
         lo, hi = np.searchsorted(offsets, [at + 1, at + n + length])
         for cut in offsets[lo:hi].tolist():  # strings that go across the start of a text
             valid[max(cut - length + 1 - at, 0):max(cut - at, 0)] = False
-        yield at, n, valid, total
+        yield at, n, valid, totals
 
 
 def stretches(data: np.ndarray, offsets: np.ndarray, length: int):
-    """(first start, number of starts, sample, name of the bytes, whether the sample occurs in it twice) of stretches by start.
+    """(first start, number of starts, sample, names of the bytes by both hashes, whether the sample occurs in it twice) of stretches by start.
 
     A stretch has at most as many starts as a sample can serve, so its first and its last string overlap or
     touch and name all its bytes.
     """
     width, found = length - ANCHOR + 1, []
-    for at, n, valid, total in pieces(data, offsets, length):
-        anchors = rolling(total, ANCHOR, n + width - 1)
+    for at, n, valid, totals in pieces(data, offsets, length):
+        anchors = rolling(totals[0], ANCHOR, n + width - 1)
         least = sliding(anchors, width, np.minimum)
         edge = np.concatenate([[True], (least[1:] != least[:-1]) | (valid[1:] != valid[:-1])])
         start = np.flatnonzero(edge)
@@ -99,29 +107,31 @@ def stretches(data: np.ndarray, offsets: np.ndarray, length: int):
         turn = np.arange(turns.sum()) - np.repeat(np.cumsum(turns) - turns, turns)
         start = np.repeat(start, turns) + turn * width
         count = np.minimum(np.repeat(count, turns) - turn * width, width)
-        ends = [_named(total, x, length) for x in (start, start + count - 1)]
-        name = mix(ends[0] * np.uint64(0x9E3779B97F4A7C15) + ends[1] + count.astype(np.uint64))
+        ends = [[_named(totals, which, x, length) for x in (start, start + count - 1)] for which in range(2)]
+        names = [mix(a * np.uint64(0x9E3779B97F4A7C15) + b + count.astype(np.uint64)) for a, b in ends]
         reach = count + width - 1
         begin = np.cumsum(reach) - reach
         same = anchors[np.arange(reach.sum()) + np.repeat(start - begin, reach)] == np.repeat(least[start], reach)
         twice = np.add.reduceat(same, begin, dtype=np.int64) > 1 if len(begin) else np.zeros(0, bool)
-        found.append((start + at, count, mix(least[start]) >> np.uint64(32), name, twice))  # minima crowd at 0, mixed ones do not
+        found.append((start + at, count, mix(least[start]) >> np.uint64(64 - SAMPLE_BITS), *names, twice))  # minima crowd at 0, mixed ones do not
     if not found:
-        return np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.uint64), np.zeros(0, np.uint64), np.zeros(0, bool)
+        return np.zeros(0, np.int64), np.zeros(0, np.int64), *[np.zeros(0, np.uint64)] * 3, np.zeros(0, bool)
     return tuple(np.concatenate(x) for x in zip(*found))
 
 
-def _named(total: np.ndarray, start: np.ndarray, length: int) -> np.ndarray:
-    return mix((total[start + length] - total[start]) * _powers(PIECE + 1024)[PIECE + 512 - start])
+def _named(totals: list[np.ndarray], which: int, start: np.ndarray, length: int) -> np.ndarray:
+    total = totals[which]
+    return mix((total[start + length] - total[start]) * _powers(which)[PIECE + 512 - start])
 
 
-def suffix_names(data: np.ndarray, offsets: np.ndarray, length: int, start: np.ndarray) -> np.ndarray:
-    """Names of the first ``length`` bytes of suffixes; ``start`` ascends."""
-    out = np.zeros(len(start), np.uint64)
-    for at, n, _, total in pieces(data, offsets, length):
+def suffix_names(data: np.ndarray, offsets: np.ndarray, length: int, start: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Names of the first ``length`` bytes of suffixes, 64 bits and 32 more; ``start`` ascends."""
+    out, more = np.zeros(len(start), np.uint64), np.zeros(len(start), np.uint32)
+    for at, n, _, totals in pieces(data, offsets, length):
         lo, hi = np.searchsorted(start, [at, at + n])
-        out[lo:hi] = _named(total, start[lo:hi] - at, length)
-    return out
+        out[lo:hi] = _named(totals, 0, start[lo:hi] - at, length)
+        more[lo:hi] = _named(totals, 1, start[lo:hi] - at, length) >> np.uint64(32)
+    return out, more
 
 
 def pack(values: np.ndarray) -> bytes:
@@ -240,7 +250,8 @@ def _late(keys: list[np.ndarray], ids: np.ndarray) -> np.ndarray:
 def _answered(entries: DataFrame, parts: int, whole: bool) -> DataFrame:
     """chunk, part, late, repeated: for each packed entry whether its key is earlier elsewhere, and its sample repeated.
 
-    ``whole``: entries are stretches, their keys are (sample and name, rest of the name).
+    ``whole``: entries are stretches, their keys are (sample and a part of the name, the name, the rest of it);
+    else the keys are (name, rest of the name).
     """
 
     def meet(batches):
@@ -250,11 +261,11 @@ def _answered(entries: DataFrame, parts: int, whole: bool) -> DataFrame:
             keys = [unpack_sorted(b["keys"], np.uint64) for b in own]
             cuts = np.concatenate([[0], np.cumsum([len(k) for k in keys])])
             key = np.concatenate(keys)
-            more = [np.concatenate([unpack(b["more"], np.uint32) for b in own])] if whole else []
+            more = [np.concatenate([unpack(b[n], kind) for b in own]) for n, kind in (WIDE_STRETCH if whole else WIDE_NAME)]
             late = _late([key, *more], np.concatenate([unpack_ids(b["ids"]) for b in own]))
             repeated = np.zeros(len(key), bool)
             if whole:
-                order, _, size = _groups([key >> np.uint64(32)])
+                order, _, size = _groups([key >> np.uint64(64 - SAMPLE_BITS)])
                 repeated[order] = np.repeat(size > 1, size)
                 repeated |= np.concatenate([np.unpackbits(np.frombuffer(b["several"], np.uint8), count=len(k)).astype(bool) for b, k in zip(own, keys)])
             yield pa.RecordBatch.from_arrays([
@@ -270,15 +281,16 @@ def _gathered(answers: DataFrame) -> DataFrame:
     return answers.groupBy("chunk").agg(F.sort_array(F.collect_list(F.struct("part", "late", "repeated"))).alias("answers"))
 
 
-def _emit(number: int, parts: int, keys: np.ndarray, ids: np.ndarray, more: np.ndarray | None = None, several: np.ndarray | None = None) -> pa.RecordBatch:
+def _emit(number: int, parts: int, keys: np.ndarray, ids: np.ndarray, rest: np.ndarray, more: np.ndarray | None = None, several: np.ndarray | None = None) -> pa.RecordBatch:
     edge = ranges(keys, 64, parts)
     full = [(p, slice(a, b)) for p, (a, b) in enumerate(zip(edge, edge[1:])) if b > a]
     return pa.RecordBatch.from_arrays([
         pa.array([number] * len(full), pa.int64()), pa.array([p for p, _ in full], pa.int32()),
         pa.array([pack_sorted(keys[x]) for _, x in full], pa.binary()), pa.array([pack_ids(ids[x]) for _, x in full], pa.binary()),
+        pa.array([pack(rest[x]) for _, x in full], pa.binary()),
         pa.array([None if more is None else pack(more[x]) for _, x in full], pa.binary()),
         pa.array([None if several is None else np.packbits(several[x]).tobytes() for _, x in full], pa.binary()),
-    ], ["chunk", "part", "keys", "ids", "more", "several"])
+    ], ["chunk", "part", "keys", "ids", "rest", "more", "several"])
 
 
 def _bits(answers: list[dict] | None, name: str, keys: np.ndarray, parts: int) -> np.ndarray:
@@ -293,19 +305,19 @@ class Stretches:
     """Stretches of a chunk in the order of their keys; ``new`` tells the first of each key in the chunk."""
 
     def __init__(self, chunk: Chunk, length: int):
-        start, count, sample, name, twice = stretches(chunk.data, chunk.offsets, length)
-        key, more = sample << np.uint64(32) | name >> np.uint64(32), name.astype(np.uint32)
-        order, first, _ = _groups([key, more])
-        self.start, self.count, self.key, self.more = start[order], count[order], key[order], more[order]
+        start, count, sample, name, wider, twice = stretches(chunk.data, chunk.offsets, length)
+        key, rest = sample << np.uint64(64 - SAMPLE_BITS) | wider >> np.uint64(SAMPLE_BITS), (wider >> np.uint64(32)).astype(np.uint16)
+        order, first, _ = _groups([key, name, rest])
+        self.start, self.count, self.key, self.more, self.rest = start[order], count[order], key[order], name[order], rest[order]
         self.new = np.zeros(len(order), bool)
         self.new[first] = True
-        by_sample, _, size = _groups([self.key >> np.uint64(32)])
+        by_sample, _, size = _groups([self.key >> np.uint64(64 - SAMPLE_BITS)])
         self.several = twice[order]
         self.several[by_sample] |= np.repeat(size > 1, size)
 
 
 def _suffixes(chunk: Chunk, answers: list[dict], length: int, parts: int):
-    """(starts and counts of stretches that are repeats; starts and names of the other suffixes left, by name; first of each name)."""
+    """(starts and counts of stretches that are repeats; starts, names and rests of names of the other suffixes left, by name; first of each name)."""
     s = Stretches(chunk, length)
     late, repeated = ~s.new, s.several.copy()
     late[s.new] = _bits(answers, "late", s.key[s.new], parts)
@@ -314,11 +326,11 @@ def _suffixes(chunk: Chunk, answers: list[dict], length: int, parts: int):
     order = np.argsort(s.start[left])
     first, count = s.start[left][order], s.count[left][order]
     start = np.repeat(first, count) + np.arange(count.sum()) - np.repeat(np.cumsum(count) - count, count)
-    name = suffix_names(chunk.data, chunk.offsets, length, start)
-    order, first, _ = _groups([name])
+    name, rest = suffix_names(chunk.data, chunk.offsets, length, start)
+    order, first, _ = _groups([name, rest])
     new = np.zeros(len(order), bool)
     new[first] = True
-    return (s.start[late], s.count[late]), start[order], name[order], new
+    return (s.start[late], s.count[late]), start[order], name[order], rest[order], new
 
 
 def parts_of(rows: DataFrame) -> int:
@@ -327,7 +339,10 @@ def parts_of(rows: DataFrame) -> int:
     return max(size_of(rows), -(-n_bytes // RANGE_BYTES))
 
 
-ENTRY = "chunk long, part int, keys binary, ids binary, more binary, several binary"
+ENTRY = "chunk long, part int, keys binary, ids binary, rest binary, more binary, several binary"
+#: What tells entries with equal keys apart, in the order of the sort.
+WIDE_STRETCH = (("more", np.uint64), ("rest", np.uint16))
+WIDE_NAME = (("rest", np.uint32),)
 
 
 def repeated_bytes(
@@ -350,20 +365,20 @@ def repeated_bytes(
         for number, table in chunks(batches, chunk_bytes):
             chunk = Chunk(table)
             s = Stretches(chunk, length)
-            yield _emit(number, parts, s.key[s.new], ids_of(chunk, s.start[s.new]), s.more[s.new], s.several[s.new])
+            yield _emit(number, parts, s.key[s.new], ids_of(chunk, s.start[s.new]), s.rest[s.new], s.more[s.new], s.several[s.new])
 
     def name(batches):
         for batch in batches:
             for number, texts, answers in zip(*[batch.column(n) for n in ("chunk", "texts", "answers")]):
                 chunk = _unpacked(texts.as_py())
-                _, start, names, new = _suffixes(chunk, answers.as_py(), length, parts)
-                yield _emit(number.as_py(), parts, names[new], ids_of(chunk, start[new]))
+                _, start, names, rest, new = _suffixes(chunk, answers.as_py(), length, parts)
+                yield _emit(number.as_py(), parts, names[new], ids_of(chunk, start[new]), rest[new])
 
     def remove(batches):
         for batch in batches:
             for texts, answers, later in zip(*[batch.column(n) for n in ("texts", "answers", "later")]):
                 chunk = _unpacked(texts.as_py())
-                (whole, count), start, names, new = _suffixes(chunk, answers.as_py(), length, parts)
+                (whole, count), start, names, _, new = _suffixes(chunk, answers.as_py(), length, parts)
                 repeat = ~new
                 repeat[new] = _bits(later.as_py(), "late", names[new], parts)
                 from_, to = np.concatenate([whole, start[repeat]]), np.concatenate([whole + count - 1, start[repeat]]) + length

@@ -62,3 +62,21 @@ def test_ranges_of_stretches_are_even(docs_of, monkeypatch):
     assert size.max() < 1.5 * size.mean()
     monkeypatch.setattr(rp, "RANGE_BYTES", 10)
     assert rp.parts_of(docs_of([(1, "a" * 5000)])) == 500
+
+
+def test_names_have_more_than_64_bits(spark):
+    key, ids = np.array([5, 9], np.uint64), np.array([1, 1])
+    entries = lambda rest, more: spark.createDataFrame(pa.Table.from_batches([
+        rp._emit(n, 2, key, ids + n, np.array([7, r], rest), None if more is None else np.array([3, 4], more), np.array([False, False])) for n, r in ((0, 8), (1, 6))
+    ]).to_pylist(), rp.ENTRY)
+    for rest, more in ((np.uint16, np.uint64), (np.uint32, None)):
+        got = {r.chunk: np.unpackbits(np.frombuffer(r.late, np.uint8), count=2).tolist() for r in rp._answered(entries(rest, more), 2, more is not None).collect()}
+        assert got == {0: [0, 0], 1: [1, 0]}  # the second differs in the last bits of its name alone
+
+
+def test_samples_that_differ_stay_apart():
+    rng = random.Random(8)
+    s = rp.Stretches(chunk_of(["".join(rng.choices("abcdefgh ", k=1_000_000)) for _ in range(4)]), 100)
+    sample = s.key >> np.uint64(64 - rp.SAMPLE_BITS)
+    assert rp.SAMPLE_BITS >= 48 and s.new.all() and len(sample) > 100_000
+    assert np.sum(sample[1:] == sample[:-1]) <= len(sample) * 0.01 and sample.max() > np.uint64(2**47)
