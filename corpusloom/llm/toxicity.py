@@ -1,6 +1,7 @@
 """Toxicity: a lexicon trie intersected with Levenshtein automata, and windows around each hit.
 
-The lexicon is learned from labelled texts: words, and stems with many endings. The automata of all its terms
+The lexicon is learned from labelled texts: words, and stems with many endings. Words below a stem stay, for their
+misspellings. The automata of all its terms
 run along the trie together; their product is a table of states, built once, through which the words of a
 text are stepped byte by byte, all words of a slice at a time. A hit counts by how often its term, at that
 number of edits, stood in texts labelled toxic, and apart from the others where the window around it is a
@@ -21,7 +22,7 @@ from corpusloom.llm.common import crc_mod, free_name, quoted
 from corpusloom.llm.kernels import ALNUM, NOT_SPACE, Words, slices, span_keys, utf8, words
 from corpusloom.llm.labelled import FOLDS, HELD_OUT, MAX_LABELLED, fit_logistic, labelled_sample, probability
 
-#: Lexicon terms at most; the labelled texts that a term must be in, and its share of toxic ones.
+#: Lexicon terms at most, words below a stem apart, of which there are at most as many again; the labelled texts that a term must be in, and its share of toxic ones.
 MAX_TERMS = 150
 LEAST_TEXTS = 8
 LEAST_SHARE = 0.9
@@ -231,7 +232,7 @@ def _lexicon(sample: DataFrame) -> tuple[list[bytes], list[bytes]]:
             w = words(data, offsets, NOT_SPACE)
             start, end = stripped(data, w)
             w = w._replace(key=span_keys(data, start, end))
-            kept = np.flatnonzero((end - start >= STEM_BYTES) & (end - start <= 40))
+            kept = np.flatnonzero((end > start) & (end - start <= 40))
             # each word once per text, then texts by label for each word
             order = kept[np.lexsort((w.key[kept], w.doc[kept]))]
             new = np.ones(len(order), bool)
@@ -249,15 +250,18 @@ def _lexicon(sample: DataFrame) -> tuple[list[bytes], list[bytes]]:
     counts = sample.mapInArrow(spell, "word binary, toxic long, clean long").groupBy("word").agg(F.sum("toxic").alias("toxic"), F.sum("clean").alias("clean"))
     share = F.col("toxic") / (F.col("toxic") + F.col("clean"))
     # prefixes of words: texts are counted once per word, so a stem's counts are upper bounds with the right share
-    stems = counts.select("toxic", "clean", F.explode(F.sequence(F.lit(STEM_BYTES), F.least(F.length("word"), F.lit(8)))).alias("n"), "word").groupBy(
+    stems = counts.where(F.length("word") >= STEM_BYTES).select("toxic", "clean", F.explode(F.sequence(F.lit(STEM_BYTES), F.least(F.length("word"), F.lit(8)))).alias("n"), "word").groupBy(
         F.expr("substring(word, 1, n)").alias("stem")
     ).agg(F.sum("toxic").alias("toxic"), F.sum("clean").alias("clean"), F.count("*").alias("words"))
     good = (F.col("toxic") >= LEAST_TEXTS) & (share >= LEAST_SHARE)
     chosen = lambda df, name: [bytes(r[0]) for r in df.where(good).orderBy(F.desc("toxic"), name).limit(4 * MAX_TERMS).select(name).collect()]
     several = chosen(stems.where((F.col("words") >= STEM_WORDS) & (F.col("toxic") >= 4 * LEAST_TEXTS)), "stem")
     short = [s for s in several if not any(s != t and s.startswith(t) for t in several)]
-    whole = [t for t in chosen(counts, "word") if not any(t.startswith(s) for s in short)]
-    return whole[:MAX_TERMS - len(short[:MAX_TERMS])], short[:MAX_TERMS]
+    short = short[:MAX_TERMS]
+    words_ = chosen(counts, "word")
+    below = [t for t in words_ if any(t.startswith(s) for s in short)]
+    whole = [t for t in words_ if t not in set(below)]
+    return [*whole[:MAX_TERMS - len(short)], *below[:MAX_TERMS]], short
 
 
 def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", id_col: str = "doc_id", text_col: str = "text", limit: int = MAX_LABELLED, window: int = WINDOW) -> Model:

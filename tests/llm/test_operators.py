@@ -189,6 +189,24 @@ def test_toxicity(docs_of, spark):
     assert toxicity.score_toxicity(frame, nothing).where("predicted = 1").count() == 0
 
 
+def test_toxicity_of_misspelled_stems_and_short_terms(docs_of, spark):
+    endings = ["idiot", "idiots", "idiotic", "idiott", "idiocy"]
+
+    def make(rng, toxic):
+        w = ["".join(rng.choices("etaonshr", k=rng.randrange(2, 7))) for _ in range(40)]
+        if toxic:
+            for _ in range(3):
+                w[rng.randrange(40)] = rng.choice([*endings, *endings, "zqx"])
+        return " ".join(w)
+
+    rows, labels = labelled(2, 900, "toxic", make)
+    extra = [(5000, "you iidiot"), (5001, "you idxot"), (5002, "you zqx"), (5003, "you zqxx"), (5004, "idiotism")]
+    model = toxicity.fit(docs_of(rows), spark.createDataFrame(labels, "doc_id long, toxic int"))
+    assert any(b"idiot".startswith(t) and len(t) < 5 for t in model.matcher.terms)  # a stem
+    by = {r.doc_id: r.predicted for r in toxicity.score_toxicity(docs_of(extra), model).collect()}
+    assert by == {5000: 1, 5001: 1, 5002: 1, 5003: 0, 5004: 1}
+
+
 def test_quotations_count_less():
     matcher = toxicity.Matcher([b"imbecile"], [])
     raw = 'they said "an imbecile wrote it" then an imbecile'.encode()
