@@ -32,6 +32,12 @@ def keys_of(url: Column) -> Column:
     return F.when(host == "", F.array().cast("array<string>")).otherwise(F.array_distinct(F.concat(suffixes, prefixes)))
 
 
+def normal_pattern(pattern: Column) -> Column:
+    """The host in lower case, the path as it is."""
+    host = F.substring_index(pattern, "/", 1)
+    return F.concat(F.lower(host), F.substr(pattern, F.length(host) + 1))
+
+
 def intervals(entries: DataFrame) -> DataFrame:
     """(list_name, pattern, action, valid_from, valid_to) of entries (list_name, pattern, action, listed_on, listed).
 
@@ -41,7 +47,7 @@ def intervals(entries: DataFrame) -> DataFrame:
     """
     daily = (
         entries.where("list_name is not null and pattern is not null and listed_on is not null")
-        .groupBy("list_name", F.lower("pattern").alias("pattern"), "listed_on")
+        .groupBy("list_name", normal_pattern(F.col("pattern")).alias("pattern"), "listed_on")
         .agg(F.max(F.struct(F.coalesce("listed", F.lit(False)).alias("listed"), F.coalesce("action", F.lit("block")).alias("action"))).alias("last"))
     )
     following = Window.partitionBy("list_name", "pattern").orderBy("listed_on")

@@ -286,6 +286,14 @@ def test_url_filter_has_an_answer_for_every_row(spark):
     assert url_filter(captures, entries.where("false")).where("decision <> 'none'").count() == 0
 
 
+def test_url_filter_keeps_the_case_of_paths(spark):
+    day = datetime.date(2020, 6, 1)
+    captures = spark.createDataFrame([(1, "http://Example.com/Ads/x", day), (2, "http://example.com/ads/x", day)], "capture_id long, url string, fetched_on date")
+    entries = spark.createDataFrame([("l", "EXAMPLE.com/Ads", "block", day, True)], "list_name string, pattern string, action string, listed_on date, listed boolean")
+    got = {(r.capture_id, r.decision, r.pattern) for r in url_filter(captures, entries).collect()}
+    assert got == {(1, "block", "example.com/Ads"), (2, "none", None)}
+
+
 def test_loser_tree():
     rng = random.Random(9)
     for k in (0, 1, 2, 3, 5, 8, 13):
