@@ -107,13 +107,15 @@ def embedding_input(*fields: Column) -> Column:
     return F.concat_ws("\n", *[F.coalesce(f, F.lit("")) for f in fields])
 
 
-def is_binary(content: Column) -> Column:
-    def test(sample):
-        length = F.length(sample)
-        controls = length - F.length(F.regexp_replace(sample, r"[\x00-\x08\x0B\x0C\x0E-\x1F]", ""))
-        return F.contains(sample, F.lit("\x00")) | (controls / F.greatest(length, F.lit(1)) > BINARY_SHARE)
+def is_binary(content: Column, sample: int | None = BINARY_SAMPLE) -> Column:
+    """Judged by the first ``sample`` characters, with None by the whole text."""
 
-    return bind(F.substring(content, 1, BINARY_SAMPLE), test)
+    def test(part):
+        length = F.length(part)
+        controls = length - F.length(F.regexp_replace(part, r"[\x00-\x08\x0B\x0C\x0E-\x1F]", ""))
+        return F.contains(part, F.lit("\x00")) | (controls / F.greatest(length, F.lit(1)) > BINARY_SHARE)
+
+    return bind(content if sample is None else F.substring(content, 1, sample), test)
 
 
 def glob_regex(glob: str) -> str:

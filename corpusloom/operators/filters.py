@@ -23,8 +23,8 @@ def filter_empty(df: DataFrame) -> DataFrame:
     return df.where(~is_blank(F.col("content")))
 
 
-def filter_binary(df: DataFrame) -> DataFrame:
-    return df.where(~ff.is_binary(F.col("content")))
+def filter_binary(df: DataFrame, sample: int | None = None) -> DataFrame:
+    return df.where(~ff.is_binary(F.col("content"), sample))
 
 
 def filter_glob(df: DataFrame, globs) -> DataFrame:
@@ -42,7 +42,7 @@ def disposition(options: IndexOptions) -> Column:
         F.when(F.col("size") > size_limit(options.max_file_kb), F.lit("size"))
         .when(content.isNull(), F.lit("read_error"))
         .when(is_blank(content), F.lit("empty"))
-        .when(ff.is_binary(content), F.lit("binary"))
+        .when(ff.is_binary(content, options.binary_sample), F.lit("binary"))
         .when(ff.matches_globs(path, options.exclude_globs), F.lit("glob"))
         .otherwise(F.lit("kept"))
     )
@@ -60,7 +60,7 @@ def keep_files(df: DataFrame, options: IndexOptions = IndexOptions()) -> DataFra
     size and path tests reach the scan on their own.
     """
     kept = filter_glob(filter_dirs(filter_size(df, options.max_file_kb), options.exclude_dirs), options.exclude_globs)
-    return filter_binary(filter_empty(kept.where(F.col("content").isNotNull())))
+    return filter_binary(filter_empty(kept.where(F.col("content").isNotNull())), options.binary_sample)
 
 
 def scan_stats(dispositions: DataFrame, chunks: DataFrame | None = None) -> DataFrame:

@@ -35,6 +35,8 @@ class ChunkBudgets:
 
 @dataclass(frozen=True)
 class IndexOptions:
+    """``binary_sample``: characters by which a file is judged binary or not; None takes its whole text."""
+
     max_file_kb: int = 512
     max_chunks: int | None = None
     exclude_dirs: tuple[str, ...] = EXCLUDED_DIRS
@@ -42,6 +44,7 @@ class IndexOptions:
     budgets: ChunkBudgets = field(default_factory=ChunkBudgets)
     embed_batch: int = 32
     write_batch: int = 64
+    binary_sample: int | None = None
 
 
 @dataclass(frozen=True)

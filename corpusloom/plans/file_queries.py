@@ -16,7 +16,7 @@ from corpusloom.plans import views as v
 from corpusloom.plans.registry import query
 from corpusloom.session import spread
 
-OPTIONS = IndexOptions(max_file_kb=16, max_chunks=None)
+OPTIONS = IndexOptions(max_file_kb=16, max_chunks=None, binary_sample=ff.BINARY_SAMPLE)  # the twins judge by the reference's sample
 LONG = "long"
 
 
@@ -103,7 +103,7 @@ def filter_empty(spark, sf):
         (length(s) - length(regexp_replace(s, '[\x00-\x08\x0B\x0C\x0E-\x1F]', '', 'g'))) / greatest(length(s), 1) > 0.08)""",
 )
 def filter_binary(spark, sf):
-    return fl.filter_binary(v.dirty(spark, sf)).select("doc_id", "size")
+    return fl.filter_binary(v.dirty(spark, sf), ff.BINARY_SAMPLE).select("doc_id", "size")
 
 
 @query("filter_glob", sql=r"SELECT doc_id, path FROM dirty WHERE NOT regexp_matches(path, '(?i)^(?:.*/[^/]*\.bin|.*/[^/]*\.class|.*/[^/]*\.jar|.*/[^/]*\.lock)$')")

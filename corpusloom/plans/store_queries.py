@@ -4,9 +4,11 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from corpusloom.functions.files import BINARY_SAMPLE
 from corpusloom.functions.models import embed
 from corpusloom.operators import index as ix
 from corpusloom.operators import metrics as mt
+from corpusloom.options import IndexOptions
 from corpusloom.plans import oracle as o
 from corpusloom.plans import views as v
 from corpusloom.plans.registry import query
@@ -177,7 +179,7 @@ INDEX_INPUT = f"""concat_ws(chr(10), path, file_name, {o.extension('file_name')}
 def index_corpus(spark, sf):
     path = fresh_path(spark, "index")
     files = v.dirty(spark, sf).select("path", "size", "content")
-    ix.index_corpus(files, make_embed, path, "whole_1")
+    ix.index_corpus(files, make_embed, path, "whole_1", options=IndexOptions(binary_sample=BINARY_SAMPLE))
     return co.read_collection(spark, path, "whole_1").select(
         "collection_id", "id", F.col("chunk_count").cast(LONG).alias("chunk_count"),
         F.col("chunk_end").cast(LONG).alias("chunk_end"), "language", F.md5("content").alias("text_md5"),

@@ -407,3 +407,13 @@ def test_missing_vector_is_an_error(spark):
     vectors = spark.createDataFrame([("a", [1.0])], "id string, embedding array<double>")
     with pytest.raises(ValueError):
         ix.join_embeddings(chunks, vectors)
+
+
+def test_whole_texts_are_judged_binary_or_not(spark):
+    late, early = "a" * 5000 + "\x00", "\x01" * 400 + "a" * 9000
+    df = spark.createDataFrame([("late.txt", 5001, late), ("early.txt", 9400, early)], "path string, size long, content string")
+    names = lambda rows: {r.path for r in rows.collect()}
+    looked = IndexOptions(binary_sample=4096)
+    assert names(fl.filter_binary(df)) == names(fl.keep_files(df)) == names(ix.collect_chunks(df)) == {"early.txt"}
+    assert names(fl.filter_binary(df, 4096)) == names(fl.keep_files(df, looked)) == {"late.txt"}
+    assert {r.path: r.disposition for r in fl.scan_disposition(df).collect()} == {"late.txt": "binary", "early.txt": "kept"}
