@@ -48,11 +48,11 @@ def scan_corpus(spark, sf):
 
 @query("attach_files", sql="SELECT false AS is_repository, CAST(sum(length(text) + 1) AS BIGINT) AS chars FROM documents WHERE strlen(text) < 262144")
 def attach_files(spark, sf):
-    """Documents below the size limit, exported as text files and picked up as attachments."""
+    """Every document exported as a text file of its own; those below the operator's size limit are picked up as attachments."""
     path = fresh_path(spark, "attached")
-    docs = v.table(spark, sf, "documents").where("octet_length(text) < 262144")
-    docs.select("text").write.option("maxRecordsPerFile", 200).text(path)
-    found = fs.attach_files(spark, path, max_kb=1 << 20).where(F.endswith("name", F.lit(".txt")))
+    docs = v.table(spark, sf, "documents").where("text is not null")
+    docs.select("text").write.option("maxRecordsPerFile", 1).text(path)
+    found = fs.attach_files(spark, path).where(F.endswith("name", F.lit(".txt")))
     return found.groupBy("is_repository").agg(F.sum(F.length("content").cast(LONG)).alias("chars"))
 
 

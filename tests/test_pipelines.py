@@ -277,3 +277,20 @@ def test_requests_beyond_a_context_are_refused(spark):
     messages = spark.createDataFrame([(1, 0, "user", "x" * 100), (2, 0, "user", "y")], "conv_id long, turn long, role string, text string")
     out = {r.conv_id: (r.text, r.error) for r in generate(messages, lambda: (lambda m: (m[0]["content"], 1, 1)), max_tokens=20).collect()}
     assert out == {1: (None, "context exceeded"), 2: ("y", None)}
+
+
+def test_attach_files_leaves_long_documents_to_the_operator(spark, tmp_path, monkeypatch):
+    from corpusloom.plans import store_queries
+
+    texts = ["short", "a\nb", "x" * 262_143, "x" * 262_144, "x" * 600_000, None]  # a file has one more byte
+    spark.createDataFrame([(t,) for t in texts], "text string").write.parquet(str(tmp_path / "documents.parquet"))
+    seen, attach = [], store_queries.fs.attach_files
+
+    def spy(spark, root, **options):
+        seen.append((sorted(r["length"] for r in spark.read.format("binaryFile").option("pathGlobFilter", "*.txt").load(root).select("length").collect()), options))
+        return attach(spark, root, **options)
+
+    monkeypatch.setattr(store_queries.fs, "attach_files", spy)
+    got = [tuple(r) for r in store_queries.attach_files(spark, str(tmp_path)).collect()]
+    assert seen == [([4, 6, 262_144, 262_145, 600_001], {})]
+    assert got == [(False, 4 + 6 + 262_144)]
