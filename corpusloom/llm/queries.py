@@ -8,15 +8,18 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from corpusloom.llm import quality, toxicity, warc
+from corpusloom.llm.centroids import cluster_vectors
 from corpusloom.llm.common import ascii_lower
 from corpusloom.llm.decontaminate import decontaminate
 from corpusloom.llm.exact_dedup import exact_dedup
+from corpusloom.llm.importance import resample
 from corpusloom.llm.lm import score_texts
 from corpusloom.llm.mixing import mix_sources
 from corpusloom.llm.near_dedup import near_duplicates
 from corpusloom.llm.repeats import repeated_bytes
+from corpusloom.llm.token_counts import count_tokens
 from corpusloom.llm.url_filter import host_of, url_filter
-from corpusloom.session import ship_package
+from corpusloom.session import fresh_path, ship_package
 
 QUERIES = {}
 ORACLES = {}
@@ -259,3 +262,78 @@ def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Log-probability of every document under a log-bilinear model of the training documents."""
     return score_texts(table(spark, sf_dir, "documents"))
+
+
+@query("op11_token_counts")
+def op11(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Tokens of every document by the word vocabulary, through a cache that this run starts."""
+    import public_tokenizers
+
+    counted = count_tokens(
+        table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"), cache=fresh_path(spark, "token-cache")
+    )
+    return counted.select("doc_id", "n_bytes", "n_tokens", "over_limit")
+
+
+@query("op12_importance", f"""
+    WITH crc AS (
+      SELECT list(list_reduce(range(8), lambda c, i: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END, n) ORDER BY n) AS t
+      FROM range(256) r(n)),
+    docs AS (SELECT row_number() OVER () AS id, doc_id, regexp_extract_all({DUCK_LOWER}, '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM documents),
+    items AS (SELECT regexp_extract_all({DUCK_LOWER}, '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM benchmark),
+    used AS (SELECT id, unnest(w) AS word FROM docs),
+    wanted AS (SELECT unnest(w) AS word FROM items),
+    coded AS (
+      SELECT word, xor(list_reduce(
+          list_transform(range(1, strlen(word) + 1), lambda i: ('0x' || substr(hex(word), (2 * i - 1)::INT, 2))::BIGINT),
+          lambda c, b: xor(t[(xor(c, b) & 255) + 1], c >> 8), 4294967295), 4294967295) % 10000 AS bucket
+      FROM (SELECT DISTINCT word FROM (SELECT word FROM used UNION ALL SELECT word FROM wanted)), crc),
+    s AS (SELECT bucket, count(*) AS s FROM used JOIN coded USING (word) GROUP BY bucket),
+    t AS (SELECT bucket, count(*) AS t FROM wanted JOIN coded USING (word) GROUP BY bucket),
+    gain AS (
+      SELECT bucket, floor(1000 * ln(((coalesce(t, 0) + 1) * ((SELECT sum(s) FROM s) + 10000))::DOUBLE
+        / ((s + 1) * (coalesce((SELECT sum(t) FROM t), 0) + 10000))::DOUBLE))::BIGINT AS gain
+      FROM s LEFT JOIN t USING (bucket)),
+    sums AS (SELECT id, sum(gain)::BIGINT AS total, count(*) AS n FROM used JOIN coded USING (word) JOIN gain USING (bucket) GROUP BY id),
+    weighed AS (
+      SELECT doc_id, len(w)::BIGINT AS n_features, coalesce((total - ((total % n) + n) % n) // n, 0)::BIGINT AS weight,
+        ('0x' || substr(sha256('2024:' || coalesce(doc_id::VARCHAR, '')), 1, 8))::BIGINT AS h FROM docs LEFT JOIN sums USING (id)),
+    scored AS (SELECT doc_id, n_features, weight, weight + floor(-1000 * ln(-ln((h + 0.5::DOUBLE) / 4294967296::DOUBLE)))::BIGINT AS score FROM weighed),
+    placed AS (
+      SELECT *, row_number() OVER (PARTITION BY n_features >= 20 ORDER BY score DESC, doc_id NULLS LAST) AS place,
+        count(*) FILTER (n_features >= 20) OVER () AS n FROM scored)
+    SELECT doc_id, n_features, weight, score, CASE WHEN n_features >= 20 AND place <= 10 * n // 100 THEN place END AS rank FROM placed""")
+def op12(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A tenth of the documents drawn towards the words of the benchmark."""
+    drawn = resample(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    return drawn.select("doc_id", "n_features", "weight", "score", "rank")
+
+
+_NEAREST = """
+    a{i} AS MATERIALIZED (
+      SELECT id, min({{'d': list_inner_product(k.v, k.v) - 2 * list_inner_product(k.v, c.v) + list_inner_product(c.v, c.v), 'c': c.c}}) AS best
+      FROM kept k, c{i} c GROUP BY id)"""
+_MOVED = """
+    p{i} AS (SELECT best.c AS c, unnest(v)::BIGINT AS x, generate_subscripts(v, 1) AS at FROM a{i} JOIN kept USING (id)),
+    m{i} AS (SELECT c, at, sum(x)::BIGINT AS s, count(*) AS n FROM p{i} GROUP BY c, at),
+    c{j} AS MATERIALIZED (
+      SELECT c.c, coalesce(m.v, c.v) AS v FROM c{i} c
+      LEFT JOIN (SELECT c, list(((s - ((s % n) + n) % n) // n)::DOUBLE ORDER BY at) AS v FROM m{i} GROUP BY c) m ON m.c = c.c)"""
+
+
+@query("op13_centroids", """
+    WITH kept AS MATERIALIZED (
+      SELECT row_number() OVER () AS id, vec_id, list_transform(embedding, lambda x: floor(256 * x::DOUBLE)) AS v FROM embeddings
+      WHERE len(embedding) = 64 AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+    c0 AS MATERIALIZED (
+      SELECT row_number() OVER (ORDER BY sha256('2:' || coalesce(vec_id::VARCHAR, '')), v) - 1 AS c, v FROM kept QUALIFY c < 40),"""
+       + ",".join(_NEAREST.format(i=i) + "," + _MOVED.format(i=i, j=i + 1) for i in range(5)) + "," + _NEAREST.format(i=5) + """,
+    far AS (SELECT id, best.c AS c, best.d::BIGINT AS d FROM a5),
+    sums AS (SELECT c, sum(d)::BIGINT AS s FROM far GROUP BY c)
+    SELECT vec_id, c::INT AS cluster, d AS distance, s AS cluster_inertia, (SELECT sum(d)::BIGINT FROM far) AS inertia,
+      sha256(array_to_string(list_transform(c5.v, lambda x: x::BIGINT::VARCHAR), ',')) AS centroid_sha256
+    FROM far JOIN kept USING (id) JOIN sums USING (c) JOIN c5 USING (c)""")
+def op13(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every vector's cluster after five rounds of forty centroids."""
+    found = cluster_vectors(table(spark, sf_dir, "embeddings"))
+    return found.select("vec_id", "cluster", "distance", "cluster_inertia", "inertia", "centroid_sha256")
