@@ -43,7 +43,7 @@ def compare(spark, con, plan, sql, sf):
     if sorted(df.columns) != sorted(names):
         return len(mine), len(theirs), f"columns {sorted(df.columns)} / {sorted(names)}"
     types = [(f.name, f.dataType.simpleString()) for f in df.schema]
-    odd = [t for t in types if t[1] not in ("bigint", "string", "double", "boolean")]
+    odd = [t for t in types if t[1] not in ("int", "bigint", "string", "double", "boolean")]
     if mine != theirs:
         for a, b in zip(mine, theirs):
             if a != b or [type(x) for x in a] != [type(x) for x in b]:
