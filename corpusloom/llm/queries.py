@@ -314,11 +314,11 @@ _NEAREST = """
       SELECT id, min({{'d': list_inner_product(k.v, k.v) - 2 * list_inner_product(k.v, c.v) + list_inner_product(c.v, c.v), 'c': c.c}}) AS best
       FROM kept k, c{i} c GROUP BY id)"""
 _MOVED = """
-    p{i} AS (SELECT best.c AS c, unnest(v)::BIGINT AS x, generate_subscripts(v, 1) AS at FROM a{i} JOIN kept USING (id)),
-    m{i} AS (SELECT c, at, sum(x)::BIGINT AS s, count(*) AS n FROM p{i} GROUP BY c, at),
+    p{i} AS (SELECT best.c AS c, unnest(v)::BIGINT AS x, generate_subscripts(v, 1) AS pos FROM a{i} JOIN kept USING (id)),
+    m{i} AS (SELECT c, pos, sum(x)::BIGINT AS s, count(*) AS n FROM p{i} GROUP BY c, pos),
     c{j} AS MATERIALIZED (
       SELECT c.c, coalesce(m.v, c.v) AS v FROM c{i} c
-      LEFT JOIN (SELECT c, list(((s - ((s % n) + n) % n) // n)::DOUBLE ORDER BY at) AS v FROM m{i} GROUP BY c) m ON m.c = c.c)"""
+      LEFT JOIN (SELECT c, list(((s - ((s % n) + n) % n) // n)::DOUBLE ORDER BY pos) AS v FROM m{i} GROUP BY c) m ON m.c = c.c)"""
 
 
 @query("op13_centroids", """
