@@ -11,8 +11,9 @@ from corpusloom.plans import views as v
 from corpusloom.plans.registry import query
 from corpusloom.session import fresh_path
 from corpusloom.sources import files as fs
+from corpusloom.sources import frames
 from corpusloom.sources import replies as rp
-from corpusloom.streaming import jobs
+from corpusloom.streaming import jobs, live
 
 LONG = "long"
 EPOCH = "timestamp_ntz'1970-01-01 00:00:00'"
@@ -46,9 +47,23 @@ REPLIES = f"""SELECT request_id, part, text, chars, server_tokens, {TOKENS} AS t
     coalesce(arg_max(usage, seq) FILTER (usage > 0), 0) AS server_tokens FROM decoded GROUP BY request_id) USING (request_id)"""
 
 
-@query("assemble_reply", sql=REPLIES)
+# Lines up to the end mark of their request, which is one of them.
+ENDED = f"""lines AS (SELECT f.request_id, f.seq, f.seq // {rp.PART_SPAN} AS part, f.value = 'data: [DONE]' AS is_end, token, usage, ts
+        FROM fragments f JOIN events ON event_id = f.seq LEFT JOIN decoded d ON d.request_id = f.request_id AND d.seq = f.seq WHERE starts_with(f.value, 'data:')),
+      ends AS (SELECT request_id, min(seq) FILTER (is_end) AS e FROM lines GROUP BY request_id),
+      kept AS (SELECT lines.* FROM lines JOIN ends USING (request_id) WHERE e IS NULL OR seq <= e)"""
+TOTALS = """CAST(coalesce(sum(length(token)), 0) AS BIGINT) AS chars, coalesce(arg_max(usage, seq) FILTER (usage > 0), 0) AS server_tokens"""
+
+
+@query(
+    "assemble_reply",
+    sql=f"""SELECT request_id, part, text, chars, server_tokens, {TOKENS} AS tokens FROM (WITH {ENDED},
+        parts AS (SELECT request_id, part, coalesce(string_agg(token, '' ORDER BY seq), '') AS text FROM kept GROUP BY ALL),
+        totals AS (SELECT request_id, {TOTALS} FROM kept GROUP BY request_id) SELECT * FROM parts JOIN totals USING (request_id))""",
+)
 def assemble_reply(spark, sf):
-    return rp.assemble_replies(rp.decode_replies(v.fragments(spark, sf)))
+    """Replies up to their end mark."""
+    return rp.assemble_replies(rp.decode_marked(v.fragments(spark, sf)))
 
 
 @query("reply_token_fallback", sql=f"SELECT event_id, {TOKENS} AS tokens FROM (SELECT event_id, event_id % 3 AS server_tokens, length(props) + event_id AS chars FROM events)")
@@ -116,6 +131,63 @@ def stream_replies(spark, sf):
     return rp.finish_replies(jobs.latest(spark, path, ["request_id", "part"]))
 
 
+@query(
+    "stream_live_replies",
+    sql=f"""SELECT request_id, text, chars, server_tokens, ended FROM (WITH {ENDED},
+        passed AS (SELECT * FROM kept WHERE epoch_ms(ts) <= (SELECT epoch_ms(max(ts)) - 60000 FROM events))
+        SELECT request_id, coalesce(string_agg(token, '' ORDER BY seq), '') AS text, {TOTALS}, bool_or(is_end) AS ended FROM passed GROUP BY request_id)""",
+)
+def stream_live_replies(spark, sf):
+    """Replies as far as the watermark has passed them. Requests last for days in this table, and so does what is remembered of them."""
+    events = v.table_stream(spark, sf, "events")
+    lines = v.fragments(spark, sf, events, "ts")
+    pieces = live.live_replies(rp.decode_marked(lines), idle="60 days", forget="60 days")
+    with live.rocksdb(spark):
+        path = drained(pieces, fresh_path(spark, "live-replies"), "append")
+    return live.whole_replies(spark.read.parquet(path))
+
+
+FRAME = 512
+# What a reader of FRAME bytes at a time takes from the recorded replies: whole lines, none behind an end mark of the same read.
+FRAMED = f"""SELECT request_id, frame, place AS seq, token, usage, is_bad, is_end FROM (WITH placed AS (
+      SELECT request_id, seq, value, sum(strlen(value) + 1) OVER w AS place, row_number() OVER w AS nth, count(*) OVER (PARTITION BY request_id) AS n
+      FROM fragments WINDOW w AS (PARTITION BY request_id ORDER BY seq ROWS UNBOUNDED PRECEDING)),
+    framed AS (
+      SELECT *, CAST((place - 1) // {FRAME} AS BIGINT) AS frame, value = 'data: [DONE]' AS is_end FROM placed WHERE request_id % 5 <> 0 OR nth < n),
+    marked AS (SELECT *, min(place) FILTER (is_end) OVER (PARTITION BY request_id, frame) AS e FROM framed)
+    SELECT m.request_id, frame, CAST(place AS BIGINT) AS place, coalesce(token, '') AS token, coalesce(usage, 0) AS usage,
+      coalesce(is_bad, false) AS is_bad, is_end
+    FROM marked m LEFT JOIN decoded d ON d.request_id = m.request_id AND d.seq = m.seq
+    WHERE (e IS NULL OR place <= e) AND starts_with(value, 'data:'))"""
+
+
+def recorded(spark, sf) -> str:
+    """A folder with the bytes of every request's lines; those of every fifth request end without a line feed."""
+    lines = v.fragments(spark, sf).groupBy("request_id").agg(F.array_sort(F.collect_list(F.struct("seq", "value"))).alias("lines"))
+    text = F.array_join(F.transform("lines", lambda x: x["value"]), "\n")
+    path = fresh_path(spark, "recorded")
+    whole = lines.select("request_id", F.when(F.col("request_id") % 5 == 0, text).otherwise(F.concat(text, F.lit("\n"))).alias("value"))
+    whole.write.partitionBy("request_id").option("lineSep", " ").text(path)
+    return path
+
+
+@query("read_reply_frames", sql=FRAMED)
+def read_reply_frames(spark, sf):
+    return _decoded_frames(frames.read_reply_frames(spark, recorded(spark, sf), FRAME))
+
+
+@query("stream_reply_frames", sql=FRAMED)
+def stream_reply_frames(spark, sf):
+    """The same rows through a stream that reads the folder by offsets."""
+    lines = frames.stream_reply_frames(spark, recorded(spark, sf), FRAME)
+    path = drained(_decoded_frames(lines), fresh_path(spark, "frames"), "append")
+    return spark.read.parquet(path).drop(jobs.EPOCH)
+
+
+def _decoded_frames(lines):
+    return rp.decode_marked(lines.withColumn("request_id", F.col("request_id").cast("long")))
+
+
 @query(
     "stream_metrics",
     sql="""SELECT epoch_us(time_bucket(INTERVAL 1 HOUR, ts)) AS window_us, count(*) AS requests, count(*) FILTER (is_error) AS errors,

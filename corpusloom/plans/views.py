@@ -175,7 +175,7 @@ def agent_turns(spark, sf) -> DataFrame:
     return table(spark, sf, "conversations").where(F.col("role") == "assistant").select("conv_id", "turn", text.alias("text"))
 
 
-def fragments(spark, sf, events=None) -> DataFrame:
+def fragments(spark, sf, events=None, *more) -> DataFrame:
     """Reply lines made of events: both fragment layouts, usage, end marks, bad JSON."""
     events = table(spark, sf, "events") if events is None else events
     i = F.col("event_id")
@@ -190,7 +190,7 @@ def fragments(spark, sf, events=None) -> DataFrame:
     line = F.when(i % 31 == 0, F.lit("")).when(i % 41 == 0, F.concat(F.lit(": "), piece)).otherwise(
         F.concat(F.lit("data: "), body)
     )
-    return events.select(F.col("user_id").alias("request_id"), F.col("event_id").alias("seq"), line.alias("value"))
+    return events.select(F.col("user_id").alias("request_id"), F.col("event_id").alias("seq"), line.alias("value"), *more)
 
 
 def requests(spark, sf, events=None) -> DataFrame:

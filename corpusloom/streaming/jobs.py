@@ -4,9 +4,11 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.utils import AnalysisException
 
 from corpusloom.functions.text import session_title
 from corpusloom.sources.replies import decode_replies, reply_parts
+from corpusloom.streaming.live import NO_DATA, SESSION_ROW, live_sessions, rocksdb
 
 EPOCH = "_epoch"
 
@@ -89,26 +91,60 @@ def latest(spark: SparkSession, path: str, keys: list[str]) -> DataFrame:
     )
 
 
-def stream_sessions(messages: DataFrame, path: str, checkpoint: str, once: bool = True):
-    """Keep a session log from a stream of (session_id, turn, role, text, ts, deleted).
+# Changes of this many micro-batches are read beside a snapshot before the next one is made.
+COMPACT_EVERY = 16
+CHANGE = f"session_id {{}}, {SESSION_ROW}"
 
-    A row with ``deleted`` ends its session. The log is append-only and
-    ``sessions_of`` is its view, so no micro-batch rewrites older data.
+
+def stream_sessions(
+    messages: DataFrame, path: str, checkpoint: str, once: bool = True, compact_every: int = COMPACT_EVERY, trace: str = "30 days"
+):
+    """Keep the living sessions of a stream of (session_id, turn, role, text, ts, deleted).
+
+    A row with ``deleted`` ends its session. State is one row for each living session, the log holds one row for
+    each session that a micro-batch changed. Every ``compact_every`` micro-batches a snapshot of the living
+    sessions begins a new generation of the log, and ``sessions_of`` reads the newest generation only.
     """
-    return write_epochs(messages, path, checkpoint, "append", once)
+    kind = messages.schema["session_id"].dataType.simpleString()
+    changes = live_sessions(messages, session_title, trace)
+
+    def put(batch: DataFrame, epoch: int) -> None:
+        spark, generation = batch.sparkSession, epoch // compact_every
+        batch.write.mode("overwrite").parquet(f"{path}/generation={generation}/changes/{EPOCH}={epoch}")
+        # a repeated micro-batch finds its snapshot made: readers may be at it
+        if (epoch + 1) % compact_every == 0 and _generation(spark, path) <= generation:
+            following = f"{path}/generation={generation + 1}"
+            _living(spark, path, generation, kind).write.mode("overwrite").parquet(f"{following}/snapshot")
+            batch.limit(0).write.mode("overwrite").parquet(f"{following}/changes/{EPOCH}={epoch}")
+            spark.range(1).write.mode("overwrite").parquet(f"{path}/current/generation={generation + 1}")
+
+    writer = changes.writeStream.outputMode("update").option("checkpointLocation", checkpoint).foreachBatch(put)
+    # a time to live runs by the clock, for which Spark would go on with empty micro-batches
+    with rocksdb(messages.sparkSession, **{NO_DATA: "false"}):
+        return (writer.trigger(availableNow=True) if once else writer).start()
+
+
+def _generation(spark: SparkSession, path: str) -> int:
+    """The newest generation whose snapshot is complete; 0 has none."""
+    try:
+        return spark.read.parquet(f"{path}/current").agg(F.max("generation")).first()[0] or 0
+    except AnalysisException:
+        return 0
+
+
+def _living(spark: SparkSession, path: str, generation: int, kind: str | None = None) -> DataFrame:
+    """The newest state of every session of a generation that is not deleted."""
+    reader = spark.read if kind is None else spark.read.schema(CHANGE.format(kind) + f", {EPOCH} long")
+    rows = reader.parquet(f"{path}/generation={generation}/changes")
+    rows = rows.withColumn(EPOCH, F.col(EPOCH).cast("long"))
+    if generation:
+        snapshot = spark.read.parquet(f"{path}/generation={generation}/snapshot")
+        rows = rows.unionByName(snapshot.withColumn(EPOCH, F.lit(-1).cast("long")))
+    names = [c for c in rows.columns if c not in ("session_id", EPOCH)]
+    newest = rows.groupBy("session_id").agg(F.max_by(F.struct(*names), EPOCH).alias("v"))
+    return newest.where("not v.deleted").select("session_id", "v.*")
 
 
 def sessions_of(spark: SparkSession, path: str) -> DataFrame:
     """One row per living session: title from its first message, size, age."""
-    log = spark.read.parquet(path)
-    return (
-        log.groupBy("session_id")
-        .agg(
-            F.min_by("text", "turn").alias("first_text"),
-            F.count_if(~F.col("deleted")).alias("messages"),
-            F.min("ts").alias("created_at"),
-            F.bool_or("deleted").alias("_gone"),
-        )
-        .where(~F.col("_gone"))
-        .select("session_id", session_title(F.col("first_text")).alias("title"), "messages", "created_at")
-    )
+    return _living(spark, path, _generation(spark, path)).select("session_id", "title", "messages", "created_at")
