@@ -5,9 +5,10 @@ their Jaccard similarity. The values are banded; texts that share a band are can
 is linked only if the whole sets confirm it.
 
 Texts with the same set are one class from the start. Of a band's bucket, all members are compared with one
-leader first. Only members that this leaves outside the bucket's largest component are compared further, at
-last with every member of every other component, so that no link between components is lost and no bucket
-is ever expanded into all its pairs.
+leader first. Members of buckets that this leaves in several components are compared further, at last by a
+join on their rarest shingles that finds every pair of theirs at the threshold, so that no link between
+components is lost. Members that only share frequent shingles make no pair; those that stay just below the
+threshold with each other still do.
 """
 
 from __future__ import annotations
@@ -141,9 +142,12 @@ def near_duplicates(
         if turn in (0, LEADER_ROUNDS):
             bounds = _bounds(open_ones, sets, percent)
         open_ones = open_ones.join(bounds, "node")
-        found = _with_leader(open_ones, turn) if turn < LEADER_ROUNDS else _across(open_ones, percent)
-        near = alike(F.col("size_a"), F.col("size_b")) & _reaches("bound_a", "bound_b", "size_a", "size_b", percent)
-        pairs = checkpoint(found.where(near).select("a", "b").distinct().join(tested, ["a", "b"], "left_anti"), "near-pairs")
+        if turn < LEADER_ROUNDS:
+            near = alike(F.col("size_a"), F.col("size_b")) & _reaches("bound_a", "bound_b", "size_a", "size_b", percent)
+            found = _with_leader(open_ones, turn).where(near).select("a", "b").distinct()
+        else:
+            found = _across(open_ones, sets, percent)
+        pairs = checkpoint(found.join(tested, ["a", "b"], "left_anti"), "near-pairs")
         tested = tested.unionByName(pairs)
         links = links.unionByName(checkpoint(_confirmed(pairs, sets, percent), "near-links"))
         labels = components(links)
@@ -204,18 +208,42 @@ def _with_leader(open_ones: DataFrame, turn: int) -> DataFrame:
     return open_ones.where("not main").alias("x").join(leader.alias("y"), "bucket").select(*_pair("x", "y"))
 
 
-def _across(open_ones: DataFrame, percent: int) -> DataFrame:
-    """Every member outside the largest component with the members of other components that its bound allows.
+def _prefixes(nodes: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """node, size, component, shingle, place: the first shingles of every set in one order of all shingles, rarest first.
 
-    A pair with several common buckets comes from the smallest of them only.
+    Two sets that reach ``percent`` have one of these in common. ``place`` counts the shingles before it, also those
+    that no other member has: they come first and make no row.
     """
-    held = open_ones.groupBy("node").agg(F.collect_list("bucket").alias("held"))  # at most one for each band
-    members = checkpoint(open_ones.join(held, "node"), "near-members")
-    differs = (F.col("x.bucket") == F.col("y.bucket")) & (F.col("x.component") != F.col("y.component"))
-    once = F.col("y.main") | (F.col("x.node") < F.col("y.node"))
-    reaches = _reaches("x.bound", "y.bound", "x.size", "y.size", percent)
-    here = F.array_min(F.array_intersect("x.held", "y.held")) == F.col("x.bucket")
-    return members.where("not main").alias("x").join(members.alias("y"), differs & once & reaches & here).select(*_pair("x", "y"))
+    owned = sets.join(nodes, "node").select("node", "size", "component", F.explode("shingles").alias("shingle"))
+    shared = owned.groupBy("shingle").agg(F.count("*").alias("n")).where("n > 1")
+    ordered = owned.join(shared, "shingle").groupBy("node", "size", "component").agg(
+        F.array_sort(F.collect_list(F.struct("n", "shingle"))).alias("order")  # a part of one text's set
+    )
+    length = F.col("size") - F.ceil(percent * F.col("size") / 100) + 1
+    head = ordered.withColumn("alone", F.col("size") - F.size("order")).where(length > F.col("alone"))
+    first = F.slice("order", F.lit(1), (length - F.col("alone")).cast("int"))
+    return head.select("node", "size", "component", "alone", F.posexplode(first).alias("i", "e")).select(
+        "node", "size", "component", F.col("e.shingle").alias("shingle"), (F.col("alone") + F.col("i")).alias("place")
+    )
+
+
+def _across(open_ones: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """Pairs of members of different components that can reach ``percent``: they share one of their rarest shingles.
+
+    A join of prefixes, so members that have little but frequent shingles in common are never paired. The smaller
+    set of a pair is met by a shorter prefix, since more of it must be in common; lengths and places bound what two
+    sets can still share. It does not matter here whether the two have a bucket in common.
+    """
+    nodes = checkpoint(open_ones.select("node", "size", "component").distinct(), "near-members")
+    prefix = checkpoint(_prefixes(nodes, sets, percent), "near-prefixes")
+    short = F.col("size") - F.ceil(2 * percent * F.col("size") / (100 + percent)) + 1
+    x, y = prefix.where(F.col("place") < short).alias("x"), prefix.alias("y")
+    ordered = (F.col("x.size") < F.col("y.size")) | ((F.col("x.size") == F.col("y.size")) & (F.col("x.node") < F.col("y.node")))
+    left = F.least(F.col("x.size") - F.col("x.place"), F.col("y.size") - F.col("y.place"))
+    reaches = (100 * F.col("x.size") >= percent * F.col("y.size")) & (
+        (100 + percent) * left >= percent * (F.col("x.size") + F.col("y.size")))
+    met = x.join(y, (F.col("x.shingle") == F.col("y.shingle")) & (F.col("x.component") != F.col("y.component")) & ordered & reaches)
+    return met.select(F.least("x.node", "y.node").alias("a"), F.greatest("x.node", "y.node").alias("b")).distinct()
 
 
 def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", percent: int = 85, **options) -> DataFrame:

@@ -3,6 +3,7 @@ import random
 from brute import near
 from pyspark.sql import functions as F
 
+from corpusloom.llm import near_dedup
 from corpusloom.llm.near_dedup import drop_near_duplicates, near_duplicates
 
 SF = "/root/testdata/sf0.01"
@@ -43,3 +44,42 @@ def test_drop_keeps_one_of_each(docs_of):
     got = sorted(((r.doc_id, r.text) for r in kept.collect()), key=repr)
     assert got == sorted([(2, text + " more"), (4, "else entirely"), (5, None), (6, "")], key=repr)
     assert drop_near_duplicates(frame.where(F.lit(False))).count() == 0
+
+
+def edited(n, changes, length=120, seed=3):
+    """Texts of one base with own words at a few places."""
+    rng = random.Random(seed)
+    base = [f"b{i}" for i in range(length)]
+    rows = []
+    for i in range(n):
+        own = list(base)
+        for k in rng.sample(range(length), changes):
+            own[k] = f"x{i}-{k}"
+        rows.append((i, " ".join(own)))
+    return rows
+
+
+def test_pairs_grow_with_the_texts_not_their_square(docs_of, monkeypatch):
+    counted = []
+    confirmed = near_dedup._confirmed
+    monkeypatch.setattr(near_dedup, "_confirmed", lambda pairs, *rest: counted.append(pairs.count()) or confirmed(pairs, *rest))
+    totals = {}
+    for n in (150, 600):
+        counted.clear()
+        rows = edited(n, 4)
+        assert judged(docs_of(rows)) == sorted(near(rows), key=repr)
+        totals[n] = sum(counted)
+    assert totals[600] <= 5 * totals[150] and totals[600] < 20 * 600, totals
+
+
+def test_thresholds_in_one_large_group(docs_of):
+    rows = edited(60, 1) + [(100 + i, t) for i, t in edited(40, 2, seed=4)] + [(200 + i, t) for i, t in edited(30, 3, 80, seed=5)]
+    for percent in (60, 82):
+        assert judged(docs_of(rows), percent=percent) == sorted(near(rows, percent), key=repr)
+
+
+def test_empty_table_and_long_text(docs_of):
+    assert near_duplicates(docs_of([(1, "x")]).where("false")).count() == 0
+    long = " ".join(f"w{i % 7000}-{i // 9}" for i in range(120_000))
+    rows = [(3, long), (1, long + " end"), (2, long[: len(long) // 2]), (4, "y" * 300_000), (4, "y" * 300_000)]
+    assert judged(docs_of(rows)) == sorted(near(rows), key=repr)
