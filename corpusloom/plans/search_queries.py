@@ -7,12 +7,13 @@ from pyspark.sql import functions as F
 from corpusloom.functions import scoring as sc
 from corpusloom.operators import filters as fl
 from corpusloom.operators import metrics as mt
+from corpusloom.operators import postings as ps
 from corpusloom.operators import search as se
 from corpusloom.options import SearchOptions
 from corpusloom.plans import oracle as o
 from corpusloom.plans import views as v
 from corpusloom.plans.registry import query
-from corpusloom.session import spread
+from corpusloom.session import fresh_path, spread
 
 OPTIONS = SearchOptions(digits=6)
 LONG = "long"
@@ -196,6 +197,15 @@ def search_lexical(spark, sf):
     return shown(hits, "metadata_score", "content_score", "combined")
 
 
+@query("search_postings", sql=lexical_sql(12))
+def search_postings(spark, sf):
+    """The same hits through postings that are made of the corpus first."""
+    chunks, path = v.corpus_chunks(spark, sf), fresh_path(spark, "postings")
+    ps.write_postings(chunks, path)
+    hits = ps.search_postings(items(spark, sf), chunks, ps.read_postings(spark, path), OPTIONS)
+    return shown(hits, "metadata_score", "content_score", "combined")
+
+
 @query("lexical_topk", sql=lexical_sql(5))
 def lexical_topk(spark, sf):
     hits = se.search_lexical(items(spark, sf), v.corpus_chunks(spark, sf), SearchOptions(digits=6, max_results=5))
