@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+import re
+from bisect import bisect_left
+
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -123,6 +127,54 @@ def java_symbols(content: Column, end: Column) -> Column:
     return bind(F.substring(content, F.lit(1), end.cast("int")), symbols)
 
 
+# The same patterns with the white space itself in the character class.
+TYPE_IN_TEXT, METHOD_IN_HEAD = (re.compile(p.replace(SPACE_CLASS, SPACE_CHARS)) for p in (JAVA_TYPE, JAVA_METHOD))
+HEAD_END = re.compile("[{;}]")
+
+
+def symbol_positions(text: str) -> tuple[list[int], list[str], list[int], list[str]]:
+    """(starts of type names, the names, places of opening braces that have a method in front, its names), each in order."""
+    starts, types, braces, methods = [], [], [], []
+    for found in TYPE_IN_TEXT.finditer(text):
+        starts.append(found.start(1))
+        types.append(found.group(1))
+    behind = 0
+    for found in HEAD_END.finditer(text):
+        if found.group() == "{":
+            head = text[behind:found.start()].strip(SPACE_CHARS)
+            method = METHOD_IN_HEAD.search(head) if head.endswith(")") else None
+            if method and method.group(1) not in NOT_METHODS:
+                braces.append(found.start())
+                methods.append(method.group(1))
+        behind = found.end()
+    return starts, types, braces, methods
+
+
+def java_symbols_at(content: Column, ends: Column) -> Column:
+    """``java_symbols`` at every one of ``ends``: the text is looked through once, each end is a binary search.
+
+    An array of (class_name, method_name) beside ``ends``; null where the content is null.
+    """
+
+    @F.pandas_udf("array<struct<class_name:string,method_name:string>>")
+    def symbols(contents: pd.Series, places: pd.Series) -> pd.Series:
+        out = []
+        for text, stops in zip(contents, places):
+            if text is None or stops is None:
+                out.append(None)
+                continue
+            starts, types, braces, methods = symbol_positions(text)
+            row = []
+            for end in stops:
+                i, j = bisect_left(starts, end) - 1, bisect_left(braces, end) - 1
+                # a text that ends inside a name has the part before the end
+                row.append({"class_name": types[i][:end - starts[i]] if i >= 0 else "", "method_name": methods[j] if j >= 0 else ""})
+            out.append(row)
+        return pd.Series(out)
+
+    return symbols(content, ends)
+
+
 def session_title(text: Column) -> Column:
     """Text after the instruction marker when there is any, cut to 40 characters."""
     tail = js_trim(F.get(F.split(text, "User instruction:"), F.lit(1)))

@@ -227,7 +227,7 @@ def batch_reply(
         )
         parts.append(checkpoint(run))
     plain = routed.where(~react)
-    if not plain.isEmpty():
+    if not parts or not plain.isEmpty():  # without any request: no rows, of the same columns
         history = build_messages(
             messages.join(plain, "conv_id", "left_semi"), plain.select("conv_id", "prompt"),
             plain.select("conv_id", "system_prompt"),
@@ -241,7 +241,5 @@ def batch_reply(
                 )
             )
         )
-    if not parts:
-        raise ValueError("no requests")
     out = parts[0] if len(parts) == 1 else parts[0].unionByName(parts[1])
     return out.join(routed.select("conv_id", "flow"), "conv_id")

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from corpusloom.functions import files as ff
 from corpusloom.functions.models import embed
-from corpusloom.functions.text import java_symbols, keyword_entities
+from corpusloom.functions.text import java_symbols_at, keyword_entities
 from corpusloom.operators.chunking import emit_chunks, line_spans, merge_small
 from corpusloom.operators.filters import keep_files, running_cap
 from corpusloom.operators.metrics import index_summary, project_type
@@ -86,15 +86,10 @@ def collect_chunks(
     if cap is not None:
         counted = cut.select("path", F.size("_spans").alias("chunk_count"))
         cut = cut.join(running_cap(counted, cap).select("path"), "path", "left_semi")
-    # Symbols look at the text before a chunk's end, so they are taken from the
-    # whole file, and for Java files only.
-    body = F.col("content")
-    with_symbols = cut.withColumn(
-        "_symbols",
-        F.when(
-            F.col("file_language") == "java", F.transform("_spans", lambda s: java_symbols(body, s["end"]))
-        ),
-    )
+    # Symbols look at the text before a chunk's end: found once in the whole
+    # file, and in Java files only.
+    body = F.when(F.col("file_language") == "java", F.col("content"))
+    with_symbols = cut.withColumn("_symbols", java_symbols_at(body, F.transform("_spans", lambda s: s["end"])))
     rows = emit_chunks(with_symbols, F.col("_spans"), entities=False, spread_out=False)
     symbols = F.get(F.col("_symbols"), F.col("chunk_index"))
     return rows.select(

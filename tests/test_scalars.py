@@ -1,5 +1,7 @@
-from pyspark.sql import functions as F
+import random
+
 import pytest
+from pyspark.sql import functions as F
 
 from corpusloom.functions import files as ff
 from corpusloom.functions import prompting as pr
@@ -110,6 +112,31 @@ def test_java_symbols(one):
     assert (first.class_name, first.method_name) == ("A", "one")
 
 
+def test_java_symbols_at_every_end(spark):
+    rng = random.Random(6)
+    bits = ["class ", "Foo", "A1_b", " ", "\n", "{", "}", ";", "(", ")", "void run", "if (x) ", "new B(", "interface\u00a0I", "enum", "record R", "int go () ", "é", ", "]
+    texts = ["".join(rng.choices(bits, k=60)) for _ in range(40)] + ["", "class", "class X", "\U0001d518 class Y { void z() {"]
+    rows = spark.createDataFrame([(i, t) for i, t in enumerate(texts)] + [(99, None)], "i int, c string")
+    ends = F.sequence(F.lit(0), F.length("c"))
+    got = rows.select("i", tx.java_symbols_at(C("c"), ends).alias("at"), F.transform(ends, lambda e: tx.java_symbols(C("c"), e)).alias("each"))
+    for r in got.collect():
+        assert (r.at is None) == (r.i == 99)
+        assert r.i == 99 or r.at == r.each, texts[r.i]
+
+
+def test_symbols_of_a_long_file_take_linear_time():
+    from time import perf_counter
+
+    unit = "class Part {\n  public void run(int x) { if (x) { return; } }\n}\n"
+    took = []
+    for times in (3_000, 12_000):  # 190 and 760 KB
+        started = perf_counter()
+        starts, _, braces, _ = tx.symbol_positions(unit * times)
+        took.append(perf_counter() - started)
+        assert len(starts) == len(braces) == times
+    assert took[1] < 12 * took[0] + 0.5
+
+
 def test_tokens_keep_duplicates(one):
     assert one(sc.tokenize(C("c")), c="Foo foo, a b.c/d-e x") == ["foo", "foo", "b.c/d-e"]
     assert one(sc.lexical_path_score(sc.tokenize(C("q")), C("s")), q="foo foo bar", s="my foo") == pytest.approx(2 / 3)
