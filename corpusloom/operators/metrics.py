@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from corpusloom.functions.files import PROJECT_MARKERS
-from corpusloom.operators.prefix import in_ranges, with_prefix_sums
+from corpusloom.operators.prefix import in_ranges, range_starts, with_prefix_sums
 
 
 def request_metrics(requests: DataFrame, by: list[str] | None = None) -> DataFrame:
@@ -60,11 +60,9 @@ def idle_requests(
     opened = joined.withColumn("_before", before).withColumn("_new", F.when(F.coalesce(goes_on, F.lit(False)), 0).otherwise(1))
     opened = opened.withColumn("_inside", F.sum("_new").over(inside.rowsBetween(Window.unboundedPreceding, 0)))
     # a session that goes on in the next range keeps its number: sums of what the ranges before opened
-    starts = opened.groupBy("_range").agg(F.sum("_new").alias("_n")).select(
-        "_range", F.coalesce(F.sum("_n").over(Window.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_base")
-    )
+    starts = range_starts(opened.groupBy("_range").agg(F.sum("_new").alias("_base")), ["_base"])
     return (
-        opened.join(F.broadcast(starts), "_range").withColumn("_session", F.col("_inside") + F.col("_base"))
+        opened.join(starts, "_range").withColumn("_session", F.col("_inside") + F.col("_base"))
         .groupBy(key, "_session")
         .agg(F.min("first_ts").alias("first_ts"), F.max("last_ts").alias("last_ts"), F.sum("events").alias("events"))
         .drop("_session")

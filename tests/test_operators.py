@@ -417,3 +417,20 @@ def test_whole_texts_are_judged_binary_or_not(spark):
     assert names(fl.filter_binary(df)) == names(fl.keep_files(df)) == names(ix.collect_chunks(df)) == {"early.txt"}
     assert names(fl.filter_binary(df, 4096)) == names(fl.keep_files(df, looked)) == {"late.txt"}
     assert {r.path: r.disposition for r in fl.scan_disposition(df).collect()} == {"late.txt": "binary", "early.txt": "kept"}
+
+
+def test_ranges_follow_the_rows_and_blocks_add_up(spark, monkeypatch):
+    from corpusloom.operators import prefix
+
+    monkeypatch.setattr(prefix, "RANGE_ROWS", 50)
+    monkeypatch.setattr(prefix, "BLOCK_RANGES", 4)
+    for n in (800, 3200):
+        df = spark.range(n).select(F.col("id").alias("k"), (F.col("id") % 7).alias("v"))
+        sizes = [r["count"] for r in prefix.in_ranges(df, ["k"]).groupBy("_range").count().collect()]
+        assert sum(sizes) == n and max(sizes) <= 3 * 50
+        got = {r.k: r.s for r in prefix.with_prefix_sums(df, ["k"], {"s": F.col("v")}).collect()}
+        total = 0
+        for k in range(n):
+            total += k % 7
+            assert got[k] == total
+    assert prefix.with_prefix_sums(spark.range(0), ["id"], {"s": F.col("id")}).count() == 0
