@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 
 from corpusloom.functions import files as ff
@@ -63,25 +63,13 @@ def keep_files(df: DataFrame, options: IndexOptions = IndexOptions()) -> DataFra
     return filter_binary(filter_empty(kept.where(F.col("content").isNotNull())), options.binary_sample)
 
 
-def scan_stats(dispositions: DataFrame, chunks: DataFrame | None = None) -> DataFrame:
-    """One row of counters over the files seen, all from partial sums.
-
-    Folders and entries are those a walk meets: every folder above a file,
-    and each file and folder once.
-    """
-    path = F.col("path")
-    parts = F.split(path, "/")
-    depth = F.size(parts)
-    folders = dispositions.select(
-        F.explode(
-            F.transform(F.sequence(F.lit(0), depth - 1), lambda n: F.array_join(F.slice(parts, F.lit(1), n), "/"))
-        ).alias("folder")
-    ).distinct()
+def _counters() -> list[Column]:
+    """Files of every disposition."""
 
     def counted(kind):
         return F.count_if(F.col("disposition") == kind)
 
-    files = dispositions.agg(
+    return [
         F.count("*").alias("considered_files"),
         counted("size").alias("skipped_by_size"),
         counted("empty").alias("skipped_empty"),
@@ -89,15 +77,57 @@ def scan_stats(dispositions: DataFrame, chunks: DataFrame | None = None) -> Data
         counted("glob").alias("skipped_by_glob"),
         counted("read_error").alias("read_errors"),
         counted("kept").alias("kept_files"),
-    )
-    out = files.withColumn("visited_directories", folders.agg(F.count("*")).scalar()).withColumn(
+    ]
+
+
+def _with_walk(counters: DataFrame, files: DataFrame) -> DataFrame:
+    """``counters`` with the folders and entries that a walk meets; reads the paths of ``files`` only."""
+    parts = F.split("path", "/")
+    folders = files.select(
+        F.explode(
+            F.transform(F.sequence(F.lit(0), F.size(parts) - 1), lambda n: F.array_join(F.slice(parts, F.lit(1), n), "/"))
+        ).alias("folder")
+    ).distinct()
+    return counters.withColumn("visited_directories", folders.agg(F.count("*")).scalar()).withColumn(
         "visited_entries", F.col("considered_files") + F.col("visited_directories") - 1
     )
+
+
+def scan_stats(dispositions: DataFrame, chunks: DataFrame | None = None) -> DataFrame:
+    """One row of counters over the files seen, all from partial sums.
+
+    Folders and entries are those a walk meets: every folder above a file,
+    and each file and folder once.
+    """
+    out = _with_walk(dispositions.agg(*_counters()), dispositions)
     if chunks is not None:
         out = out.withColumn("indexed_chunks", chunks.agg(F.count("*")).scalar())
     return out
 
 
+class ObservedScan:
+    """Scan statistics taken on the way, by the job that reads the files anyway.
+
+    ``kept`` are the files to go on with. After one action over it, ``stats`` gives the row of ``scan_stats``
+    without a second look at the texts; the folders come from the paths alone. Spark may count tasks twice that it
+    runs again after the loss of an executor, so the caller says how many kept files have arrived: if the counters
+    say otherwise, the files are counted once more.
+    """
+
+    def __init__(self, files: DataFrame, options: IndexOptions = IndexOptions()):
+        self.seen = scan_disposition(files, options)
+        self.observed = Observation()
+        self.kept = self.seen.observe(self.observed, *_counters()).where("disposition = 'kept'").drop("disposition")
+
+    def stats(self, kept_files: int) -> DataFrame:
+        found = self.observed.get
+        if found.get("kept_files") != kept_files:
+            return scan_stats(self.seen)
+        names = list(found)
+        row = self.seen.sparkSession.createDataFrame([tuple(found[n] for n in names)], ", ".join(f"{n} long" for n in names))
+        return _with_walk(row, self.seen.select("path"))
+
+
 def error_samples(dispositions: DataFrame, reason: Column, failed: Column, n: int = 12) -> DataFrame:
     """The first ``n`` failures by path: a distributed top-n."""
     return dispositions.where(failed).select("path", reason.alias("reason")).orderBy("path").limit(n)

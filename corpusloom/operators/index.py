@@ -11,11 +11,11 @@ from corpusloom.functions import files as ff
 from corpusloom.functions.models import embed
 from corpusloom.functions.text import java_symbols_at, keyword_entities
 from corpusloom.operators.chunking import emit_chunks, line_spans, merge_small
-from corpusloom.operators.filters import keep_files, running_cap
+from corpusloom.operators.filters import ObservedScan, keep_files, running_cap
 from corpusloom.operators.metrics import index_summary, project_type
 from corpusloom.options import ChunkBudgets, IndexOptions
 from corpusloom.session import spread
-from corpusloom.sources.collections import read_collection, replace_collection
+from corpusloom.sources.collections import collection_exists, read_collection, replace_collection
 
 EMBEDDED_FIELDS = (
     "path", "file_name", "extension", "folder", "language", "file_type",
@@ -76,12 +76,15 @@ def collect_chunks(
 
     ``chunker`` gives the spans (start, end) of a text under the budgets.
     """
-    kept = keep_files(files, options)
+    return _chunks_of(keep_files(files, options).select(*files.columns), options, project, merge, chunker)
+
+
+def _chunks_of(kept: DataFrame, options: IndexOptions, project, merge: bool, chunker) -> DataFrame:
     cap = options.max_chunks
     spans = chunker(F.col("content"), options.budgets)
     if merge:
         spans = merge_small(spans, options.budgets)
-    described = spread(describe_files(kept.select(*files.columns), project))
+    described = spread(describe_files(kept, project))
     cut = described.withColumn("_spans", spans)
     if cap is not None:
         counted = cut.select("path", F.size("_spans").alias("chunk_count"))
@@ -94,7 +97,7 @@ def collect_chunks(
     symbols = F.get(F.col("_symbols"), F.col("chunk_index"))
     return rows.select(
         ff.chunk_id(F.col("path"), F.col("chunk_index")).alias("id"),
-        *(["workspace"] if "workspace" in files.columns else []),
+        *(["workspace"] if "workspace" in kept.columns else []),
         "path", "file_name", "extension", "folder", "language", "file_type",
         F.coalesce(symbols["class_name"], F.lit("")).alias("class_name"),
         F.coalesce(symbols["method_name"], F.lit("")).alias("method_name"),
@@ -144,3 +147,30 @@ def index_corpus(
     chunks = collect_chunks(files, options, project, chunker=chunker)
     write(embed_chunks(chunks, make_embed, options.embed_batch), path, collection_id, previous_id)
     return index_summary(read(spark, path, collection_id), indexed_at_ms)
+
+
+def index_with_stats(
+    files: DataFrame,
+    make_embed: Callable,
+    path: str,
+    collection_id: str,
+    previous_id: str | None = None,
+    options: IndexOptions = IndexOptions(),
+    indexed_at_ms: int | None = None,
+    project: DataFrame | str | None = None,
+    chunker: Callable[[Column, ChunkBudgets], Column] = line_spans,
+) -> tuple[DataFrame | None, DataFrame]:
+    """Index files and tell what the scan met: the summary row (None without chunks) and the row of ``scan_stats``.
+
+    The statistics are counted by the very write that indexes (``ObservedScan``), so the texts are read once.
+    """
+    spark = files.sparkSession
+    scan = ObservedScan(files, options)
+    chunks = _chunks_of(scan.kept.select(*files.columns), options, project, False, chunker)
+    replace_collection(embed_chunks(chunks, make_embed, options.embed_batch), path, collection_id, previous_id)
+    if not collection_exists(spark, path, collection_id):  # no chunks
+        return None, scan.stats(0).withColumn("indexed_chunks", F.lit(0).cast("long"))
+    stored = read_collection(spark, path, collection_id)
+    arrived = stored.select("path").distinct().count()  # a kept file has at least one chunk
+    stats = scan.stats(arrived).withColumn("indexed_chunks", stored.agg(F.count("*")).scalar())
+    return index_summary(stored, indexed_at_ms), stats

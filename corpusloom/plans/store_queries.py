@@ -170,6 +170,23 @@ INDEX_INPUT = f"""concat_ws(chr(10), path, file_name, {o.extension('file_name')}
     {o.language('file_name')}, {o.file_type('file_name')}, '', '', 'generic', text)"""
 
 
+@query(
+    "index_with_stats",
+    sql="""SELECT count(*) AS considered_files, count(*) FILTER (disposition = 'size') AS skipped_by_size,
+        count(*) FILTER (disposition = 'empty') AS skipped_empty, count(*) FILTER (disposition = 'binary') AS skipped_binary,
+        count(*) FILTER (disposition = 'glob') AS skipped_by_glob, CAST(0 AS BIGINT) AS read_errors,
+        count(*) FILTER (disposition = 'kept') AS kept_files, max(d) AS visited_directories, count(*) + max(d) - 1 AS visited_entries,
+        (SELECT CAST(sum(len(k)) AS BIGINT) FROM (%s)) AS indexed_chunks
+        FROM whole_dispositions, (SELECT count(DISTINCT folder) AS d FROM (SELECT unnest(list_transform(range(0, len(parts)),
+            lambda n: array_to_string(parts[1:n], '/'))) AS folder FROM (SELECT string_split(path, '/') AS parts FROM whole_dispositions)))""" % KEPT_SPANS,
+)
+def index_with_stats(spark, sf):
+    """What the scan of an index run met, counted by the run itself."""
+    files = v.dirty(spark, sf).select("path", "size", "content")
+    _, stats = ix.index_with_stats(files, make_embed, fresh_path(spark, "index"), "counted_1", options=IndexOptions(binary_sample=BINARY_SAMPLE))
+    return stats
+
+
 @query(
     "index_corpus",
     sql=f"""SELECT 'whole_1' AS collection_id, path || '::chunk-' || (i - 1) AS id, CAST(len(k) AS BIGINT) AS chunk_count, k[i].e AS chunk_end,

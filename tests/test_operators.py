@@ -434,3 +434,43 @@ def test_ranges_follow_the_rows_and_blocks_add_up(spark, monkeypatch):
             total += k % 7
             assert got[k] == total
     assert prefix.with_prefix_sums(spark.range(0), ["id"], {"s": F.col("id")}).count() == 0
+
+
+def test_scan_statistics_come_from_the_write(spark, monkeypatch):
+    from corpusloom.operators import filters as fl
+    from corpusloom.operators import index as ix
+    from corpusloom.options import IndexOptions
+    from corpusloom.plans.stubs import make_embed
+    from corpusloom.session import fresh_path
+
+    rows = [("src/a.ts", 12, "let a = 1\n"), ("src/sub/b.ts", 5, "  \n"), ("node_modules/x.js", 3, "x"), ("c.ts", 9_000_000, "big"), ("d.ts", 4, None),
+            ("e.bin", 4, "\x00\x00ab")] + [(f"m/f{i}.py", 30, f"def f{i}(): pass\n" * 3) for i in range(40)]
+    files = spark.createDataFrame(rows, "path string, size long, content string")
+    options = IndexOptions()
+    want = fl.scan_stats(fl.scan_disposition(files, options)).first().asDict()
+    counted = []
+    monkeypatch.setattr(fl, "scan_stats", lambda *a: counted.append(a))
+    _, stats = ix.index_with_stats(files, make_embed, fresh_path(spark, "observed"), "c_1", options=options)
+    got = stats.first().asDict()
+    assert got.pop("indexed_chunks") >= 41
+    assert got == want and not counted  # no second look at the texts
+    monkeypatch.undo()
+    # counters that do not fit what has arrived are not trusted
+    scan = fl.ObservedScan(files, options)
+    scan.kept.count()
+    assert scan.stats(7).first().asDict() == want
+    _, stats = ix.index_with_stats(files.where("false"), make_embed, fresh_path(spark, "observed"), "c_2", options=options)
+    assert stats.first().considered_files == 0 and stats.first().indexed_chunks == 0
+
+
+def test_no_requests_no_replies(spark):
+    from corpusloom.operators.agent import batch_reply
+    from corpusloom.plans import agent_queries as aq
+    from corpusloom.plans.stubs import AGENT, make_embed, make_generate
+    from corpusloom.schemas import ATTACHMENTS
+
+    messages = spark.createDataFrame([(1, 0, "user", "hello")], "conv_id long, turn int, role string, text string")
+    requests = spark.createDataFrame([], "conv_id long, prompt string, rag_enabled boolean").withColumn("files", F.lit(None).cast(ATTACHMENTS))
+    out = batch_reply(messages, requests, aq.TEMPLATES, None, make_generate, make_embed, AGENT)
+    assert out.count() == 0
+    assert {"conv_id", "flow", "text", "tool_calls", "retrieved_matches", "references", "error"} <= set(out.columns)
