@@ -1,19 +1,22 @@
 """A log-bilinear language model trained with noise-contrastive estimation.
 
 The next token's vector is predicted as a sum of linear maps of the vectors of the tokens before it; its dot
-product with a token's vector, plus a bias, is that token's score. The model's outputs are the ``TOP`` most
-frequent training tokens and one class for all others; within the class a token has its add-one share of the
-class's training counts. So log-probabilities are normalised over all tokens: the outputs by a softmax, the
-class by its counts.
-
+product with a token's vector, plus a bias, is that token's score. The vocabulary grows with the corpus: its
+size is ``GROWTH`` times the cube root of the training tokens. Its tokens are cut by frequency into classes
+of about the square root of that size; one more class holds all other tokens. A probability is that of the
+class, a softmax over classes, times that of the token, a softmax over the words of its class; among the
+other tokens it is the add-one share of their training counts. So log-probabilities are normalised over all
+tokens, and a token costs two square roots of the vocabulary.
+
+Texts are encoded once, into token numbers that are written; both training rounds and the scoring read those.
 Training reads all training tokens. Every task trains its own copy with noise-contrastive estimation on the
 texts it reads, starting from the parameters of the round before; the copies are averaged, weighted by
-tokens, by parameter row. What a task sends does not grow with its texts, and there are as many tasks as the
-input needs.
+tokens, by parameter row. A task reads ``SHARE`` times the text that it sends parameters.
 """
 
 from __future__ import annotations
 
+import math
 from collections import Counter
 from typing import NamedTuple
 
@@ -25,17 +28,21 @@ from pyspark.sql import functions as F
 from corpusloom.llm.common import crc_mod, quoted
 from corpusloom.session import checkpoint
 
-#: Outputs with a score of their own, besides the class of all other tokens; dimensions; tokens looked back at.
-TOP = 511
+#: Tokens with vectors of their own for each cube root of a training token; dimensions; tokens looked back at.
+GROWTH = 32
 DIMENSIONS = 16
 CONTEXT = 4
 ROUNDS = 2
-#: Tokens of a gradient step, and noise samples that they share.
+#: Tokens of a gradient step, and noise samples that they share (as many of tokens as of classes).
 STEP_TOKENS = 1024
 NOISE = 32
 RATE = 0.1
-#: Longest token that counts as one of the outputs, in bytes: the outputs go to every task.
+#: Longest token with a vector of its own, in bytes: the vocabulary goes to every task.
 TOKEN_BYTES = 64
+#: Bytes of text that a training task reads for each byte of parameters it sends, and bytes of a token.
+SHARE, BYTES_OF_TOKEN = 8, 6
+#: Rows of one batched product.
+ROWS = 8192
 FOLDS, HELD_OUT = 7, 2
 #: The token at the end of every text. No word is empty.
 END = b""
@@ -51,57 +58,81 @@ def tokens_of(text: str | None) -> list[bytes]:
 
 
 class Model(NamedTuple):
-    vocabulary: dict[bytes, int]  # outputs; TOP is the class of others
-    inputs: np.ndarray  # (outputs + 1, d); the last row stands before the start
+    words: int  # tokens with vectors; the next number is all others, the one after it stands before the start
+    inputs: np.ndarray  # (words + 2, d)
     maps: np.ndarray  # (context, d, d)
-    outputs: np.ndarray  # (outputs, d)
+    outputs: np.ndarray  # (words + classes, d): words by frequency, then classes, the last one all others
     bias: np.ndarray
 
 
+def width_of(words: int) -> int:
+    """Words of a class."""
+    return max(1, math.isqrt(max(words - 1, 0)) + 1)
+
+
+def class_of(model: Model, code: np.ndarray) -> np.ndarray:
+    """Class of every token: blocks of words by frequency, then all others."""
+    return np.where(code < model.words, code // width_of(model.words), len(model.outputs) - model.words - 1)
+
+
 def coded(vocabulary: dict[bytes, int], tokens: list[bytes]) -> np.ndarray:
     other = len(vocabulary)
     get = vocabulary.get
     return np.fromiter((get(t, other) for t in tokens), np.int32, len(tokens))
 
 
-def contexts(code: np.ndarray, first: np.ndarray, before: int) -> np.ndarray:
-    """(tokens, CONTEXT): codes before each token in its text, the nearest first; ``before`` ahead of the start."""
-    out = np.full((len(code), CONTEXT), before, np.int32)
-    at = np.arange(len(code)) - np.repeat(first[:-1], np.diff(first))
-    for k in range(1, CONTEXT + 1):
-        have = np.flatnonzero(at >= k)
-        out[have, k - 1] = code[have - k]
-    return out
+def streamed(code: np.ndarray, first: np.ndarray, before: int) -> tuple[np.ndarray, np.ndarray]:
+    """(numbers of all texts, each behind CONTEXT times ``before``; places of the tokens in them)."""
+    size = np.diff(first)
+    place = np.arange(len(code)) + np.repeat(CONTEXT * np.arange(1, len(size) + 1), size)
+    out = np.full(len(code) + CONTEXT * len(size), before, np.int32)
+    out[place] = code
+    return out, place
+
+
+def combined(vectors: np.ndarray, maps: np.ndarray) -> np.ndarray:
+    """Predicted vector of every token of a stream but the first CONTEXT, from the vectors of the stream."""
+    n, d = len(vectors) - CONTEXT, vectors.shape[1]
+    mapped = vectors @ np.concatenate(maps, axis=1)
+    return sum(mapped[CONTEXT - k - 1:CONTEXT - k - 1 + n, k * d:(k + 1) * d] for k in range(CONTEXT))
 
 
 def predicted(model: Model, context: np.ndarray) -> np.ndarray:
+    """Predicted vector for each row of numbers before a token, the nearest first."""
     return sum(model.inputs[context[:, k]] @ model.maps[k] for k in range(CONTEXT))
 
 
-def log_probabilities(model: Model, code: np.ndarray, context: np.ndarray) -> np.ndarray:
-    """Natural log-probability of every token's output, normalised over all outputs; distinct contexts are computed once."""
-    n = len(model.inputs)
-    key = np.zeros(len(code), np.int64)
-    for k in range(CONTEXT):
-        key = key * n + context[:, k]
-    known, place = np.unique(key, return_inverse=True)
-    out = np.empty(len(code))
-    order = np.argsort(place, kind="stable")
-    cuts = np.searchsorted(place[order], np.arange(0, len(known) + 2048, 2048))
-    for lo, (a, b) in zip(range(0, len(known), 2048), zip(cuts, cuts[1:])):
-        own = known[lo:lo + 2048]
-        own = np.column_stack([own // n ** (CONTEXT - 1 - k) % n for k in range(CONTEXT)])
-        score = predicted(model, own) @ model.outputs.T
-        score += model.bias
-        rows = order[a:b]
-        at = place[rows] - lo
-        mine = score[at, code[rows]]
+def log_softmax_at(guess: np.ndarray, rows: np.ndarray, vectors: np.ndarray, bias: np.ndarray, at: np.ndarray) -> np.ndarray:
+    """Log-probability of output ``at`` among ``vectors``, for each of ``rows`` of ``guess``."""
+    out = np.empty(len(rows))
+    for lo in range(0, len(rows), ROWS):
+        score = guess[rows[lo:lo + ROWS]] @ vectors.T
+        score += bias
+        mine = score[np.arange(len(score)), at[lo:lo + ROWS]]
         score -= (top := score.max(1))[:, None]
-        norm = np.log(np.exp(score, out=score) @ np.ones(score.shape[1], score.dtype)) + top
-        out[rows] = mine - norm[at]
+        out[lo:lo + ROWS] = mine - np.log(np.exp(score, out=score) @ np.ones(score.shape[1], score.dtype)) - top
+    return out
+
+
+def scored(model: Model, code: np.ndarray, guess: np.ndarray) -> np.ndarray:
+    """Natural log-probability of every token, given the predicted vectors: of its class, plus within the class."""
+    group, words, width = class_of(model, code), model.words, width_of(model.words)
+    out = log_softmax_at(guess, np.arange(len(code)), model.outputs[words:], model.bias[words:], group)
+    order = np.argsort(group, kind="stable")
+    classes = len(model.outputs) - words - 1
+    cuts = np.searchsorted(group[order], np.arange(classes + 1))
+    for c in np.flatnonzero(np.diff(cuts)):
+        rows = order[cuts[c]:cuts[c + 1]]
+        a, b = c * width, min((c + 1) * width, words)
+        out[rows] += log_softmax_at(guess, rows, model.outputs[a:b], model.bias[a:b], code[rows] - a)
     return out
 
 
+def log_probabilities(model: Model, code: np.ndarray, context: np.ndarray) -> np.ndarray:
+    """Natural log-probability of every token after the numbers of its ``context``; all others are one token."""
+    return scored(model, code, predicted(model, context))
+
+
 def by_row(code: np.ndarray, values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """(distinct codes, sums of their rows)."""
     order = np.argsort(code, kind="stable")
@@ -110,12 +141,40 @@ def by_row(code: np.ndarray, values: np.ndarray) -> tuple[np.ndarray, np.ndarray
     return known[first], np.add.reduceat(values[order], first)
 
 
-def nce_steps(model: Model, speed: list[np.ndarray], code: np.ndarray, context: np.ndarray, noise: np.ndarray, rng: np.random.Generator, rate: float) -> None:
-    """Gradient steps of noise-contrastive estimation, in place.
+def noise_of(model: Model, counts: np.ndarray) -> list[tuple[int, np.ndarray, np.ndarray]]:
+    """(first output, cumulated shares, log of expected noise) of words, then of classes.
+
+    ``counts`` are those of the words and of all others.
+    """
+    words, classes = model.words, len(model.outputs) - model.words
+    grouped_ = np.bincount(class_of(model, np.arange(words + 1)), counts, classes)
+    out = []
+    for start, n in ((0, counts[:words]), (words, grouped_)):
+        if len(n):
+            share = n / n.sum()
+            out.append((start, np.cumsum(share), np.log(share * NOISE).astype(np.float32)))
+    return out
+
+
+def contrast(model: Model, noise: tuple[int, np.ndarray, np.ndarray], guess: np.ndarray, target: np.ndarray, n: int, rng: np.random.Generator):
+    """One batch against shared noise: (gradient of ``guess``, outputs touched, their gradients with the bias last)."""
+    start, cumulated, log_noise = noise
+    drawn = np.minimum(np.searchsorted(cumulated, rng.random(NOISE)), len(cumulated) - 1)
+    seen, other = target + start, drawn + start
+    mine, theirs = model.outputs[seen], model.outputs[other]
+    good = np.einsum("ij,ij->i", guess, mine) + model.bias[seen] - log_noise[target]
+    bad = guess @ theirs.T + (model.bias[other] - log_noise[drawn])
+    up = (1 / (1 + np.exp(np.clip(good, -30, 30)))) / n  # towards 1 for the output seen
+    down = (1 / (1 + np.exp(-np.clip(bad, -30, 30)))) / n  # towards 0 for noise
+    gradients = np.concatenate([np.column_stack([up[:, None] * guess, up]), -np.column_stack([down.T @ guess, down.sum(0)])])
+    return up[:, None] * mine - down @ theirs, np.concatenate([seen, other]), gradients
+
 
-    ``noise`` is the distribution of the noise. ``speed`` sums up squared gradients for each row (AdaGrad).
+def nce_steps(model: Model, speed: list[np.ndarray], stream: np.ndarray, noise: list, rng: np.random.Generator, rate: float) -> None:
+    """Gradient steps of noise-contrastive estimation over a stream, in place.
+
+    Words and classes have noise of their own. ``speed`` sums up squared gradients for each row (AdaGrad).
     """
-    cumulated, log_noise = np.cumsum(noise), np.log(noise * NOISE).astype(np.float32)
     of_input, of_map, of_output, of_bias = speed
 
     def move(part, sums, rows, gradient):
@@ -123,38 +182,47 @@ def nce_steps(model: Model, speed: list[np.ndarray], code: np.ndarray, context:
         scale = rate / np.sqrt(sums[rows] + 1e-8)
         part[rows] += scale.reshape(-1, *[1] * (gradient.ndim - 1)) * gradient
 
-    for lo in range(0, len(code), STEP_TOKENS):
-        target, own = code[lo:lo + STEP_TOKENS], context[lo:lo + STEP_TOKENS]
-        n = len(target)
-        drawn = np.minimum(np.searchsorted(cumulated, rng.random(NOISE)), len(noise) - 1)
-        vectors = [model.inputs[own[:, k]] for k in range(CONTEXT)]
-        guess = sum(v @ model.maps[k] for k, v in enumerate(vectors))
-        mine, theirs = model.outputs[target], model.outputs[drawn]
-        good = (guess * mine).sum(1) + model.bias[target] - log_noise[target]
-        bad = guess @ theirs.T + model.bias[drawn] - log_noise[drawn]
-        up = (1 / (1 + np.exp(np.clip(good, -30, 30)))) / n  # towards 1 for the token seen
-        down = (1 / (1 + np.exp(-np.clip(bad, -30, 30)))) / n  # towards 0 for noise
-        dguess = up[:, None] * mine - down @ theirs
-        rows, d_out = by_row(np.concatenate([target, drawn]), np.concatenate([
-            np.column_stack([up[:, None] * guess, up]), -np.column_stack([down.T @ guess, down.sum(0)]),
-        ]))
-        d_in = []
-        for k, v in enumerate(vectors):
-            d_in.append(dguess @ model.maps[k].T)
-            move(model.maps, of_map, np.array([k]), (v.T @ dguess)[None])
-        move(model.inputs, of_input, *by_row(own.T.reshape(-1), np.concatenate(d_in)))
+    for lo in range(CONTEXT, len(stream), STEP_TOKENS):
+        own = stream[lo - CONTEXT:lo + STEP_TOKENS]
+        target, n = own[CONTEXT:], len(own) - CONTEXT
+        vectors = model.inputs[own]
+        guess = combined(vectors, model.maps)
+        dguess, touched, gradients = np.zeros_like(guess), [], []
+        group = class_of(model, target)
+        for part in noise:
+            rows = np.flatnonzero(target < model.words if part[0] == 0 and model.words else target <= model.words)
+            if len(rows):
+                back, outputs, gradient = contrast(model, part, guess[rows], target[rows] if part[0] == 0 and model.words else group[rows], n, rng)
+                dguess[rows] += back
+                touched.append(outputs)
+                gradients.append(gradient)
+        if not touched:
+            continue
+        d_in, d_maps = np.zeros_like(vectors), np.empty_like(model.maps)
+        for k in range(CONTEXT):
+            a = CONTEXT - k - 1
+            d_maps[k] = vectors[a:a + n].T @ dguess
+            d_in[a:a + n] += dguess @ model.maps[k].T
+        move(model.maps, of_map, np.arange(CONTEXT), d_maps)
+        move(model.inputs, of_input, *by_row(own, d_in))
+        rows, d_out = by_row(np.concatenate(touched), np.concatenate(gradients))
         move(model.outputs, of_output, rows, d_out[:, :-1])
-        move(model.bias, of_bias, rows, d_out[:, -1] * 0.1)
+        move(model.bias, of_bias, rows, d_out[:, -1])
 
 
 def start_model(vocabulary: dict[bytes, int], counts: np.ndarray, seed: int = 13) -> Model:
+    """A model to start from; ``counts`` are those of the words by their numbers, then of all others."""
     rng = np.random.default_rng(seed)
-    n = len(vocabulary) + 1
+    words = len(vocabulary)
+    classes = -(-words // width_of(words)) + 1
     vec = lambda rows: rng.normal(0, 0.1, (rows, DIMENSIONS)).astype(np.float32)
-    return Model(
-        vocabulary, vec(n + 1), np.stack([np.eye(DIMENSIONS, dtype=np.float32)] * CONTEXT), vec(n),
-        np.log(counts / counts.sum()).astype(np.float32),
+    model = Model(
+        words, vec(words + 2), np.stack([np.eye(DIMENSIONS, dtype=np.float32)] * CONTEXT), vec(words + classes),
+        np.zeros(words + classes, np.float32),
     )
+    grouped_ = np.bincount(class_of(model, np.arange(words + 1)), counts, classes)
+    model.bias[:] = np.log(np.concatenate([counts[:words] / max(counts[:words].sum(), 1), grouped_ / counts.sum()]))
+    return model
 
 
 def flat(model: Model) -> np.ndarray:
@@ -163,10 +231,10 @@ def flat(model: Model) -> np.ndarray:
     return np.concatenate([wide(model.inputs), wide(model.maps.reshape(-1, DIMENSIONS)), np.column_stack([model.outputs, model.bias])])
 
 
-def unflat(vocabulary: dict[bytes, int], rows: np.ndarray) -> Model:
-    n, rows = len(vocabulary) + 1, rows.astype(np.float32)
-    a, b = n + 1, n + 1 + CONTEXT * DIMENSIONS
-    return Model(vocabulary, rows[:a, :-1].copy(), rows[a:b, :-1].reshape(CONTEXT, DIMENSIONS, DIMENSIONS).copy(), rows[b:, :-1].copy(), rows[b:, -1].copy())
+def unflat(words: int, rows: np.ndarray) -> Model:
+    a, b = words + 2, words + 2 + CONTEXT * DIMENSIONS
+    copy = lambda part: np.array(part, np.float32, order="C")
+    return Model(words, copy(rows[:a, :-1]), copy(rows[a:b, :-1]).reshape(CONTEXT, DIMENSIONS, DIMENSIONS), copy(rows[b:, :-1]), copy(rows[b:, -1]))
 
 
 def grouped(column: pa.Array, size: int = 200):
@@ -175,6 +243,12 @@ def grouped(column: pa.Array, size: int = 200):
         yield lo, [tokens_of(t) for t in column.slice(lo, size).to_pylist()]
 
 
+def numbers(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """(token numbers of all texts, first of each text)."""
+    first = column.offsets.to_numpy()
+    return column.values.to_numpy()[first[0]:first[-1]], first - first[0]
+
+
 def token_counts(rows: DataFrame) -> DataFrame:
     """(token, n) over all texts of the training rows."""
 
@@ -193,103 +267,140 @@ def token_counts(rows: DataFrame) -> DataFrame:
     return rows.select("text").mapInArrow(count, "token binary, n long").groupBy("token").agg(F.sum("n").alias("n"))
 
 
-def train(rows: DataFrame, vocabulary: dict[bytes, int], counts: np.ndarray, rounds: int = ROUNDS) -> Model:
-    """The model after ``rounds`` passes over all training rows."""
+def encode(rows: DataFrame, vocabulary: dict[bytes, int], counts: np.ndarray) -> DataFrame:
+    """Written (row, doc_id, held_out, codes, n_tokens, n_top, base_top, rare) of every text.
+
+    ``codes`` are the numbers of its tokens, ``n_top`` and ``base_top`` how many are in the vocabulary and the
+    sum of log10(count + 1) over them, ``rare`` its other tokens with the times they occur.
+    """
+    shared = rows.sparkSession.sparkContext.broadcast((vocabulary, np.append(np.log10(counts + 1), 0.0)))
+
+    def number(batches):
+        vocabulary_, log_n = shared.value
+        other = len(vocabulary_)
+        for batch in batches:
+            for lo, texts in grouped(batch.column("text")):
+                tokens = [t for x in texts for t in x]
+                code = coded(vocabulary_, tokens)
+                first = np.concatenate([[0], np.cumsum([len(x) for x in texts])])
+                outside = np.flatnonzero(code == other)
+                rare, times, cuts = [], [], [0]
+                for x in np.split(outside, np.searchsorted(outside, first[1:-1])):
+                    held = Counter([tokens[j] for j in x.tolist()])
+                    rare.extend(held)
+                    times.extend(held.values())
+                    cuts.append(len(rare))
+                pairs = pa.StructArray.from_arrays([pa.array(rare, pa.binary()), pa.array(times, pa.int64())], ["token", "times"])
+                sums = lambda v: pa.array(np.add.reduceat(v, first[:-1]))
+                part = batch.slice(lo, len(texts))
+                yield pa.RecordBatch.from_arrays([
+                    part.column("row"), part.column("doc_id"), part.column("held_out"),
+                    pa.ListArray.from_arrays(pa.array(first, pa.int32()), pa.array(code)), pa.array(np.diff(first), pa.int64()),
+                    sums((code != other).astype(np.int64)), sums(log_n[code]), pa.ListArray.from_arrays(pa.array(cuts, pa.int32()), pairs),
+                ], ["row", "doc_id", "held_out", "codes", "n_tokens", "n_top", "base_top", "rare"])
+
+    kind = rows.schema["doc_id"].dataType.simpleString()
+    return checkpoint(rows.select("row", "doc_id", "held_out", "text").mapInArrow(number, (
+        f"row long, doc_id {kind}, held_out boolean, codes array<int>, n_tokens long, n_top long, base_top double, "
+        "rare array<struct<token: binary, times: long>>"
+    )), "lm-encoded")
+
+
+def train(rows: DataFrame, model: Model, counts: np.ndarray, rounds: int = ROUNDS) -> Model:
+    """The model after ``rounds`` passes over all ``codes`` of the training rows.
+
+    ``counts`` are those of the words and of all others, none of them 0.
+    """
     sc = rows.sparkSession.sparkContext
-    model = start_model(vocabulary, counts)
-    noise = counts / counts.sum()
+    names = [f"p{i}" for i in range(DIMENSIONS + 1)]
+    sent_bytes = len(flat(model)) * 4 * (DIMENSIONS + 4)
+    tasks = max(sc.defaultParallelism, int(counts.sum() * BYTES_OF_TOKEN / (SHARE * sent_bytes)))
     for turn in range(rounds):
-        shared = sc.broadcast((flat(model), vocabulary, noise))
+        shared = sc.broadcast((flat(model), counts, model.words))
 
         def learn(batches, turn=turn, shared=shared):
-            rows_, vocabulary_, noise_ = shared.value
-            own, rng, seen = unflat(vocabulary_, rows_), np.random.default_rng(turn), 0
+            rows_, counts_, words = shared.value
+            own, rng, seen = unflat(words, rows_), np.random.default_rng(turn), 0
+            noise = noise_of(own, counts_)
             speed = [np.zeros(len(p), np.float32) for p in own[1:]]
             for batch in batches:
-                for _, texts in grouped(batch.column("text"), 100):
-                    code = coded(vocabulary_, [t for x in texts for t in x])
-                    first = np.concatenate([[0], np.cumsum([len(x) for x in texts])])
-                    nce_steps(own, speed, code, contexts(code, first, len(own.inputs) - 1), noise_, rng, RATE / (1 + turn))
+                column = batch.column("codes")
+                for lo in range(0, len(column), 100):
+                    code, first = numbers(column.slice(lo, 100))
+                    nce_steps(own, speed, streamed(code, first, words + 1)[0], noise, rng, RATE / (1 + turn))
                     seen += len(code)
             if seen:
-                out = flat(own).astype(float) * seen
+                out = flat(own)
                 yield pa.RecordBatch.from_arrays(
                     [pa.array(np.arange(len(out)), pa.int32()), pa.array(np.full(len(out), seen), pa.int64()), *map(pa.array, out.T)],
-                    ["place", "seen", *[f"p{i}" for i in range(out.shape[1])]],
+                    ["place", "seen", *names],
                 )
 
-        names = [f"p{i}" for i in range(DIMENSIONS + 1)]
-        sent = rows.select("text").mapInArrow(learn, "place int, seen long, " + ", ".join(f"{n} double" for n in names))
-        mean = sent.groupBy("place").agg(F.sum("seen").alias("seen"), *[F.sum(n).alias(n) for n in names])
-        found = sorted(mean.collect())  # one row of DIMENSIONS + 1 numbers for each row of parameters
-        if not found:
+        sent = rows.select("codes").coalesce(tasks).mapInArrow(learn, "place int, seen long, " + ", ".join(f"{n} float" for n in names))
+        mean = sent.groupBy("place").agg(*[(F.sum(F.col(n).cast("double") * F.col("seen")) / F.sum("seen")).alias(n) for n in names])
+        found = mean.orderBy("place").toArrow()  # one row of DIMENSIONS + 1 numbers for each row of parameters
+        if not found.num_rows:
             return model
-        model = unflat(vocabulary, np.array([[v / r["seen"] for v in r[2:]] for r in found]))
+        model = unflat(model.words, np.column_stack([found.column(n).to_numpy() for n in names]))
     return model
 
 
-def score_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", top: int = TOP, rounds: int = ROUNDS) -> DataFrame:
+def score_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", top: int | None = None, rounds: int = ROUNDS) -> DataFrame:
     """One row per row of ``docs``: doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score.
 
     Rows with crc32(id as text) mod 7 = 2 are held out; all others are learned from. ``base_score`` is the
-    add-one unigram log10 probability of the text, ``score`` the model's. A null or empty text is one end; a
-    null id counts as the empty string. Rows that repeat an id are scored each. If all rows are held out,
-    nothing is known and both scores are those of no counts.
+    add-one unigram log10 probability of the text, ``score`` the model's. ``top`` sets the size of the
+    vocabulary; by default it follows from the training tokens, ties going to the smaller token. A null or
+    empty text is one end; a null id counts as the empty string. Texts are read whole, however long. Rows that
+    repeat an id are scored each. If all rows are held out, nothing is known and both scores are those of no
+    counts. An empty table gives an empty result. Other columns of ``docs`` are not looked at.
     """
     rows = docs.select(
         F.monotonically_increasing_id().alias("row"), F.col(quoted(id_col)).alias("doc_id"),
         (crc_mod(F.col(quoted(id_col)), FOLDS) == HELD_OUT).alias("held_out"), F.col(quoted(text_col)).alias("text"),
     )
-    training = rows.where("not held_out")
-    counts = checkpoint(token_counts(training), "lm-counts")
+    counts = checkpoint(token_counts(rows.where("not held_out")), "lm-counts")
     total, distinct = counts.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count("*")).first()
-    frequent = counts.where(F.length("token") <= TOKEN_BYTES).orderBy(F.desc("n"), "token").limit(top).collect()  # ``top`` rows
-    vocabulary = {bytes(r.token): i for i, r in enumerate(frequent)}
-    known = np.array([r.n for r in frequent], float)
+    size = math.ceil(GROWTH * total ** (1 / 3)) if top is None else top
+    # ``size`` rows of at most TOKEN_BYTES, some 800,000 for 100 TB
+    frequent = counts.where(F.length("token") <= TOKEN_BYTES).orderBy(F.desc("n"), "token").limit(size).toArrow()
+    vocabulary = {t: i for i, t in enumerate(frequent.column("token").to_pylist())}
+    known = frequent.column("n").to_numpy().astype(float)
     other_total, other_distinct = int(total - known.sum()), int(distinct - len(known))
-    model = train(training, vocabulary, np.append(known, other_total) + 1.0, rounds)
-    shared = docs.sparkSession.sparkContext.broadcast((model, np.append(known, 0)))
+    encoded = encode(rows, vocabulary, known)
+    smooth = np.append(known, other_total) + 1.0
+    model = train(encoded.where("not held_out"), start_model(vocabulary, smooth), smooth, rounds)
+    shared = docs.sparkSession.sparkContext.broadcast((flat(model), model.words))
     base = np.log10(total + distinct + 1)
     rest = np.log10(other_total + other_distinct + 1)
+    kept = ["row", "doc_id", "held_out", "n_tokens", "n_top", "base_top"]
 
     def score(batches):
-        own, n_of = shared.value
-        log_n = np.log10(n_of + 1)
+        rows_, words = shared.value
+        own = unflat(words, rows_)
         for batch in batches:
-            for lo, texts in grouped(batch.column("text")):
-                tokens = [t for x in texts for t in x]
-                code = coded(own.vocabulary, tokens)
-                first = np.concatenate([[0], np.cumsum([len(x) for x in texts])])
-                log_p = log_probabilities(own, code, contexts(code, first, len(own.inputs) - 1)) / np.log(10)
-                is_other = code == len(own.vocabulary)
-                rare, owner = [], []
-                for i, x in enumerate(np.split(np.flatnonzero(is_other), np.searchsorted(np.flatnonzero(is_other), first[1:-1]))):
-                    rare.append(Counter([tokens[j] for j in x.tolist()]))
-                    owner.append(len(x))
-                listed = [[{"token": t, "times": n} for t, n in c.items()] for c in rare]
-                sums = lambda v: np.add.reduceat(v, first[:-1])
-                part = batch.slice(lo, len(texts))
-                yield pa.RecordBatch.from_arrays([
-                    part.column("row"), part.column("doc_id"), part.column("held_out"), pa.array(np.diff(first), pa.int64()),
-                    pa.array(sums((~is_other).astype(np.int64)), pa.int64()), pa.array(sums(np.where(is_other, 0.0, log_n[code]))),
-                    pa.array(sums(log_p)), pa.array(owner, pa.int64()),
-                    pa.array(listed, pa.list_(pa.struct([("token", pa.binary()), ("times", pa.int64())]))),
-                ], ["row", "doc_id", "held_out", "n_tokens", "n_top", "base_top", "score_top", "n_rare", "rare"])
+            column, out = batch.column("codes"), []
+            for lo in range(0, len(column), 200):
+                code, first = numbers(column.slice(lo, 200))
+                stream, place = streamed(code, first, words + 1)
+                log_p = scored(own, code, combined(own.inputs[stream], own.maps)[place - CONTEXT])
+                out.append(np.add.reduceat(log_p, first[:-1]) / np.log(10))
+            values = np.concatenate(out) if out else np.empty(0)
+            yield pa.RecordBatch.from_arrays([*[batch.column(c) for c in kept], pa.array(values)], [*kept, "score_top"])
 
     kind = rows.schema["doc_id"].dataType.simpleString()
-    scored = checkpoint(rows.select("row", "doc_id", "held_out", "text").mapInArrow(score, (
-        f"row long, doc_id {kind}, held_out boolean, n_tokens long, n_top long, base_top double, score_top double, n_rare long, "
-        "rare array<struct<token: binary, times: long>>"
-    )), "lm-scored")
-    # counts of all other tokens by a join; frequent ones never get here, and the rest come once per text
-    asked = scored.select("row", F.explode("rare").alias("r")).select("row", "r.token", "r.times")
+    marked = encoded.select(*kept, "codes").mapInArrow(
+        score, f"row long, doc_id {kind}, held_out boolean, n_tokens long, n_top long, base_top double, score_top double"
+    )
+    # counts of all other tokens by a join; those of the vocabulary never get here, and the rest come once per text
+    asked = encoded.select("row", F.explode("rare").alias("r")).select("row", "r.token", "r.times")
     found = asked.join(counts, "token").groupBy("row").agg(
         F.sum("times").alias("times"), F.sum(F.col("times") * F.log10(F.col("n") + 1)).alias("log_n")
     )
     log_n = F.coalesce("log_n", F.lit(0.0))
-    return scored.drop("rare").join(found, "row", "left").select(
+    return marked.join(found, "row", "left").select(
         "doc_id", "held_out", "n_tokens", (F.col("n_top") + F.coalesce("times", F.lit(0))).alias("n_known"),
         F.lit(int(total)).cast("long").alias("train_tokens"),
         (F.col("base_top") + log_n - F.col("n_tokens") * float(base)).alias("base_score"),
-        (F.col("score_top") + log_n - F.col("n_rare") * float(rest)).alias("score"),
+        (F.col("score_top") + log_n - (F.col("n_tokens") - F.col("n_top")) * float(rest)).alias("score"),
     )
