@@ -42,7 +42,7 @@ TOKEN_BYTES = 64
 #: Bytes of text that a training task reads for each byte of parameters it sends, and bytes of a token.
 SHARE, BYTES_OF_TOKEN = 8, 6
 #: Rows of one batched product.
-ROWS = 8192
+ROWS = 1024
 FOLDS, HELD_OUT = 7, 2
 #: The token at the end of every text. No word is empty.
 END = b""
@@ -90,11 +90,15 @@ def streamed(code: np.ndarray, first: np.ndarray, before: int) -> tuple[np.ndarr
     return out, place
 
 
+def looked_back(vectors: np.ndarray) -> np.ndarray:
+    """The CONTEXT vectors before every token of a stream but the first CONTEXT side by side, the nearest first."""
+    n = len(vectors) - CONTEXT
+    return np.concatenate([vectors[CONTEXT - k - 1:CONTEXT - k - 1 + n] for k in range(CONTEXT)], axis=1)
+
+
 def combined(vectors: np.ndarray, maps: np.ndarray) -> np.ndarray:
     """Predicted vector of every token of a stream but the first CONTEXT, from the vectors of the stream."""
-    n, d = len(vectors) - CONTEXT, vectors.shape[1]
-    mapped = vectors @ np.concatenate(maps, axis=1)
-    return sum(mapped[CONTEXT - k - 1:CONTEXT - k - 1 + n, k * d:(k + 1) * d] for k in range(CONTEXT))
+    return looked_back(vectors) @ maps.reshape(-1, maps.shape[2])
 
 
 def predicted(model: Model, context: np.ndarray) -> np.ndarray:
@@ -104,13 +108,13 @@ def predicted(model: Model, context: np.ndarray) -> np.ndarray:
 
 def log_softmax_at(guess: np.ndarray, rows: np.ndarray, vectors: np.ndarray, bias: np.ndarray, at: np.ndarray) -> np.ndarray:
     """Log-probability of output ``at`` among ``vectors``, for each of ``rows`` of ``guess``."""
-    out = np.empty(len(rows))
+    out, product, ones = np.empty(len(rows)), np.concatenate([vectors.T, bias[None]]), np.ones(len(vectors), vectors.dtype)
     for lo in range(0, len(rows), ROWS):
-        score = guess[rows[lo:lo + ROWS]] @ vectors.T
-        score += bias
+        own = guess[rows[lo:lo + ROWS]]
+        score = np.column_stack([own, np.ones(len(own), own.dtype)]) @ product
         mine = score[np.arange(len(score)), at[lo:lo + ROWS]]
         score -= (top := score.max(1))[:, None]
-        out[lo:lo + ROWS] = mine - np.log(np.exp(score, out=score) @ np.ones(score.shape[1], score.dtype)) - top
+        out[lo:lo + ROWS] = mine - np.log(np.exp(score, out=score) @ ones) - top
     return out
 
 
@@ -163,11 +167,22 @@ def contrast(model: Model, noise: tuple[int, np.ndarray, np.ndarray], guess: np.
     seen, other = target + start, drawn + start
     mine, theirs = model.outputs[seen], model.outputs[other]
     good = np.einsum("ij,ij->i", guess, mine) + model.bias[seen] - log_noise[target]
-    bad = guess @ theirs.T + (model.bias[other] - log_noise[drawn])
-    up = (1 / (1 + np.exp(np.clip(good, -30, 30)))) / n  # towards 1 for the output seen
-    down = (1 / (1 + np.exp(-np.clip(bad, -30, 30)))) / n  # towards 0 for noise
-    gradients = np.concatenate([np.column_stack([up[:, None] * guess, up]), -np.column_stack([down.T @ guess, down.sum(0)])])
-    return up[:, None] * mine - down @ theirs, np.concatenate([seen, other]), gradients
+    down = guess @ -theirs.T
+    down -= model.bias[other] - log_noise[drawn]
+    with np.errstate(over="ignore"):  # beyond the largest number a share is 0
+        up = 1 / ((1 + np.exp(good)) * n)  # towards 1 for the output seen
+        np.exp(down, out=down)
+    down += 1
+    down *= n
+    np.reciprocal(down, out=down)  # towards 0 for noise
+    gradients = np.empty((len(seen) + NOISE, guess.shape[1] + 1), guess.dtype)
+    np.multiply(up[:, None], guess, out=gradients[:len(seen), :-1])
+    gradients[:len(seen), -1] = up
+    gradients[len(seen):, :-1] = -(down.T @ guess)
+    gradients[len(seen):, -1] = -(np.ones(len(down), down.dtype) @ down)
+    mine *= up[:, None]
+    mine -= down @ theirs
+    return mine, np.concatenate([seen, other]), gradients
 
 
 def nce_steps(model: Model, speed: list[np.ndarray], stream: np.ndarray, noise: list, rng: np.random.Generator, rate: float) -> None:
@@ -178,17 +193,20 @@ def nce_steps(model: Model, speed: list[np.ndarray], stream: np.ndarray, noise:
     of_input, of_map, of_output, of_bias = speed
 
     def move(part, sums, rows, gradient):
-        sums[rows] += (gradient * gradient).mean(tuple(range(1, gradient.ndim))) if gradient.ndim > 1 else gradient * gradient
-        scale = rate / np.sqrt(sums[rows] + 1e-8)
-        part[rows] += scale.reshape(-1, *[1] * (gradient.ndim - 1)) * gradient
+        wide = gradient.reshape(len(gradient), -1)
+        grown = sums[rows] + np.einsum("ij,ij->i", wide, wide) / wide.shape[1]
+        sums[rows] = grown
+        scale = rate / np.sqrt(grown + 1e-8)
+        part[rows] += (scale[:, None] * wide).reshape(gradient.shape)
 
+    groups = class_of(model, np.arange(model.words + 2))
     for lo in range(CONTEXT, len(stream), STEP_TOKENS):
         own = stream[lo - CONTEXT:lo + STEP_TOKENS]
         target, n = own[CONTEXT:], len(own) - CONTEXT
-        vectors = model.inputs[own]
-        guess = combined(vectors, model.maps)
+        back_then = looked_back(model.inputs[own])
+        guess = back_then @ model.maps.reshape(-1, model.maps.shape[2])
         dguess, touched, gradients = np.zeros_like(guess), [], []
-        group = class_of(model, target)
+        group = groups[target]
         for part in noise:
             rows = np.flatnonzero(target < model.words if part[0] == 0 and model.words else target <= model.words)
             if len(rows):
@@ -198,11 +216,12 @@ def nce_steps(model: Model, speed: list[np.ndarray], stream: np.ndarray, noise:
                 gradients.append(gradient)
         if not touched:
             continue
-        d_in, d_maps = np.zeros_like(vectors), np.empty_like(model.maps)
+        d = guess.shape[1]
+        d_maps = (back_then.T @ dguess).reshape(model.maps.shape)
+        d_back = dguess @ model.maps.reshape(-1, d).T
+        d_in = np.zeros((n + CONTEXT, d), guess.dtype)
         for k in range(CONTEXT):
-            a = CONTEXT - k - 1
-            d_maps[k] = vectors[a:a + n].T @ dguess
-            d_in[a:a + n] += dguess @ model.maps[k].T
+            d_in[CONTEXT - k - 1:CONTEXT - k - 1 + n] += d_back[:, k * d:(k + 1) * d]
         move(model.maps, of_map, np.arange(CONTEXT), d_maps)
         move(model.inputs, of_input, *by_row(own, d_in))
         rows, d_out = by_row(np.concatenate(touched), np.concatenate(gradients))
