@@ -20,6 +20,8 @@ from corpusloom.session import checkpoint, fresh_path
 ARCHIVE_BYTES = 16 << 20
 RANGE_ROWS = 50_000
 CRLF = "\r\n"
+#: Record id of a page without an id.
+NO_PAGE = "<urn:nil>"
 REVISIT = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 
 
@@ -39,22 +41,33 @@ def url_key(url: Column) -> Column:
 def records(pages: DataFrame) -> DataFrame:
     """page_id, url, at (ISO time), payload, digest, and refers_to: the smallest page of the same payload, if that is another.
 
-    Of pages that repeat an id and a payload, the row read first is the response.
+    Of pages that repeat an id and a payload, the row read first is the response. A null id counts as the largest.
     """
     own = pages.select(
         F.monotonically_increasing_id().alias("row"), "page_id", F.coalesce("url", F.lit("")).alias("url"),
         F.date_format("fetched_at", "yyyy-MM-dd'T'HH:mm:ss'Z'").alias("at"), F.coalesce("html", F.lit("")).alias("payload"),
     ).withColumn("digest", F.sha1(F.col("payload").cast("binary")))
-    first = own.groupBy("digest").agg(F.min(F.struct("page_id", "row")).alias("first"), F.count("*").alias("n")).where("n > 1")
+    first = own.groupBy("digest").agg(F.min(F.struct(F.col("page_id").isNull().alias("none"), "page_id", "row")).alias("first"), F.count("*").alias("n")).where("n > 1")
     copies = checkpoint(first.select("digest", F.col("first.page_id").alias("first_page"), F.col("first.row").alias("first_row")), "warc-copies")
     return own.join(copies, "digest", "left").withColumn("revisit", F.coalesce(F.col("row") != F.col("first_row"), F.lit(False)))
 
 
+def urn(page: Column) -> Column:
+    """A page id as a record id: text is escaped, null has a name of its own."""
+    return F.coalesce(F.concat(F.lit("<urn:page:"), F.url_encode(page.cast("string")), F.lit(">")), F.lit(NO_PAGE))
+
+
+def page_of(name: Column, kind: str) -> Column:
+    """The page id of a record id; null where the page had none."""
+    return F.when(name != NO_PAGE, F.url_decode(F.regexp_extract(name, "^<urn:page:(.*)>$", 1))).cast(kind)
+
+
 def write_warc(pages: DataFrame, path: str, least_bytes: int = 0, archive_bytes: int = ARCHIVE_BYTES) -> None:
     """Archives of ``pages`` (page_id, url, html, fetched_at) under ``path``: gzip files of WARC/1.1 records.
 
     Of records with the same payload of at least ``least_bytes`` bytes, the one with the smallest page_id is a
-    response; the others are revisits, which name it and carry no payload. A null html is an empty payload.
+    response; the others are revisits, which name it and carry no payload. A null html is an empty payload; a
+    null page_id is the largest. Ids are integers or text.
     Archives are cut by the bytes of payload, so that one reads into a task whole.
     """
     rows = records(pages).withColumn("revisit", F.col("revisit") & (F.octet_length("payload") >= least_bytes))
@@ -62,11 +75,11 @@ def write_warc(pages: DataFrame, path: str, least_bytes: int = 0, archive_bytes:
     size = F.octet_length("payload")
     head = [
         F.lit("WARC/1.1"), F.concat(F.lit("WARC-Type: "), F.when(F.col("revisit"), F.lit("revisit")).otherwise(F.lit("response"))),
-        F.concat(F.lit("WARC-Record-ID: <urn:page:"), F.coalesce(F.col("page_id").cast("string"), F.lit("")), F.lit(">")),
+        F.concat(F.lit("WARC-Record-ID: "), urn(F.col("page_id"))),
         F.when(F.col("at").isNotNull(), F.concat(F.lit("WARC-Date: "), F.col("at"))),
         F.concat(F.lit("WARC-Target-URI: "), clean),
         F.when(F.col("revisit"), F.lit(f"WARC-Profile: {REVISIT}")),
-        F.when(F.col("revisit"), F.concat(F.lit("WARC-Refers-To: <urn:page:"), F.coalesce(F.col("first_page").cast("string"), F.lit("")), F.lit(">"))),
+        F.when(F.col("revisit"), F.concat(F.lit("WARC-Refers-To: "), urn(F.col("first_page")))),
         F.concat(F.lit("WARC-Payload-Digest: sha1:"), base32(F.col("digest"))),
         F.concat(F.lit("X-Payload-Length: "), size.cast("string")),
         F.lit("Content-Type: text/html; charset=utf-8"),
@@ -141,17 +154,18 @@ def parse(data: bytes) -> Iterator[tuple[int, int, dict[str, str], bytes]]:
         at = stop
 
 
-CDX = "key string, at string, page_id long, file string, offset long, length long, url string, payload_bytes long, payload_digest string, record_type string, refers_to long, run string"
+CDX = "key string, at string, page_id string, file string, offset long, length long, url string, payload_bytes long, payload_digest string, record_type string, refers_to string, run string"
 
 
-def read_index(spark: SparkSession, path: str) -> DataFrame:
-    """One row per record of the archives: where it is and what it is; digests of responses are taken from their payloads."""
+def read_index(spark: SparkSession, path: str, id_kind: str = "long") -> DataFrame:
+    """One row per record of the archives: where it is and what it is; digests of responses are taken from their payloads.
+
+    ``id_kind`` is the type of the page ids, ``long`` or ``string``.
+    """
     import base64
     import gzip
     import hashlib
 
-    number = lambda urn: int(urn[len("<urn:page:"):-1]) if len(urn) > len("<urn:page:>") else None
-
     def index(batches):
         for batch in batches:
             for file, content in zip(batch.column("path").to_pylist(), batch.column("content")):
@@ -160,15 +174,15 @@ def read_index(spark: SparkSession, path: str) -> DataFrame:
                     revisit = head["WARC-Type"] == "revisit"
                     digest = head["WARC-Payload-Digest"][5:] if revisit else base64.b32encode(hashlib.sha1(block).digest()).decode()
                     rows.append({
-                        "at": head.get("WARC-Date"), "page_id": number(head["WARC-Record-ID"]), "file": file, "offset": offset, "length": length,
+                        "at": head.get("WARC-Date"), "page_id": head["WARC-Record-ID"], "file": file, "offset": offset, "length": length,
                         "url": head.get("WARC-Target-URI", ""), "payload_bytes": int(head["X-Payload-Length"]) if revisit else len(block),
-                        "payload_digest": digest, "record_type": head["WARC-Type"], "refers_to": number(head["WARC-Refers-To"]) if revisit else None, "run": file,
+                        "payload_digest": digest, "record_type": head["WARC-Type"], "refers_to": head["WARC-Refers-To"] if revisit else None, "run": file,
                     })
-                kinds = [("at", pa.string()), ("page_id", pa.int64()), ("file", pa.string()), ("offset", pa.int64()), ("length", pa.int64()), ("url", pa.string()), ("payload_bytes", pa.int64()), ("payload_digest", pa.string()), ("record_type", pa.string()), ("refers_to", pa.int64()), ("run", pa.string())]
+                kinds = [("at", pa.string()), ("page_id", pa.string()), ("file", pa.string()), ("offset", pa.int64()), ("length", pa.int64()), ("url", pa.string()), ("payload_bytes", pa.int64()), ("payload_digest", pa.string()), ("record_type", pa.string()), ("refers_to", pa.string()), ("run", pa.string())]
                 yield from pa.Table.from_pylist(rows, pa.schema(kinds)).to_batches()
 
     files = spark.read.format("binaryFile").option("pathGlobFilter", "*.gz").load(path).select("path", "content")
-    rows = files.mapInArrow(index, CDX.replace("key string, ", ""))
+    rows = files.mapInArrow(index, CDX.replace("key string, ", "")).withColumns({c: page_of(F.col(c), id_kind) for c in ("page_id", "refers_to")})
     return rows.select(url_key(F.col("url")).alias("key"), *rows.columns)
 
 
@@ -193,7 +207,7 @@ def merge_index(index: DataFrame, range_rows: int = RANGE_ROWS) -> DataFrame:
                     rows, last = [], row["run"]
                     runs.append(rows)
                 rows.append(row)
-        order = lambda r: (r["key"], r["at"] or "", r["page_id"] is not None, r["page_id"] or 0, r["offset"])
+        order = lambda r: (r["key"], r["at"] or "", r["page_id"] is not None, 0 if r["page_id"] is None else r["page_id"], r["offset"])
         number, place, out = TaskContext.get().partitionId(), 0, []
         for row in LoserTree([iter(r) for r in runs], order):
             out.append({**row, "range_no": number, "place": place})
@@ -213,4 +227,5 @@ def archive(pages: DataFrame, path: str | None = None, least_bytes: int = 0) ->
     spark = pages.sparkSession
     path = path or fresh_path(spark, "warc")
     write_warc(pages, path, least_bytes)
-    return merge_index(read_index(spark, path))
+    id_kind = "string" if pages.schema["page_id"].dataType.typeName() == "string" else "long"
+    return merge_index(read_index(spark, path, id_kind))
