@@ -23,9 +23,9 @@ def table(spark: SparkSession, sf: str, name: str) -> DataFrame:
 
 
 def table_stream(spark: SparkSession, sf: str, name: str) -> DataFrame:
-    """The same table as a stream of its files."""
+    """The same table as a stream of its files: a pattern, since a table may be one file or a folder of them."""
     schema = table(spark, sf, name).schema
-    return spark.readStream.schema(schema).option("pathGlobFilter", f"{name}.parquet").parquet(sf)
+    return spark.readStream.schema(schema).parquet(f"{sf}/{name}.parque[t]")
 
 
 def pick(values, index):
