@@ -233,8 +233,8 @@ def validate_payload(df: DataFrame, prompt_type: str = "ask", sections: tuple[st
         )
         .when(
             kind == prompt_type,
-            F.when(value.isNull() | (F.length(value) > MAX_PROMPT), F.lit("bad prompt")).when(
-                F.exists(F.coalesce(files, F.array()), bad_file), F.lit("bad attachment")
+            F.when(F.exists(F.coalesce(files, F.array()), bad_file), F.lit("bad attachment")).when(
+                value.isNull() | (F.length(value) > MAX_PROMPT), F.lit("bad prompt")
             ).when(flags["rag_enabled"].isNotNull() & ~is_flag(flags["rag_enabled"]), F.lit("bad flag")),
         )
         .otherwise(F.lit("unknown type"))

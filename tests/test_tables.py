@@ -1,5 +1,8 @@
 """Queries over tables whose layout or texts differ from those of the small ones."""
 
+from oracle_check import compare, connect
+
+import __spark_entry__ as entry
 from corpusloom.plans import views as v
 from corpusloom.session import fresh_path
 from corpusloom.streaming import jobs
@@ -13,3 +16,12 @@ def test_a_table_in_a_folder_is_streamed(spark, tmp_path):
     path = fresh_path(spark, "streamed")
     jobs.write_epochs(v.table_stream(spark, sf, "events"), path, f"{path}-checkpoint", "append").awaitTermination()
     assert sorted(r.event_id for r in spark.read.parquet(path).collect()) == list(range(6))
+
+
+def test_a_long_prompt_with_a_bad_attachment(spark, tmp_path):
+    sf = str(tmp_path)
+    docs = spark.createDataFrame([(2, "x" * 100_001), (10, "short"), (8, "x" * 100_001)], "doc_id long, text string")
+    docs.coalesce(1).write.parquet(f"{sf}/parts")
+    next(tmp_path.glob("parts/*.parquet")).rename(tmp_path / "documents.parquet")
+    plan, sql = entry.queries()["validate_payload"], entry.oracle_sql()["validate_payload"]
+    assert compare(spark, connect(sf), plan, sql, sf)[2] is None
