@@ -167,7 +167,7 @@ def recorded(spark, sf) -> str:
     text = F.array_join(F.transform("lines", lambda x: x["value"]), "\n")
     path = fresh_path(spark, "recorded")
     whole = lines.select("request_id", F.when(F.col("request_id") % 5 == 0, text).otherwise(F.concat(text, F.lit("\n"))).alias("value"))
-    whole.write.partitionBy("request_id").option("lineSep", " ").text(path)
+    frames.write_replies(whole, path)
     return path
 
 

@@ -6,12 +6,14 @@ are dropped, those of the next read are not. Here a read is a frame, ``frame_byt
 to the frame that its line feed is in. So the rows depend on the files alone, not on triggers or partitions, and a
 replay after a restart gives the same rows.
 
-``read_reply_frames`` and ``stream_reply_frames`` are the batch and the streaming form. The offset of the stream
-is one number per file, so a folder should hold the responses of an hour or a day, not of years.
+``read_reply_frames`` and ``stream_reply_frames`` are the batch and the streaming form. The driver lists the files
+and opens none; a task reads many of them, since most responses are small. The offset of the stream is the size of
+every file, so a folder should hold the responses of an hour or a day, not of years.
 """
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Iterator, Sequence
 from dataclasses import dataclass
 from urllib.parse import unquote
@@ -19,20 +21,22 @@ from urllib.parse import unquote
 import pyarrow as pa
 from pyarrow import fs
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, DataSourceStreamReader, InputPartition
 
 NAME = "reply_frames"
 SCHEMA = "request_id string, frame long, seq long, value string"
 FRAME_BYTES = 16_384
-#: Bytes of a file that one task reads; a multiple of the frame.
+#: Bytes of a file that one task reads; a multiple of the frame. Small files are read together, up to as many bytes.
 SPLIT_BYTES = 64 << 20
+SPLIT_FILES = 256
 ROWS_AT_ONCE = 4_096
 LOOK_BACK = 8_192
 END = b"[DONE]"
 
 
 @dataclass
-class Span(InputPartition):
+class Span:
     """Lines of a file whose line feed is in the bytes ``start`` to ``stop``."""
 
     name: str
@@ -40,6 +44,13 @@ class Span(InputPartition):
     stop: int
 
 
+@dataclass
+class Spans(InputPartition):
+    """What one task reads."""
+
+    spans: list[Span]
+
+
 class Folder:
     """The files below a path, on any file system that Arrow knows."""
 
@@ -105,10 +116,19 @@ class _Frames:
         if self.frame_bytes < 1:
             raise ValueError("frame_bytes must be positive")
 
-    def ends(self, known: dict[str, int] | None = None) -> dict[str, int]:
-        """Of every file the position behind its last line feed; only files longer than ``known`` are opened."""
-        folder, known = Folder(self.path), known or {}
-        return {n: folder.line_start(n, size) if size > known.get(n, 0) else known[n] for n, size in folder.sizes().items() if size}
+    def sizes(self) -> dict[str, int]:
+        return {n: size for n, size in Folder(self.path).sizes().items() if size}
+
+    def tasks(self, start: dict[str, int], end: dict[str, int]) -> list[Spans]:
+        """The new bytes of all files, dealt to tasks in the order of the names."""
+        out, held, size = [], [], 0
+        for span in self.spans(start, end):
+            if held and (len(held) == SPLIT_FILES or size + span.stop - span.start > SPLIT_BYTES):
+                out.append(Spans(held))
+                held, size = [], 0
+            held.append(span)
+            size += span.stop - span.start
+        return out + [Spans(held)] if held else out
 
     def spans(self, start: dict[str, int], end: dict[str, int]) -> list[Span]:
         step = max(SPLIT_BYTES // self.frame_bytes, 1) * self.frame_bytes
@@ -121,26 +141,27 @@ class _Frames:
                 at = to
         return out
 
-    def rows(self, span: Span | None) -> Iterator[pa.RecordBatch]:
-        if span is None:  # what Spark reads of a source without partitions
+    def rows(self, task: Spans | None) -> Iterator[pa.RecordBatch]:
+        if task is None:  # what Spark reads of a source without partitions
             return
-        folder, _, file = span.name.rpartition("/")
-        value = folder.rpartition("/")[2].partition("=")[2]
-        request = unquote(value) if value else file.rsplit(".", 1)[0]
-        held = []
-        for row in _lines(Folder(self.path), span, self.frame_bytes):
-            held.append(row)
-            if len(held) == ROWS_AT_ONCE:
-                yield self._batch(request, held)
-                held = []
+        source, held = Folder(self.path), []
+        for span in task.spans:
+            folder, _, file = span.name.rpartition("/")
+            value = folder.rpartition("/")[2].partition("=")[2]
+            request = unquote(value) if value else file.rsplit(".", 1)[0]
+            for row in _lines(source, span, self.frame_bytes):
+                held.append((request, *row))
+                if len(held) == ROWS_AT_ONCE:
+                    yield self._batch(held)
+                    held = []
         if held:
-            yield self._batch(request, held)
+            yield self._batch(held)
 
     @staticmethod
-    def _batch(request: str, rows: list) -> pa.RecordBatch:
-        frame, seq, line = zip(*rows)
+    def _batch(rows: list) -> pa.RecordBatch:
+        request, frame, seq, line = zip(*rows)
         return pa.RecordBatch.from_arrays(
-            [pa.array([request] * len(rows)), pa.array(frame, pa.int64()), pa.array(seq, pa.int64()),
+            [pa.array(request), pa.array(frame, pa.int64()), pa.array(seq, pa.int64()),
              pa.array([x.decode("utf-8", "replace") for x in line])],
             ["request_id", "frame", "seq", "value"],
         )
@@ -148,28 +169,23 @@ class _Frames:
 
 class FrameReader(_Frames, DataSourceReader):
     def partitions(self) -> Sequence[InputPartition]:
-        return self.spans({}, self.ends())
+        return self.tasks({}, self.sizes())
 
-    def read(self, partition: Span) -> Iterator[pa.RecordBatch]:
+    def read(self, partition: Spans) -> Iterator[pa.RecordBatch]:
         return self.rows(partition)
 
 
 class FrameStreamReader(_Frames, DataSourceStreamReader):
-    def __init__(self, options):
-        super().__init__(options)
-        self.known: dict[str, int] = {}
-
     def initialOffset(self) -> dict:
         return {"files": {}}
 
     def latestOffset(self) -> dict:
-        self.known = self.ends(self.known)
-        return {"files": self.known}
+        return {"files": self.sizes()}
 
     def partitions(self, start: dict, end: dict) -> Sequence[InputPartition]:
-        return self.spans(start["files"], end["files"])
+        return self.tasks(start["files"], end["files"])
 
-    def read(self, partition: Span) -> Iterator[pa.RecordBatch]:
+    def read(self, partition: Spans) -> Iterator[pa.RecordBatch]:
         return self.rows(partition)
 
 
@@ -188,6 +204,38 @@ class ReplyFrames(DataSource):
         return FrameStreamReader(self.options)
 
 
+def write_files(files: DataFrame, path: str) -> int:
+    """Write a file for each row (name, value) below a path, and count them.
+
+    For files as small as a reply, the calls that Spark's writer makes for each one, and the driver for putting them
+    in place, take longer than the bytes. A file is complete when it has its name, so a repeated task does no harm.
+    """
+
+    def put(batches):
+        target, made = Folder(path), set()
+        for batch in batches:
+            for name, data in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                folder, _, last = f"{target.root}/{name}".rpartition("/")
+                if folder not in made:
+                    target.system.create_dir(folder)
+                    made.add(folder)
+                part = f"{folder}/_{uuid.uuid4().hex}"
+                with target.system.open_output_stream(part) as out:
+                    out.write(data)
+                target.system.move(part, f"{folder}/{last}")
+            yield pa.RecordBatch.from_arrays([pa.array([batch.num_rows], pa.int64())], ["n"])
+
+    rows = files.select("name", F.col("value").cast("binary").alias("value"))
+    return rows.mapInArrow(put, "n long").agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
+
+
+def write_replies(replies: DataFrame, path: str, key: str = "request_id", value: str = "value") -> int:
+    """Record each reply in a file of its own, in a folder named by its request."""
+    named = F.replace(F.url_encode(F.col(key).cast("string")), F.lit("+"), F.lit("%20"))
+    name = F.concat(F.lit(f"{key}="), F.coalesce(F.nullif(named, F.lit("")), F.lit("__HIVE_DEFAULT_PARTITION__")), F.lit("/reply.log"))
+    return write_files(replies.select(name.alias("name"), F.col(value).alias("value")), path)
+
+
 def read_reply_frames(spark: SparkSession, path: str, frame_bytes: int = FRAME_BYTES) -> DataFrame:
     """request_id, frame, seq (position behind the line) and value of every line of the folder's replies.
 

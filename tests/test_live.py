@@ -66,6 +66,21 @@ def test_frames_are_reads_of_a_response(spark, size, monkeypatch):
     assert got == sorted((name, *row) for name, raw in small.items() for row in model(raw, size))
 
 
+def test_small_replies_are_read_together(spark, monkeypatch):
+    path = fresh()
+    texts = {"a b/c": "x\ny\nz", "+%": "data: [DONE]\n", "e": "", ".": "q\n", "\u6f22": "r\n"}
+    assert fr.write_replies(spark.createDataFrame(list(texts.items()), "request_id string, value string"), path) == 5
+    got = sorted((r.request_id, r.value) for r in fr.read_reply_frames(spark, path).collect())
+    assert got == sorted([("a b/c", "x"), ("a b/c", "y"), ("+%", "data: [DONE]"), (".", "q"), ("\u6f22", "r")])
+    for k in range(20):
+        put(f"{path}/{k}.log", b"one\ntwo\n")
+    monkeypatch.setattr(fr, "SPLIT_FILES", 10)
+    reader = fr.FrameReader({"path": path})
+    monkeypatch.setattr(fr.Folder, "open", None)  # the driver opens no file
+    tasks = reader.partitions()
+    assert [len(t.spans) for t in tasks] == [10, 10, 4]
+
+
 def test_frames_of_a_missing_folder(spark):
     assert fr.read_reply_frames(spark, fresh() + "/none").count() == 0
     with pytest.raises(Exception):
