@@ -146,7 +146,12 @@ def _observed(step, chunks, make_embed, agent, search, retrieve) -> DataFrame:
             ),
         )
     else:
-        report = agent_search(embed(queries, "text", make_embed), chunks, search, agent, retrieve).select(
+        # conversations ask for the same things: each text is embedded and searched once
+        asked = checkpoint(queries.groupBy("text").agg(F.min("query_id").alias("query_id")), "searches")
+        found = agent_search(embed(asked, "text", make_embed), chunks, search, agent, retrieve).select(
+            "query_id", "matches", "paths", "observation"
+        )
+        report = queries.join(asked.join(found, "query_id").drop("query_id"), "text").select(
             F.col("query_id").alias("conv_id"), "matches", "paths", "observation"
         )
     text = (

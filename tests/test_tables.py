@@ -25,3 +25,32 @@ def test_a_long_prompt_with_a_bad_attachment(spark, tmp_path):
     next(tmp_path.glob("parts/*.parquet")).rename(tmp_path / "documents.parquet")
     plan, sql = entry.queries()["validate_payload"], entry.oracle_sql()["validate_payload"]
     assert compare(spark, connect(sf), plan, sql, sf)[2] is None
+
+
+def test_equal_searches_are_made_once(spark, monkeypatch):
+    from corpusloom.operators import agent as ag
+    from corpusloom.operators import search as se
+    from corpusloom.options import SearchOptions
+    from corpusloom.plans.stubs import AGENT, make_embed, make_generate
+
+    texts = {1: "aa", 2: "tea", 3: "aa", 4: "eat", 5: "aa"}  # of "tea" and "eat" the vectors are equal
+    messages = spark.createDataFrame([(c, 0, "user", t) for c, t in texts.items()], "conv_id long, turn long, role string, text string")
+    chunks = spark.createDataFrame(
+        [(f"c{i}", f"src/{n}.ts", n, [float(n.count(x)) for x in "aent"]) for i, n in enumerate(["tea", "eat", "aaa", "net"])],
+        "id string, path string, content string, embedding array<double>",
+    )
+    vectors, scan, asked = [], se.scan_topk, []
+
+    def counted(queries, *rest, **more):
+        vectors.append(queries.count())
+        return scan(queries, *rest, **more)
+
+    def retrieve(queries, rows, options):
+        asked.append(sorted(r.text for r in queries.collect()))
+        return se.search_hybrid(queries, rows, options)
+
+    monkeypatch.setattr(se, "scan_topk", counted)
+    prompts = messages.select("conv_id", messages.text.alias("prompt"))
+    out = ag.batch_agent(messages, prompts, chunks, make_generate, make_embed, "S", AGENT, search=SearchOptions(digits=6), retrieve=retrieve)
+    assert {r.conv_id: (r.text, r.retrieved_matches) for r in out.collect()} == {c: (f"about {t}", 4) for c, t in texts.items()}
+    assert (asked, vectors) == ([["aa", "eat", "tea"], []], [2, 0])  # the second round has answers only
