@@ -17,6 +17,7 @@ from corpusloom.session import fresh_path
 from corpusloom.sources import collections as co
 from corpusloom.sources import files as fs
 from corpusloom.sources import sessions as ss
+from corpusloom.sources.frames import write_files
 
 LONG = "long"
 
@@ -51,7 +52,8 @@ def attach_files(spark, sf):
     """Every document exported as a text file of its own; those below the operator's size limit are picked up as attachments."""
     path = fresh_path(spark, "attached")
     docs = v.table(spark, sf, "documents").where("text is not null")
-    docs.select("text").write.option("maxRecordsPerFile", 1).text(path)
+    names = F.concat(F.monotonically_increasing_id().cast("string"), F.lit(".txt"))  # the same ones in a repeated task
+    write_files(docs.select(names.alias("name"), F.concat("text", F.lit("\n")).alias("value")), path)
     found = fs.attach_files(spark, path).where(F.endswith("name", F.lit(".txt")))
     return found.groupBy("is_repository").agg(F.sum(F.length("content").cast(LONG)).alias("chars"))
 
