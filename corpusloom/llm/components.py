@@ -31,3 +31,15 @@ def components(links: DataFrame) -> DataFrame:
         labels = jumped.select("node", "component")
         if settled:
             return labels
+
+
+def extended(labels: DataFrame, links: DataFrame) -> DataFrame:
+    """``labels`` of ``components`` after more ``links``: the rounds see components that a new link joins, not the links of before."""
+    end = lambda side: labels.select(F.col("node").alias(side), F.col("component").alias(f"of_{side}"))
+    moved = links.join(end("a"), "a", "left").join(end("b"), "b", "left").select(
+        F.coalesce("of_a", "a").alias("a"), F.coalesce("of_b", "b").alias("b")
+    )
+    merged = components(moved.where("a <> b").distinct())
+    into = merged.select(F.col("node").alias("component"), F.col("component").alias("into"))
+    known = labels.join(into, "component", "left").select("node", F.coalesce("into", "component").alias("component"))
+    return checkpoint(known.unionByName(merged.join(labels, "node", "left_anti")), "cc-labels")

@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from corpusloom.llm.common import free_name, maybe_in, two_columns
-from corpusloom.llm.components import components
+from corpusloom.llm.components import components, extended
 from corpusloom.llm.kernels import distinct, first_of, mix, ngrams, slices, stream, utf8, words
 from corpusloom.session import checkpoint
 
@@ -133,8 +133,7 @@ def near_duplicates(
     pairs = checkpoint(
         first_pairs.join(sizes, "a").where(alike(F.col("size"), F.col("size_a"))).select("a", F.col("node").alias("b")), "near-pairs"
     )
-    tested, links = pairs, checkpoint(_confirmed(pairs, sets, percent), "near-links")
-    labels = components(links)
+    tested, labels = pairs, components(checkpoint(_confirmed(pairs, sets, percent), "near-links"))
     for turn in range(LEADER_ROUNDS + 1):
         open_ones = checkpoint(_unresolved(buckets, labels), "near-open")
         if open_ones.isEmpty():
@@ -149,8 +148,7 @@ def near_duplicates(
             found = _across(open_ones, sets, percent)
         pairs = checkpoint(found.join(tested, ["a", "b"], "left_anti"), "near-pairs")
         tested = tested.unionByName(pairs)
-        links = links.unionByName(checkpoint(_confirmed(pairs, sets, percent), "near-links"))
-        labels = components(links)
+        labels = extended(labels, checkpoint(_confirmed(pairs, sets, percent), "near-links"))
     joined = nodes.join(labels, "node", "left").withColumn("component", F.coalesce("component", "node"))
     least = joined.groupBy("component").agg(F.min("least").alias("component_id"))
     decided = classes.select(*same, "node").join(joined.select("node", "component"), "node").join(least, "component")
