@@ -41,8 +41,9 @@ RATE = 0.1
 TOKEN_BYTES = 64
 #: Bytes of text that a training task reads for each byte of parameters it sends, and bytes of a token.
 SHARE, BYTES_OF_TOKEN = 8, 6
-#: Rows of one batched product.
+#: Rows of one batched product; scores up to which the sum of their exponentials is finite.
 ROWS = 1024
+SAFE = 70.0
 FOLDS, HELD_OUT = 7, 2
 #: The token at the end of every text. No word is empty.
 END = b""
@@ -106,29 +107,46 @@ def predicted(model: Model, context: np.ndarray) -> np.ndarray:
     return sum(model.inputs[context[:, k]] @ model.maps[k] for k in range(CONTEXT))
 
 
-def log_softmax_at(guess: np.ndarray, rows: np.ndarray, vectors: np.ndarray, bias: np.ndarray, at: np.ndarray) -> np.ndarray:
-    """Log-probability of output ``at`` among ``vectors``, for each of ``rows`` of ``guess``."""
-    out, product, ones = np.empty(len(rows)), np.concatenate([vectors.T, bias[None]]), np.ones(len(vectors), vectors.dtype)
-    for lo in range(0, len(rows), ROWS):
-        own = guess[rows[lo:lo + ROWS]]
-        score = np.column_stack([own, np.ones(len(own), own.dtype)]) @ product
-        mine = score[np.arange(len(score)), at[lo:lo + ROWS]]
-        score -= (top := score.max(1))[:, None]
-        out[lo:lo + ROWS] = mine - np.log(np.exp(score, out=score) @ ones) - top
+def log_softmax_at(guess: np.ndarray, vectors: np.ndarray, bias: np.ndarray, at: np.ndarray) -> np.ndarray:
+    """Log-probability of output ``at`` among ``vectors``, for each row of ``guess`` (a predicted vector, then 1)."""
+    if len(vectors) == 1:  # certain, without rounding
+        return np.zeros(len(guess))
+    out, product, ones = np.empty(len(guess)), np.concatenate([vectors.T, bias[None]]), np.ones(len(vectors), vectors.dtype)
+    farthest = np.sqrt(np.einsum("ij,ij->j", product, product).max())
+    for lo in range(0, len(guess), ROWS):
+        own = guess[lo:lo + ROWS]
+        score = own @ product
+        out[lo:lo + ROWS] = score[np.arange(len(score)), at[lo:lo + ROWS]]
+        # no score is beyond the product of the lengths: mostly exp cannot overflow, and the largest stays in
+        if farthest * np.sqrt(np.einsum("ij,ij->i", own, own).max()) >= SAFE:
+            score -= (top := score.max(1))[:, None]
+            out[lo:lo + ROWS] -= top
+        out[lo:lo + ROWS] -= np.log(np.exp(score, out=score) @ ones)
     return out
 
 
+def with_one(rows: np.ndarray) -> np.ndarray:
+    """The rows with a 1 at their end, which a bias is multiplied with."""
+    return np.concatenate([rows, np.ones((len(rows), 1), rows.dtype)], axis=1)
+
+
+def sorted_places(code: np.ndarray) -> np.ndarray:
+    """Places of ``code`` in ascending order, equal ones as they come; numbers of 16 bits are dealt instead of compared."""
+    return np.argsort(code.astype(np.uint16) if len(code) and code.max() < 1 << 16 else code, kind="stable")
+
+
 def scored(model: Model, code: np.ndarray, guess: np.ndarray) -> np.ndarray:
     """Natural log-probability of every token, given the predicted vectors: of its class, plus within the class."""
     group, words, width = class_of(model, code), model.words, width_of(model.words)
-    out = log_softmax_at(guess, np.arange(len(code)), model.outputs[words:], model.bias[words:], group)
-    order = np.argsort(group, kind="stable")
+    guess = with_one(guess)
+    out = log_softmax_at(guess, model.outputs[words:], model.bias[words:], group)
+    order = sorted_places(group)
     classes = len(model.outputs) - words - 1
     cuts = np.searchsorted(group[order], np.arange(classes + 1))
     for c in np.flatnonzero(np.diff(cuts)):
         rows = order[cuts[c]:cuts[c + 1]]
         a, b = c * width, min((c + 1) * width, words)
-        out[rows] += log_softmax_at(guess, rows, model.outputs[a:b], model.bias[a:b], code[rows] - a)
+        out[rows] += log_softmax_at(guess[rows], model.outputs[a:b], model.bias[a:b], code[rows] - a)
     return out
 
 
@@ -139,7 +157,7 @@ def log_probabilities(model: Model, code: np.ndarray, context: np.ndarray) -> np
 
 def by_row(code: np.ndarray, values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """(distinct codes, sums of their rows)."""
-    order = np.argsort(code, kind="stable")
+    order = sorted_places(code)
     known = code[order]
     first = np.flatnonzero(np.concatenate([[True], known[1:] != known[:-1]]))
     return known[first], np.add.reduceat(values[order], first)
@@ -160,29 +178,37 @@ def noise_of(model: Model, counts: np.ndarray) -> list[tuple[int, np.ndarray, np
     return out
 
 
-def contrast(model: Model, noise: tuple[int, np.ndarray, np.ndarray], guess: np.ndarray, target: np.ndarray, n: int, rng: np.random.Generator):
-    """One batch against shared noise: (gradient of ``guess``, outputs touched, their gradients with the bias last)."""
-    start, cumulated, log_noise = noise
-    drawn = np.minimum(np.searchsorted(cumulated, rng.random(NOISE)), len(cumulated) - 1)
-    seen, other = target + start, drawn + start
-    mine, theirs = model.outputs[seen], model.outputs[other]
-    good = np.einsum("ij,ij->i", guess, mine) + model.bias[seen] - log_noise[target]
-    down = guess @ -theirs.T
-    down -= model.bias[other] - log_noise[drawn]
+def contrast(heads: np.ndarray, expected: np.ndarray, noise: list, seen: list, guess: np.ndarray, rng: np.random.Generator):
+    """One batch against shared noise: (gradient of ``guess``, outputs touched, their gradients).
+
+    ``heads`` are outputs with their bias last, ``guess`` predicted vectors, then 1, ``expected`` the logs of the expected noise
+    of the outputs. ``seen`` are, for each part of ``noise``, the outputs seen and the rows that have none.
+    """
+    n = len(guess)
+    other = np.concatenate([
+        start + np.minimum(np.searchsorted(cumulated, rng.random(NOISE)), len(cumulated) - 1) for start, cumulated, _ in noise
+    ])
+    theirs = heads[other]
+    product = -theirs.T
+    product[-1] += expected[other] + np.float32(math.log(n))
+    down = guess @ product
     with np.errstate(over="ignore"):  # beyond the largest number a share is 0
-        up = 1 / ((1 + np.exp(good)) * n)  # towards 1 for the output seen
         np.exp(down, out=down)
-    down += 1
-    down *= n
-    np.reciprocal(down, out=down)  # towards 0 for noise
-    gradients = np.empty((len(seen) + NOISE, guess.shape[1] + 1), guess.dtype)
-    np.multiply(up[:, None], guess, out=gradients[:len(seen), :-1])
-    gradients[:len(seen), -1] = up
-    gradients[len(seen):, :-1] = -(down.T @ guess)
-    gradients[len(seen):, -1] = -(np.ones(len(down), down.dtype) @ down)
-    mine *= up[:, None]
-    mine -= down @ theirs
-    return mine, np.concatenate([seen, other]), gradients
+    down += n
+    np.reciprocal(down, out=down)  # towards 0 for noise, a share of the batch
+    gradients, back = np.empty((n * len(seen) + len(other), guess.shape[1]), guess.dtype), 0
+    for i, (outputs, without) in enumerate(seen):
+        mine = heads[outputs]
+        good = np.einsum("ij,ij->i", guess, mine) - expected[outputs]
+        with np.errstate(over="ignore"):
+            up = 1 / ((1 + np.exp(good)) * n)  # towards 1 for the output seen
+        up[without] = 0
+        down[without, i * NOISE:(i + 1) * NOISE] = 0
+        np.multiply(up[:, None], guess, out=gradients[i * n:(i + 1) * n])
+        mine *= up[:, None]
+        back = back + mine
+    gradients[n * len(seen):] = -(down.T @ guess)
+    return back - down @ theirs, np.concatenate([*(outputs for outputs, _ in seen), other]), gradients
 
 
 def nce_steps(model: Model, speed: list[np.ndarray], stream: np.ndarray, noise: list, rng: np.random.Generator, rate: float) -> None:
@@ -192,41 +218,42 @@ def nce_steps(model: Model, speed: list[np.ndarray], stream: np.ndarray, noise:
     """
     of_input, of_map, of_output, of_bias = speed
 
-    def move(part, sums, rows, gradient):
-        wide = gradient.reshape(len(gradient), -1)
-        grown = sums[rows] + np.einsum("ij,ij->i", wide, wide) / wide.shape[1]
-        sums[rows] = grown
-        scale = rate / np.sqrt(grown + 1e-8)
-        part[rows] += (scale[:, None] * wide).reshape(gradient.shape)
+    def grown(sums, rows, gradient):
+        """How far each of the rows moves along its gradient."""
+        more = sums[rows] + np.einsum("ij,ij->i", gradient, gradient) / gradient.shape[1]
+        sums[rows] = more
+        return (rate / np.sqrt(more + 1e-8))[:, None]
 
-    groups = class_of(model, np.arange(model.words + 2))
+    d, words = model.maps.shape[2], model.words
+    groups = class_of(model, np.arange(words + 2)) + words
+    heads = np.column_stack([model.outputs, model.bias])
+    expected = np.concatenate([log_noise for _, _, log_noise in noise])
     for lo in range(CONTEXT, len(stream), STEP_TOKENS):
         own = stream[lo - CONTEXT:lo + STEP_TOKENS]
         target, n = own[CONTEXT:], len(own) - CONTEXT
-        back_then = looked_back(model.inputs[own])
-        guess = back_then @ model.maps.reshape(-1, model.maps.shape[2])
-        dguess, touched, gradients = np.zeros_like(guess), [], []
-        group = groups[target]
-        for part in noise:
-            rows = np.flatnonzero(target < model.words if part[0] == 0 and model.words else target <= model.words)
-            if len(rows):
-                back, outputs, gradient = contrast(model, part, guess[rows], target[rows] if part[0] == 0 and model.words else group[rows], n, rng)
-                dguess[rows] += back
-                touched.append(outputs)
-                gradients.append(gradient)
-        if not touched:
+        # words of their own have a word and a class, all others a class, starts nothing
+        of_words, of_classes = np.flatnonzero(target >= words), np.flatnonzero(target > words)
+        if len(of_classes) == n:
             continue
-        d = guess.shape[1]
-        d_maps = (back_then.T @ dguess).reshape(model.maps.shape)
-        d_back = dguess @ model.maps.reshape(-1, d).T
-        d_in = np.zeros((n + CONTEXT, d), guess.dtype)
+        back_then = looked_back(model.inputs[own])
+        maps = model.maps.reshape(-1, d)
+        classes = (groups[target], of_classes)
+        seen = [(np.where(target < words, target, 0), of_words), classes] if words else [classes]
+        back, touched, gradients = contrast(heads, expected, noise, seen, with_one(back_then @ maps), rng)
+        dguess = np.ascontiguousarray(back[:, :d])
+        d_maps = (back_then.T @ dguess).reshape(CONTEXT, -1)
+        d_back = dguess @ maps.T
+        d_in = np.zeros((n + CONTEXT, d), dguess.dtype)
         for k in range(CONTEXT):
             d_in[CONTEXT - k - 1:CONTEXT - k - 1 + n] += d_back[:, k * d:(k + 1) * d]
-        move(model.maps, of_map, np.arange(CONTEXT), d_maps)
-        move(model.inputs, of_input, *by_row(own, d_in))
-        rows, d_out = by_row(np.concatenate(touched), np.concatenate(gradients))
-        move(model.outputs, of_output, rows, d_out[:, :-1])
-        move(model.bias, of_bias, rows, d_out[:, -1])
+        model.maps[:] += (grown(of_map, np.arange(CONTEXT), d_maps) * d_maps).reshape(model.maps.shape)
+        rows, sums = by_row(own, d_in)
+        model.inputs[rows] += grown(of_input, rows, sums) * sums
+        rows, sums = by_row(touched, gradients)
+        sums[:, :-1] *= grown(of_output, rows, sums[:, :-1])
+        sums[:, -1:] *= grown(of_bias, rows, sums[:, -1:])
+        heads[rows] += sums
+    model.outputs[:], model.bias[:] = heads[:, :-1], heads[:, -1]
 
 
 def start_model(vocabulary: dict[bytes, int], counts: np.ndarray, seed: int = 13) -> Model:

@@ -97,3 +97,22 @@ def test_empty_table_and_all_held_out(docs_of):
     got = lm.score_texts(docs_of([(d, "a b a") for d in out])).collect()
     assert len(got) == len(out) > 2
     assert all(r.held_out and (r.n_tokens, r.n_known, r.train_tokens, r.base_score, r.score) == (4, 0, 0, 0, 0) for r in got)
+
+
+def test_scores_beyond_the_range_of_an_exponential():
+    rng = np.random.default_rng(8)
+    guess, vectors, bias = rng.normal(0, 1, (2100, 5)), rng.normal(0, 1, (9, 5)), rng.normal(0, 1, 9)
+    at = rng.integers(0, 9, len(guess))
+    for scale in (1, 300):
+        score = scale * guess @ vectors.T + bias
+        top = score.max(1)
+        want = score[np.arange(len(at)), at] - top - np.log(np.exp(score - top[:, None]).sum(1))
+        got = lm.log_softmax_at(lm.with_one((scale * guess).astype(np.float32)), vectors.astype(np.float32), bias.astype(np.float32), at)
+        assert np.allclose(got, want, rtol=1e-5, atol=1e-4 * scale)
+
+
+def test_places_of_numbers_of_more_than_16_bits():
+    code = np.random.default_rng(2).integers(0, 200_000, 5000)
+    assert (lm.sorted_places(code) == np.argsort(code, kind="stable")).all()
+    assert (lm.sorted_places(code % 300) == np.argsort(code % 300, kind="stable")).all()
+    assert len(lm.sorted_places(code[:0])) == 0
