@@ -22,6 +22,8 @@ from corpusloom.session import checkpoint
 META, CONTENT = "m", "c"
 #: A gram is looked up if at most this share of all chunks has it.
 SHARE = 0.02
+#: Parts of one gram's postings.
+PARTS = 32
 
 
 @dataclass(frozen=True)
@@ -46,10 +48,13 @@ def posting_rows(chunks: DataFrame) -> DataFrame:
 
 
 def write_postings(chunks: DataFrame, path: str) -> None:
-    """Postings of all chunks in ranges of the gram: a lookup reads the row groups of its grams, a hot gram is many ranges."""
+    """Postings of all chunks, sorted in every file: a lookup reads the row groups of its grams.
+
+    A gram is dealt over ``PARTS`` files at most, so a hot one is many parts; ranges would need the texts read twice.
+    """
     parts = int(chunks.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    order = ("field", "gram", "id")
-    posting_rows(chunks).repartitionByRange(parts, *order).sortWithinPartitions(*order).write.mode("overwrite").parquet(f"{path}/rows")
+    dealt = posting_rows(chunks).repartition(parts, "field", "gram", F.pmod(F.xxhash64("id"), F.lit(PARTS)))
+    dealt.sortWithinPartitions("field", "gram", "id").write.mode("overwrite").parquet(f"{path}/rows")
     rows = chunks.sparkSession.read.parquet(f"{path}/rows")
     rows.groupBy("field", "gram").agg(F.count("*").alias("n")).write.mode("overwrite").parquet(f"{path}/counts")
     chunks.agg(F.count("content").alias("total")).write.mode("overwrite").parquet(f"{path}/total")

@@ -98,7 +98,7 @@ class TokenIndex:
         """Share of each query's tokens found, as (texts, queries); tokens are kept as lists, not as a matrix."""
         rows, tokens = [], []
         for row, text in enumerate(texts):
-            found = [self.inside(word) for word in set(WORD.findall((text or "").lower()))]
+            found = [at for word in set(WORD.findall((text or "").lower())) if len(at := self.inside(word))]
             if found:
                 own = np.unique(np.concatenate(found))
                 rows.append(np.full(len(own), row))

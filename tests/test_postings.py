@@ -55,3 +55,20 @@ def test_empty_tables(spark, empty):
     chunks = spark.createDataFrame([] if empty == "chunks" else [("a", "p", "some text")], CHUNK)
     queries = spark.createDataFrame([] if empty == "queries" else [(1, "some text")], "query_id long, text string")
     assert ps.search_postings(queries, chunks, made(spark, chunks)).count() == 0
+
+
+def test_texts_are_read_once_and_a_hot_gram_is_many_parts(spark):
+    n, read = 400, spark.sparkContext.accumulator(0)
+
+    def counted(batches):
+        for batch in batches:
+            read.add(len(batch))
+            yield batch
+
+    rows = [(f"c{i:04}", f"p/{i}.md", "shared text") for i in range(n)]
+    chunks = spark.createDataFrame(rows, CHUNK).mapInPandas(counted, CHUNK)
+    path = tempfile.mkdtemp(prefix="corpusloom-test-") + "/postings"
+    ps.write_postings(chunks, path)
+    assert read.value <= 3 * n  # for the metadata, for the content, for the total
+    hot = ps.read_postings(spark, path).rows.where("field = 'c' and gram = 'sha'")
+    assert hot.count() == n and hot.select("_metadata.file_path").distinct().count() > 1
