@@ -43,9 +43,17 @@ def millis(duration: str) -> int:
 
 # ---- replies ---------------------------------------------------------------------
 
+FRAGMENT = ["seq", "at", "token", "usage", "is_end"]
+# Fragments of one row of state: every row is coded by itself on its way, which costs more than a fragment.
+PACK = 1024
 PIECE = "piece long, first_seq long, text string, chars long, usage_seq long, usage long, ended boolean"
 
 
+def packed(fragments: list[tuple]) -> list[tuple]:
+    """Rows of state, each with the values of up to PACK fragments side by side."""
+    return [tuple(map(list, zip(*fragments[lo:lo + PACK]))) for lo in range(0, len(fragments), PACK)]
+
+
 class ReplyState(StatefulProcessor):
     """Fragments of one request, released in order.
 
@@ -59,38 +67,39 @@ class ReplyState(StatefulProcessor):
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
-        self.held = handle.getListState("held", "seq long, at long, token string, usage long, is_end boolean")
+        self.held = handle.getListState("held", "seq array<long>, at array<long>, token array<string>, usage array<long>, is_end array<boolean>")
         self.passed = handle.getValueState("passed", "seq long, pieces long, last_at long, ended boolean")
 
+    # Lists, not frames: a request mostly has a few fragments, and a frame's operations cost more than they do.
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        new = pd.concat(list(rows), ignore_index=True)
-        passed = self.passed.get()
-        if passed is not None:
-            new = new[(new["seq"] > passed[0]) & (not passed[3])]
-        if len(new):
-            names = ["seq", "at", "token", "usage", "is_end"]
-            self.held.appendList(list(new[names].itertuples(index=False, name=None)))
-            self.handle.registerTimer(int(new["at"].min()))
+        seq, _, _, ended = self.passed.get() or (None, 0, 0, False)
+        new = [x for part in rows for x in zip(*(part[name].tolist() for name in FRAGMENT)) if not ended and (seq is None or x[0] > seq)]
+        if new:
+            self.held.appendList(packed(new))
+            self.handle.registerTimer(min(x[1] for x in new))
         return iter(())
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
         now = timerValues.getCurrentWatermarkInMs()
         seq, pieces, last_at, ended = self.passed.get() or (-1, 0, 0, False)
-        held = pd.DataFrame(self.held.get(), columns=["seq", "at", "token", "usage", "is_end"])
-        ripe = held["at"] <= now
-        out, later = held[ripe].drop_duplicates("seq").sort_values("seq"), held[~ripe]
-        out = out[out["seq"] > seq]
-        if out["is_end"].any():
-            out = out[out["seq"] <= out.loc[out["is_end"], "seq"].min()]
-            ended, later = True, held[:0]
-        if len(out):
-            text, used = "".join(out["token"]), out[out["usage"] > 0]
-            seq, pieces, last_at = int(out["seq"].iloc[-1]), pieces + 1, max(last_at, int(out["at"].max()))
+        ripe, later = {}, []
+        for x in (x for part in self.held.get() for x in zip(*part)):
+            if x[1] > now:
+                later.append(x)
+            elif x[0] > seq:
+                ripe.setdefault(x[0], x)
+        out = [ripe[n] for n in sorted(ripe)]
+        end = next((i for i, x in enumerate(out) if x[4]), None)
+        if end is not None:
+            out, ended, later = out[:end + 1], True, []
+        if out:
+            used = [x for x in out if x[3] > 0]
+            seq, pieces, last_at = out[-1][0], pieces + 1, max(last_at, max(x[1] for x in out))
             yield pd.DataFrame({
                 **{name: [value] for name, value in zip(self.keys, key)},
-                "piece": [pieces - 1], "first_seq": [int(out["seq"].iloc[0])], "text": [text], "chars": [int(out["token"].str.len().sum())],
-                "usage_seq": [int(used["seq"].iloc[-1]) if len(used) else -1],
-                "usage": [int(used["usage"].iloc[-1]) if len(used) else 0], "ended": [ended],
+                "piece": [pieces - 1], "first_seq": [out[0][0]], "text": ["".join(x[2] for x in out)],
+                "chars": [sum(len(x[2]) for x in out)], "usage_seq": [used[-1][0] if used else -1],
+                "usage": [used[-1][3] if used else 0], "ended": [ended],
             })
         over = last_at + (self.forget_ms if ended else self.idle_ms)
         if not len(later) and over <= now:
@@ -99,8 +108,8 @@ class ReplyState(StatefulProcessor):
             return
         self.passed.update((seq, pieces, last_at, ended))
         if len(later):
-            self.held.put(list(later.itertuples(index=False, name=None)))
-            self.handle.registerTimer(int(later["at"].min()))
+            self.held.put(packed(later))
+            self.handle.registerTimer(min(x[1] for x in later))
         else:
             self.held.clear()
             self.handle.registerTimer(over)

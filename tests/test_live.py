@@ -4,6 +4,7 @@ import json
 import os
 import tempfile
 
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -216,3 +217,82 @@ def test_bytes_read_follow_living_sessions(spark):
         read.append(sum(os.path.getsize(f.removeprefix("file://")) for f in view.inputFiles()))
         assert view.count() == 200
     assert max(read[1:]) < 1.3 * min(read[1:])
+
+
+class Kept:
+    """State of one key in memory; ``written`` counts the rows of lists that were sent."""
+
+    def __init__(self):
+        self.lists, self.values, self.timers, self.written = {}, {}, [], 0
+
+    def getListState(self, name, schema):
+        return ListOf(self, name)
+
+    def getValueState(self, name, schema, ttl=None):
+        return ValueOf(self, name)
+
+    def registerTimer(self, at):
+        self.timers.append(at)
+
+
+class ListOf:
+    def __init__(self, kept, name):
+        self.kept, self.name = kept, name
+
+    def get(self):
+        return iter(self.kept.lists.get(self.name, []))
+
+    def appendList(self, rows):
+        self.kept.written += len(rows)
+        self.kept.lists.setdefault(self.name, []).extend(rows)
+
+    def put(self, rows):
+        self.clear()
+        self.appendList(rows)
+
+    def clear(self):
+        self.kept.lists.pop(self.name, None)
+
+
+class ValueOf:
+    def __init__(self, kept, name):
+        self.kept, self.name = kept, name
+
+    def get(self):
+        return self.kept.values.get(self.name)
+
+    def update(self, value):
+        self.kept.values[self.name] = value
+
+    def clear(self):
+        self.kept.values.pop(self.name, None)
+
+
+class At:
+    def __init__(self, now):
+        self.now = now
+
+    def getCurrentWatermarkInMs(self):
+        return self.now
+
+
+def test_fragments_are_kept_many_to_a_row_of_state():
+    kept, processor = Kept(), live.ReplyState(10**9, 10**9)
+    processor.keys = ["request_id"]
+    processor.init(kept)
+    n = 3000
+    order = [(i * 7) % n for i in range(n)] + [5]  # out of order, one twice
+    frame = pd.DataFrame({"seq": order, "at": [1000 + i for i in order], "token": [f"t{i} " for i in order],
+                          "usage": [i if i % 500 == 0 else 0 for i in order], "is_end": [False] * len(order)})
+    assert list(processor.handleInputRows((1,), iter([frame[:1000], frame[1000:]]), None)) == []
+    assert kept.written <= 3 and kept.timers == [1000]
+    first = list(processor.handleExpiredTimer((1,), At(1000 + 1999), None))
+    assert [(r.piece, r.first_seq, r.usage_seq, r.usage, r.ended) for r in first[0].itertuples()] == [(0, 0, 1500, 1500, False)]
+    assert first[0]["text"][0] == "".join(f"t{i} " for i in range(2000)) and first[0]["chars"][0] == len(first[0]["text"][0])
+    assert kept.written <= 5 and kept.timers[-1] == 3000
+    late = pd.DataFrame({"seq": [3, n, n + 1], "at": [1003, 1000 + n, 1001 + n], "token": ["late", "", "behind"], "usage": [0, 0, 0],
+                         "is_end": [False, True, False]})
+    list(processor.handleInputRows((1,), iter([late]), None))
+    rest = list(processor.handleExpiredTimer((1,), At(10_000), None))
+    assert rest[0]["text"][0] == "".join(f"t{i} " for i in range(2000, n)) and bool(rest[0]["ended"][0]) and rest[0]["piece"][0] == 1
+    assert not kept.lists and list(processor.handleInputRows((1,), iter([late]), None)) == [] and not kept.lists
