@@ -116,10 +116,10 @@ def replace_collection(spark, sf):
 
 @query("drop_collection", sql=f"SELECT 'b' AS collection_id, count(*) AS n FROM ({RECORDS})")
 def drop_collection(spark, sf):
+    """Written under one id, from there under another, the first one dropped."""
     path = fresh_path(spark, "collections")
-    rows = records(spark, sf)
-    for name in ("a", "b"):
-        co.replace_collection(rows, path, name)
+    co.replace_collection(records(spark, sf), path, "a")
+    co.replace_collection(co.read_collection(spark, path, "a"), path, "b")
     co.drop_collection(spark, path, "a")
     return spark.read.parquet(path).groupBy("collection_id").agg(F.count("*").alias("n"))
 

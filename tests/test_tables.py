@@ -54,3 +54,22 @@ def test_equal_searches_are_made_once(spark, monkeypatch):
     out = ag.batch_agent(messages, prompts, chunks, make_generate, make_embed, "S", AGENT, search=SearchOptions(digits=6), retrieve=retrieve)
     assert {r.conv_id: (r.text, r.retrieved_matches) for r in out.collect()} == {c: (f"about {t}", 4) for c, t in texts.items()}
     assert (asked, vectors) == ([["aa", "eat", "tea"], []], [2, 0])  # the second round has answers only
+
+
+def test_records_of_two_collections_are_made_once(spark, monkeypatch):
+    from corpusloom.plans import registry, store_queries
+
+    read, records = spark.sparkContext.accumulator(0), store_queries.records
+
+    def counted(batches):
+        for batch in batches:
+            read.add(len(batch))
+            yield batch
+
+    def counting(spark, sf):
+        rows = records(spark, sf)
+        return rows.mapInPandas(counted, rows.schema)
+
+    monkeypatch.setattr(store_queries, "records", counting)
+    left = registry.QUERIES["drop_collection"](spark, "/root/testdata/sf0.001").collect()
+    assert [r.collection_id for r in left] == ["b"] and read.value == left[0].n > 0
