@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
+from array import array
 from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.functions import pandas_udf
+from pyspark.sql.functions import arrow_udf, pandas_udf
 
 from corpusloom.functions.bind import bind
 from corpusloom.functions.text import keyword_entities
@@ -310,13 +312,18 @@ def chunk_structured(
                 out += cut(i)
         return out
 
-    @pandas_udf(NO_SPANS)
-    def select_units(texts: pd.Series, trees: pd.Series) -> pd.Series:
-        picked = [
-            [{"start": s, "end": e} for s, e in leaves(t or "", n)] if n is not None and len(n) else []
-            for t, n in zip(texts, trees)
-        ]
-        return pd.Series(picked)
+    @arrow_udf(NO_SPANS)
+    def select_units(texts: pa.Array, trees: pa.Array) -> pa.Array:
+        # one text and its tree at a time: the trees of a batch as Python objects are many times their bytes
+        ends, starts, stops = [0], array("i"), array("i")
+        for text, tree in zip(texts, trees):
+            nodes = tree.as_py()
+            for s, e in leaves(text.as_py() or "", nodes) if nodes else []:
+                starts.append(s)
+                stops.append(e)
+            ends.append(len(starts))
+        spans = pa.StructArray.from_arrays([pa.array(starts, pa.int32()), pa.array(stops, pa.int32())], ["start", "end"])
+        return pa.ListArray.from_arrays(pa.array(ends, pa.int32()), spans)
 
     chosen = docs.withColumn("_units", select_units(F.col(content), F.col(units))).drop(units)
     spans = F.when(F.size("_units") > 0, merge_small(F.col("_units"), budgets)).otherwise(

@@ -73,3 +73,19 @@ def test_records_of_two_collections_are_made_once(spark, monkeypatch):
     monkeypatch.setattr(store_queries, "records", counting)
     left = registry.QUERIES["drop_collection"](spark, "/root/testdata/sf0.001").collect()
     assert [r.collection_id for r in left] == ["b"] and read.value == left[0].n > 0
+
+
+def test_structured_chunks_without_text_or_tree(spark):
+    from corpusloom.operators import chunking as ch
+    from corpusloom.options import ChunkBudgets
+
+    tree = "units array<struct<start: int, end: int, parent: int, preferred: boolean>>"
+    text = "x = 1\n" + "def f():\n" + "    pass\n" * 40 + "def g():\n" + "    pass\n" * 40
+    cut = text.index("def g")
+    whole = [(0, 6, -1, False), (6, cut, -1, True), (cut, len(text), -1, True), (6, 15, 1, True)]
+    docs = spark.createDataFrame([("a", text, whole), ("b", text, None), ("c", text, []), ("d", None, whole), ("e", "  ", whole)], f"path string, content string, {tree}")
+    budgets = ChunkBudgets(min=1, max=200)
+    got = ch.chunk_structured(docs, budgets=budgets, entities=False).collect()
+    spans = {p: [(r.chunk_start, r.chunk_end) for r in sorted(got, key=lambda r: r.chunk_start) if r.path == p] for p in "abcde"}
+    assert spans["a"] == [(6, cut), (cut, len(text))]
+    assert spans["b"] == spans["c"] and spans["b"][0][0] == 0 and spans["b"][-1][1] == len(text)
