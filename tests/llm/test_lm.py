@@ -4,6 +4,7 @@ import math
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from corpusloom.llm import lm
@@ -116,3 +117,48 @@ def test_places_of_numbers_of_more_than_16_bits():
     assert (lm.sorted_places(code) == np.argsort(code, kind="stable")).all()
     assert (lm.sorted_places(code % 300) == np.argsort(code % 300, kind="stable")).all()
     assert len(lm.sorted_places(code[:0])) == 0
+
+
+def test_texts_are_split_like_words_between_ascii_blanks():
+    texts = ["", None, "  ", " \t x\x0bY\x0c z\r\n", "é\x1cÀ\x85 x\xa0y", "İ ſ K ẞ", "a" * 70 + " A", "\x00 \x00\x00 a", "one"]
+    want = [(t or "").encode().lower().split() + [b""] for t in texts]
+    assert lm.tokens_of(pa.array(texts)).to_pylist() == want
+    assert lm.tokens_of(pa.array(["skipped", *texts], pa.large_string())[1:]).to_pylist() == want
+
+
+def test_only_tokens_that_are_not_listed_are_left_for_the_join(docs_of, monkeypatch):
+    encoded, encode = [], lm.encode
+    monkeypatch.setattr(lm, "encode", lambda *a: encoded.append(encode(*a)) or encoded[-1])
+    rows = [(i, " ".join(f"w{k * k % (i % 60 + 3)} c{k % 7}" for k in range(50)) + f" only{i} " + "l" * 65) for i in range(80)] + [(900, None)]
+    got = {}
+    for listed in (1 << 18, 20, 0):
+        monkeypatch.setattr(lm, "LISTED", listed)
+        got[listed] = sorted(lm.score_texts(docs_of(rows), top=5, rounds=0).collect())
+    left = [sum(len(r.rare) for r in e.collect()) for e in encoded]
+    train = {r.doc_id for r in got[0] if not r.held_out}
+    # tokens that no training text has, and the one that is too long for the list
+    assert left[0] == sum(len({x for x in t.split() if len(x) > 64 or x[:4] == "only" and i not in train}) for i, t in rows[:-1])
+    assert left[0] < left[1] < left[2]
+    for a, b in ((1 << 18, 0), (20, 0)):
+        assert [x[:5] for x in got[a]] == [x[:5] for x in got[b]]
+        assert np.allclose([x[5:] for x in got[a]], [x[5:] for x in got[b]], rtol=1e-12)
+
+
+@pytest.mark.parametrize("top, listed, want", [(3, 0, 3), (3, 4, 4), (0, 5, 4), (9, 6, 9), (40, 6, 26), (2, 100, 26)])
+def test_most_frequent_tokens_by_a_histogram(spark, monkeypatch, top, listed, want):
+    monkeypatch.setattr(lm, "LISTED", listed)
+    n = [90, 40, 7, 7, 3, 3, 3, *[1] * 19]  # one of them too long
+    rows = [(f"{chr(122 - i)}".encode(), x) for i, x in enumerate(n)] + [(b"l" * 65, 50)]
+    total, distinct, size, found = lm.frequent_tokens(spark.createDataFrame(rows, "token binary, n long"), lambda _: top)
+    ordered = sorted(((t, x) for t, x in rows if len(t) <= 64), key=lambda r: (-r[1], r[0]))
+    assert (total, distinct, size) == (sum(n) + 50, 27, top)
+    assert list(zip(*found.to_pydict().values())) == ordered[:want]
+
+
+def test_numbers_beyond_16_bits_are_written_whole():
+    for words in (65_534, 65_535, 100_000):
+        kind = lm.kind_of(words)
+        code = np.array([0, words + 1, 7, words], kind)
+        column = pa.array([code[:1].tobytes(), b"", code[1:].tobytes()], pa.binary())
+        got, first = lm.numbers(column[1:], kind)
+        assert got.tolist() == [words + 1, 7, words] and first.tolist() == [0, 0, 3]
