@@ -47,9 +47,9 @@ SHARE, BYTES_OF_TOKEN = 8, 6
 ROWS = 1024
 SAFE = 70.0
 FOLDS, HELD_OUT = 7, 2
-#: Bytes of text that are split together; distinct tokens that a task gathers before it sends them on.
+#: Bytes of text that are split together; distinct tokens, and bytes of them, that a task gathers before it sends them on.
 SPLIT_BYTES = 2 << 20
-GATHER = 400_000
+GATHER, GATHER_BYTES = 400_000, 32 << 20
 #: Most frequent tokens whose counts go to every task, at most (2 MB of words): only the texts' other tokens meet theirs in a join.
 LISTED = 1 << 18
 
@@ -326,17 +326,16 @@ def token_counts(rows: DataFrame) -> DataFrame:
     """(token, n) over all texts of the training rows."""
 
     def count(batches):
-        held, n = [], 0
+        held = []
+        full = lambda part: max(sum(t.num_rows for t in held) / GATHER, sum(t.nbytes for t in held) / GATHER_BYTES) > part
         for part in slices(batches, "text", SPLIT_BYTES):
             tokens, times = tokens_of(part.column("text")).flatten().value_counts().flatten()
             held.append(pa.table([tokens, times], ["token", "n"]))
-            n += len(tokens)
-            if n > GATHER:
+            if full(1):
                 held = [summed(held)]
-                n = held[0].num_rows
-                if n > GATHER / 2:
+                if full(1 / 2):
                     yield from held[0].to_batches()
-                    held, n = [], 0
+                    held = []
         if held:
             yield from summed(held).to_batches()
 

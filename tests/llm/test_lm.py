@@ -162,3 +162,13 @@ def test_numbers_beyond_16_bits_are_written_whole():
         column = pa.array([code[:1].tobytes(), b"", code[1:].tobytes()], pa.binary())
         got, first = lm.numbers(column[1:], kind)
         assert got.tolist() == [words + 1, 7, words] and first.tolist() == [0, 0, 3]
+
+
+@pytest.mark.parametrize("gather, most", [(400_000, 32 << 20), (3, 32 << 20), (400_000, 50)])
+def test_tokens_are_counted_whole_however_few_are_gathered(docs_of, monkeypatch, gather, most):
+    monkeypatch.setattr(lm, "GATHER", gather)
+    monkeypatch.setattr(lm, "GATHER_BYTES", most)
+    monkeypatch.setattr(lm, "SPLIT_BYTES", 40)
+    rows = [(i, f"a A b{i % 5} {'long' * i}") for i in range(60)] + [(60, None), (61, " ")]
+    got = {bytes(r.token): r.n for r in lm.token_counts(docs_of(rows)).collect()}
+    assert got == Counter(x for _, t in rows for x in (t or "").encode().lower().split() + [b""])
