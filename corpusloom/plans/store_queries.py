@@ -52,8 +52,10 @@ def attach_files(spark, sf):
     """Every document exported as a text file of its own; those below the operator's size limit are picked up as attachments."""
     path = fresh_path(spark, "attached")
     docs = v.table(spark, sf, "documents").where("text is not null")
-    names = F.concat(F.monotonically_increasing_id().cast("string"), F.lit(".txt"))  # the same ones in a repeated task
-    write_files(docs.select(names.alias("name"), F.concat("text", F.lit("\n")).alias("value")), path)
+    numbered = docs.select("text", F.monotonically_increasing_id().alias("n"))  # the same ones in a repeated task
+    # At most 1,024 files in a folder, so that no listing grows with the table.
+    names = F.concat(F.lit("part="), F.shiftright("n", 10).cast("string"), F.lit("/"), F.col("n").cast("string"), F.lit(".txt"))
+    write_files(numbered.select(names.alias("name"), F.concat("text", F.lit("\n")).alias("value")), path)
     found = fs.attach_files(spark, path).where(F.endswith("name", F.lit(".txt")))
     return found.groupBy("is_repository").agg(F.sum(F.length("content").cast(LONG)).alias("chars"))
 

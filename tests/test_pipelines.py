@@ -1,5 +1,7 @@
 import json
+import os
 
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -294,3 +296,56 @@ def test_attach_files_leaves_long_documents_to_the_operator(spark, tmp_path, mon
     got = [tuple(r) for r in store_queries.attach_files(spark, str(tmp_path)).collect()]
     assert seen == [([4, 6, 262_144, 262_145, 600_001], {})]
     assert got == [(False, 4 + 6 + 262_144)]
+
+
+def test_attach_files_lists_in_tasks(spark, tmp_path):
+    root = tmp_path / "a b%41é"
+    names = ["x.txt", "_h.txt", ".h.txt", "_k=1.txt", "y._COPYING_", "_metadata", "_metadata=z", "d/x.txt", "d/empty", "d/e/f/%20 ü.txt", "_h/a", ".h/a",
+             "_k=1/in_k", "_metadata_d/in_m", "c._COPYING_/a", "part=1/p.txt", "big", "bad"]
+    for name in names:
+        (root / name).parent.mkdir(parents=True, exist_ok=True)
+        (root / name).write_bytes({"d/empty": b"", "big": b"z" * 3000, "bad": b"a\xffb"}.get(name, name.encode()))
+    (root / "gone").symlink_to(root / "nothing")
+    (root / "link").symlink_to(root / "d")
+    assert fs.attach_files(spark, str(root), 2).inputFiles() == []  # the driver holds no listing
+    for at, kb in ((str(root), None), (str(root), 2), (f"file://{root}/", None), (str(root / "d" / "e"), None)):
+        expected = sorted(map(tuple, fs.scan_corpus(spark, at, kb).collect()))
+        assert sorted(map(tuple, fs.read_tree(spark, at, kb).collect())) == expected and expected
+    names = sorted(r.path.rpartition("/")[2] for r in fs.scan_corpus(spark, str(root), 2).collect())
+    assert sorted(r.name for r in fs.attach_files(spark, str(root), 2).collect()) == names
+    for at in (f"{tmp_path}/*/d", str(root / "x.txt")):  # patterns and files go to Spark's reader
+        assert fs.attach_files(spark, at).count() == fs.scan_corpus(spark, at, 256).count() > 0
+    (tmp_path / "none").mkdir()
+    assert fs.attach_files(spark, str(tmp_path / "none")).collect() == []
+    with pytest.raises(Exception, match="PATH_NOT_FOUND"):
+        fs.attach_files(spark, str(tmp_path / "absent"))
+
+
+def test_read_tree_in_small_batches(spark, tmp_path, monkeypatch):
+    for i in range(40):
+        (tmp_path / f"{i % 3}").mkdir(exist_ok=True)
+        (tmp_path / f"{i % 3}" / f"{i}.txt").write_text("x" * (i + 1))
+    expected = sorted(map(tuple, fs.scan_corpus(spark, str(tmp_path)).collect()))
+    for name in ("READ_BYTES", "READ_FILES", "LISTED_AT_ONCE"):
+        monkeypatch.setattr(fs, name, 3)
+    batches = [b for b in fs._listed(str(tmp_path), True)([pa.RecordBatch.from_pydict({"path": pa.array([""]), "size": pa.array([None], pa.int64())})])]
+    assert [b.num_rows for b in batches] == [3] * 13 + [1]
+    read = [b for b in fs._contents(str(tmp_path))(batches)]
+    assert max(b.num_rows for b in read) <= 3 and len(read) > 13
+    assert sorted((r["path"], r["size"], r["content"].decode()) for b in read for r in b.to_pylist()) == expected
+
+
+def test_attach_files_query_spreads_documents_over_folders(spark, tmp_path, monkeypatch):
+    from corpusloom.plans import store_queries
+
+    spark.range(0, 2_500, 1, 1).selectExpr("concat('t', id) AS text").coalesce(1).write.parquet(str(tmp_path / "documents.parquet"))
+    seen, attach = [], store_queries.fs.attach_files
+
+    def spy(spark, root, **options):
+        seen.extend(len([f for f in files if f.endswith(".txt")]) for _, _, files in os.walk(root.removeprefix("file:")))
+        return attach(spark, root, **options)
+
+    monkeypatch.setattr(store_queries.fs, "attach_files", spy)
+    got = [tuple(r) for r in store_queries.attach_files(spark, str(tmp_path)).collect()]
+    assert got == [(False, sum(len(f"t{i}") + 1 for i in range(2_500)))]
+    assert sum(seen) == 2_500 and max(seen) <= 1_024
